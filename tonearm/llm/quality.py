@@ -200,17 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     return fit(f, np.array([r["lines"] for r in rows], np.int64), np.array([r["quality"] for r in rows], np.int64))
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and crf_score, from the text alone."""
+def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str = "crf_score") -> DataFrame:
+    """The columns of ``docs`` and the score, from the text alone."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = [c for c in docs.columns if c != "crf_score"]
-    out = StructType([*[docs.schema[c] for c in kept], StructField("crf_score", DoubleType())])
+    kept = [c for c in docs.columns if c != score]
+    out = StructType([*[docs.schema[c] for c in kept], StructField(score, DoubleType())])
 
     def run(batches):
         for batch in pieces(batches):
             scores = model.score(texts_of(batch, text))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores)], names=[*kept, "crf_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores)], names=[*kept, score])
 
     return docs.select(*kept).mapInArrow(run, out)
 
@@ -220,3 +220,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = train(docs, labels, sample)
     scored = with_scores(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), model)
     return scored.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), F.col("crf_score").alias("score"), (F.col("crf_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose score is ``least`` or more."""
+    model = train(docs, labels, sample)
+    name = "crf_score"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, model, score=name).where(F.col(name) >= least).select(*docs.columns)

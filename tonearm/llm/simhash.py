@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, pieces, texts_of
+from .common import materialized, pieces, ragged, texts_of
 
 BITS = 64
 BLOCK = 4096
@@ -116,55 +116,67 @@ def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
-def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """a > b: links between distinct fingerprints (column fp) that have the components of all links within ``distance``."""
-    index = nodes.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
+def whole_groups(batches, keys: tuple[str, str], others: tuple[str, ...]):
+    """Columns of sorted batches, cut so that no group (equal keys) is in two."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, *others)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+        last = int(new[-1]) if len(new) else 0  # the last group may go on in the next batch
+        if last:
+            yield [x[:last] for x in now]
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield held
+
+
+def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int | None = None) -> DataFrame:
+    """a > b: links between nodes (id, fp) with the components of all links within ``distance`` bits.
+
+    With a larger ``radius``, also of those within that many bits that share a variant."""
+    radius = distance if radius is None else radius
+    index = nodes.select("id", "fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Blocks of a variant that many share; each pair of blocks is a group of its own.
     count = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), count).cast("int")
+    own = F.pmod(F.xxhash64("id"), count).cast("int")
     groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
-    met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "fp")
+    met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "id", "fp")
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "fp")
+    met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def group_links(key: np.ndarray, fps: np.ndarray, run: np.ndarray):
+    def group_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, run: np.ndarray):
         """run: the group of each row, in order."""
         starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         sizes = np.diff(np.append(starts, len(run)))
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.repeat(sizes < 64, sizes)
         for lag in range(1, int(sizes[sizes < 64].max(initial=0))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
             x = fps[i] ^ fps[i + lag]
-            near = np.bitwise_count(x) <= distance
+            near = np.bitwise_count(x) <= radius
             i, x = i[near], x[near]
             i = i[_canonical(x, key[i] >> 40, distance)]
-            a.append(fps[i]), b.append(fps[i + lag])
+            a.append(ids[i])
+            b.append(ids[i + lag])
         for s, m in zip(starts[sizes >= 64], sizes[sizes >= 64], strict=True):
-            own = fps[s : s + m]
-            root = _forest(own, distance)
+            own = ids[s : s + m]
+            root = _forest(fps[s : s + m], radius)
             tied = root != np.arange(m)
-            a.append(own[tied]), b.append(own[root[tied]])
-        return np.concatenate(a or [np.zeros(0, np.uint64)]).view(np.int64), np.concatenate(b or [np.zeros(0, np.uint64)]).view(np.int64)
+            a.append(own[tied])
+            b.append(own[root[tied]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
 
     def run(batches):
-        held = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "part", "fp")]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            key, part, fp = now
+        for key, part, ids, fps in whole_groups(batches, ("key", "part"), ("id", "fp")):
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            last = np.flatnonzero(new)[-1]  # the last group may go on in the next batch
-            if last:
-                a, b = group_links(key[:last], fp[:last].view(np.uint64), np.cumsum(new[:last]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
-            held = [key[last:], part[last:], fp[last:]]
-        if held is not None:
-            a, b = group_links(held[0], held[2].view(np.uint64), np.zeros(len(held[0]), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+            yield group_links(key, ids, fps.view(np.uint64), np.cumsum(new))
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
@@ -197,9 +209,109 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     """doc_id, fingerprint, component_id of every document."""
     marked = materialized(fingerprints(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), width))
     nodes = materialized(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    roots = components(links(nodes, distance))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), distance))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = materialized(joined)
     smallest = materialized(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = materialized(joined.join(smallest, "root").select("fp", "component_id"))
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the place of the first in its component, links being Jaccard similarities of ``least`` or more.
+
+    Breadth-first search with an inverted index, so each set meets only those that share something with it."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    root = np.full(len(sets), -1)
+    missing = len(sets)
+    for seed in range(len(sets)):
+        if root[seed] >= 0:
+            continue
+        root[seed], front = seed, [seed]
+        missing -= 1
+        while front and missing:
+            own = sets[front.pop()]
+            low = np.searchsorted(every, own)
+            shared = np.bincount(owner[ragged(low, np.searchsorted(every, own, side="right") - low)], minlength=len(sets))
+            near = np.flatnonzero((root < 0) & (shared >= least * (sizes + len(own) - shared)) & (shared > 0))
+            root[near] = seed
+            missing -= len(near)
+            front.extend(near.tolist())
+    return root
+
+
+def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: float, block: int = 512) -> DataFrame:
+    """Of the documents (uid, text) in each candidate component (node, root): links that have the components of all
+    pairs whose shingle sets are similar enough.  A component larger than ``block`` is dealt out over pairs of blocks."""
+    sized = candidates.join(materialized(candidates.groupBy("root").agg(F.count("*").alias("n"))), "root")
+    sized = materialized(sized.select("node", "root", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    members = docs.join(sized, docs["uid"] == sized["node"]).select("root", "blocks", "node", "text")
+    schema = pa.schema([("root", pa.int64()), ("blocks", pa.int32()), ("node", pa.int64()), ("shingles", pa.binary())])
+
+    def sets(batches):
+        for batch in pieces(batches):
+            own = [np.unique(shingle_hashes(x, width)).tobytes() for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "node")), pa.array(own, pa.binary())], schema=schema)
+
+    members = members.mapInArrow(sets, "root long, blocks int, node long, shingles binary")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
+    dealt = members.select("root", F.explode(groups).alias("part"), "node", "shingles")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "node")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(batches):
+        for root, part, node, shingles in whole_groups((p for b in batches for p in pieces([b], 4 << 20)), ("root", "part"), ("node", "shingles")):
+            edges = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (part[1:] != part[:-1])))
+            for a, b in zip(edges, np.append(edges[1:], len(root)), strict=True):
+                if b - a < 2:
+                    continue
+                first = _similar([np.frombuffer(x, np.uint64) for x in shingles[a:b]], least)
+                tied = np.flatnonzero(first != np.arange(b - a))
+                x, y = node[a:b][tied], node[a:b][first[tied]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=pair)
+
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4, radius: int = 12) -> DataFrame:
+    """The documents without all but one (the smallest doc_id) of each group of near-duplicates.
+
+    Exact copies are one node.  Nodes that share a deletion variant of either of two fingerprints of their word
+    sets, and lie within ``radius`` bits, are candidates; documents of a candidate component are linked where the
+    sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more.  ``docs`` must be a
+    stable scan (a table), as rows are told apart by their place in it.
+    """
+    rows = docs.withColumn("uid", F.monotonically_increasing_id())
+    small = rows.select("uid", docs["doc_id"].cast("long").alias("doc_id"), "text")
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("f1", pa.int64()), ("f2", pa.int64())])
+
+    def run(batches):
+        for batch in pieces(batches):
+            out: list[list] = [[], [], []]
+            for text in texts_of(batch):
+                words = list(set(text.encode().lower().split()))
+                out[0].append(xxhash.xxh3_128_digest(text.encode()))
+                for k, seed in ((1, 42), (2, 7)):
+                    out[k].append(fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))))
+            f1, f2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(out[0], pa.binary()), f1, f2], schema=schema)
+
+    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, f1 long, f2 long"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.count("*").alias("copies")))
+    nodes = texts.select(F.col("first.uid").alias("id"), "f1", "f2")
+    found = links(nodes.select("id", F.col("f1").alias("fp")), distance, radius=radius).unionByName(links(nodes.select("id", F.col("f2").alias("fp")), distance, radius=radius))
+    linked = components(verified_links(small.select("uid", "text"), components(found), width, least))
+    # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
+    met = materialized(texts.select("first", F.col("first.uid").alias("node")).join(linked, "node").select("node", "root", "first"))
+    best = materialized(met.groupBy("root").agg(F.min("first").alias("best")))
+    lost = met.join(best, "root").where("first.uid <> best.uid").select(F.col("node").alias("uid"))
+    again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
+    copies = marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid")
+    return rows.join(lost.unionByName(copies), "uid", "left_anti").select(*docs.columns)
