@@ -29,6 +29,8 @@ from .common import materialized, pieces, ragged, texts_of
 
 BITS = 64
 BLOCK = 4096
+#: From so many nodes on, wider keys keep the variants' groups small; the links are the same.
+WIDER = 1 << 24
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -70,31 +72,36 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFra
     return docs.select(*kept, text).mapInArrow(run, out)
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits): the fewest of which one differs by at most a bit."""
-    count = distance // 2 + 1
+def segment_masks(distance: int, joined: int = 1) -> list[int]:
+    """Bit masks of which one at least covers one differing bit at most, for fingerprints within ``distance``.
+
+    joined=1: the fewest segments, distance // 2 + 1 of them.  joined=2: every pair of distance + 1 segments
+    (the two that differ least differ by a bit together), which are wider, for very many fingerprints."""
+    count = distance // 2 + 1 if joined == 1 else distance + 1
     edges = [round(i * BITS / count) for i in range(count + 1)]
-    return list(zip(edges, np.diff(edges).tolist(), strict=False))
+    own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return own if joined == 1 else [x | y for i, x in enumerate(own) for y in own[i + 1 :]]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fp: Column, distance: int) -> Column:
-    """One key per bit of the fingerprint: its segment with that bit blanked, and the bit's number above."""
-    keys = []
-    for first, width in segments(distance):
-        value = F.shiftrightunsigned(fp, first).bitwiseAND((1 << width) - 1)
-        keys += [value.bitwiseAND(((1 << width) - 1) & ~(1 << i)).bitwiseOR((first + i) << 40) for i in range(width)]
-    return F.array(*keys)
+def variants(fp: Column, masks: list[int]) -> Column:
+    """One key per mask and bit of it: a hash of the masked fingerprint with that bit blanked, and the variant's number."""
+    kept = [mask & ~(1 << bit) for mask in masks for bit in range(BITS) if mask >> bit & 1]
+    return F.array(*[F.shiftleft(F.xxhash64(fp.bitwiseAND(signed(m))), 9).bitwiseOR(F.lit(t)) for t, m in enumerate(kept)])
 
 
-def _canonical(x: np.ndarray, variant: np.ndarray, distance: int) -> np.ndarray:
+def _canonical(x: np.ndarray, tag: np.ndarray, masks: list[int]) -> np.ndarray:
     """Of the variants in which two fingerprints meet, is this the first?  x: their difference."""
     first = np.full(len(x), -1)
-    for at, width in reversed(segments(distance)):
-        own = (x >> np.uint64(at)) & np.uint64((1 << width) - 1)
-        few = np.bitwise_count(own) <= 1
-        place = np.where(own == 0, at, at + np.bitwise_count(np.maximum(own, np.uint64(1)) - np.uint64(1)))
-        first = np.where(few, place, first)
-    return first == variant
+    base = np.cumsum([0] + [m.bit_count() for m in masks])
+    for mask, start in reversed(list(zip(masks, base.tolist(), strict=False))):
+        own = x & np.uint64(mask)
+        place = start + np.where(own == 0, 0, np.bitwise_count(np.uint64(mask) & (np.maximum(own, np.uint64(1)) - np.uint64(1))))
+        first = np.where(np.bitwise_count(own) <= 1, place, first)
+    return first == tag
 
 
 def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
@@ -139,8 +146,12 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
 
     With a larger ``radius``, also of those within that many bits that share a variant."""
     radius = distance if radius is None else radius
-    index = nodes.select("id", "fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
+    index = nodes.select("id", "fp", F.explode(variants(F.col("fp"), masks)).alias("key"))
+    shared = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.max("id").alias("a"), F.min("id").alias("b")).where("n > 1")
+    # Where two meet, the sums above hold all there is to compare.
+    two = shared.where(F.col("n") == 2).where(F.bit_count("x") <= radius).select("a", "b")
+    shared = shared.where("n > 2").select("key", "n")
     # Blocks of a variant that many share; each pair of blocks is a group of its own.
     count = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
@@ -161,7 +172,7 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
             x = fps[i] ^ fps[i + lag]
             near = np.bitwise_count(x) <= radius
             i, x = i[near], x[near]
-            i = i[_canonical(x, key[i] >> 40, distance)]
+            i = i[_canonical(x, key[i] & 511, masks)]
             a.append(ids[i])
             b.append(ids[i + lag])
         for s, m in zip(starts[sizes >= 64], sizes[sizes >= 64], strict=True):
@@ -178,7 +189,7 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             yield group_links(key, ids, fps.view(np.uint64), np.cumsum(new))
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return two.unionByName(met.mapInArrow(run, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
