@@ -132,13 +132,13 @@ def route(kind: Column, hls: Column, detected: Column, role: Column) -> Column:
 
 
 def codec_class(codecs: Column) -> Column:
-    parts = F.transform(F.split(F.lower(codecs), ","), F.trim)
+    parts = F.transform(F.split(F.lower(codecs), ","), lambda c: F.trim(c))
     has = lambda names: F.exists(parts, lambda c: c.isin(*names))
     return F.when(F.coalesce(has(VERIFIED_CODECS), F.lit(False)), "verified").when(F.coalesce(has(UNSUPPORTED_CODECS), F.lit(False)), "unsupported").otherwise("unknown")
 
 
 def has_video(codecs: Column) -> Column:
-    parts = F.transform(F.split(F.lower(codecs), ","), F.trim)
+    parts = F.transform(F.split(F.lower(codecs), ","), lambda c: F.trim(c))
     return F.coalesce(F.exists(parts, lambda c: reduce(lambda a, b: a | b, (c.startswith(p) for p in VIDEO_PREFIXES))), F.lit(False))
 
 

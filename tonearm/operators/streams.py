@@ -133,4 +133,5 @@ def gap_frames(sent: DataFrame, key: str, at: str, step: int, most: int) -> Data
     after = F.lead(at).over(Window.partitionBy(key).orderBy(at))
     n = F.least(F.greatest(N.idiv(after - F.col(at) - 1, step), F.lit(0)), F.lit(most))
     gaps = sent.withColumn("_n", n).where("_n > 0")
-    return gaps.select(key, (F.col(at) + F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))) * step).alias("fill_at"))
+    filled = gaps.select(key, at, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
+    return filled.select(key, (F.col(at) + F.col("_k") * step).alias("fill_at"))
