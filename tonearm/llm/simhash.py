@@ -147,7 +147,9 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     With a larger ``radius``, also of those within that many bits that share a variant."""
     radius = distance if radius is None else radius
     masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
-    index = nodes.select("id", "fp", F.explode(variants(F.col("fp"), masks)).alias("key"))
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Each node makes many rows, so the nodes are spread first.
+    index = nodes.repartition(parts, "id").select("id", "fp", F.explode(variants(F.col("fp"), masks)).alias("key"))
     shared = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.max("id").alias("a"), F.min("id").alias("b")).where("n > 1")
     # Where two meet, the sums above hold all there is to compare.
     two = shared.where(F.col("n") == 2).where(F.bit_count("x") <= radius).select("a", "b")
@@ -157,7 +159,6 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
     met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "id", "fp")
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
