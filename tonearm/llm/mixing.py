@@ -24,6 +24,7 @@ from .common import materialized
 
 ROUNDS = 8
 KEEP = 0.5
+BROADCAST_CELLS = 50_000
 #: Targets grow as this power of the margin's own share.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
@@ -75,6 +76,8 @@ def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS
         F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("base")).alias("mix_probability"),
     )
     ratio = materialized(ratio)
+    if ratio.count() <= BROADCAST_CELLS:  # beyond that the join is dealt out, and a hot cell split
+        ratio = F.broadcast(ratio)
     draw = F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     out = named.withColumn("mix_draw", draw).join(ratio, ["mix_source", "mix_lang", "mix_topic"])
     return out.where("mix_draw < mix_probability").select(*[c for c in docs.columns if not c.startswith("mix_")], "mix_tokens", "mix_topic", "mix_probability")

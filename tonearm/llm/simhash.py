@@ -31,6 +31,8 @@ BITS = 64
 BLOCK = 4096
 #: From so many nodes on, wider keys keep the variants' groups small; the links are the same.
 WIDER = 1 << 24
+#: The most rows of a filter of hash slots.
+SLOTS = 1 << 19
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -104,11 +106,14 @@ def _canonical(x: np.ndarray, tag: np.ndarray, masks: list[int]) -> np.ndarray:
     return first == tag
 
 
-def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each of a group's fingerprints the place of its component's first, by breadth-first search."""
-    root = np.full(len(fps), -1)
-    rest = np.arange(len(fps))
-    for seed in range(len(fps)):
+def _forest(fps: list[np.ndarray], radius: int) -> np.ndarray:
+    """For each of a group's nodes the place of its component's first, by breadth-first search.
+
+    fps: one array of 64 bits of all nodes after another."""
+    n = len(fps[0])
+    root = np.full(n, -1)
+    rest = np.arange(n)
+    for seed in range(n):
         if root[seed] >= 0:
             continue
         root[seed] = seed
@@ -116,7 +121,8 @@ def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
         front = np.array([seed])
         while len(front) and len(rest):
             part, front = front[:64], front[64:]
-            hit = (np.bitwise_count(fps[part][:, None] ^ fps[rest][None, :]) <= distance).any(0)
+            apart = sum(np.bitwise_count(f[part][:, None] ^ f[rest][None, :]) for f in fps)
+            hit = (apart <= radius).any(0)
             root[rest[hit]] = seed
             front = np.append(front, rest[hit])
             rest = rest[~hit]
@@ -144,25 +150,27 @@ def whole_groups(batches, keys: tuple[str, str], others: tuple[str, ...]):
 def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int | None = None) -> DataFrame:
     """a > b: links between nodes (id, fp) with the components of all links within ``distance`` bits.
 
-    With a larger ``radius``, also of those within that many bits that share a variant."""
+    With a larger ``radius``, also of those within that many bits that share a variant; a second fingerprint
+    (column other) then counts into the distance."""
     radius = distance if radius is None else radius
+    words = ["fp", *(["other"] if "other" in nodes.columns else [])]
     masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Each node makes many rows, so the nodes are spread first.
-    index = nodes.repartition(parts, "id").select("id", "fp", F.explode(variants(F.col("fp"), masks)).alias("key"))
-    shared = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.max("id").alias("a"), F.min("id").alias("b")).where("n > 1")
+    index = nodes.repartition(parts, "id").select("id", *words, F.explode(variants(F.col("fp"), masks)).alias("key"))
+    shared = index.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(w).alias(f"x_{w}") for w in words], F.max("id").alias("a"), F.min("id").alias("b")).where("n > 1")
     # Where two meet, the sums above hold all there is to compare.
-    two = shared.where(F.col("n") == 2).where(F.bit_count("x") <= radius).select("a", "b")
+    two = shared.where(F.col("n") == 2).where(sum(F.bit_count(f"x_{w}") for w in words) <= radius).select("a", "b")
     shared = shared.where("n > 2").select("key", "n")
     # Blocks of a variant that many share; each pair of blocks is a group of its own.
     count = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
-    met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "id", "fp")
+    met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "id", *words)
     met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def group_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, run: np.ndarray):
+    def group_links(key: np.ndarray, ids: np.ndarray, fps: list[np.ndarray], run: np.ndarray):
         """run: the group of each row, in order."""
         starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         sizes = np.diff(np.append(starts, len(run)))
@@ -170,15 +178,15 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
         small = np.repeat(sizes < 64, sizes)
         for lag in range(1, int(sizes[sizes < 64].max(initial=0))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-            x = fps[i] ^ fps[i + lag]
-            near = np.bitwise_count(x) <= radius
+            x = fps[0][i] ^ fps[0][i + lag]
+            near = sum(np.bitwise_count(f[i] ^ f[i + lag]) for f in fps) <= radius
             i, x = i[near], x[near]
             i = i[_canonical(x, key[i] & 511, masks)]
             a.append(ids[i])
             b.append(ids[i + lag])
         for s, m in zip(starts[sizes >= 64], sizes[sizes >= 64], strict=True):
             own = ids[s : s + m]
-            root = _forest(fps[s : s + m], radius)
+            root = _forest([f[s : s + m] for f in fps], radius)
             tied = root != np.arange(m)
             a.append(own[tied])
             b.append(own[root[tied]])
@@ -186,9 +194,9 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
 
     def run(batches):
-        for key, part, ids, fps in whole_groups(batches, ("key", "part"), ("id", "fp")):
+        for key, part, ids, *fps in whole_groups(batches, ("key", "part"), ("id", *words)):
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            yield group_links(key, ids, fps.view(np.uint64), np.cumsum(new))
+            yield group_links(key, ids, [f.view(np.uint64) for f in fps], np.cumsum(new))
 
     return two.unionByName(met.mapInArrow(run, "a long, b long")).distinct()
 
@@ -232,13 +240,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set the place of the first in its component, links being Jaccard similarities of ``least`` or more.
 
-    Breadth-first search with an inverted index, so each set meets only those that share something with it."""
+    Breadth-first search with an inverted index of the sets not yet reached, built anew when half of them are."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
     root = np.full(len(sets), -1)
+
+    def index(rest: np.ndarray):
+        every = np.concatenate([sets[i] for i in rest])
+        order = np.argsort(every, kind="stable")
+        return every[order], np.repeat(np.arange(len(rest)), sizes[rest])[order], rest
+
+    every, owner, rest = index(np.arange(len(sets)))
     missing = len(sets)
     for seed in range(len(sets)):
         if root[seed] >= 0:
@@ -246,22 +257,37 @@ def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
         root[seed], front = seed, [seed]
         missing -= 1
         while front and missing:
+            if missing < len(rest) // 2:
+                every, owner, rest = index(np.flatnonzero(root < 0))
             own = sets[front.pop()]
             low = np.searchsorted(every, own)
-            shared = np.bincount(owner[ragged(low, np.searchsorted(every, own, side="right") - low)], minlength=len(sets))
-            near = np.flatnonzero((root < 0) & (shared >= least * (sizes + len(own) - shared)) & (shared > 0))
+            shared = np.bincount(owner[ragged(low, np.searchsorted(every, own, side="right") - low)], minlength=len(rest))
+            near = rest[(root[rest] < 0) & (shared > 0) & (shared >= least * (sizes[rest] + len(own) - shared))]
             root[near] = seed
             missing -= len(near)
             front.extend(near.tolist())
     return root
 
 
-def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: float, block: int = 512) -> DataFrame:
-    """Of the documents (uid, text) in each candidate component (node, root): links that have the components of all
-    pairs whose shingle sets are similar enough.  A component larger than ``block`` is dealt out over pairs of blocks."""
-    sized = candidates.join(materialized(candidates.groupBy("root").agg(F.count("*").alias("n"))), "root")
-    sized = materialized(sized.select("node", "root", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    members = docs.join(sized, docs["uid"] == sized["node"]).select("root", "blocks", "node", "text")
+def slots(ids: DataFrame, column: str) -> DataFrame:
+    """The hash slots that ids fall in: at most SLOTS rows, so they may be broadcast whatever their number."""
+    return F.broadcast(ids.select(slot(F.col(column)).alias("slot")).distinct())
+
+
+def slot(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(SLOTS)).cast("int")
+
+
+def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: float, block: int = 1 << 20) -> DataFrame:
+    """Of the documents (uid, text) in each candidate component (node, root, words): links that have the components of
+    all pairs whose shingle sets are similar enough.  A component of more than ``block`` words is dealt out over pairs
+    of blocks."""
+    whole = materialized(candidates.groupBy("root").agg(F.sum("words").alias("n")))
+    sized = candidates.join(whole, "root").select("node", "root", F.ceil((F.col("n") + 1) / block).cast("int").alias("blocks"))
+    sized = materialized(sized)
+    # Most documents are in no component, and their texts needn't be shuffled.
+    near = docs.join(slots(sized, "node"), slot(docs["uid"]) == F.col("slot"), "left_semi")
+    members = near.join(sized, near["uid"] == sized["node"]).select("root", "blocks", "node", "text")
     schema = pa.schema([("root", pa.int64()), ("blocks", pa.int32()), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches):
@@ -291,39 +317,49 @@ def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: fl
     return dealt.mapInArrow(check, "a long, b long").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4, radius: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4, radius: int = 22) -> DataFrame:
     """The documents without all but one (the smallest doc_id) of each group of near-duplicates.
 
     Exact copies are one node.  Nodes that share a deletion variant of either of two fingerprints of their word
-    sets, and lie within ``radius`` bits, are candidates; documents of a candidate component are linked where the
+    sets, and lie within ``radius`` of both's 128 bits, are candidates; documents of a candidate component are linked where the
     sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more.  ``docs`` must be a
     stable scan (a table), as rows are told apart by their place in it.
     """
     rows = docs.withColumn("uid", F.monotonically_increasing_id())
     small = rows.select("uid", docs["doc_id"].cast("long").alias("doc_id"), "text")
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("f1", pa.int64()), ("f2", pa.int64())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 
     def run(batches):
         for batch in pieces(batches):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for text in texts_of(batch):
-                words = list(set(text.encode().lower().split()))
+                words = text.encode().lower().split()
                 out[0].append(xxhash.xxh3_128_digest(text.encode()))
+                out[3].append(len(words))
+                words = list(set(words))
                 for k, seed in ((1, 42), (2, 7)):
                     out[k].append(fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))))
-            f1, f2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(out[0], pa.binary()), f1, f2], schema=schema)
+            f1, f2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:3])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(out[0], pa.binary()), pa.array(out[3], pa.int64()), f1, f2], schema=schema)
 
-    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, f1 long, f2 long"))
+    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, words long, f1 long, f2 long"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.count("*").alias("copies")))
+    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.max("words").alias("words"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.count("*").alias("copies")))
     nodes = texts.select(F.col("first.uid").alias("id"), "f1", "f2")
-    found = links(nodes.select("id", F.col("f1").alias("fp")), distance, radius=radius).unionByName(links(nodes.select("id", F.col("f2").alias("fp")), distance, radius=radius))
-    linked = components(verified_links(small.select("uid", "text"), components(found), width, least))
+    sides = [nodes.select("id", F.col(x).alias("fp"), F.col(y).alias("other")) for x, y in (("f1", "f2"), ("f2", "f1"))]
+    found = links(sides[0], distance, radius=radius).unionByName(links(sides[1], distance, radius=radius))
+    groups = components(found)
+    groups = groups.join(texts.select(F.col("first.uid").alias("node"), "words"), "node")
+    linked = components(verified_links(small.select("uid", "text"), materialized(groups), width, least))
     # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
     met = materialized(texts.select("first", F.col("first.uid").alias("node")).join(linked, "node").select("node", "root", "first"))
     best = materialized(met.groupBy("root").agg(F.min("first").alias("best")))
     lost = met.join(best, "root").where("first.uid <> best.uid").select(F.col("node").alias("uid"))
     again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
     copies = marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid")
-    return rows.join(lost.unionByName(copies), "uid", "left_anti").select(*docs.columns)
+    lost = materialized(lost.unionByName(copies))
+    # Rows in no slot of a lost one stay without a shuffle.
+    mine = slot(rows["uid"]) == F.col("slot")
+    sure = rows.join(slots(lost, "uid"), mine, "left_anti")
+    rest = rows.join(slots(lost, "uid"), mine, "left_semi").join(lost, "uid", "left_anti")
+    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))
