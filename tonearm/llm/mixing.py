@@ -63,31 +63,27 @@ def calibrated_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds
     return now.select(*margins, "base", "weight")
 
 
-def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The sampled documents' own columns, and mix_tokens, mix_topic, mix_probability."""
-    named = docs.withColumns(
-        {"mix_tokens": tokens(), "mix_source": F.coalesce(docs["source"], F.lit("")), "mix_lang": F.coalesce(docs["lang"], F.lit("")), "mix_topic": topic()}
+def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, details: bool = False) -> DataFrame:
+    """The sampled documents with their own columns; with ``details`` row (those as a struct), tokens, topic, probability."""
+    margin = lambda c: F.coalesce(docs[c], F.lit(""))
+    named = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), tokens().alias("tokens"), margin("source").alias("source"), margin("lang").alias("lang"), topic().alias("topic")
     )
-    cells = named.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    cells = materialized(cells)
+    cells = materialized(named.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
     made = calibrated_cells(cells, powers, rounds)
-    ratio = made.select(
-        F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), F.col("topic").alias("mix_topic"),
-        F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("base")).alias("mix_probability"),
-    )
-    ratio = materialized(ratio)
+    ratio = materialized(made.select("source", "lang", "topic", F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("base")).alias("probability")))
     if ratio.count() <= BROADCAST_CELLS:  # beyond that the join is dealt out, and a hot cell split
         ratio = F.broadcast(ratio)
-    draw = F.conv(F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    out = named.withColumn("mix_draw", draw).join(ratio, ["mix_source", "mix_lang", "mix_topic"])
-    return out.where("mix_draw < mix_probability").select(*[c for c in docs.columns if not c.startswith("mix_")], "mix_tokens", "mix_topic", "mix_probability")
+    id_ = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")
+    draw = F.conv(F.substring(F.md5(id_), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    out = named.join(ratio, ["source", "lang", "topic"]).where(draw < F.col("probability"))
+    return out.select("row", "tokens", "topic", "probability") if details else out.select("row.*")
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability of every document sampled."""
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", "lang", "source")
-    out = mixed(narrow)
-    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"))
+    out = mixed(docs.select("doc_id", "text", "lang", "source"), details=True)
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"))
 
 
 def report_sql(keep: float = KEEP, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> str:

@@ -33,6 +33,8 @@ BLOCK = 4096
 WIDER = 1 << 24
 #: The most rows of a filter of hash slots.
 SLOTS = 1 << 19
+#: One node in so many tells which variants are hot.
+SAMPLE = 64
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -156,17 +158,22 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     words = ["fp", *(["other"] if "other" in nodes.columns else [])]
     masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
+    key = F.explode(variants(F.col("fp"), masks)).alias("key")
     # Each node makes many rows, so the nodes are spread first.
-    index = nodes.repartition(parts, "id").select("id", *words, F.explode(variants(F.col("fp"), masks)).alias("key"))
-    shared = index.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(w).alias(f"x_{w}") for w in words], F.max("id").alias("a"), F.min("id").alias("b")).where("n > 1")
-    # Where two meet, the sums above hold all there is to compare.
-    two = shared.where(F.col("n") == 2).where(sum(F.bit_count(f"x_{w}") for w in words) <= radius).select("a", "b")
-    shared = shared.where("n > 2").select("key", "n")
-    # Blocks of a variant that many share; each pair of blocks is a group of its own.
-    count = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), count).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
-    met = index.join(shared, "key").select("key", F.explode(groups).alias("part"), "id", *words)
+    index = nodes.repartition(parts, "id").select("id", *words, key)
+    # Which variants very many nodes share, from one node in SAMPLE: it decides how they are dealt, not what is found.
+    few = nodes.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE)) == 0).select(key).groupBy("key").agg(F.count("*").alias("n"))
+    hot = few.where(F.col("n") > block // SAMPLE).groupBy(slot(F.col("key")).alias("slot")).agg(F.max("n").alias("n"))
+    hot = materialized(hot.select("slot", F.ceil(F.col("n") * SAMPLE / block).cast("int").alias("blocks")).where("blocks > 1").coalesce(1))
+    if hot.isEmpty():
+        met = index.withColumn("part", F.lit(0))
+    else:
+        # Every pair of blocks of such a variant is a group of its own.  At most SLOTS rows are broadcast.
+        count = F.coalesce("blocks", F.lit(1))
+        own = F.pmod(F.xxhash64("id"), count).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
+        met = index.join(F.broadcast(hot), slot(F.col("key")) == F.col("slot"), "left").select("id", *words, "key", F.explode(groups).alias("part"))
     met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -176,15 +183,20 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
         sizes = np.diff(np.append(starts, len(run)))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.repeat(sizes < 64, sizes)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        found = [np.zeros((2, 0), np.int64)]
         for lag in range(1, int(sizes[sizes < 64].max(initial=0))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-            x = fps[0][i] ^ fps[0][i + lag]
             near = sum(np.bitwise_count(f[i] ^ f[i + lag]) for f in fps) <= radius
-            i, x = i[near], x[near]
-            i = i[_canonical(x, key[i] & 511, masks)]
-            a.append(ids[i])
-            b.append(ids[i + lag])
-        for s, m in zip(starts[sizes >= 64], sizes[sizes >= 64], strict=True):
+            found.append(np.stack([i[near], i[near] + lag]))
+        i, j = np.concatenate(found, axis=1)
+        # A group with more links than nodes gives a spanning forest instead.
+        dense = (np.bincount(of[i], minlength=len(sizes)) > sizes) | (sizes >= 64)
+        i, j = i[~dense[of[i]]], j[~dense[of[i]]]
+        first = _canonical(fps[0][i] ^ fps[0][j], key[i] & 511, masks)
+        a.append(ids[i[first]])
+        b.append(ids[j[first]])
+        for s, m in zip(starts[dense], sizes[dense], strict=True):
             own = ids[s : s + m]
             root = _forest([f[s : s + m] for f in fps], radius)
             tied = root != np.arange(m)
@@ -198,26 +210,31 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             yield group_links(key, ids, [f.view(np.uint64) for f in fps], np.cumsum(new))
 
-    return two.unionByName(met.mapInArrow(run, "a long, b long")).distinct()
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) of every node that has a link (a > b); root is the smallest node reachable."""
 
+    now = materialized(edges.select("a", "b").where("a > b").distinct())
+    # Few edges need few files.
+    parts = now.count() // 200_000 + 1
+    kept = lambda df: materialized(df.coalesce(parts))
+    now = kept(now)
+
     def lowest(pairs: DataFrame) -> DataFrame:
         # Written out, so that the join below can split a hub's rows.
-        return materialized(pairs.groupBy("a").agg(F.min("b").alias("m")))
+        return kept(pairs.groupBy("a").agg(F.min("b").alias("m")))
 
-    now = materialized(edges.select("a", "b").where("a > b").distinct())
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         m = lowest(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = materialized(large)
+        large = kept(large)
         m = lowest(large)
         small = large.join(m, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
-        now = materialized(small.select("x.*").where("a > b").distinct())
+        now = kept(small.select("x.*").where("a > b").distinct())
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first()
         if new == mark and new[0] == new[2]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -325,8 +342,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, di
     sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more.  ``docs`` must be a
     stable scan (a table), as rows are told apart by their place in it.
     """
-    rows = docs.withColumn("uid", F.monotonically_increasing_id())
-    small = rows.select("uid", docs["doc_id"].cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    small = rows.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 
     def run(batches):
@@ -362,4 +379,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, di
     mine = slot(rows["uid"]) == F.col("slot")
     sure = rows.join(slots(lost, "uid"), mine, "left_anti")
     rest = rows.join(slots(lost, "uid"), mine, "left_semi").join(lost, "uid", "left_anti")
-    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return sure.select("row.*").unionByName(rest.select("row.*"))
