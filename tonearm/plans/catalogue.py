@@ -493,3 +493,61 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", N.duration_ms(samples, rate).alias("ms"), F.when(i % 2 == 0, A.resampled_length(samples, 44_100, 48_000)).otherwise(A.resampled_length(samples, 48_000, 48_000)).alias("resampled"),
         N.saturating_add(F.lit(9_223_372_036_854_770_000), i).alias("saturated"),
     )
+
+
+# Folds: what a row does depends on what earlier rows gave, so no SQL stands beside them.
+
+
+@query()
+def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import folds
+
+    e = read(spark, sf_dir, "events", "user_id", "event_id").select(F.col("user_id").alias("stream_id"), (F.col("event_id") * 20).alias("at_ms"), "event_id")
+    return folds.fold(e, "stream_id", ["at_ms", "event_id"], folds.playout_step, folds.playout_start, folds.PLAYOUT)
+
+
+@query()
+def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import folds
+
+    e = read(spark, sf_dir, "events", "user_id", "event_id")
+    e = e.select((F.col("user_id") % 16).alias("stream_id"), F.col("event_id").alias("request"), (F.col("user_id") % 50).alias("item"), (F.col("user_id") * 131_071 + 1).alias("size"), F.lit(16 << 20).alias("most"))
+    return folds.fold(e, "stream_id", ["request"], folds.cache_step, folds.cache_start, folds.CACHE)
+
+
+@query()
+def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import folds
+
+    t = F.col("event_type")
+    kind = F.when(t == "view", "stateChanged").when(t == "click", "networkQualityChanged").when(F.col("event_id") % 501 == 0, "drain").otherwise(t)
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").select((F.col("user_id") % 16).alias("stream_id"), F.col("event_id").alias("request"), kind.alias("kind"))
+    return folds.fold(e, "stream_id", ["request"], folds.queue_step, lambda: folds.queue_start(64), folds.QUEUE)
+
+
+@query()
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import folds, session
+
+    def step(s, row):
+        i, kind = row["log_seq"], row["event_type"]
+        name = {"id": f"t{i % 5}", "kind": "url", "seekable": True}
+        now = s["current"]["generation"] if s["current"] else 0
+        full = {
+            "signup": {"kind": "plan", "plan_version": i, "current": name, "next": {"id": f"n{i % 3}", "kind": "url"}}, "view": {"kind": ("play", "prebufferReady", "nextReady")[i % 3]},
+            "click": {"kind": ("pause", "play", "seek")[i % 3], "seek_s": i % 60}, "purchase": {"kind": "ended"}, "error": {"kind": "failed", "code": ("SOURCE_AUTH_EXPIRED", "DECODE_ERROR")[i % 2]},
+        }[kind]
+        then = s["next"]["generation"] if s["next"] else 0
+        return session.session_step(s, {"log_seq": i, "generation": then if full["kind"] == "nextReady" else now, **full})
+
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("log_seq"), "event_type")
+    return folds.fold(e, "stream_id", ["log_seq"], step, session.session_start, session.SESSION)
+
+
+@query()
+def segment_decrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lit("0123456789abcdef").cast("binary")
+    iv = F.when(F.col("page_id") % 2 == 0, F.lit("0x1234"))
+    full = F.unhex(F.when(iv.isNotNull(), F.lpad(F.lit("1234"), 32, "0")).otherwise(F.lpad(F.hex("page_id"), 32, "0")))
+    p = read(spark, sf_dir, "pages", "page_id", "url").withColumn("body", F.substring(F.aes_encrypt(F.col("url").cast("binary"), key, F.lit("CBC"), F.lit("PKCS"), full), 17, 1 << 30))
+    return p.select("page_id", (R.decrypt_segment(F.col("body"), key, iv, F.col("page_id")).cast("string") == F.col("url")).alias("same"))
