@@ -156,7 +156,6 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     (column other) then counts into the distance."""
     radius = distance if radius is None else radius
     words = ["fp", *(["other"] if "other" in nodes.columns else [])]
-    masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
     key = F.explode(variants(F.col("fp"), masks)).alias("key")
@@ -286,13 +285,31 @@ def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
     return root
 
 
-def slots(ids: DataFrame, column: str) -> DataFrame:
+def slots(ids: DataFrame, column: str, level: int = 0) -> DataFrame:
     """The hash slots that ids fall in: at most SLOTS rows, so they may be broadcast whatever their number."""
-    return F.broadcast(ids.select(slot(F.col(column)).alias("slot")).distinct())
+    return F.broadcast(ids.select(slot(F.col(column), level).alias("slot")).distinct())
+
+
+def slot(id_: Column, level: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), id_), F.lit(SLOTS)).cast("int")
+
+
+def without(rows: DataFrame, ids: DataFrame, lost: DataFrame) -> DataFrame:
+    """``rows`` (uid and more) but those of the uids in ``lost``; ``ids``: the uids of all rows.
 
+    Three filters of hash slots settle nearly every row where it lies: in no slot of a lost uid, it stays; in none of
+    the kept uids that share a slot with a lost one, it goes; in none of the lost uids that share one with those, it
+    stays.  The rest meets the lost uids in a join, so the result is exact."""
 
-def slot(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(SLOTS)).cast("int")
+    def met(df: DataFrame, by: DataFrame, level: int, how: str) -> DataFrame:
+        return df.join(slots(by, "uid", level), slot(df["uid"], level) == F.col("slot"), how)
+
+    mixed = materialized(met(ids, lost, 0, "left_semi").join(lost, "uid", "left_anti"))
+    again = materialized(met(lost, mixed, 1, "left_semi"))
+    sure = met(rows, lost, 0, "left_anti")
+    unsure = met(met(rows, lost, 0, "left_semi"), mixed, 1, "left_semi")
+    rest = met(unsure, again, 2, "left_semi").join(lost, "uid", "left_anti")
+    return sure.unionByName(met(unsure, again, 2, "left_anti")).unionByName(rest)
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: float, block: int = 1 << 20) -> DataFrame:
@@ -305,28 +322,21 @@ def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: fl
     # Most documents are in no component, and their texts needn't be shuffled.
     near = docs.join(slots(sized, "node"), slot(docs["uid"]) == F.col("slot"), "left_semi")
     members = near.join(sized, near["uid"] == sized["node"]).select("root", "blocks", "node", "text")
-    schema = pa.schema([("root", pa.int64()), ("blocks", pa.int32()), ("node", pa.int64()), ("shingles", pa.binary())])
-
-    def sets(batches):
-        for batch in pieces(batches):
-            own = [np.unique(shingle_hashes(x, width)).tobytes() for x in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "node")), pa.array(own, pa.binary())], schema=schema)
-
-    members = members.mapInArrow(sets, "root long, blocks int, node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
-    dealt = members.select("root", F.explode(groups).alias("part"), "node", "shingles")
+    # Texts are dealt and not their shingles' hashes, which are longer and can't be compressed.
+    dealt = members.select("root", F.explode(groups).alias("part"), "node", "text")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "node")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
-        for root, part, node, shingles in whole_groups((p for b in batches for p in pieces([b], 4 << 20)), ("root", "part"), ("node", "shingles")):
+        for root, part, node, texts in whole_groups(pieces(batches, 4 << 20), ("root", "part"), ("node", "text")):
             edges = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (part[1:] != part[:-1])))
             for a, b in zip(edges, np.append(edges[1:], len(root)), strict=True):
                 if b - a < 2:
                     continue
-                first = _similar([np.frombuffer(x, np.uint64) for x in shingles[a:b]], least)
+                first = _similar([np.unique(shingle_hashes(x or "", width)) for x in texts[a:b]], least)
                 tied = np.flatnonzero(first != np.arange(b - a))
                 x, y = node[a:b][tied], node[a:b][first[tied]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=pair)
@@ -375,8 +385,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, di
     again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
     copies = marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid")
     lost = materialized(lost.unionByName(copies))
-    # Rows in no slot of a lost one stay without a shuffle.
-    mine = slot(rows["uid"]) == F.col("slot")
-    sure = rows.join(slots(lost, "uid"), mine, "left_anti")
-    rest = rows.join(slots(lost, "uid"), mine, "left_semi").join(lost, "uid", "left_anti")
-    return sure.select("row.*").unionByName(rest.select("row.*"))
+    return without(rows, marked.select("uid"), lost).select("row.*")
