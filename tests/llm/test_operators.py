@@ -204,6 +204,7 @@ def test_simhash(docs, empty):
 @pytest.mark.parametrize(("block", "wider"), [(4096, 1 << 24), (100, 1 << 24), (4096, 1)])
 def test_simhash_dense_groups(spark, monkeypatch, block, wider):
     monkeypatch.setattr(simhash, "WIDER", wider)
+    monkeypatch.setattr(simhash, "CROWD", 16 if block == 4096 else 1)
     rng = np.random.default_rng(block)
     base = int(rng.integers(0, 1 << 62))
     fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(500)} | {int(x) for x in rng.integers(0, 1 << 63, 100)})

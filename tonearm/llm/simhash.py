@@ -5,10 +5,13 @@ within ``distance`` bits at least one segment differs in one bit at most.
 Every segment is indexed once for each of its bits with that bit blanked; equal
 variants meet in an equality join and the whole fingerprints are compared.
 
-Only distinct fingerprints are indexed.  A variant shared by more fingerprints
-than ``block`` is dealt out over the pairs of its blocks, so no task holds it
-whole and no pair is lost; within a group of blocks links are found by
-breadth-first search, which gives a spanning forest and not all pairs.
+Only distinct fingerprints are indexed.  The variants that blank a bit of one
+half of a segment agree in its other half, so a fingerprint is sent once for
+each half, keyed by the other, and makes its variants where it arrives.  Halves
+that very many fingerprints share make theirs before they are sent; a variant
+shared by more than ``block`` is dealt out over the pairs of its blocks, so no
+task holds it whole and no pair is lost; within a group of blocks links are
+found by breadth-first search, which gives a spanning forest and not all pairs.
 Components come from alternating large-star and small-star steps.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
@@ -35,6 +38,8 @@ WIDER = 1 << 24
 SLOTS = 1 << 19
 #: One node in so many tells which variants are hot.
 SAMPLE = 64
+#: A half is crowded with so many sampled nodes and four times the mean.
+CROWD = 16
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -91,10 +96,20 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fp: Column, masks: list[int]) -> Column:
-    """One key per mask and bit of it: a hash of the masked fingerprint with that bit blanked, and the variant's number."""
-    kept = [mask & ~(1 << bit) for mask in masks for bit in range(BITS) if mask >> bit & 1]
-    return F.array(*[F.shiftleft(F.xxhash64(fp.bitwiseAND(signed(m))), 9).bitwiseOR(F.lit(t)) for t, m in enumerate(kept)])
+def halves(masks: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each half of each mask the rest of that mask, and the (number, mask) of the variants that blank one of the half's bits."""
+    out, number = [], 0
+    for mask in masks:
+        bits = [b for b in range(BITS) if mask >> b & 1]
+        for own in (bits[: len(bits) // 2], bits[len(bits) // 2 :]):
+            out.append((mask & ~sum(1 << b for b in own), [(number + i, mask & ~(1 << b)) for i, b in enumerate(own)]))
+            number += len(own)
+    return out
+
+
+def keyed(fp: Column, mask: int, tag: int) -> Column:
+    """A hash of the masked fingerprint, and a number below 512 in its last bits."""
+    return F.shiftleft(F.xxhash64(fp.bitwiseAND(signed(mask))), 9).bitwiseOR(F.lit(tag))
 
 
 def _canonical(x: np.ndarray, tag: np.ndarray, masks: list[int]) -> np.ndarray:
@@ -157,23 +172,33 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     radius = distance if radius is None else radius
     words = ["fp", *(["other"] if "other" in nodes.columns else [])]
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    masks = segment_masks(distance, 1 if nodes.count() < WIDER else 2)
-    key = F.explode(variants(F.col("fp"), masks)).alias("key")
-    # Each node makes many rows, so the nodes are spread first.
-    index = nodes.repartition(parts, "id").select("id", *words, key)
-    # Which variants very many nodes share, from one node in SAMPLE: it decides how they are dealt, not what is found.
-    few = nodes.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE)) == 0).select(key).groupBy("key").agg(F.count("*").alias("n"))
-    hot = few.where(F.col("n") > block // SAMPLE).groupBy(slot(F.col("key")).alias("slot")).agg(F.max("n").alias("n"))
-    hot = materialized(hot.select("slot", F.ceil(F.col("n") * SAMPLE / block).cast("int").alias("blocks")).where("blocks > 1").coalesce(1))
-    if hot.isEmpty():
-        met = index.withColumn("part", F.lit(0))
-    else:
-        # Every pair of blocks of such a variant is a group of its own.  At most SLOTS rows are broadcast.
-        count = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("id"), count).cast("int")
-        groups = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.least(j, own) * count + F.greatest(j, own))
+    count = nodes.count()
+    masks = segment_masks(distance, 1 if count < WIDER else 2)
+    sides = halves(masks)
+    half = F.explode(F.array(*[keyed(F.col("fp"), rest, g) for g, (rest, _) in enumerate(sides)])).alias("half")
+    # Which halves and variants very many nodes share, from one node in SAMPLE: it decides how they are sent, not what is found.
+    few = nodes.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SAMPLE)) == 0)
+    mean = count / SAMPLE / 2 ** min(rest.bit_count() for rest, _ in sides)
+    crowded = few.select(half).groupBy("half").count().where(F.col("count") > max(CROWD, 4 * mean))
+    crowded = materialized(crowded.select(slot(F.col("half")).alias("slot")).distinct().coalesce(1))  # at most SLOTS rows
+    sent = nodes.repartition(parts, "id").select("id", *words, half)
+    calm, met = sent, None
+    if not crowded.isEmpty():
+        inside = slot(sent["half"]) == F.col("slot")
+        calm = sent.join(F.broadcast(crowded), inside, "left_anti")
+        each = F.array(*[F.array(*[keyed(F.col("fp"), m, t) for t, m in own]) for _, own in sides])
+        key = F.explode(F.element_at(each, F.col("half").bitwiseAND(511).cast("int") + 1)).alias("key")
+        index = sent.join(F.broadcast(crowded), inside, "left_semi").select("id", *words, key)
+        hot = few.select("id", *words, half).join(F.broadcast(crowded), slot(F.col("half")) == F.col("slot"), "left_semi").select(key).groupBy("key").agg(F.count("*").alias("n"))
+        hot = hot.where(F.col("n") > block // SAMPLE).groupBy(slot(F.col("key")).alias("slot")).agg(F.max("n").alias("n"))
+        hot = materialized(hot.select("slot", F.ceil(F.col("n") * SAMPLE / block).cast("int").alias("blocks")).where("blocks > 1").coalesce(1))
+        # Every pair of blocks of a hot variant is a group of its own.  At most SLOTS rows are broadcast.
+        of = F.coalesce("blocks", F.lit(1))
+        own = F.pmod(F.xxhash64("id"), of).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), of - 1), lambda j: F.least(j, own) * of + F.greatest(j, own))
         met = index.join(F.broadcast(hot), slot(F.col("key")) == F.col("slot"), "left").select("id", *words, "key", F.explode(groups).alias("part"))
-    met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
+        met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
+    calm = calm.withColumn("part", F.lit(0)).repartition(parts, "half").sortWithinPartitions("half", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def group_links(key: np.ndarray, ids: np.ndarray, fps: list[np.ndarray], run: np.ndarray):
@@ -209,7 +234,23 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             yield group_links(key, ids, [f.view(np.uint64) for f in fps], np.cumsum(new))
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    def run_halves(batches):
+        for half, _, ids, *fps in whole_groups(batches, ("half", "part"), ("id", *words)):
+            fps = [f.view(np.uint64) for f in fps]
+            for g in np.unique(half & 511).tolist():
+                mine = np.flatnonzero(half & 511 == g)
+                for t, mask in sides[g][1]:
+                    cut = fps[0][mine] & np.uint64(mask)
+                    order = np.lexsort((ids[mine], cut))
+                    own, cut = mine[order], cut[order]
+                    again = cut[1:] == cut[:-1]
+                    shared = np.append(again, False) | np.append(False, again)  # most variants have one node
+                    own, cut = own[shared], cut[shared]
+                    if len(own):
+                        yield group_links(np.full(len(own), t), ids[own], [f[own] for f in fps], np.append(0, np.cumsum(cut[1:] != cut[:-1])))
+
+    found = calm.mapInArrow(run_halves, "a long, b long")
+    return (found if met is None else found.unionByName(met.mapInArrow(run, "a long, b long"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
