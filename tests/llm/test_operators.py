@@ -252,6 +252,24 @@ def test_near_dedup(spark, docs, empty, tmp_path):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_whole(spark, tmp_path):
+    """Appended, truncated and block-replaced copies, against every pair's similarity."""
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(3000)]
+    texts = []
+    for g in range(240):
+        base = rng.choices(words, k=rng.randrange(8, 400))
+        n = max(1, int(len(base) * rng.uniform(0.02, 0.2)))
+        at, other = rng.randrange(len(base)), rng.choices(words, k=n)
+        texts += [" ".join(x) for x in (base, (base + other, base[:-n], base[:at] + other[: n // 2 + 1] + base[at + n // 2 + 1 :])[g % 3])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    sets = [set(zip(*[x.split()[k:] for k in range(5)], strict=False)) for x in texts]
+    near = [i for i in range(1, len(texts), 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])]
+    assert 60 < len(near) < 235
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert kept == set(range(len(texts))) - set(near)
+
+
 def test_collapse(spark):
     logs = {1: "ab", 2: "abc", 3: "abcd", 4: "xy", 5: "xy", 6: "b", 7: "abx", 8: "x"}
     rows = [(c, i, "user" if i % 2 else "system", t) for c, ts in logs.items() for i, t in enumerate(ts)] + [(None, 0, "user", "a"), (9, 0, None, None), (9, 0, None, None), (10, None, None, None)]

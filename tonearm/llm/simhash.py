@@ -385,45 +385,129 @@ def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: fl
     return dealt.mapInArrow(check, "a long, b long").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4, radius: int = 22) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The end of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_keys(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the place of each key's set: any two sets with a Jaccard similarity of ``least`` or more share a key.
+
+    Sizes fall in classes such that those sets are of the same class or of neighbours; a set has keys at the level of its
+    class and at the next one.  At a level such sets differ in ``apart`` elements at most, so of more parts than that,
+    dealt by the elements' hashes, some are the same in both.  A key is a hash of a part's elements.  An empty part has
+    none; but where so many are empty that two sets may have only those in common, being so is a key."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    places = np.flatnonzero(sizes)
+    if not len(places):
+        return np.zeros(0, np.uint64), places
+    sizes = sizes[places]
+    every = _mixed(np.concatenate([sets[i] for i in places]))
+    edges = [1, 2]  # class c: sizes from edges[c] to edges[c + 1] - 1
+    while edges[-2] <= sizes.max():
+        edges.append(max(edges[-1] + 1, int((edges[-1] - 1) / least + 1e-9) + 1))
+    edges = np.array(edges)
+    keys, owners = [], []
+    for up in (0, 1):
+        level = np.searchsorted(edges, sizes, side="right") - 1 + up
+        apart = (2 * (edges[level + 1] - 1) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+        parts = apart + 1 + apart // 4
+        start = np.cumsum(parts) - parts
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        part = ((every >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(start[owner] + part, kind="stable")
+        owner, part = owner[order], part[order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
+        sums = np.add.reduceat(_mixed(every[order]), first)
+        owner, part = owner[first], part[first]
+        few = np.flatnonzero(parts - np.bincount(owner, minlength=len(sizes)) >= parts - apart)
+        name = lambda at, part: _mixed((at.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + np.uint64(1))
+        keys += [_mixed(sums ^ name(level[owner], part + 1)), name(level[few], np.zeros(len(few)))]
+        owners += [owner, few]
+    return np.concatenate(keys), places[np.concatenate(owners)]
+
+
+def _starred(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the least id of each, and the links (a > b, each once) of the other ids with it."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    low = np.repeat(ids[first], np.diff(np.append(first, len(key))))
+    tied = ids != low
+    a, b = ids[tied], low[tied]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return key[first], ids[first], a[new], b[new]
+
+
+def set_links(docs: DataFrame, width: int, least: float, words: int) -> DataFrame:
+    """a > b: links between documents (uid, text), of ``words`` words in all, such that every pair of a Jaccard similarity
+    of ``least`` or more is in a component.
+
+    Keys are dealt in blocks.  Of the documents with a key, each batch sends one and links the others to it, so a key that
+    very many share comes once a batch."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = max(4 * parts, words // 500_000 + 1)
+    sent = pa.schema([("part", pa.int64()), ("tie", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def deal(batches):
+        for batch in pieces(batches, 8 << 20):
+            own = batch.column("uid").to_numpy()
+            keys, place = set_keys([np.unique(shingle_hashes(x, width)) for x in texts_of(batch)], least)
+            keys, ids, a, b = _starred(keys, own[place])  # keys are sorted now
+            part = ((keys >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+            blocks = [(int(part[i]), 0, keys[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(keys)], strict=True)]
+            if len(a):
+                blocks.append((int(own[0]) % many, 1, a.tobytes(), b.tobytes()))
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*blocks, strict=True), sent, strict=True)], schema=sent)
+
+    def meet(batches):
+        for part, tie, x, y in whole_groups(batches, ("part", "tie"), ("x", "y")):
+            edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (tie[1:] != tie[:-1])))
+            for i, j in zip(edges, np.append(edges[1:], len(part)), strict=True):
+                a, b = np.frombuffer(b"".join(x[i:j]), np.uint64), np.frombuffer(b"".join(y[i:j]), np.int64)
+                a, b = (a.view(np.int64), b) if tie[i] else _starred(a, b)[2:]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pair)
+
+    dealt = docs.select("uid", "text").mapInArrow(deal, "part long, tie long, x binary, y binary")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "tie").mapInArrow(meet, "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The documents without all but one (the smallest doc_id) of each group of near-duplicates.
 
-    Exact copies are one node.  Nodes that share a deletion variant of either of two fingerprints of their word
-    sets, and lie within ``radius`` of both's 128 bits, are candidates; documents of a candidate component are linked where the
-    sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more.  ``docs`` must be a
-    stable scan (a table), as rows are told apart by their place in it.
+    Exact copies are one node.  Nodes are linked where the sets of their ``width``-word shingles have a Jaccard
+    similarity of ``least`` or more; ``set_links`` loses no such pair.  ``docs`` must be a stable scan (a table), as rows
+    are told apart by their place in it.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"))
     small = rows.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int64())])
 
     def run(batches):
         for batch in pieces(batches):
-            out: list[list] = [[], [], [], []]
-            for text in texts_of(batch):
-                words = text.encode().lower().split()
-                out[0].append(xxhash.xxh3_128_digest(text.encode()))
-                out[3].append(len(words))
-                words = list(set(words))
-                for k, seed in ((1, 42), (2, 7)):
-                    out[k].append(fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))))
-            f1, f2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[1:3])
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(out[0], pa.binary()), pa.array(out[3], pa.int64()), f1, f2], schema=schema)
-
-    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, words long, f1 long, f2 long"))
+            texts = [x.encode() for x in texts_of(batch)]
+            digest, words = [xxhash.xxh3_128_digest(x) for x in texts], [len(x.split()) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(words, pa.int64())], schema=schema)
+
+    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, words long"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.max("words").alias("words"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.count("*").alias("copies")))
-    nodes = texts.select(F.col("first.uid").alias("id"), "f1", "f2")
-    sides = [nodes.select("id", F.col(x).alias("fp"), F.col(y).alias("other")) for x, y in (("f1", "f2"), ("f2", "f1"))]
-    found = links(sides[0], distance, radius=radius).unionByName(links(sides[1], distance, radius=radius))
-    groups = components(found)
+    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.max("words").alias("words"), F.count("*").alias("copies")))
+    again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
+    copies = materialized(marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid"))
+    nodes = without(small.select("uid", "text"), marked.select("uid"), copies)
+    groups = components(set_links(nodes, width, least, texts.agg(F.sum("words")).first()[0] or 0))
     groups = groups.join(texts.select(F.col("first.uid").alias("node"), "words"), "node")
     linked = components(verified_links(small.select("uid", "text"), materialized(groups), width, least))
     # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
     met = materialized(texts.select("first", F.col("first.uid").alias("node")).join(linked, "node").select("node", "root", "first"))
     best = materialized(met.groupBy("root").agg(F.min("first").alias("best")))
     lost = met.join(best, "root").where("first.uid <> best.uid").select(F.col("node").alias("uid"))
-    again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
-    copies = marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid")
     lost = materialized(lost.unionByName(copies))
     return without(rows, marked.select("uid"), lost).select("row.*")
