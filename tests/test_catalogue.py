@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import arrays as A
 from tonearm.functions import numbers as N
 from tonearm.functions import rules as R
+from tonearm.operators import streams as S
 from tonearm.plans import catalogue
 from tonearm.sources import containers
 from tonearm.streaming import folds
@@ -127,3 +128,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, folds.fold(df, *args).collect()))
     assert sorted(map(tuple, spark.sql("SELECT * FROM playout").collect())) == want
+
+
+def test_gap_frames_whole(spark):
+    sent = spark.createDataFrame([(1, 0), (1, 2001), (1, 2021), (2, 5), (2, 100_025)], "k long, at long")
+    got = sorted(tuple(r) for r in S.gap_frames(sent, "k", "at", 20).collect())
+    assert got == [(1, t) for t in range(20, 2001, 20)] + [(2, t) for t in range(25, 100_025, 20)]
+
+
+def test_keepalive_frames_whole(spark, tmp_path):
+    spark.createDataFrame([(7, 0), (7, 10_000)], "user_id long, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(r["fill_at"] for r in catalogue.QUERIES["keepalive_frames"](spark, str(tmp_path)).collect())
+    assert got == list(range(20, 10_000, 20))

@@ -128,10 +128,10 @@ def long_runs(df: DataFrame, key: str, order: list[str], bad: Column, most: int)
     return out.groupBy(key, "_run").agg(F.count("*").alias("length"), F.min(order[-1]).alias("first")).where(F.col("length") > most).drop("_run")
 
 
-def gap_frames(sent: DataFrame, key: str, at: str, step: int, most: int) -> DataFrame:
-    """Instants every ``step`` between one row of a stream and the next, up to ``most`` in a gap."""
+def gap_frames(sent: DataFrame, key: str, at: str, step: int, block: int = 4096) -> DataFrame:
+    """Instants every ``step`` between one row of a stream and the next.  A long gap is made in blocks, so no array is long."""
     after = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    n = F.least(F.greatest(N.idiv(after - F.col(at) - 1, step), F.lit(0)), F.lit(most))
-    gaps = sent.withColumn("_n", n).where("_n > 0")
-    filled = gaps.select(key, at, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
+    gaps = sent.withColumn("_n", N.idiv(after - F.col(at) - 1, step)).where("_n > 0")
+    blocks = gaps.select(key, at, "_n", F.explode(F.sequence(F.lit(0).cast("long"), N.idiv(F.col("_n") - 1, block))).alias("_b"))
+    filled = blocks.select(key, at, F.explode(F.sequence(F.col("_b") * block + 1, F.least("_n", (F.col("_b") + 1) * block))).alias("_k"))
     return filled.select(key, (F.col(at) + F.col("_k") * step).alias("fill_at"))

@@ -465,7 +465,7 @@ def progress_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, event_id AS sent, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events)
 SELECT user_id, sent + unnest(range(1, least(greatest((after - sent - 1) // 20, 0), 50) + 1)) * 20 AS fill_at FROM s WHERE after IS NOT NULL""")
 def keepalive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.gap_frames(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at")), "user_id", "at", 20, 50)
+    return S.gap_frames(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at")), "user_id", "at", 20)
 
 
 @query("""WITH e AS (SELECT event_id, ts, user_id % 20 AS flight, user_id, CASE event_type WHEN 'error' THEN 'leave' WHEN 'purchase' THEN 'pause' ELSE 'resume' END AS k FROM events)
