@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -290,6 +291,17 @@ def test_mixing_margins(spark, docs, empty):
     assert mixing.mixed(docs, keep=1e9).count() == docs.count() and mixing.mixture_report(empty).count() == 0
 
 
+def test_mixing_sampled_shares(spark):
+    """A source of 0.3 % of the tokens, whose weight is many times its own."""
+    sizes = {"a": 6600, "b": 13340, "c": 60}
+    rows = [(f"{s}{i}", "five words are in this", "en", s) for s, n in sizes.items() for i in range(n)]
+    kept = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), "").groupBy("source").count()
+    got = {r["source"]: r["count"] for r in kept.collect()}
+    power = {s: (n / 20_000) ** mixing.POWERS["source"] for s, n in sizes.items()}
+    for s in sizes:
+        assert abs(got[s] / sum(got.values()) / (power[s] / sum(power.values())) - 1) < 0.1
+
+
 def test_warc(spark):
     rows = [(1, "http://a/b c", "x"), (2, None, "x"), (3, "u", ""), (4, "u", None), (5, "é\r\nq", "y" * 100_000), (7, "u", "solo"), (7, "u", "solo"), (None, "u", "no id")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

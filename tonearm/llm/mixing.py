@@ -4,7 +4,9 @@ Token weights are summed into cells (source, language, topic).  Each round
 scales the cells to the targets of one margin after another; the margins'
 targets are shares of the whole.  A document is then kept with the probability
 its cell's calibrated weight has against its own, times ``keep``, one at most;
-the draw is a hash of the id, so it is the same on every run and engine.
+the draw is a hash of the id, so it is the same on every run and engine.  With
+``whole``, ``keep`` is lowered until no probability is cut at one, so the sample
+has the targets' shares.
 
 Only DataFrame functions are used.  Sums by margin go over the small table of
 cells, whose size is the number of distinct combinations and not of documents.
@@ -63,7 +65,7 @@ def calibrated_cells(cells: DataFrame, powers: dict[str, float] = POWERS, rounds
     return now.select(*margins, "base", "weight")
 
 
-def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, details: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, details: bool = False, whole: bool = False) -> DataFrame:
     """The sampled documents with their own columns; with ``details`` row (those as a struct), tokens, topic, probability."""
     margin = lambda c: F.coalesce(docs[c], F.lit(""))
     named = docs.select(
@@ -71,7 +73,11 @@ def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS
     )
     cells = materialized(named.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
     made = calibrated_cells(cells, powers, rounds)
-    ratio = materialized(made.select("source", "lang", "topic", F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("base")).alias("probability")))
+    share = F.lit(keep)
+    if whole:
+        made = made.join(F.broadcast(made.agg(F.max(F.col("weight") / F.col("base")).alias("peak"))))
+        share = F.least(share, 1 / F.col("peak"))
+    ratio = materialized(made.select("source", "lang", "topic", F.least(F.lit(1.0), share * F.col("weight") / F.col("base")).alias("probability")))
     if ratio.count() <= BROADCAST_CELLS:  # beyond that the join is dealt out, and a hot cell split
         ratio = F.broadcast(ratio)
     id_ = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")
