@@ -10,7 +10,8 @@ the end of a shard goes on in the next; the last of a partition is cut into
 sequences of power-of-two lengths, which need no padding.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
-is kept; repeated rows are packed once each; an empty table gives no rows.
+is kept; repeated rows are packed once each; texts of any length are packed
+whole; units with equal scores go in their order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +51,19 @@ def byte_bpe(name: str = "byte_bpe_50k") -> Callable[[str], np.ndarray]:
     special = {"<|endoftext|>": 50256}
     encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     allowed = set(special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed)
+    slow: list = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special=allowed)
+        except ValueError:  # its pattern gives up on runs of very many spaces; the other library's doesn't
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 class Shard:
