@@ -6,7 +6,8 @@ and joining its two symbols is repeated until no pair is left.  The piece's
 token count is its initial symbols minus the merges.
 
 Defined results: a null or empty text has no tokens; rows map one to one, so
-null ids, repeated rows and empty tables pass through.
+null ids, repeated rows and empty tables pass through; a text of any length is
+counted whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 #: The vocabulary's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Letters whose small forms are newer than Python's tables.
+SMALL = {0xA7CB: 0x264, 0xA7DC: 0x19B}
 
 
 def byte_symbols() -> list[str]:
@@ -102,7 +105,7 @@ class MergeCounter:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # each character is lowered by itself, without a final form
+            text = text.translate(SMALL).replace("Σ", "σ")  # each character is lowered by itself, without a final form
         total = 0
         chunks = self.chunks
         for part, times in Counter(text.lower().replace("\n", " ").split(" ")).items():
