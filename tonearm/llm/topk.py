@@ -2,18 +2,22 @@
 
 Candidates are range-partitioned by descending length (ties by id, so equal
 vectors spread) and each partition is read in that order.  The longest of all
-give every query a first threshold.  For a block of candidates a query is left
-out as soon as |q| * |x| cannot reach its threshold; for the others the vectors
-are rotated by the eigenvectors of the whole table's Gram matrix (the right
-singular vectors), and the dot product of the leading coordinates plus the
-product of the residual lengths (Cauchy-Schwarz) bounds the score.  What
-remains is scored exactly in integers.  Queries come in blocks of bounded size.
+(a bounded block) give every query a first threshold.  A query is dealt to the
+partitions whose longest vector could reach its threshold, all in one exchange;
+there it meets the candidates in blocks and is left out as soon as |q| * |x|
+cannot reach its threshold.  For the others the vectors are rotated by the
+eigenvectors of the whole table's Gram matrix (the right singular vectors), and
+the dot product of the leading coordinates plus the product of the residual
+lengths (Cauchy-Schwarz) bounds the score.  What remains is scored exactly in
+integers.  Queries are never gathered by the driver.
 
 Defined results: a vector that is null or holds a null or non-finite component
-takes no part, and so do rows with a null id; a zero-length vector scores 0;
-only vectors of equal dimension are compared; a row never meets rows with its
-own id; a repeated query id is asked once per distinct vector; scores beyond
-64 bits are held at the limits; an empty table gives no rows.
+takes no part, and so do rows with a null id; every finite component counts,
+those whose squares leave the doubles without pruning; a zero-length vector
+scores 0; only vectors of equal dimension are compared; a row never meets rows
+with its own id; a repeated query id is asked once per distinct vector; scores
+beyond 64 bits are held at the limits; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,34 +27,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialized
+from .common import materialized, pieces
 
 SCALE = 1024
-QUERY_BLOCK = 4096
+#: Queries that a task holds at once, and candidates that they meet at once.
+QUERY_BLOCK, BLOCK = 1024, 2048
+#: Candidates of a partition at most, which a task holds.
+PART_ROWS = 65_536
 HEAD = 4096
-BLOCK = 2048
+#: Dimensions that are rotated: so many of the commonest, and none wider.
+TURNED, WIDEST = 16, 1024
 _EXACT = 1 << 53
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def quantized(df: DataFrame) -> DataFrame:
-    """vec_id, v (the floored components as doubles, which hold them exactly), norm, dim."""
+    """vec_id, v (the floored components over SCALE as doubles, which hold them exactly), norm, dim."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300))
-    v = F.transform(x, lambda c: c * float(SCALE))
-    # floor() would go through a long; c - pmod(c, 1) is exact in doubles of any size.
-    v = F.transform(v, lambda c: c - F.pmod(c, F.lit(1.0)))
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # floor() would go through a long; c - pmod(c, 1) is exact in doubles of any size.  Large ones are whole, and stay.
+    v = F.transform(x, lambda c: F.when(F.abs(c) < 2.0**52, (c * float(SCALE) - F.pmod(c * float(SCALE), F.lit(1.0))) / float(SCALE)).otherwise(c))
     df = df.select(df["vec_id"].cast("long").alias("vec_id"), "embedding").where(good).select("vec_id", v.alias("v"))
     return df.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).withColumn("dim", F.size("v"))
 
 
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows; as int64, held at its limits."""
+    """Exact integer inner products of rows that are over SCALE; as int64, held at its limits."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < _EXACT:
-        return (q @ x.T).astype(np.int64)  # every partial sum is an integer that a double holds
-    big = lambda a: np.array([[int(c) for c in row] for row in a], dtype=object)
+    if float(np.abs(q).max()) * SCALE * float(np.abs(x).max()) * SCALE * q.shape[1] < _EXACT:
+        return ((q * SCALE) @ (x * SCALE).T).astype(np.int64)  # every partial sum is an integer that a double holds
+    big = lambda a: np.array([[int(c) * SCALE if abs(c) >= 2**52 else int(c * SCALE) for c in row] for row in a], dtype=object)
     return np.clip(big(q) @ big(x).T, _LOW, _HIGH).astype(np.int64)
 
 
@@ -59,7 +66,9 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def gram(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """The Gram matrix of each dimension: partial sums per task, added up by Spark (dim squared cells)."""
+    """The Gram matrix of the commonest dimensions: partial sums per task, added up by Spark (dim squared cells)."""
+    turned = [r["dim"] for r in vectors.where(F.col("dim").between(1, WIDEST)).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(TURNED).collect()]
+    vectors = vectors.where(F.col("dim").isin(turned) & (F.col("norm") < float("inf")))
     schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("x", pa.float64())])
 
     def run(batches):
@@ -91,32 +100,41 @@ def rotation(m: np.ndarray) -> np.ndarray:
 class Block:
     """A bounded block of queries of one dimension and their best so far."""
 
-    def __init__(self, uid: np.ndarray, ids: np.ndarray, q: np.ndarray, turn: np.ndarray, k: int, lead: int):
-        self.uid, self.ids, self.q, self.turn, self.k, self.lead = uid, ids, q, turn, k, lead
-        self.norm = np.sqrt((q * q).sum(1))
-        r = q @ turn
-        self.front, self.rest = r[:, :lead], np.sqrt((r[:, lead:] ** 2).sum(1))
+    def __init__(self, ids: np.ndarray, q: np.ndarray, turn: np.ndarray | None, k: int, lead: int):
+        self.ids, self.q, self.turn, self.k, self.lead = ids, q, turn, k, lead
+        self.norm, self.front, self.rest = self.parts(q)
         self.score = np.full((len(ids), k), _LOW, np.int64)
         self.found = np.full((len(ids), k), _HIGH, np.int64)
         self.full = np.zeros(len(ids), np.int64)
 
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths (in units of the scores; infinite for what can't be pruned), leading coordinates and residual lengths."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = x * SCALE
+            norm = np.sqrt((x * x).sum(1))
+            safe = np.where((norm < 1e140)[:, None], x, 0)
+            r = safe if self.turn is None else safe @ self.turn
+            return np.where(norm < 1e140, norm, np.inf), r[:, : self.lead], np.sqrt((r[:, self.lead :] ** 2).sum(1))
+
     def threshold(self) -> np.ndarray:
-        """The k-th best score; minus infinity while there are fewer."""
-        return np.where(self.full >= self.k, self.score[:, -1].astype(np.float64), -np.inf)
+        """The k-th best score; minus infinity while there are fewer, or while it is at the limit."""
+        last = self.score[:, -1]
+        return np.where((self.full >= self.k) & (last > _LOW), last.astype(np.float64), -np.inf)
 
     def offer(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray | None = None) -> None:
         """Candidates in descending length.  floor: scores that some k candidates are known to reach."""
-        at = self.threshold() if floor is None else np.maximum(self.threshold(), floor)
-        norm = np.sqrt((x * x).sum(1))
-        slack = 0.25 + 1e-9 * self.norm * (norm[0] if len(norm) else 0)  # more than rounding can take away
-        open_ = np.flatnonzero(self.norm * norm[0] + slack >= at)
-        if not len(open_):
+        if not len(ids) or not len(self.ids):
             return
-        r = x @ self.turn
-        front, rest = r[:, : self.lead], np.sqrt((r[:, self.lead :] ** 2).sum(1))
-        for part in np.array_split(open_, -(-len(open_) // 512)):
-            bound = self.front[part] @ front.T + np.outer(self.rest[part], rest)
-            near = bound + slack[part, None] >= at[part, None]
+        at = self.threshold() if floor is None else np.maximum(self.threshold(), floor)
+        norm, front, rest = self.parts(x)
+        free, most = np.isinf(self.norm), norm.max()
+        with np.errstate(invalid="ignore"):
+            slack = 0.25 + 1e-9 * self.norm * most  # more than rounding can take away
+            open_ = np.flatnonzero(free | np.isinf(most) | (self.norm * most + slack >= at))
+        for part in np.array_split(open_, -(-len(open_) // 512)) if len(open_) else ():
+            with np.errstate(invalid="ignore"):
+                bound = self.front[part] @ front.T + np.outer(self.rest[part], rest)
+                near = (bound + slack[part, None] >= at[part, None]) | free[part, None] | np.isinf(norm)[None, :]
             use = near.any(0)
             if not use.any():
                 continue
@@ -139,70 +157,86 @@ class Block:
         self.score[row, :m], self.found[row, :m] = s[best], i[best]
 
 
+def by_dim(batch: pa.RecordBatch):
+    """The rows of each dimension of a batch: the dimension, the rows and their vectors."""
+    dims = batch.column("dim").to_numpy()
+    for d in np.unique(dims).tolist():
+        own = batch.filter(pa.array(dims == d))
+        yield d, own, _matrix(own.column("v"), d)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lead_share: float = 0.25) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates of ``vectors``; ties to the smaller id."""
     spark = vectors.sparkSession
-    base = quantized(vectors)
+    base = materialized(quantized(vectors))
     turns = {d: rotation(m) for d, m in gram(base).items()}
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = materialized(base.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"))
-    asked = quantized(queries).dropDuplicates(["vec_id", "v"])
-    asked = materialized(asked.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v", "norm", "dim"))
-    # Blocks of bounded size: rows numbered through from the counts per partition.
-    part, row = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
-    counts = sorted((r["p"], r["n"]) for r in asked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, total = {}, 0
-    for p, n in counts:
-        starts[p], total = total, total + n
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # The longest vectors of all, from the head of the sorted table: a bounded block.
-    head = [(r["vec_id"], r["dim"], r["v"]) for r in sorted_.orderBy(F.desc("norm"), "vec_id").limit(HEAD).collect()]
-    heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {x[1] for x in head}:
-        own = [x for x in head if x[1] == d]
-        heads[d] = np.array([x[0] for x in own], np.int64), np.array([x[2] for x in own], np.float64).reshape(len(own), d)
     lead = lambda d: max(1, int(d * lead_share))
-    place = F.create_map(*[F.lit(x) for p in starts.items() for x in p])[part] + row
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // PART_ROWS + 1)
+    dealt = base.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    dealt = materialized(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
+    # The longest vectors of all: a bounded block.
+    heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d, own, x in (y for b in dealt.orderBy("place").limit(HEAD).select("vec_id", "v", "dim").toArrow().combine_chunks().to_batches() for y in by_dim(b)):
+        heads[d] = own.column("vec_id").to_numpy(), x
+    model = spark.sparkContext.broadcast((turns, heads))
+    asked = quantized(queries).dropDuplicates(["vec_id", "v"])
+    asked = asked.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v", "norm", "dim")
+
+    def begin(batches):
+        turned, longest = model.value
+        for batch in pieces(batches, 1 << 20):
+            for d, own, q in by_dim(batch):
+                block = Block(own.column("vec_id").to_numpy(), q, turned.get(d), k, lead(d))
+                for at in range(0, len(longest[d][0]) if d in longest else 0, BLOCK):
+                    block.offer(longest[d][0][at : at + BLOCK], longest[d][1][at : at + BLOCK])
+                yield own.append_column("floor", pa.array(block.threshold()))
+
+    asked = materialized(asked.mapInArrow(begin, "uid long, vec_id long, v array<double>, norm double, dim int, floor double"))
+    # By part and dimension the longest vector; Cauchy-Schwarz tells where a query has to go.
+    longest = dealt.groupBy("part", "dim").agg(F.max("norm").alias("most"))
+    product = F.col("norm") * F.col("most") * float(SCALE * SCALE)
+    goes = product.isNull() | F.isnan(product) | (product * (1 + 1e-9) + 0.25 >= F.col("floor"))
+    ways = longest.groupBy("dim").agg(F.collect_list(F.struct("part", "most")).alias("ways"))  # a row a part
+    sent = asked.join(F.broadcast(ways), "dim").select("uid", "vec_id", "v", "norm", "dim", "floor", F.explode("ways").alias("way"))
+    sent = sent.select("way.part", F.lit(1).alias("kind"), F.col("uid").alias("place"), "vec_id", "v", "dim", "floor", "norm", F.col("way.most").alias("most")).where(goes).drop("norm", "most")
+    both = dealt.select("part", F.lit(0).alias("kind"), "place", "vec_id", "v", "dim", F.lit(None).cast("double").alias("floor")).unionByName(sent)
+    met = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "place")
     schema = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    out = None
-    for low in range(0, total, QUERY_BLOCK):
-        # At most QUERY_BLOCK rows come to the driver and go out again.
-        own = asked.where((place >= low) & (place < low + QUERY_BLOCK)).select("uid", "vec_id", "v", "dim").collect()
-        blocks = []
-        for d in sorted({r["dim"] for r in own}):
-            rows = [r for r in own if r["dim"] == d]
-            q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), d)
-            turn = turns.get(d, np.eye(d))
-            block = Block(np.array([r["uid"] for r in rows], np.int64), np.array([r["vec_id"] for r in rows], np.int64), q, turn, k, lead(d))
-            floor = np.full(len(rows), -np.inf)
-            if d in heads:
-                ids, x = heads[d]
+
+    def answers(own: list[pa.RecordBatch], mine: dict[int, list]):
+        for d, rows, q in (y for b in pa.Table.from_batches(own).combine_chunks().to_batches() for y in by_dim(b)):
+            block = Block(rows.column("vec_id").to_numpy(), q, model.value[0].get(d), k, lead(d))
+            floor = rows.column("floor").to_numpy()
+            for ids, x in mine.get(d, ()):
                 for at in range(0, len(ids), BLOCK):
-                    block.offer(ids[at : at + BLOCK], x[at : at + BLOCK])
-                floor = block.threshold()
-            blocks.append((d, block.uid, block.ids, q, turn, floor))
-        sent = spark.sparkContext.broadcast(blocks)
-
-        def run(batches, sent=sent):
-            mine = [(d, Block(uid, ids, q, turn, k, lead(d)), floor) for d, uid, ids, q, turn, floor in sent.value]
-            for batch in batches:
-                dims = batch.column("dim").to_numpy()
-                for d, block, floor in mine:
-                    some = batch.filter(pa.array(dims == d))
-                    for at in range(0, some.num_rows, BLOCK):
-                        cut = some.slice(at, BLOCK)
-                        block.offer(cut.column("vec_id").to_numpy(), _matrix(cut.column("v"), d), floor)
-            for _, block, _ in mine:
-                use = np.arange(k)[None, :] < block.full[:, None]
-                n = use.sum(1)
-                if n.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(block.uid, n)), pa.array(np.repeat(block.ids, n)), pa.array(block.found[use]), pa.array(block.score[use])], schema=schema
-                    )
-
-        found = sorted_.select("vec_id", "v", "dim").mapInArrow(run, "uid long, query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    # At most k rows of each query from each task.
+                    block.offer(ids[at : at + BLOCK], x[at : at + BLOCK], floor)
+            use = np.arange(k)[None, :] < block.full[:, None]
+            n = use.sum(1)
+            if n.any():
+                uid = rows.column("place").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, n)), pa.array(np.repeat(block.ids, n)), pa.array(block.found[use]), pa.array(block.score[use])], schema=schema)
+
+    def run(batches):
+        now, mine, held = -1, {}, []  # of the part at hand: its candidates by dimension, and queries that wait
+        for batch in batches:
+            part, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+            edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]))[: len(part)]).tolist()
+            for i, j in zip(edge, [*edge[1:], len(part)], strict=True):
+                if part[i] != now:
+                    yield from answers(held, mine) if held else ()
+                    now, mine, held = part[i], {}, []
+                if kind[i] == 0:
+                    for d, own, x in by_dim(batch.slice(i, j - i)):
+                        mine.setdefault(d, []).append((own.column("vec_id").to_numpy(), x))
+                    continue
+                for at in range(i, j, QUERY_BLOCK):
+                    held.append(batch.slice(at, min(QUERY_BLOCK, j - at)))
+                    if sum(x.num_rows for x in held) >= QUERY_BLOCK:
+                        yield from answers(held, mine)
+                        held = []
+        yield from answers(held, mine) if held else ()
+
+    found = met.mapInArrow(run, "uid long, query_id long, vec_id long, score long")
+    # At most k rows of each query from each part.
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
