@@ -7,11 +7,14 @@ score is the mean marginal of its lines, weighted by their lengths.
 
 Training maximises the conditional likelihood with each line labelled as its
 document, over at most ``sample`` labelled documents of each class (those with
-the lowest hash of the id).
+the lowest hash of the id, ties by id) and ``LINES`` lines of each.  As no
+document in training has lines of both labels, the transitions learn to stay.
 
 Defined results: a null or empty text is one empty line and gets a score; with
 no usable label every score is 0.5; null ids count as the empty string for the
-fold; repeated rows are scored alike; labels that are null are not learned.
+fold; repeated rows are scored alike, and a repeated id is learned once; labels
+that are null are not learned, an id with both labels as each; a text of any
+length is scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, pieces, texts_of
 
 SAMPLE = 1500
+#: Lines of a sampled document that training takes, in windows spread over it.
+LINES, WINDOW = 2000, 100
 #: The byte classes counted in each line.
 CLASSES = {
     "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "space": b" \t\r\x0b\x0c",
@@ -175,10 +180,18 @@ def fit(f: np.ndarray, per_text: np.ndarray, labels: np.ndarray, rounds: int = 2
     return Model(theta, t, mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> Model:
-    """Learns from at most ``sample`` documents of each class outside the held-out fold."""
+def spread(lines: np.ndarray) -> np.ndarray:
+    """All of a document's lines, or ``LINES`` of them in windows at even distances."""
+    if len(lines) <= LINES:
+        return lines
+    starts = np.linspace(0, len(lines) - WINDOW, LINES // WINDOW).astype(np.int64)
+    return lines[(starts[:, None] + np.arange(WINDOW)).ravel()]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> DataFrame:
+    """doc_id, quality, lines, f (their features) of at most ``sample`` documents of each class outside the held-out fold."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
-    known = known.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % folds != held)
+    known = known.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(crc_of_id() % folds != held).distinct()
     rank = F.xxhash64("doc_id")
     parts = [known.where(F.col("quality") == c).orderBy(rank, "doc_id").limit(sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
@@ -188,14 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         for batch in pieces(batches):
             f, _, per_text = line_features(texts_of(batch))
             f = f.astype("<f4")
-            ends = np.cumsum(per_text)
-            own = [f[b - m : b].tobytes() for b, m in zip(ends, per_text, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(per_text), pa.array(own, pa.binary())], schema=schema)
+            own = [spread(f[b - m : b]) for b, m in zip(np.cumsum(per_text), per_text, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], schema=schema)
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    # The sample's ids are bounded by the parameter, so they may be broadcast.
-    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, lines long, f binary")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["f"])))
+    # The sample's ids are bounded by the parameter, so they may be broadcast.  A repeated id counts once, by its least text.
+    texts = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, quality int, lines long, f binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    rows = sorted(sampled(docs, labels, sample).collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["f"])))
     f = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), "<f4").reshape(-1, OWN).astype(np.float64)
     return fit(f, np.array([r["lines"] for r in rows], np.int64), np.array([r["quality"] for r in rows], np.int64))
 
