@@ -24,7 +24,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def ordered_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text, h1, h2: the prefix hashes up to this turn."""
+    """conv_id, place (from 1), turns (of the conversation), role, text, h1, h2: the prefix hashes up to this turn."""
     own = turns.select(
         turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"),
         F.coalesce(turns["role"], F.lit("")).alias("role"), F.coalesce(turns["text"], F.lit("")).alias("text"),
@@ -33,21 +33,19 @@ def ordered_turns(turns: DataFrame) -> DataFrame:
     placed = own.withColumn("place", F.row_number().over(order))
     mark = lambda salt: F.xxhash64(F.lit(salt), "place", F.length("role"), "role", "text")
     so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("conv_id", "place", "role", "text", F.bit_xor(mark(1)).over(so_far).alias("h1"), F.bit_xor(mark(2)).over(so_far).alias("h2"))
+    turns = F.count("*").over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return placed.select("conv_id", "place", turns.alias("turns"), "role", "text", F.bit_xor(mark(1)).over(so_far).alias("h1"), F.bit_xor(mark(2)).over(so_far).alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of each conversation that is no prefix of a longer one."""
     key = ["place", "h1", "h2"]
     # Hashes only: no text is kept here.
-    prefixes = materialized(ordered_turns(turns).select("conv_id", *key))
-    length = prefixes.groupBy("conv_id").agg(F.max(F.struct(*key)).alias("x"))
-    whole = length.groupBy(F.col("x.place").alias("place"), F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"))
-    whole = whole.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    # A prefix is proper when the conversation goes on: its hash is that of more conversations than end there.
-    seen = prefixes.groupBy(*key).agg(F.count("*").alias("n_seen"))
-    met = whole.join(seen.where("n_seen > 1"), key, "left")
-    return met.where("n_seen IS NULL OR n_seen = n_copies").select("conv_id", F.col("place").cast("long").alias("n_turns"), "n_copies")
+    prefixes = materialized(ordered_turns(turns).select("conv_id", *key, "turns"))
+    whole = prefixes.where("place = turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    # Prefixes that a conversation goes on from; copies merge before they are shuffled.
+    proper = prefixes.where("place < turns").select(*key).distinct()
+    return whole.join(proper, key, "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"), "n_copies")
 
 
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
