@@ -41,16 +41,6 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def batches_of(columns: dict[str, object], schema: pa.Schema, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Columns as record batches of bounded length."""
-    whole = pa.RecordBatch.from_arrays(
-        [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, columns[f.name]) for f in schema)],
-        schema=schema,
-    )
-    for at in range(0, whole.num_rows, rows):
-        yield whole.slice(at, rows)
-
-
 def pieces(batches: Iterable[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds few bytes (or a single row)."""
     for batch in batches:
@@ -68,3 +58,43 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+#: The most rows of a filter of hash slots.
+SLOTS = 1 << 19
+
+
+def slot(id_: Column, level: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), id_), F.lit(SLOTS)).cast("int")
+
+
+def slots(ids: DataFrame, column: str, level: int = 0) -> DataFrame:
+    """The hash slots that ids fall in: at most SLOTS rows, so they may be broadcast whatever their number."""
+    return F.broadcast(ids.select(slot(F.col(column), level).alias("slot")).distinct())
+
+
+def without(rows: DataFrame, ids: DataFrame, lost: DataFrame) -> DataFrame:
+    """``rows`` (uid and more) but those of the uids in ``lost``; ``ids``: the uids of all rows.
+
+    Three filters of hash slots settle nearly every row where it lies: in no slot of a lost uid, it stays; in none of
+    the kept uids that share a slot with a lost one, it goes; in none of the lost uids that share one with those, it
+    stays.  The rest meets the lost uids in a join, so the result is exact."""
+
+    def met(df: DataFrame, by: DataFrame, level: int, how: str) -> DataFrame:
+        return df.join(slots(by, "uid", level), slot(df["uid"], level) == F.col("slot"), how)
+
+    mixed = materialized(met(ids, lost, 0, "left_semi").join(lost, "uid", "left_anti"))
+    again = materialized(met(lost, mixed, 1, "left_semi"))
+    sure = met(rows, lost, 0, "left_anti")
+    unsure = met(met(rows, lost, 0, "left_semi"), mixed, 1, "left_semi")
+    rest = met(unsure, again, 2, "left_semi").join(lost, "uid", "left_anti")
+    return sure.unionByName(met(unsure, again, 2, "left_anti")).unionByName(rest)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """uint32 values by planes of bytes, so that the planes of zeros compress away."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()

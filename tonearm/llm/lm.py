@@ -9,23 +9,26 @@ to the longer context is the posterior half-and-half mixture of the tree,
 P_w = (P_kt + product of the children's P_w) / 2.  Below the last context that
 training has seen, the estimate of that last one stands.
 
-Training needs counts alone: the byte n-grams of all training texts, added up
-by Spark.  The tree is as deep (up to ``depth``) as its n-grams fit
-``most_grams``; that check bounds what is broadcast.
+Training needs counts alone: the byte n-grams of all training texts.  The tree
+has the same depth at every size of corpus and is never in one place: n-grams
+are dealt by the last two bytes of their contexts, each task weighs the
+subtrees below its contexts, and only the nodes of one byte of context or none
+are gathered.  The probabilities of the commonest n-grams (a bounded table) are
+broadcast; the rest of a text's n-grams meet theirs in a join.
 
-The base score is the add-one unigram of the words.  The commonest words
-(a bounded table) are broadcast; the rest meet their counts in a join.
+The base score is the add-one unigram of the words; its commonest words are
+broadcast and its rest joined in the same way.
 
 Defined results: a null or empty text is its end alone; rows with a null id
 are learned and scored under the empty id; repeated rows have a result each;
-an empty training set scores every decision one half.
+an empty training set scores every decision one half; a text of any length is
+scored whole, and no probability is ever nought.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, materialized, pieces, texts_of
+from .common import crc_of_id, materialized, packed, pieces, texts_of, unpacked
 
 DEPTH = 5
-MOST_GRAMS = 2_500_000
+#: Bytes of context by which n-grams are dealt.
+TOP = 2
+#: The most n-grams that are broadcast (12 bytes each).
+COMMON_GRAMS = 2_000_000
 COMMON_WORDS = 100_000
 FOLDS, HELD = 7, 2
 _HELD_WORDS = 400_000
@@ -80,93 +86,133 @@ def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
 
 
-@dataclass
-class Tree:
-    """nodes[d][k]: the sorted nodes with d bytes of context and k known bits; ones[d][k]: the probability
-    of a one where the path ends there."""
+def node(gram: np.ndarray, d: int, k: int) -> np.ndarray:
+    """Context of d bytes, then a one and the first k bits of the byte."""
+    byte = gram & U(255)
+    context = (gram >> U(8)) & U((1 << 8 * d) - 1)
+    return context << U(8) | U(1 << k) | byte >> U(8 - k)
 
-    depth: int
-    nodes: list[list[np.ndarray]]
-    ones: list[list[np.ndarray]]
 
-    @staticmethod
-    def node(gram: np.ndarray, d: int, k: int) -> np.ndarray:
-        """Context of d bytes, then a one and the first k bits of the byte."""
-        byte = gram & U(255)
-        context = (gram >> U(8)) & U((1 << 8 * d) - 1)
-        return context << U(8) | U(1 << k) | byte >> U(8 - k)
+def estimates(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Krichevsky-Trofimov probabilities of a zero and of a one; neither is ever nought."""
+    return np.stack([zero + 0.5, one + 0.5]) / (zero + one + 1)
 
-    @classmethod
-    def build(cls, grams: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
-        levels = []
-        for d in range(depth, -1, -1):
+
+class Subtrees:
+    """The nodes with TOP or more bytes of context below some contexts of TOP bytes, whole.
+
+    For d bytes of context and k known bits: key[d, k] (sorted), their place in the level above, the estimates, and the
+    weight of staying and of going on."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
+        self.depth = depth
+        self.key, self.up, self.kt, self.stay, self.go = {}, {}, {}, {}, {}
+        #: log of the weighted probability of each node with TOP bytes of context.
+        self.weighted: list[np.ndarray] = []
+        levels = {}
+        for d in range(depth, TOP - 1, -1):
             if d < depth:
                 grams, back = np.unique(grams & U((1 << 8 * (d + 1)) - 1), return_inverse=True)
                 counts = np.bincount(back, counts, len(grams))
-            levels.insert(0, (grams, counts.astype(np.float64)))
-        nodes = [[np.zeros(0, U)] * 8 for _ in range(depth + 1)]
-        ones = [[np.zeros(0, np.float32)] * 8 for _ in range(depth + 1)]
-        for k in range(8 if len(grams) else 0):
-            zero, one = [], []
-            for d, (own, n) in enumerate(levels):
-                key = cls.node(own, d, k)  # as sorted as the n-grams
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            levels[d] = grams, counts.astype(np.float64)
+        for k in range(8):
+            sums = {}
+            for d, (own, n) in levels.items():
+                key = node(own, d, k)  # as sorted as the n-grams
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
                 bit = (own >> U(7 - k)) & U(1) == 1
-                nodes[d][k] = key[first]
-                zero.append(np.add.reduceat(n * ~bit, first))
-                one.append(np.add.reduceat(n * bit, first))
-            # A child has one byte more of context in front; its parent is the key without that byte.
-            parent = [np.searchsorted(nodes[d - 1][k], nodes[d][k] & U((1 << 8 * d) - 1)) if d else None for d in range(depth + 1)]
-            stay, below = [None] * (depth + 1), None
-            for d in range(depth, -1, -1):
-                weighted = kt_log(zero[d], one[d])
+                self.key[d, k] = key[first]
+                sums[d] = [np.add.reduceat(n * x, first) if len(first) else n for x in (~bit, bit)]
+            below = None
+            for d in range(depth, TOP - 1, -1):
+                self.kt[d, k] = estimates(*sums[d])
+                weighted = kt_log(*sums[d])
                 if d < depth:
                     both = np.logaddexp(weighted, below)
-                    stay[d], weighted = np.exp(weighted - both), both - math.log(2)
-                if d:
-                    below = np.bincount(parent[d], weighted, len(nodes[d - 1][k]))
-            mixed, left = np.zeros(len(zero[0])), np.ones(len(zero[0]))
-            for d in range(depth + 1):
-                if d:
-                    mixed, left = mixed[parent[d]], left[parent[d]]
-                kt = (one[d] + 0.5) / (zero[d] + one[d] + 1)
-                ones[d][k] = (mixed + left * kt).astype(np.float32)
-                if d < depth:
-                    mixed, left = mixed + left * stay[d] * kt, left * (1 - stay[d])
-        return cls(depth, nodes, ones)
-
-    def log2(self, grams: np.ndarray) -> np.ndarray:
+                    self.stay[d, k], self.go[d, k] = np.exp(weighted - both), np.exp(below - both)
+                    weighted = both - math.log(2)
+                if d > TOP:
+                    # A child has one byte more of context in front; its parent is the key without that byte.
+                    self.up[d, k] = np.searchsorted(self.key[d - 1, k], self.key[d, k] & U((1 << 8 * d) - 1))
+                    below = np.bincount(self.up[d, k], weighted, len(self.key[d - 1, k]))
+            self.weighted.append(weighted)
+
+    def above(self) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes with a byte less than TOP, and what their children here add to the log of theirs."""
+        own = np.concatenate([self.key[TOP, k] & U((1 << 8 * TOP) - 1) for k in range(8)])
+        key, back = np.unique(own, return_inverse=True)
+        return key, np.bincount(back, np.concatenate(self.weighted), len(key))
+
+    def log2(self, grams: np.ndarray, top: Top) -> np.ndarray:
         """log2 of the probability of each n-gram's last byte after its context."""
         out = np.zeros(len(grams))
         for k in range(8):
-            p = np.full(len(grams), 0.5)
-            rest = np.arange(len(grams))
-            for d in range(self.depth, -1, -1):
-                own = self.nodes[d][k]
-                if not len(rest) or not len(own):
-                    continue
-                key = self.node(grams[rest], d, k)
-                at = np.minimum(np.searchsorted(own, key), len(own) - 1)
-                hit = own[at] == key
-                p[rest[hit]] = self.ones[d][k][at[hit]]
-                rest = rest[~hit]
-            bit = (grams >> U(7 - k)) & U(1) == 1
-            out += np.log2(np.where(bit, p, 1 - p))
+            bit = ((grams >> U(7 - k)) & U(1)).astype(np.int64)
+            p = top.ends(node(grams, TOP - 1, k), bit)
+            mixed, left = None, None
+            for d in range(TOP, self.depth + 1):
+                own = self.key[d, k]
+                if not len(own):
+                    break
+                if d == TOP:
+                    mixed, left = top.passes(own & U((1 << 8 * TOP) - 1))
+                else:
+                    at = self.up[d, k]
+                    mixed, left = (mixed + left * self.stay[d - 1, k] * self.kt[d - 1, k])[:, at], (left * self.go[d - 1, k])[at]
+                key = node(grams, d, k)
+                place = np.minimum(np.searchsorted(own, key), len(own) - 1)
+                hit = own[place] == key
+                place = place[hit]
+                p[hit] = mixed[bit[hit], place] + left[place] * self.kt[d, k][bit[hit], place]
+            out += np.log2(p)
         return out
 
 
+class Top:
+    """The nodes of no and of one byte of context: 256 and 65,536 at most, by their keys."""
+
+    def __init__(self, counts: np.ndarray, below: np.ndarray):
+        """counts: of each byte after each byte (65,536); below: by node, what its children add to the log."""
+        self.seen, kt, ways = [], [], []
+        for n in (counts.reshape(256, 256).sum(0)[None], counts.reshape(256, 256)):
+            zero, one = np.zeros((len(n), 256)), np.zeros((len(n), 256))
+            for k in range(8):
+                parted = n.reshape(len(n), 1 << k, 2, -1).sum(-1)
+                zero[:, 1 << k : 2 << k], one[:, 1 << k : 2 << k] = parted[..., 0], parted[..., 1]
+            self.seen.append((zero + one).ravel() > 0)
+            kt.append(estimates(zero.ravel(), one.ravel()))
+            ways.append(kt_log(zero.ravel(), one.ravel()))
+        both = np.logaddexp(ways[1], below)
+        stay, go = [None, np.exp(ways[1] - both)], [None, np.exp(below - both)]
+        root = np.where(self.seen[1], both - math.log(2), 0).reshape(256, 256).sum(0)
+        both = np.logaddexp(ways[0], root)
+        stay[0], go[0] = np.exp(ways[0] - both), np.exp(root - both)
+        last = np.arange(65536) & 255
+        mixed, left = (stay[0] * kt[0])[:, last], go[0][last]
+        #: The probability where a path ends at no or one byte, and what one that goes on has gathered.
+        self.end = [kt[0], mixed + left * kt[1]]
+        self.mixed, self.left = mixed + left * stay[1] * kt[1], left * go[1]
+
+    def ends(self, key: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        key = key.astype(np.int64)
+        root = np.where(self.seen[0][key & 255], self.end[0][bit, key & 255], 0.5)
+        return np.where(self.seen[1][key], self.end[1][bit, key], root)
+
+    def passes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = key.astype(np.int64)
+        return self.mixed[:, key], self.left[key]
+
+
 class Memo:
-    """An open-addressing table from the n-grams of training to their log2 probabilities."""
+    """An open-addressing table from n-grams to their log2 probabilities."""
 
     MIX = U(0x9E3779B97F4A7C15)
 
-    def __init__(self, tree: Tree, grams: np.ndarray):
-        self.tree = tree
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
         self.bits = max(10, int(2.2 * max(1, len(grams))).bit_length())
         size = 1 << self.bits
         self.key = np.full(size, ~U(0))
         self.value = np.zeros(size, np.float32)
-        values = np.concatenate([tree.log2(grams[at : at + 200_000]) for at in range(0, len(grams), 200_000)] or [np.zeros(0)])
         slot = self.slot(grams)
         rest = np.arange(len(grams))
         while len(rest):
@@ -182,12 +228,14 @@ class Memo:
     def slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * self.MIX) >> U(64 - self.bits)).astype(np.int64)
 
-    def log2(self, grams: np.ndarray) -> np.ndarray:
+    def log2(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values (zero where there is none), and the places of the n-grams that it doesn't have."""
         slot = self.slot(grams)
         key = self.key[slot]
         out = self.value[slot].astype(np.float64)
         rest = np.flatnonzero(key != grams)
-        lost = []
+        out[rest] = 0
+        lost = [np.zeros(0, np.int64)]
         while len(rest):
             empty = self.key[slot[rest]] == ~U(0)
             lost.append(rest[empty])
@@ -196,62 +244,122 @@ class Memo:
             hit = self.key[slot[rest]] == grams[rest]
             out[rest[hit]] = self.value[slot[rest[hit]]]
             rest = rest[~hit]
-        if lost and len(new := np.concatenate(lost)):
-            own, back = np.unique(grams[new], return_inverse=True)
-            out[new] = self.tree.log2(own)[back]
-        return out
+        return out, np.concatenate(lost)
 
 
 class Shared:
-    """What is broadcast; each Python process builds its tables from it once."""
+    """What is broadcast; each Python process builds its table from it once."""
 
-    def __init__(self, depth: int, grams: np.ndarray, counts: np.ndarray, common: dict[bytes, int]):
-        self.depth, self.grams, self.counts, self.common = depth, grams, counts, common
+    def __init__(self, grams: np.ndarray, values: np.ndarray, common: dict[bytes, int]):
+        self.grams, self.values, self.common = grams, values, common
         self.memo: Memo | None = None
 
-    def tables(self) -> Memo:
+    def table(self) -> Memo:
         if self.memo is None:
-            self.memo = Memo(Tree.build(self.grams, self.counts, self.depth), self.grams)
+            self.memo = Memo(self.grams, self.values)
         return self.memo
 
 
-def gram_counts(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
-    """(gram, n) over all texts; each task adds up its own before they are shuffled."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    merged, back = np.unique(code, return_inverse=True)
+    return merged, np.bincount(back, n, len(merged)).astype(np.int64)
 
-    def run(batches):
-        grams, counts = np.zeros(0, U), np.zeros(0, np.int64)
+
+def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, log2p) of every n-gram of the texts: how often the texts with ``train`` have it, and its probability.
+
+    N-grams are dealt by the last TOP bytes of their contexts, below which each task has whole subtrees.  What lies above
+    them is summed by node, at most 65,536 of them.  Each task adds up its own counts before they are dealt."""
+    if not TOP <= depth <= 5:
+        raise ValueError("depth must be from 2 to 5")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = pa.schema([("context", pa.int64()), ("rest", pa.binary()), ("n", pa.binary())])
+    held = pa.schema([("kind", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("x", pa.float64())])
+
+    def out(code, n):
+        context = code >> U(32)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(code)])
+        rows = [(int(context[i]), packed(np.diff(code[i:j] & U(0xFFFFFFFF), prepend=U(0))), packed(n[i:j])) for i, j in zip(first.tolist(), np.append(first[1:], len(code)).tolist(), strict=False)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent)
+
+    def count(batches):
+        code, counts, size = np.zeros(0, U), np.zeros(0, np.int64), 0
         for batch in pieces(batches, 4 << 20):
-            lines = [b" ".join(words_of(x)) + b"\n" for x in texts_of(batch, text)]
-            own, _ = coded(lines, depth)
-            for at in range(0, len(own), 1 << 22):
-                new, n = np.unique(own[at : at + (1 << 22)], return_counts=True)
-                merged, back = np.unique(np.concatenate([grams, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(merged)).astype(np.int64)
-                grams = merged
-            if len(grams) > 2_000_000:
-                yield from out(grams, counts)
-                grams, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        yield from out(grams, counts)
-
-    def out(grams, counts):
+            lines = [b" ".join(words_of(x)) + b"\n" for x in texts_of(batch)]
+            train = np.array(batch.column("train").to_pylist(), bool)
+            for now in (True, False):
+                grams, _ = coded([x for x, t in zip(lines, train, strict=True) if t == now], depth)
+                for at in range(0, len(grams), 1 << 22):
+                    new, n = np.unique(grams[at : at + (1 << 22)], return_counts=True)
+                    # The last TOP bytes of context in the upper half; the older ones and the byte in the lower.
+                    new = (new >> U(8) & U(0xFFFF)) << U(32) | new >> U(8 * TOP + 8) << U(8) | new & U(255)
+                    code, counts = added(np.concatenate([code, new]), np.concatenate([counts, n * now]))
+                    size += 1 << 22
+            if len(code) > 2_000_000 or size > 1 << 31:  # counts are sent in 32 bits
+                yield from out(code, counts)
+                code, counts, size = code[:0], counts[:0], 0
+        yield from out(code, counts)
+
+    def merge(batches):
+        codes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for context, rest, n in zip(batch.column("context").to_pylist(), batch.column("rest").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                codes.append(np.cumsum(unpacked(rest), dtype=U) | U(context << 32))
+                counts.append(unpacked(n).astype(np.int64))
+        code, n = added(np.concatenate(codes), np.concatenate(counts))
+        gram = code >> U(32) << U(8) | code & U(255) | (code & U(0xFFFFFF00)) << U(8 * TOP)
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        yield from rows(0, gram, n)
+        seen, times = gram[n > 0], n[n > 0].astype(np.float64)
+        # Its byte after one byte of context, and the subtrees' share in the nodes of one byte.
+        low, back = np.unique(seen & U(0xFFFF), return_inverse=True)
+        yield from rows(1, low, np.bincount(back, times, len(low)).astype(np.int64))
+        key, x = Subtrees(seen, times, depth).above()
+        yield from rows(2, key, np.zeros(len(key), np.int64), x)
+
+    def rows(kind, key, n, x=None):
+        x = np.zeros(len(key)) if x is None else x
+        for at in range(0, len(key), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), kind, np.int64)), pa.array(key[cut].view(np.int64)), pa.array(n[cut]), pa.array(x[cut])], schema=held)
+
+    dealt = docs.select("text", "train").mapInArrow(count, "context long, rest binary, n binary").repartition(parts, "context")
+    met = materialized(dealt.mapInArrow(merge, "kind long, key long, n long, x double"))
+    sums = met.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow()
+    kind, key = sums.column("kind").to_numpy(), sums.column("key").to_numpy()
+    counts, below = np.zeros(65536), np.zeros(65536)
+    counts[key[kind == 1]] = sums.column("n").to_numpy()[kind == 1]
+    below[key[kind == 2]] = sums.column("x").to_numpy()[kind == 2]
+    top = docs.sparkSession.sparkContext.broadcast(Top(counts, below))
+
+    def weigh(batches):
+        grams, n = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            grams.append(batch.column("key").to_numpy().view(U))
+            n.append(batch.column("n").to_numpy())
+        grams, n = np.concatenate(grams), np.concatenate(n)
+        tree = Subtrees(grams[n > 0], n[n > 0].astype(np.float64), depth)
         for at in range(0, len(grams), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], schema=schema)
+            own = grams[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n[at : at + 100_000]), pa.array(tree.log2(own, top.value))], names=["gram", "n", "log2p"])
 
-    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # The checkpoint's parts are those of the exchange, so subtrees are whole here too.
+    return materialized(met.where("kind = 0").select("key", "n").mapInArrow(weigh, "gram long, n long, log2p double"))
 
 
-def train(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS) -> tuple[int, np.ndarray, np.ndarray]:
-    """The tree's depth, the sorted n-grams of all texts and their counts.  As deep as ``most_grams`` allows,
-    but at least two bytes of context (at most 2^24 n-grams of three bytes)."""
-    counts = materialized(gram_counts(docs, depth))
-    while depth > 2 and counts.count() > most_grams:
-        depth -= 1
-        counts = materialized(counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")))
-    rows = counts.toArrow()
-    grams, n = rows.column("gram").to_numpy().view(U), rows.column("n").to_numpy()
-    order = np.argsort(grams)
-    return depth, grams[order], n[order].astype(np.float64)
+def commonest(grams: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of the highest counts, ``most`` at most, and the others."""
+    step = F.floor(8 * F.log2(F.col("n") + 1.0)).cast("int")
+    held = {r["step"]: r["rows"] for r in grams.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()}  # a few hundred steps
+    least, total = max(held, default=0) + 1, 0
+    for own in sorted(held, reverse=True):
+        total += held[own]
+        if total > most:
+            break
+        least = own
+    return grams.where(step >= least), grams.where(step < least)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -277,13 +385,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lm_scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS, common_words: int = COMMON_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, depth: int = DEPTH, common_grams: int = COMMON_GRAMS, common_words: int = COMMON_WORDS) -> DataFrame:
     """Base and context-tree scores of every text; learns from those outside the held-out fold."""
     spark = docs.sparkSession
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     held = crc_of_id() % FOLDS == HELD
     training = own.where(~held)
-    depth, grams, gram_n = train(training, depth, most_grams)
+    grams = gram_table(own.select("text", (~held).alias("train")), depth)
+    near, far = commonest(grams, common_grams)
+    near = near.select("gram", F.col("log2p").cast("float").alias("log2p")).toArrow()
     counts = materialized(word_counts(training))
     words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = training.count()
@@ -292,7 +402,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS,
     # Bounded by the parameter; every other word meets its count in the join below.
     rank = counts.orderBy(F.desc("n"), "word").limit(common_words).toArrow()
     table = dict(zip(rank.column("word").to_pylist(), rank.column("n").to_pylist(), strict=True))
-    model = spark.sparkContext.broadcast(Shared(depth, grams, gram_n, table))
+    model = spark.sparkContext.broadcast(Shared(near.column("gram").to_numpy().view(U), near.column("log2p").to_numpy(), table))
     end_score = math.log10(ends + 1) - norm
     schema = pa.schema(
         [("key", pa.binary()), ("uid", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
@@ -301,12 +411,13 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS,
 
     def run(batches):
         shared = model.value
-        d, memo = shared.depth, shared.tables()
+        memo = shared.table()
         log = {w: math.log10(n + 1) - norm for w, n in shared.common.items()}
         uid = TaskContext.get().partitionId() << 33
         for batch in pieces(batches, 2 << 20):
             rows: list[list] = [[] for _ in range(8)]
             lines, rare_key, rare_uid, rare_times = [], [], [], []
+            start = uid
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch), strict=True):
                 found = words_of(text)
                 lines.append(b" ".join(found) + b"\n")
@@ -322,12 +433,22 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS,
                 for column, x in zip(rows, (b"d%d" % uid, uid, doc_id, out, len(found) + 1, known, base, len(lines[-1])), strict=True):
                     column.append(x)
                 uid += 1
-            own, starts = coded(lines, d)
-            score = np.add.reduceat(memo.log2(own), starts) * math.log10(2)
+            own, starts = coded(lines, depth)
+            value, lost = memo.log2(own)
+            score = np.add.reduceat(value, starts) * math.log10(2)
+            # A text's n-grams that the table doesn't have, each once with its number.
+            line = np.searchsorted(starts, lost, side="right") - 1
+            order = np.lexsort((own[lost], line))
+            line, missing = line[order], own[lost][order]
+            first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (missing[1:] != missing[:-1]))[: len(line)])
+            written = missing[first].astype(">u8").tobytes()
+            rare_key += [b"g" + written[i : i + 8] for i in range(0, len(written), 8)]
+            rare_uid += (start + line[first]).tolist()
+            rare_times += np.diff(np.append(first, len(line))).tolist()
             n, m = len(lines), len(rare_key)
             none = lambda kind: pa.nulls(m, kind)
-            first = [rows[0], rows[1], pa.nulls(n, pa.int64()), rows[2], rows[3], rows[4], rows[5], rows[6], pa.array(score), rows[7]]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(first, schema, strict=True)], schema=schema)
+            whole = [rows[0], rows[1], pa.nulls(n, pa.int64()), rows[2], rows[3], rows[4], rows[5], rows[6], pa.array(score), rows[7]]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(whole, schema, strict=True)], schema=schema)
             for at in range(0, m, 50_000):
                 part = [pa.array(x[at : at + 50_000], f.type) for x, f in zip((rare_key, rare_uid, rare_times), schema, strict=False)]
                 yield pa.RecordBatch.from_arrays(part + [none(f.type).slice(0, len(part[0])) for f in list(schema)[3:]], schema=schema)
@@ -335,14 +456,15 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, most_grams: int = MOST_GRAMS,
     # A document's own row has a key that no word has, so that rows spread and one pass is enough.
     kinds_ddl = "key binary, uid long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_coded long"
     seen = own.withColumn("held_out", held).mapInArrow(run, kinds_ddl)
-    c = counts.select(F.concat(F.lit(b"w"), "word").alias("key"), "n")
+    c = counts.select(F.concat(F.lit(b"w"), "word").alias("key"), "n", F.lit(None).cast("double").alias("log2p"))
+    c = c.unionByName(far.select(F.concat(F.lit(b"g"), F.unhex(F.lpad(F.hex("gram"), 16, "0"))).alias("key"), F.lit(None).cast("long").alias("n"), "log2p"))
     met = seen.join(c, "key", "left")
-    n = F.coalesce("n", F.lit(0))
-    rare = F.col("times") * (F.log10(n + 1.0) - F.lit(norm))
+    n, is_gram = F.coalesce("n", F.lit(0)), F.col("log2p").isNotNull()
+    rare = F.when(is_gram, 0.0).otherwise(F.col("times") * (F.log10(n + 1.0) - F.lit(norm)))
     out = met.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("n_known", F.when(n > 0, F.col("times")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", rare)).alias("base_score"), F.max("score").alias("score"), F.max("n_coded").alias("n_coded"),
+        F.sum(F.coalesce("base", rare)).alias("base_score"), F.sum(F.coalesce("score", F.col("times") * F.col("log2p") * F.lit(math.log10(2)))).alias("score"), F.max("n_coded").alias("n_coded"),
     )
     bits = (-F.col("score") / F.lit(math.log10(2)) / F.col("n_coded")).alias("bits_per_byte")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", bits)
