@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import mixing, packing, quality, simhash
+from tonearm.llm import mixing, neardups, packing, quality
 from tonearm.llm.common import ensure_checkpoint_dir, table
 
 
@@ -23,12 +23,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return simhash.drop_near_duplicates(docs)
+    return neardups.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that source, language and topic meet their target weights."""
-    return mixing.mixed(docs, whole=True)
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
