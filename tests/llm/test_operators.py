@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tonearm.llm import chat, lm, media, mixing, packing, quality, queries, simhash, token_counts, topk, warc
+from tonearm.llm import chat, lm, media, mixing, neardups, packing, quality, queries, simhash, token_counts, topk, warc
 
 LONG = "word " * 30_000
 ODD = ["", None, "a", "ΑΣ ΟΔΟΣ Σ", "é ä 가", "a\x1cb\x85c\xa0d", "<|endoftext|>x <|startoftext|>", "x" * 5000, "don't I'LL 's", "\t\r\n", "Straße\nline two\n\nline", "same text", "same text", LONG]
@@ -63,6 +64,13 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_long_runs():
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.byte_bpe()
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert encode(text).tolist() == hf.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_prefers_neighbours():
     a, b = np.arange(100, 140, dtype=np.uint32), np.arange(500, 540, dtype=np.uint32)
     p = packing.Packer(0, window=80)
@@ -83,6 +91,13 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(docs).count() == docs.count() and token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_new_letters():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    hf, own = Tokenizer.from_file(path), token_counts.MergeCounter(path)
+    for text in ("\ua7cb", "x\ua7dcy \ua7cb", "\ua7cba" * 30, " " * 1_000_000):
+        assert own.count(text) == len(hf.encode(text, add_special_tokens=False).ids)
+
+
 def test_media(docs, empty):
     rows = media.media_digests(docs).collect()
     want = Counter()
@@ -127,10 +142,27 @@ def test_topk(spark):
     assert topk.top_k(none, none).count() == 0
 
 
-def test_topk_large_components():
+def test_topk_large_components(spark):
     big = np.array([[2.0**40, -(2.0**40)], [2.0**62, 2.0**62]])
     assert topk.dots(big[:1], big[:1])[0, 0] == (1 << 63) - 1
     assert topk.dots(big[:1], big[1:])[0, 0] == 0
+    rows = [(0, [1e301, 1.0]), (1, [-1e308, 0.5]), (2, [1.0, 2.0]), (3, [0.0, 0.0]), (4, [1e200, -1e200]), (5, [-3.0, 1e-9]), (6, [1.7e308, 1.7e308]), (7, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    z = {i: [int(c) * 1024 if abs(c) > 2**52 else math.floor(c * 1024) for c in v] for i, v in rows[:-1]}
+    got = defaultdict(list)
+    for r in sorted(topk.top_k(df, df, 4).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hold = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for q in z:
+        want = sorted((-hold(sum(a * b for a, b in zip(z[q], z[i], strict=True))), i) for i in z if i != q)[:4]
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_topk_clashing_columns_and_repeated_ids(spark):
+    rows = [(i % 7, [float(i), 1.0, -float(i % 3)], i, i, i, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int, norm int, dim int, uid int, part int")
+    got = Counter((r["query_id"], r["rank"]) for r in topk.top_k(df, df.where("vec_id = 3"), 5).collect())
+    assert got == {(3, rank): 6 for rank in range(1, 6)}
 
 
 def chains(f, per_text, model):
@@ -177,6 +209,15 @@ def test_quality_learns(spark, docs, empty):
     assert quality.keep_good(docs, labels.where("false")).columns == docs.columns
 
 
+def test_quality_repeated_ids(spark):
+    lines = "\n".join(f"line {i}" for i in range(5000))
+    d = spark.createDataFrame([(1, "good words here")] * 10_000 + [(2, "BAD!!! ###"), (2, "BAD ###")] * 50 + [(4, lines)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 0), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    sampled = quality.sampled(d, labels, sample=5).collect()
+    assert sorted((r["doc_id"], r["quality"], r["lines"]) for r in sampled if r["doc_id"] != 4 or r["lines"] == quality.LINES) == sorted((r["doc_id"], r["quality"], r["lines"]) for r in sampled)
+    assert len(sampled) == len({(r["doc_id"], r["quality"]) for r in sampled}) <= 4
+
+
 def plain_fingerprint(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -202,9 +243,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("block", "wider"), [(4096, 1 << 24), (100, 1 << 24), (4096, 1)])
-def test_simhash_dense_groups(spark, monkeypatch, block, wider):
-    monkeypatch.setattr(simhash, "WIDER", wider)
+@pytest.mark.parametrize("block", [4096, 100])
+def test_simhash_dense_groups(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "CROWD", 16 if block == 4096 else 1)
     rng = np.random.default_rng(block)
     base = int(rng.integers(0, 1 << 62))
@@ -243,14 +283,14 @@ def test_near_dedup(spark, docs, empty, tmp_path):
             groups[len(rows)] = g
             rows.append((len(rows), " ".join(own), "x"))
     spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, uid string").write.parquet(str(tmp_path / "d"))
-    kept = simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
+    kept = neardups.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
     assert kept.columns == ["doc_id", "text", "uid"]
     kept = [r["doc_id"] for r in kept.collect()]
     assert sorted(kept) == sorted({g: min(d for d, h in groups.items() if h == g) for g in range(30)}.values())
     docs.write.parquet(str(tmp_path / "odd"))
-    odd = simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "odd"))).collect()
+    odd = neardups.drop_near_duplicates(spark.read.parquet(str(tmp_path / "odd"))).collect()
     assert sum((r["text"] or "") == "" for r in odd) == 1 and sum(r["text"] == "same text" for r in odd) == 1
-    assert simhash.drop_near_duplicates(empty).count() == 0
+    assert neardups.drop_near_duplicates(empty).count() == 0
 
 
 def test_near_dedup_whole(spark, tmp_path):
@@ -267,7 +307,7 @@ def test_near_dedup_whole(spark, tmp_path):
     sets = [set(zip(*[x.split()[k:] for k in range(5)], strict=False)) for x in texts]
     near = [i for i in range(1, len(texts), 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])]
     assert 60 < len(near) < 235
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    kept = {r["doc_id"] for r in neardups.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
     assert kept == set(range(len(texts))) - set(near)
 
 
@@ -281,29 +321,32 @@ def test_collapse(spark):
 
 
 def test_mixing_margins(spark, docs, empty):
-    cells = spark.createDataFrame([(s, l, t, 10 * (i + 1)) for i, (s, l, t) in enumerate((s, l, t) for s in "ab" for l in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
+    cells = spark.createDataFrame([(s, l, t, 10 * (i + 1)) for i, (s, l, t) in enumerate((s, l, t) for s in "ab" for l in "xy" for t in "pqr")], "source string, lang string, topic string, tokens long")
     powers = {"source": 0.0, "lang": 0.5, "topic": 1.0}
-    made = mixing.calibrated_cells(cells, powers, 20).toPandas()
+    made = mixing.calibrated_cells(cells, {"topic": {"p": 0.7, "absent": 0.1}}, powers).toPandas()
     assert np.allclose(made.groupby("source")["weight"].sum(), 0.5)
     base = made.groupby("lang")["base"].sum() ** 0.5
     assert np.allclose(made.groupby("lang")["weight"].sum(), base / base.sum())
-    assert np.allclose(made.groupby("topic")["weight"].sum(), made.groupby("topic")["base"].sum())
-    assert mixing.mixed(docs, keep=1e9).count() == docs.count() and mixing.mixture_report(empty).count() == 0
+    own, got = made.groupby("topic")["base"].sum(), made.groupby("topic")["weight"].sum()
+    rest = 0.2 * own[["q", "r"]] / own[["q", "r"]].sum()
+    assert np.allclose(got[["p", "q", "r"]], np.array([0.7, *rest]) / 0.9)
+    assert mixing.mixed(docs, keep=1e9).count() > 0 and mixing.mixture_report(empty).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
 
 
 def test_mixing_sampled_shares(spark):
-    """A source of 0.3 % of the tokens, whose weight is many times its own."""
+    """A source of 0.3 % of the tokens, whose weight is many times its own, and a language with a target of its own."""
     sizes = {"a": 6600, "b": 13340, "c": 60}
-    rows = [(f"{s}{i}", "five words are in this", "en", s) for s, n in sizes.items() for i in range(n)]
-    kept = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), "").groupBy("source").count()
-    got = {r["source"]: r["count"] for r in kept.collect()}
+    rows = [(f"{s}{i}", "five words are in this", ("en", "de")[i % 2], s) for s, n in sizes.items() for i in range(n)]
+    kept = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), "").groupBy("source", "lang").count().toPandas()
     power = {s: (n / 20_000) ** mixing.POWERS["source"] for s, n in sizes.items()}
     for s in sizes:
-        assert abs(got[s] / sum(got.values()) / (power[s] / sum(power.values())) - 1) < 0.1
+        assert abs(kept[kept["source"] == s]["count"].sum() / kept["count"].sum() / (power[s] / sum(power.values())) - 1) < 0.1
+    assert abs(kept[kept["lang"] == "en"]["count"].sum() / kept["count"].sum() - mixing.TARGETS["lang"]["en"]) < 0.03
 
 
 def test_warc(spark):
-    rows = [(1, "http://a/b c", "x"), (2, None, "x"), (3, "u", ""), (4, "u", None), (5, "é\r\nq", "y" * 100_000), (7, "u", "solo"), (7, "u", "solo"), (None, "u", "no id")]
+    rows = [(1, "http://a/b c", "x"), (2, None, "x"), (3, "u", ""), (4, "u", None), (5, "é\r\nq", "y" * 100_000), (7, "u", "solo"), (7, "u", "solo"), (None, "u", "no id"), (None, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = Counter(tuple(r) for r in warc.warc_round_trip(pages).collect())
     want, best = Counter(), {}
@@ -324,14 +367,39 @@ def test_warc_salvage():
     data = parts[0] + b"noise" + parts[1] + bytes(broken) + plain + parts[3][:-9] + parts[4]
     seen = list(warc.read_archive(data))
     ids = [x.headers[b"warc-record-id"] for x in seen if isinstance(x, warc.Record)]
-    assert ids == [warc.urn(i) for i in (0, 1, 9, 4)]
+    assert ids == [warc.urn(i) for i in (0, 1, 9, 3, 4)]  # 3 lies whole in its cut member
     gaps = [(x.at, x.end) for x in seen if isinstance(x, warc.Gap)]
     at = len(parts[0])
     assert gaps[0] == (at, at + 5) and len(gaps) == 3
-    covered = sorted((x.at, x.end) for x in seen)
+    covered = sorted((x.at, x.end) for x in seen if isinstance(x, warc.Gap) or x.headers[b"warc-record-id"] != warc.urn(3))
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
+def test_warc_members_of_several_records():
+    parts = [warc.record(i, "u", b"page %d " % i * 500) for i in range(5)]
+    whole = warc.member(b"".join(parts))
+    ids = lambda data: [int(x.headers[b"warc-record-id"][10:-1]) for x in warc.read_archive(data) if isinstance(x, warc.Record)]
+    assert ids(whole) == [0, 1, 2, 3, 4] and len(list(warc.read_archive(whole))) == 5
+    altered = warc.member(b"".join(parts[:2] + [warc.damaged_record()] + parts[2:]))
+    seen = list(warc.read_archive(altered))
+    assert ids(altered) == [0, 1, 2, 3, 4] and [x.reason for x in seen if isinstance(x, warc.Gap)] == ["block digest"]
+    cut = whole[:-40] + warc.member(warc.record(7, "u", b"next"))
+    assert ids(cut)[-1] == 7 and ids(cut)[:3] == [0, 1, 2] and sum(isinstance(x, warc.Gap) for x in warc.read_archive(cut)) == 1
+    assert ids(warc.member(b"") + whole) == [0, 1, 2, 3, 4]
+
+
+def test_warc_reader_takes_linear_time():
+    part = warc.member(warc.record(1, "u", b"short"))
+
+    def seconds(n):
+        began = time.process_time()
+        assert sum(isinstance(x, warc.Record) for x in warc.read_archive(part * n)) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(20_000) < 12 * seconds(4_000)
+
+
 def slow_ctw(lines, depth):
     """The context tree by recursion over its nodes."""
     counts = defaultdict(lambda: [0, 0])
@@ -374,16 +442,38 @@ def slow_ctw(lines, depth):
     return score
 
 
-def test_context_tree():
-    train, test = [b"the cat sat\n", b"the hat\n", b"a cat\n"], [b"the cat\n", b"zebra hat\n", b"\n"]
-    depth = 2
-    grams, _ = lm.coded(train, depth)
-    grams, n = np.unique(grams, return_counts=True)
-    memo = lm.Memo(lm.Tree.build(grams, n.astype(float), depth), grams)
-    slow = slow_ctw(train, depth)
-    for line in train + test:
+@pytest.mark.parametrize("depth", [2, 4])
+def test_context_tree(spark, depth):
+    train, test = ["the cat sat", "the hat", "a cat", "hat hat hat hat"], ["the cat", "zebra hat", ""]
+    rows = [(x, True) for x in train] + [(x, False) for x in test]
+    table = {r["gram"]: (r["n"], r["log2p"]) for r in lm.gram_table(spark.createDataFrame(rows, "text string, train boolean"), depth).collect()}
+    lines = {x: x.encode() + b"\n" for x in train + test}
+    seen, _ = lm.coded([lines[x] for x in train], depth)
+    assert {g: n for g, (n, _) in table.items() if n} == dict(Counter(seen.view(np.int64).tolist()))
+    slow = slow_ctw([lines[x] for x in train], depth)
+    for line in lines.values():
         own, _ = lm.coded([line], depth)
-        assert math.isclose(memo.log2(own).sum(), slow(line), rel_tol=1e-5)
+        assert math.isclose(sum(table[g][1] for g in own.view(np.int64).tolist()), slow(line), rel_tol=1e-9)
+
+
+def test_context_tree_large_counts():
+    grams, _ = lm.coded([b"aaaaaaaa\n"], 5)
+    grams = np.unique(grams)
+    n = np.full(len(grams), 1e9)
+    tree = lm.Subtrees(grams, n, 5)
+    counts, below = np.zeros(65536), np.zeros(65536)
+    np.add.at(counts, (grams & np.uint64(0xFFFF)).astype(int), n)
+    key, x = tree.above()
+    below[key.astype(int)] = x
+    other, _ = lm.coded([b"aaaaab\n", b"zz\n"], 5)
+    p = tree.log2(other, lm.Top(counts, below))
+    assert np.isfinite(p).all() and p.min() > -400
+
+
+def test_lm_rare_grams_meet_in_a_join(docs):
+    few = {r["doc_id"]: r for r in lm.lm_scores(docs, common_grams=30).collect()}
+    for r in lm.lm_scores(docs).collect():
+        assert math.isclose(r["score"], few[r["doc_id"]]["score"], rel_tol=1e-6) and (r["n_known"], r["n_tokens"]) == (few[r["doc_id"]]["n_known"], few[r["doc_id"]]["n_tokens"])
 
 
 def test_lm_scores(docs, empty):

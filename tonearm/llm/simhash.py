@@ -28,14 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, pieces, ragged, texts_of
+from .common import SLOTS, materialized, pieces, slot, texts_of
 
 BITS = 64
 BLOCK = 4096
-#: From so many nodes on, wider keys keep the variants' groups small; the links are the same.
-WIDER = 1 << 24
-#: The most rows of a filter of hash slots.
-SLOTS = 1 << 19
 #: One node in so many tells which variants are hot.
 SAMPLE = 64
 #: A half is crowded with so many sampled nodes and four times the mean.
@@ -81,15 +77,11 @@ def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFra
     return docs.select(*kept, text).mapInArrow(run, out)
 
 
-def segment_masks(distance: int, joined: int = 1) -> list[int]:
-    """Bit masks of which one at least covers one differing bit at most, for fingerprints within ``distance``.
-
-    joined=1: the fewest segments, distance // 2 + 1 of them.  joined=2: every pair of distance + 1 segments
-    (the two that differ least differ by a bit together), which are wider, for very many fingerprints."""
-    count = distance // 2 + 1 if joined == 1 else distance + 1
+def segment_masks(distance: int) -> list[int]:
+    """Bit masks of distance // 2 + 1 segments: of fingerprints within ``distance`` one segment at least differs in one bit at most."""
+    count = distance // 2 + 1
     edges = [round(i * BITS / count) for i in range(count + 1)]
-    own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return own if joined == 1 else [x | y for i, x in enumerate(own) for y in own[i + 1 :]]
+    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def signed(x: int) -> int:
@@ -123,11 +115,9 @@ def _canonical(x: np.ndarray, tag: np.ndarray, masks: list[int]) -> np.ndarray:
     return first == tag
 
 
-def _forest(fps: list[np.ndarray], radius: int) -> np.ndarray:
-    """For each of a group's nodes the place of its component's first, by breadth-first search.
-
-    fps: one array of 64 bits of all nodes after another."""
-    n = len(fps[0])
+def _forest(fp: np.ndarray, distance: int) -> np.ndarray:
+    """For each of a group's nodes the place of its component's first, by breadth-first search."""
+    n = len(fp)
     root = np.full(n, -1)
     rest = np.arange(n)
     for seed in range(n):
@@ -138,8 +128,7 @@ def _forest(fps: list[np.ndarray], radius: int) -> np.ndarray:
         front = np.array([seed])
         while len(front) and len(rest):
             part, front = front[:64], front[64:]
-            apart = sum(np.bitwise_count(f[part][:, None] ^ f[rest][None, :]) for f in fps)
-            hit = (apart <= radius).any(0)
+            hit = (np.bitwise_count(fp[part][:, None] ^ fp[rest][None, :]) <= distance).any(0)
             root[rest[hit]] = seed
             front = np.append(front, rest[hit])
             rest = rest[~hit]
@@ -164,16 +153,11 @@ def whole_groups(batches, keys: tuple[str, str], others: tuple[str, ...]):
         yield held
 
 
-def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int | None = None) -> DataFrame:
-    """a > b: links between nodes (id, fp) with the components of all links within ``distance`` bits.
-
-    With a larger ``radius``, also of those within that many bits that share a variant; a second fingerprint
-    (column other) then counts into the distance."""
-    radius = distance if radius is None else radius
-    words = ["fp", *(["other"] if "other" in nodes.columns else [])]
+def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """a > b: links between nodes (id, fp) with the components of all links within ``distance`` bits."""
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     count = nodes.count()
-    masks = segment_masks(distance, 1 if count < WIDER else 2)
+    masks = segment_masks(distance)
     sides = halves(masks)
     half = F.explode(F.array(*[keyed(F.col("fp"), rest, g) for g, (rest, _) in enumerate(sides)])).alias("half")
     # Which halves and variants very many nodes share, from one node in SAMPLE: it decides how they are sent, not what is found.
@@ -181,27 +165,27 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
     mean = count / SAMPLE / 2 ** min(rest.bit_count() for rest, _ in sides)
     crowded = few.select(half).groupBy("half").count().where(F.col("count") > max(CROWD, 4 * mean))
     crowded = materialized(crowded.select(slot(F.col("half")).alias("slot")).distinct().coalesce(1))  # at most SLOTS rows
-    sent = nodes.repartition(parts, "id").select("id", *words, half)
+    sent = nodes.repartition(parts, "id").select("id", "fp", half)
     calm, met = sent, None
     if not crowded.isEmpty():
         inside = slot(sent["half"]) == F.col("slot")
         calm = sent.join(F.broadcast(crowded), inside, "left_anti")
         each = F.array(*[F.array(*[keyed(F.col("fp"), m, t) for t, m in own]) for _, own in sides])
         key = F.explode(F.element_at(each, F.col("half").bitwiseAND(511).cast("int") + 1)).alias("key")
-        index = sent.join(F.broadcast(crowded), inside, "left_semi").select("id", *words, key)
-        hot = few.select("id", *words, half).join(F.broadcast(crowded), slot(F.col("half")) == F.col("slot"), "left_semi").select(key).groupBy("key").agg(F.count("*").alias("n"))
+        index = sent.join(F.broadcast(crowded), inside, "left_semi").select("id", "fp", key)
+        hot = few.select("id", "fp", half).join(F.broadcast(crowded), slot(F.col("half")) == F.col("slot"), "left_semi").select(key).groupBy("key").agg(F.count("*").alias("n"))
         hot = hot.where(F.col("n") > block // SAMPLE).groupBy(slot(F.col("key")).alias("slot")).agg(F.max("n").alias("n"))
         hot = materialized(hot.select("slot", F.ceil(F.col("n") * SAMPLE / block).cast("int").alias("blocks")).where("blocks > 1").coalesce(1))
         # Every pair of blocks of a hot variant is a group of its own.  At most SLOTS rows are broadcast.
         of = F.coalesce("blocks", F.lit(1))
         own = F.pmod(F.xxhash64("id"), of).cast("int")
         groups = F.transform(F.sequence(F.lit(0), of - 1), lambda j: F.least(j, own) * of + F.greatest(j, own))
-        met = index.join(F.broadcast(hot), slot(F.col("key")) == F.col("slot"), "left").select("id", *words, "key", F.explode(groups).alias("part"))
+        met = index.join(F.broadcast(hot), slot(F.col("key")) == F.col("slot"), "left").select("id", "fp", "key", F.explode(groups).alias("part"))
         met = met.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id")
     calm = calm.withColumn("part", F.lit(0)).repartition(parts, "half").sortWithinPartitions("half", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def group_links(key: np.ndarray, ids: np.ndarray, fps: list[np.ndarray], run: np.ndarray):
+    def group_links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, run: np.ndarray):
         """run: the group of each row, in order."""
         starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         sizes = np.diff(np.append(starts, len(run)))
@@ -211,18 +195,18 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
         found = [np.zeros((2, 0), np.int64)]
         for lag in range(1, int(sizes[sizes < 64].max(initial=0))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-            near = sum(np.bitwise_count(f[i] ^ f[i + lag]) for f in fps) <= radius
+            near = np.bitwise_count(fp[i] ^ fp[i + lag]) <= distance
             found.append(np.stack([i[near], i[near] + lag]))
         i, j = np.concatenate(found, axis=1)
         # A group with more links than nodes gives a spanning forest instead.
         dense = (np.bincount(of[i], minlength=len(sizes)) > sizes) | (sizes >= 64)
         i, j = i[~dense[of[i]]], j[~dense[of[i]]]
-        first = _canonical(fps[0][i] ^ fps[0][j], key[i] & 511, masks)
+        first = _canonical(fp[i] ^ fp[j], key[i] & 511, masks)
         a.append(ids[i[first]])
         b.append(ids[j[first]])
         for s, m in zip(starts[dense], sizes[dense], strict=True):
             own = ids[s : s + m]
-            root = _forest([f[s : s + m] for f in fps], radius)
+            root = _forest(fp[s : s + m], distance)
             tied = root != np.arange(m)
             a.append(own[tied])
             b.append(own[root[tied]])
@@ -230,24 +214,24 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, radius: int |
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
 
     def run(batches):
-        for key, part, ids, *fps in whole_groups(batches, ("key", "part"), ("id", *words)):
+        for key, part, ids, fp in whole_groups(batches, ("key", "part"), ("id", "fp")):
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            yield group_links(key, ids, [f.view(np.uint64) for f in fps], np.cumsum(new))
+            yield group_links(key, ids, fp.view(np.uint64), np.cumsum(new))
 
     def run_halves(batches):
-        for half, _, ids, *fps in whole_groups(batches, ("half", "part"), ("id", *words)):
-            fps = [f.view(np.uint64) for f in fps]
+        for half, _, ids, fp in whole_groups(batches, ("half", "part"), ("id", "fp")):
+            fp = fp.view(np.uint64)
             for g in np.unique(half & 511).tolist():
                 mine = np.flatnonzero(half & 511 == g)
                 for t, mask in sides[g][1]:
-                    cut = fps[0][mine] & np.uint64(mask)
+                    cut = fp[mine] & np.uint64(mask)
                     order = np.lexsort((ids[mine], cut))
                     own, cut = mine[order], cut[order]
                     again = cut[1:] == cut[:-1]
                     shared = np.append(again, False) | np.append(False, again)  # most variants have one node
                     own, cut = own[shared], cut[shared]
                     if len(own):
-                        yield group_links(np.full(len(own), t), ids[own], [f[own] for f in fps], np.append(0, np.cumsum(cut[1:] != cut[:-1])))
+                        yield group_links(np.full(len(own), t), ids[own], fp[own], np.append(0, np.cumsum(cut[1:] != cut[:-1])))
 
     found = calm.mapInArrow(run_halves, "a long, b long")
     return (found if met is None else found.unionByName(met.mapInArrow(run, "a long, b long"))).distinct()
@@ -292,222 +276,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     smallest = materialized(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = materialized(joined.join(smallest, "root").select("fp", "component_id"))
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """For each set the place of the first in its component, links being Jaccard similarities of ``least`` or more.
-
-    Breadth-first search with an inverted index of the sets not yet reached, built anew when half of them are."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    root = np.full(len(sets), -1)
-
-    def index(rest: np.ndarray):
-        every = np.concatenate([sets[i] for i in rest])
-        order = np.argsort(every, kind="stable")
-        return every[order], np.repeat(np.arange(len(rest)), sizes[rest])[order], rest
-
-    every, owner, rest = index(np.arange(len(sets)))
-    missing = len(sets)
-    for seed in range(len(sets)):
-        if root[seed] >= 0:
-            continue
-        root[seed], front = seed, [seed]
-        missing -= 1
-        while front and missing:
-            if missing < len(rest) // 2:
-                every, owner, rest = index(np.flatnonzero(root < 0))
-            own = sets[front.pop()]
-            low = np.searchsorted(every, own)
-            shared = np.bincount(owner[ragged(low, np.searchsorted(every, own, side="right") - low)], minlength=len(rest))
-            near = rest[(root[rest] < 0) & (shared > 0) & (shared >= least * (sizes[rest] + len(own) - shared))]
-            root[near] = seed
-            missing -= len(near)
-            front.extend(near.tolist())
-    return root
-
-
-def slots(ids: DataFrame, column: str, level: int = 0) -> DataFrame:
-    """The hash slots that ids fall in: at most SLOTS rows, so they may be broadcast whatever their number."""
-    return F.broadcast(ids.select(slot(F.col(column), level).alias("slot")).distinct())
-
-
-def slot(id_: Column, level: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.lit(level), id_), F.lit(SLOTS)).cast("int")
-
-
-def without(rows: DataFrame, ids: DataFrame, lost: DataFrame) -> DataFrame:
-    """``rows`` (uid and more) but those of the uids in ``lost``; ``ids``: the uids of all rows.
-
-    Three filters of hash slots settle nearly every row where it lies: in no slot of a lost uid, it stays; in none of
-    the kept uids that share a slot with a lost one, it goes; in none of the lost uids that share one with those, it
-    stays.  The rest meets the lost uids in a join, so the result is exact."""
-
-    def met(df: DataFrame, by: DataFrame, level: int, how: str) -> DataFrame:
-        return df.join(slots(by, "uid", level), slot(df["uid"], level) == F.col("slot"), how)
-
-    mixed = materialized(met(ids, lost, 0, "left_semi").join(lost, "uid", "left_anti"))
-    again = materialized(met(lost, mixed, 1, "left_semi"))
-    sure = met(rows, lost, 0, "left_anti")
-    unsure = met(met(rows, lost, 0, "left_semi"), mixed, 1, "left_semi")
-    rest = met(unsure, again, 2, "left_semi").join(lost, "uid", "left_anti")
-    return sure.unionByName(met(unsure, again, 2, "left_anti")).unionByName(rest)
-
-
-def verified_links(docs: DataFrame, candidates: DataFrame, width: int, least: float, block: int = 1 << 20) -> DataFrame:
-    """Of the documents (uid, text) in each candidate component (node, root, words): links that have the components of
-    all pairs whose shingle sets are similar enough.  A component of more than ``block`` words is dealt out over pairs
-    of blocks."""
-    whole = materialized(candidates.groupBy("root").agg(F.sum("words").alias("n")))
-    sized = candidates.join(whole, "root").select("node", "root", F.ceil((F.col("n") + 1) / block).cast("int").alias("blocks"))
-    sized = materialized(sized)
-    # Most documents are in no component, and their texts needn't be shuffled.
-    near = docs.join(slots(sized, "node"), slot(docs["uid"]) == F.col("slot"), "left_semi")
-    members = near.join(sized, near["uid"] == sized["node"]).select("root", "blocks", "node", "text")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
-    # Texts are dealt and not their shingles' hashes, which are longer and can't be compressed.
-    dealt = members.select("root", F.explode(groups).alias("part"), "node", "text")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "node")
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def check(batches):
-        for root, part, node, texts in whole_groups(pieces(batches, 4 << 20), ("root", "part"), ("node", "text")):
-            edges = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (part[1:] != part[:-1])))
-            for a, b in zip(edges, np.append(edges[1:], len(root)), strict=True):
-                if b - a < 2:
-                    continue
-                first = _similar([np.unique(shingle_hashes(x or "", width)) for x in texts[a:b]], least)
-                tied = np.flatnonzero(first != np.arange(b - a))
-                x, y = node[a:b][tied], node[a:b][first[tied]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=pair)
-
-    return dealt.mapInArrow(check, "a long, b long").distinct()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The end of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def set_keys(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the place of each key's set: any two sets with a Jaccard similarity of ``least`` or more share a key.
-
-    Sizes fall in classes such that those sets are of the same class or of neighbours; a set has keys at the level of its
-    class and at the next one.  At a level such sets differ in ``apart`` elements at most, so of more parts than that,
-    dealt by the elements' hashes, some are the same in both.  A key is a hash of a part's elements.  An empty part has
-    none; but where so many are empty that two sets may have only those in common, being so is a key."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    places = np.flatnonzero(sizes)
-    if not len(places):
-        return np.zeros(0, np.uint64), places
-    sizes = sizes[places]
-    every = _mixed(np.concatenate([sets[i] for i in places]))
-    edges = [1, 2]  # class c: sizes from edges[c] to edges[c + 1] - 1
-    while edges[-2] <= sizes.max():
-        edges.append(max(edges[-1] + 1, int((edges[-1] - 1) / least + 1e-9) + 1))
-    edges = np.array(edges)
-    keys, owners = [], []
-    for up in (0, 1):
-        level = np.searchsorted(edges, sizes, side="right") - 1 + up
-        apart = (2 * (edges[level + 1] - 1) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
-        parts = apart + 1 + apart // 4
-        start = np.cumsum(parts) - parts
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        part = ((every >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(start[owner] + part, kind="stable")
-        owner, part = owner[order], part[order]
-        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
-        sums = np.add.reduceat(_mixed(every[order]), first)
-        owner, part = owner[first], part[first]
-        few = np.flatnonzero(parts - np.bincount(owner, minlength=len(sizes)) >= parts - apart)
-        name = lambda at, part: _mixed((at.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + np.uint64(1))
-        keys += [_mixed(sums ^ name(level[owner], part + 1)), name(level[few], np.zeros(len(few)))]
-        owners += [owner, few]
-    return np.concatenate(keys), places[np.concatenate(owners)]
-
-
-def _starred(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, the least id of each, and the links (a > b, each once) of the other ids with it."""
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    low = np.repeat(ids[first], np.diff(np.append(first, len(key))))
-    tied = ids != low
-    a, b = ids[tied], low[tied]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    return key[first], ids[first], a[new], b[new]
-
-
-def set_links(docs: DataFrame, width: int, least: float, words: int) -> DataFrame:
-    """a > b: links between documents (uid, text), of ``words`` words in all, such that every pair of a Jaccard similarity
-    of ``least`` or more is in a component.
-
-    Keys are dealt in blocks.  Of the documents with a key, each batch sends one and links the others to it, so a key that
-    very many share comes once a batch."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    many = max(4 * parts, words // 500_000 + 1)
-    sent = pa.schema([("part", pa.int64()), ("tie", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def deal(batches):
-        for batch in pieces(batches, 8 << 20):
-            own = batch.column("uid").to_numpy()
-            keys, place = set_keys([np.unique(shingle_hashes(x, width)) for x in texts_of(batch)], least)
-            keys, ids, a, b = _starred(keys, own[place])  # keys are sorted now
-            part = ((keys >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
-            at = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
-            blocks = [(int(part[i]), 0, keys[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(keys)], strict=True)]
-            if len(a):
-                blocks.append((int(own[0]) % many, 1, a.tobytes(), b.tobytes()))
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*blocks, strict=True), sent, strict=True)], schema=sent)
-
-    def meet(batches):
-        for part, tie, x, y in whole_groups(batches, ("part", "tie"), ("x", "y")):
-            edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (tie[1:] != tie[:-1])))
-            for i, j in zip(edges, np.append(edges[1:], len(part)), strict=True):
-                a, b = np.frombuffer(b"".join(x[i:j]), np.uint64), np.frombuffer(b"".join(y[i:j]), np.int64)
-                a, b = (a.view(np.int64), b) if tie[i] else _starred(a, b)[2:]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pair)
-
-    dealt = docs.select("uid", "text").mapInArrow(deal, "part long, tie long, x binary, y binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "tie").mapInArrow(meet, "a long, b long").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents without all but one (the smallest doc_id) of each group of near-duplicates.
-
-    Exact copies are one node.  Nodes are linked where the sets of their ``width``-word shingles have a Jaccard
-    similarity of ``least`` or more; ``set_links`` loses no such pair.  ``docs`` must be a stable scan (a table), as rows
-    are told apart by their place in it.
-    """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    small = rows.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("words", pa.int64())])
-
-    def run(batches):
-        for batch in pieces(batches):
-            texts = [x.encode() for x in texts_of(batch)]
-            digest, words = [xxhash.xxh3_128_digest(x) for x in texts], [len(x.split()) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(words, pa.int64())], schema=schema)
-
-    marked = materialized(small.mapInArrow(run, "uid long, doc_id long, digest binary, words long"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    texts = materialized(marked.groupBy("digest").agg(F.min(first).alias("first"), F.max("words").alias("words"), F.count("*").alias("copies")))
-    again = texts.where("copies > 1").select("digest", F.col("first.uid").alias("kept"))
-    copies = materialized(marked.select("digest", "uid").join(again, "digest").where("uid <> kept").select("uid"))
-    nodes = without(small.select("uid", "text"), marked.select("uid"), copies)
-    groups = components(set_links(nodes, width, least, texts.agg(F.sum("words")).first()[0] or 0))
-    groups = groups.join(texts.select(F.col("first.uid").alias("node"), "words"), "node")
-    linked = components(verified_links(small.select("uid", "text"), materialized(groups), width, least))
-    # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
-    met = materialized(texts.select("first", F.col("first.uid").alias("node")).join(linked, "node").select("node", "root", "first"))
-    best = materialized(met.groupBy("root").agg(F.min("first").alias("best")))
-    lost = met.join(best, "root").where("first.uid <> best.uid").select(F.col("node").alias("uid"))
-    lost = materialized(lost.unionByName(copies))
-    return without(rows, marked.select("uid"), lost).select("row.*")
