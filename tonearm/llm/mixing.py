@@ -32,9 +32,9 @@ KEEP = 0.5
 ERROR, MOST_ROUNDS = 1e-12, 64
 BROADCAST_CELLS = 50_000
 #: Where no share is given, targets grow as this power of the margin's own share.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 #: Target shares of tokens.
-TARGETS = {"lang": {"en": 0.6}, "topic": {"license": 0.01, "figures": 0.02}}
+TARGETS = {"lang": {"en": 0.6}, "topic": {"license": 0.02}}
 
 
 def tokens() -> Column:
