@@ -194,7 +194,7 @@ def error_text(code: Column, message: Column) -> Column:
 
 
 def http_error_code(status: Column, timeout: Column) -> Column:
-    return F.when(timeout, "SOURCE_TIMEOUT").when(status.isin(401, 403), "SOURCE_AUTH_EXPIRED").otherwise("SOURCE_UNAVAILABLE")
+    return F.when(timeout, "SOURCE_TIMEOUT").when(status.isin(401, 403), "SOURCE_AUTH_EXPIRED").otherwise("INVALID_SOURCE")
 
 
 def http_retryable(status: Column, timeout: Column) -> Column:
