@@ -113,9 +113,15 @@ def test_cache_and_queue():
     assert not folds.cache_step(s, {"request": 3, "item": "b", "size": 1, "most": 0})[1][0]["hit"]
     q, seen = folds.queue_start(2), []
     for i, kind in enumerate(["stateChanged", "stateChanged", "error", "nextNeeded"]):
-        q, out = folds.queue_step(q, {"request": i, "kind": kind})
+        q, out = folds.queue_step(q, {"request": i, "kind": kind, "who": 1})
         seen.append(out[0]["dropped"])
     assert seen == [None, 0, None, 1]
+    q = folds.queue_start(9)
+    for i, who in enumerate([1, 2, 2, 1]):
+        q, out = folds.queue_step(q, {"request": i, "kind": "stateChanged", "who": who})
+    assert [x[0] for x in q["held"]] == [0, 2, 3]  # another stream's state isn't merged
+    q, out = folds.queue_step(q, {"request": 9, "kind": "drain", "who": 1})
+    assert out[0]["held"] == 2 and [x[0] for x in q["held"]] == [2]
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -39,13 +39,13 @@ def in_range(s: Column) -> Column:
     return F.forall(s, lambda x: ~F.isnan(x) & (F.abs(x) <= 1))
 
 
-def apply_volume(s: Column, gain) -> Column:
-    """Zero gain gives silence, unit gain leaves samples in range alone, and above one the soft limiter holds."""
+def apply_volume(s: Column, gain, limiter=True) -> Column:
+    """Zero gain gives silence, unit gain leaves samples in range alone, and above one the soft limiter holds if it is on."""
     g = lit(gain)
     return (
         F.when(g == 0, F.transform(s, lambda x: F.lit(0.0)))
         .when((g == 1) & in_range(s), F.transform(s, lambda x: x.cast("double")))
-        .when(g > 1, F.transform(s, lambda x: soft_limit(x.cast("double") * g)))
+        .when((g > 1) & lit(limiter), F.transform(s, lambda x: soft_limit(x.cast("double") * g)))
         .otherwise(F.transform(s, lambda x: hard_gain(x.cast("double"), g)))
     )
 

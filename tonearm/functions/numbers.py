@@ -19,6 +19,11 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bound(x: Column, f) -> Column:
+    """f of a column that is computed once, and stands in the plan once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def clamp(x: Column, low, high) -> Column:
     """Between two limits; NaN stays NaN."""
     return F.when(F.isnan(x), x).otherwise(F.greatest(F.least(x, lit(high)), lit(low)))
@@ -153,23 +158,26 @@ def replay_gain(track_gain, album_gain, track_peak, album_peak, album_mode=False
     and to hundredths of a decibel."""
     sides = [("track", lit(track_gain), lit(track_peak)), ("album", lit(album_gain), lit(album_peak))]
     first, second = sides[::-1] if album_mode else sides
-    use_first = first[1].isNotNull()
-    usable = use_first | (second[1].isNotNull() & lit(fallback))
-    source = F.when(use_first, first[0]).when(usable, second[0])
-    gain = F.when(use_first, first[1]).when(usable, second[1])
-    peak = F.when(use_first, first[2]).when(usable, second[2])
-    asked = gain + lit(preamp)
-    most = F.when(peak.isNotNull() & lit(prevent_clipping), lit(target_peak) - dbfs(peak))
-    clipped = F.coalesce(asked > most, F.lit(False))
-    capped = F.when(clipped, most).otherwise(asked)
-    held = clamp(capped, -60.0, 12.0)
-    return F.when(
-        usable,
-        F.struct(
-            source.alias("source"), asked.alias("requested_db"), (F.round(held * 100) / 100).alias("gain_db"), clipped.alias("clipping_limited"),
-            (F.abs(held - capped) > 1e-4).alias("range_limited"),
-        ),
-    )
+    # Each step is computed once and bound, so the plan holds it once.
+    choice = lambda name, side: F.struct(F.lit(name).alias("source"), side[0].cast("double").alias("gain"), side[1].cast("double").alias("peak"))
+    chosen = F.when(first[1].isNotNull(), choice(first[0], first[1:])).when(second[1].isNotNull() & lit(fallback), choice(second[0], second[1:]))
+
+    def limited(c: Column) -> Column:
+        asked = c["gain"] + lit(preamp)
+        most = F.when(c["peak"].isNotNull() & lit(prevent_clipping), lit(target_peak) - dbfs(c["peak"]))
+        return bound(F.struct(c["source"].alias("source"), asked.alias("asked"), most.alias("most")), capped)
+
+    def capped(c: Column) -> Column:
+        clipped = F.coalesce(c["asked"] > c["most"], F.lit(False))
+        return bound(F.struct(c["source"].alias("source"), c["asked"].alias("asked"), clipped.alias("clipped"), F.when(clipped, c["most"]).otherwise(c["asked"]).alias("gain")), ranged)
+
+    def ranged(c: Column) -> Column:
+        held = clamp(c["gain"], -60.0, 12.0)
+        return F.struct(
+            c["source"].alias("source"), c["asked"].alias("requested_db"), (F.round(held * 100) / 100).alias("gain_db"), c["clipped"].alias("clipping_limited"), (F.abs(held - c["gain"]) > 1e-4).alias("range_limited"),
+        )
+
+    return F.when(first[1].isNotNull() | (second[1].isNotNull() & lit(fallback)), bound(chosen, limited))
 
 
 def hex_bytes(x: Column, width: int) -> Column:
@@ -193,6 +201,28 @@ def error_text(code: Column, message: Column) -> Column:
     return F.concat_ws(": ", code, message)
 
 
+def report_percent_ms(fraction: Column, jitter_us: Column, rtt_us: Column) -> Column:
+    """A receiver report as it is handed out: loss in percent, jitter and round trip in milliseconds."""
+    return F.struct(loss_percent(fraction).alias("loss_percent"), (jitter_us / 1000.0).alias("jitter_ms"), (rtt_us / 1000.0).alias("rtt_ms"))
+
+
+def capped_u32(x: Column) -> Column:
+    return F.least(x, F.lit(U32 - 1))
+
+
+def projected_rtp(rtp: Column, at_micros: Column, now_micros: Column, rate: int = SAMPLE_RATE) -> Column:
+    """The RTP time that stands for now, from one that stood for an instant before."""
+    return wrap(rtp + samples_of_micros(F.greatest(now_micros - at_micros, F.lit(0)), rate))
+
+
+def volume_error(unit: Column) -> Column:
+    return F.when(F.isnan(unit) | ~unit.between(0, 1) | unit.isNull(), "INVALID_CONFIG")
+
+
+def gain_error(db: Column) -> Column:
+    return F.when(F.isnan(db) | ~db.between(-60, 12) | db.isNull(), "INVALID_CONFIG")
+
+
 def http_error_code(status: Column, timeout: Column) -> Column:
     return F.when(timeout, "SOURCE_TIMEOUT").when(status.isin(401, 403), "SOURCE_AUTH_EXPIRED").otherwise("INVALID_SOURCE")
 

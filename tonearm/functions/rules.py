@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import bound
+
 INVALID_SOURCE, INVALID_CONFIG, UNSUPPORTED = "INVALID_SOURCE", "INVALID_CONFIG", "UNSUPPORTED"
 HINT = "^[A-Za-z0-9]{1,16}$"
 MIN_MTU, MAX_DATAGRAM, MIN_KEEPALIVE_MS, MAX_KEEPALIVE_MS = 64, 65_507, 1000, 60_000
@@ -37,11 +39,6 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in conditions))
 
 
-def let(x: Column, f) -> Column:
-    """f of a column that is computed once, and stands in the plan once."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def v4_number(dotted: str) -> int:
     return reduce(lambda a, b: a * 256 + int(b), dotted.split("."), 0)
 
@@ -92,13 +89,13 @@ def host_ipv4(host: Column) -> Column:
         sum_ = F.aggregate(F.transform(first(), lambda x, i: x * F.pow(F.lit(256.0), F.lit(3) - i).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y) + last
         return F.when(F.coalesce(good, F.lit(False)), sum_).otherwise(F.lit(-1).cast("long"))
 
-    return F.when(host.rlike(r"(^|\.)([0-9]+|0[xX][0-9A-Fa-f]*)\.?$"), let(F.transform(labels, number), value))
+    return F.when(host.rlike(r"(^|\.)([0-9]+|0[xX][0-9A-Fa-f]*)\.?$"), bound(F.transform(labels, number), value))
 
 
 def ipv6(text: Column) -> Column:
     """The eight 16-bit groups of an address in any spelling; null if it is none."""
     as_hex = lambda v4: F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(v4, 16))), F.lit(":"), F.lower(F.hex(v4.bitwiseAND(65_535))))
-    whole = F.when(F.contains(text, F.lit(".")), let(ipv4(F.regexp_extract(text, r":([0-9.]+)$", 1)), as_hex)).otherwise(text)
+    whole = F.when(F.contains(text, F.lit(".")), bound(ipv4(F.regexp_extract(text, r":([0-9.]+)$", 1)), as_hex)).otherwise(text)
     part = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
 
     def full(halves: Column) -> Column:
@@ -108,20 +105,20 @@ def ipv6(text: Column) -> Column:
         room = F.when(short & (n <= 7), F.lit(8) - n).when((F.size(halves) == 1) & (n == 8), 0)
         return F.when(room.isNotNull(), F.concat(F.get(halves, 0), F.array_repeat(F.lit("0"), room), F.coalesce(F.get(halves, 1), F.array().cast("array<string>"))))
 
-    groups = let(F.transform(F.split(whole, "::", -1), part), full)
+    groups = bound(F.transform(F.split(whole, "::", -1), part), full)
     numbers = lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))
-    return let(groups, numbers)
+    return bound(groups, numbers)
 
 
 def host_kind(host: Column) -> Column:
     """public, private or broken: of a literal address, or of what looks like one; other names are public."""
     v4 = lambda n: F.when(n < 0, "broken").when(n.isNull() | public_ipv4(n), "public").otherwise("private")
     v6 = lambda g: F.when(g.isNull(), "broken").when(public_ipv6(g), "public").otherwise("private")
-    return F.when(host.startswith("["), let(ipv6(F.regexp_replace(host, r"^\[|\]$", "")), v6)).otherwise(let(host_ipv4(host), v4))
+    return F.when(host.startswith("["), bound(ipv6(F.regexp_replace(host, r"^\[|\]$", "")), v6)).otherwise(bound(host_ipv4(host), v4))
 
 
 def url_policy(url: Column, public_only: bool = False) -> Column:
-    scheme, kind = F.lower(url_part(url, "protocol")), let(F.lower(url_part(url, "host")), lambda h: F.when(h == "", "broken").otherwise(host_kind(h)))
+    scheme, kind = F.lower(url_part(url, "protocol")), bound(F.lower(url_part(url, "host")), lambda h: F.when(h == "", "broken").otherwise(host_kind(h)))
     bad = [url.isNull(), ~scheme.isin("http", "https"), kind.isin(["broken", "private"] if public_only else ["broken"])]
     if public_only:
         port = url_part(url, "port")

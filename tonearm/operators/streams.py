@@ -34,12 +34,14 @@ def counter_delta(x: Column, key: str, order: list[str]) -> Column:
 
 
 def floor_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at place floor((n - 1) * p) of the sorted values, by ranks and not by collecting them."""
+    """The value at place floor((n - 1) * p) of the sorted values.  Equal values are counted first, so a key's window goes
+    over its distinct values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_at"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(key).agg(
-        F.count("*").alias("n"), *[F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * F.lit(p)), F.col(value))).alias(name) for name, p in shares.items()]
-    )
+    ranked = counted.select(key, value, "_c", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_to"), F.sum("_c").over(w).alias("_n"))
+    at = lambda p: F.floor((F.col("_n") - 1) * F.lit(p))
+    inside = lambda p: (at(p) < F.col("_to")) & (at(p) >= F.col("_to") - F.col("_c"))
+    return ranked.groupBy(key).agg(F.sum("_c").alias("n"), *[F.max(F.when(inside(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def version_gate(df: DataFrame, key: str, order: list[str], version: str) -> DataFrame:
@@ -73,8 +75,9 @@ def single_flight(df: DataFrame, key: Column, order: list) -> DataFrame:
 
 
 def status_lookup(ids: DataFrame, status: DataFrame, key: str) -> DataFrame:
-    """Every asked id, duplicates kept, with its status or STREAM_NOT_FOUND."""
-    return ids.join(status, key, "left").withColumn("code", F.when(F.col("state").isNull(), "STREAM_NOT_FOUND"))
+    """Every asked id, duplicates kept, with its status; BUSY while it is starting, or STREAM_NOT_FOUND."""
+    out = ids.join(status, key, "left").withColumn("code", F.when(F.col("state").isNull(), "STREAM_NOT_FOUND").when(F.col("starting"), "BUSY"))
+    return out.withColumn("ok", F.col("code").isNull()).withColumn("generation", F.when(F.col("ok"), F.col("generation")))
 
 
 def islands(start: Column, key: list[str], order: list[str]) -> Column:
@@ -88,12 +91,13 @@ def byte_offsets(segments: DataFrame, playlist: str, order: list[str]) -> DataFr
     w = Window.partitionBy(playlist).orderBy(*order)
     follows = (F.lag("uri").over(w) == F.col("uri")) & F.lag("range_len").over(w).isNotNull()
     fresh = F.col("range_off").isNotNull() | ~F.coalesce(follows, F.lit(False))
-    out = segments.withColumn("_run", islands(fresh, [playlist], order))
-    own = Window.partitionBy(playlist, "_run").orderBy(*order)
-    before = F.coalesce(F.sum("range_len").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("offset", F.first("range_off").over(own) + before)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = segments.withColumns({"_fresh": fresh, "_to": F.coalesce(F.sum("range_len").over(so_far), F.lit(0)) - F.coalesce("range_len", F.lit(0))})
+    # What a run began with against the lengths up to there; one order serves all windows.
+    begun = F.last(F.when(F.col("_fresh"), F.struct((F.col("range_off") - F.col("_to")).alias("base"))), ignorenulls=True).over(so_far)
+    out = out.withColumn("offset", begun["base"] + F.col("_to"))
     bad = F.col("range_len").isNotNull() & (F.col("offset").isNull() | (F.col("range_len") <= 0))
-    return out.withColumn("error", F.when(bad, "INVALID_SOURCE")).drop("_run")
+    return out.withColumn("error", F.when(bad, "INVALID_SOURCE")).drop("_fresh", "_to")
 
 
 def live_edge(segments: DataFrame, playlist: str, order: list[str], end_list: Column, depth: int = 3) -> DataFrame:
@@ -102,24 +106,69 @@ def live_edge(segments: DataFrame, playlist: str, order: list[str], end_list: Co
     return segments.withColumn("_left", from_end).where(end_list | (F.col("_left") <= depth)).drop("_left")
 
 
-def choose_variant(variants: DataFrame, profiles: DataFrame, master: str, order: str) -> DataFrame:
-    """One variant of each master: supported, without video, best codec, least bandwidth, first in order.
-
-    Codec rank and bandwidth of an audio group stand for those of its variants."""
-    own = variants.join(profiles, [master, "audio_group"], "left")
-    rank = F.coalesce("group_rank", F.lit(2))
-    return first_by(own.where(~F.col("is_i_frame")), [master], [rank == 3, "has_video", rank, F.coalesce("group_bandwidth", F.lit(N.I64)), order])
-
-
-def count_windows(samples: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    """Tumbling windows of ``size`` values across rows; the last is padded with zeros."""
-    w = Window.partitionBy(key).orderBy(*order)
-    placed = samples.withColumn("_at", F.row_number().over(w) - 1)
-    return (
-        placed.groupBy(key, N.idiv(F.col("_at"), size).alias("frame"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("_v"))
-        .select(key, "frame", (F.col("frame") * size).alias("position"), F.size("_v").alias("n_values"), F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_v"))).alias("samples"))
-    )
+def choose_media(variants: DataFrame, renditions: DataFrame, master: str, order: str) -> DataFrame:
+    """master, branch and order column of what each master playlist plays: the best audio rendition, or else the best variant.
+
+    Variants have audio_group, rank (0 verified, 1 unknown, 2 unsupported), bandwidth, has_video, is_i_frame; renditions
+    audio_group, uri, is_default, autoselect, channel_rank.  A group's rank and bandwidth are the least of its variants'."""
+    groups = variants.where("audio_group IS NOT NULL").groupBy(master, "audio_group").agg(F.min("rank").alias("_rank"), F.min("bandwidth").alias("_bandwidth"))
+    grouped = groups.select(master).distinct().withColumn("_grouped", F.lit(True))
+    own = renditions.where("uri IS NOT NULL").join(groups, [master, "audio_group"], "left").join(grouped, master, "left")
+    rank = F.coalesce("_rank", F.lit(1))
+    own = own.where((F.col("_rank").isNotNull() | F.col("_grouped").isNull()) & (rank != 2))
+    first = lambda *by: F.min(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(by)], F.col(order)))[order].alias(order)
+    audio = own.groupBy(master).agg(first(rank, ~F.col("is_default"), ~F.col("autoselect"), F.col("channel_rank"), F.coalesce("_bandwidth", F.lit(N.I64))))
+    rest = variants.where(~F.col("is_i_frame")).groupBy(master).agg(first(F.col("rank") == 2, F.col("has_video"), F.col("rank"), F.col("bandwidth")))
+    met = rest.withColumnRenamed(order, "_variant").join(audio, master, "full")
+    return met.select(master, F.when(F.col(order).isNotNull(), "rendition").otherwise("variant").alias("branch"), F.coalesce(order, "_variant").alias(order))
+
+
+def count_windows(chunks: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
+    """Tumbling windows of ``size`` values across rows of arrays; the last is padded with zeros.
+
+    A row is placed by the lengths before it and cut at the windows' edges, so values are never rows."""
+    before = F.coalesce(F.sum(F.size(value)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = chunks.where(F.size(value) > 0).withColumn("_at", before)
+    at = F.col("_at")
+    frames = placed.withColumn("frame", F.explode(F.sequence(N.idiv(at, size), N.idiv(at + F.size(value) - 1, size))))
+    low = F.greatest(F.col("frame") * size - at, F.lit(0))
+    high = F.least((F.col("frame") + 1) * size - at, F.size(value))
+    cut = frames.select(key, "frame", (at + low).alias("_at"), F.slice(value, (low + 1).cast("int"), (high - low).cast("int")).alias("_v"))
+    whole = cut.groupBy(key, "frame").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"])).alias("_v"))  # one frame's values
+    padded = F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_v")))
+    return whole.select(key, "frame", (F.col("frame") * size).alias("position"), F.size("_v").alias("n_values"), padded.alias("samples"))
+
+
+def primed(frames: DataFrame, key: str, order: list[str], produced: str, prime: Column) -> DataFrame:
+    """The row at which each source has produced enough, or its last; ready if there is anything, ended_short if not enough."""
+    enough = (F.col(produced) >= prime) & (F.col(produced) > 0)
+    at = F.struct(*order)
+    row = F.struct(*frames.columns)
+    out = frames.groupBy(key).agg(F.min_by(row, F.when(enough, at)).alias("_first"), F.max_by(row, at).alias("_last"), F.bool_or(enough).alias("_any"))
+    out = out.select(F.when(F.col("_any"), F.col("_first")).otherwise(F.col("_last")).alias("x"), (~F.col("_any")).alias("_short")).select("x.*", "_short")
+    none = F.col(produced) == 0
+    return out.withColumns({"ready": ~none, "ended_short": F.col(produced) < prime, "code": F.when(none, "DECODE_ERROR")}).drop("_short")
+
+
+def shared_transfer(log: DataFrame, flight: str, who: str, order: list[str]) -> DataFrame:
+    """After each entry of a transfer's log (kind: subscribe, leave, pause, resume, promote): its subscribers, those not
+    paused, whether it has ever had a current one, and its gate (running while any isn't paused, cancelled when the last
+    leaves).  What a subscriber that isn't there asks for is ignored."""
+    kind = F.col("kind")
+    own = Window.partitionBy(flight, who).orderBy(*order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(False))
+    here = last(F.when(kind == "subscribe", F.lit(True)).when(kind == "leave", F.lit(False)))
+    awake = last(F.when(kind.isin("subscribe", "resume"), F.lit(True)).when(kind == "pause", F.lit(False)))
+    out = log.withColumn("_here", here).withColumn("_active", F.col("_here") & awake)
+    step = lambda c: F.col(c).cast("int") - F.coalesce(F.lag(c).over(own), F.lit(False)).cast("int")
+    out = out.withColumns({"_dh": step("_here"), "_da": step("_active")})
+    whole = Window.partitionBy(flight).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns(
+        {"subscribers": F.sum("_dh").over(whole), "active": F.sum("_da").over(whole), "current_priority": F.bool_or((kind == "promote") & F.col("_here")).over(whole)}
+    )
+    gate = F.when(F.col("subscribers") == 0, F.when(F.col("_dh") < 0, "cancelled").otherwise("idle")).when(F.col("active") > 0, "running").otherwise("paused")
+    return out.withColumn("gate", gate).drop("_here", "_active", "_dh", "_da")
 
 
 def long_runs(df: DataFrame, key: str, order: list[str], bad: Column, most: int) -> DataFrame:

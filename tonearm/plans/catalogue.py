@@ -154,12 +154,19 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type").select("user_id", "event_id", F.row_number().over(w).alias("place"))
 
 
-@query("""WITH last AS (SELECT user_id, event_type AS state, event_id AS generation FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
-SELECT r.range AS user_id, state, generation, CASE WHEN state IS NULL THEN 'STREAM_NOT_FOUND' END AS code FROM range(0, 200) r LEFT JOIN last ON last.user_id = r.range""")
+@query("""WITH last AS (SELECT user_id, event_type AS state, event_id AS generation FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+own AS (SELECT user_id AS id, 0 AS copy FROM last UNION ALL SELECT user_id, 1 FROM last WHERE user_id % 7 = 0 UNION ALL SELECT user_id + 1000000, 0 FROM last WHERE user_id % 10 = 0)
+SELECT id, copy, state IS NOT NULL AND state <> 'signup' AS ok, CASE WHEN state <> 'signup' THEN generation END AS generation,
+  CASE WHEN state IS NULL THEN 'STREAM_NOT_FOUND' WHEN state = 'signup' THEN 'BUSY' END AS code FROM own LEFT JOIN last ON last.user_id = own.id""")
 def status_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user is asked for, some twice, and some that don't exist."""
     e = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type")
-    last = S.first_by(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_type").alias("state"), F.col("event_id").alias("generation"))
-    return S.status_lookup(spark.range(200).withColumnRenamed("id", "user_id"), last, "user_id")
+    last = e.groupBy("user_id").agg(F.max_by(F.struct("event_type", "event_id"), F.struct("ts", "event_id")).alias("x"))
+    last = last.select("user_id", F.col("x.event_type").alias("state"), F.col("x.event_id").alias("generation"))
+    id_ = F.col("user_id")
+    asked = F.concat(F.array(F.struct(id_.alias("id"), F.lit(0).alias("copy"))), *[F.when(c, F.array(F.struct(x.alias("id"), F.lit(n).alias("copy")))).otherwise(F.array()) for c, x, n in ((id_ % 7 == 0, id_, 1), (id_ % 10 == 0, id_ + 1_000_000, 0))])
+    ids = last.select(F.explode(asked).alias("x")).select("x.id", "x.copy")
+    return S.status_lookup(ids, last.withColumnRenamed("user_id", "id").withColumn("starting", F.col("state") == "signup"), "id").select("id", "copy", "ok", "generation", "code")
 
 
 @query("""SELECT vec_id, round(peak, 9) AS peak, round(CASE WHEN peak <= 0 THEN -120 ELSE greatest(20 * log10(peak), -120) END, 6) AS dbfs, peak <= 1 AS in_range
@@ -169,30 +176,30 @@ def pcm_peak_dbfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round("p", 9).alias("peak"), F.round(N.dbfs(F.col("p")), 6).alias("dbfs"), A.in_range(F.col("embedding")).alias("in_range"))
 
 
-def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return e.select("vec_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.col("x").cast("double"))
+_SAMPLED_SQL = "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS place, unnest(embedding)::DOUBLE AS x FROM embeddings"
 
 
-_SAMPLED_SQL = "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS place, unnest(embedding)::DOUBLE AS x FROM embeddings"
+def _each_sample(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(f(x.cast("double")), 9))).alias("place", "y"))
 
 
 @query(f"SELECT vec_id, place, round(greatest(least(x * 4, 1), -1), 9) AS y FROM ({_SAMPLED_SQL})")
 def pcm_gain_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sampled(spark, sf_dir).select("vec_id", "place", F.round(N.hard_gain(F.col("x"), 4.0), 9).alias("y"))
+    return _each_sample(spark, sf_dir, lambda x: N.hard_gain(x, 4.0))
 
 
 @query(f"""SELECT vec_id, place, round(CASE WHEN abs(x * 4) <= 0.95 THEN x * 4 ELSE sign(x) * least(0.95 + 0.05 * (1 - exp(-(abs(x * 4) - 0.95) / 0.05::DOUBLE)), 1) END, 9) AS y
 FROM ({_SAMPLED_SQL})""")
 def pcm_soft_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sampled(spark, sf_dir).select("vec_id", "place", F.round(N.soft_limit(F.col("x") * 4.0), 9).alias("y"))
+    return _each_sample(spark, sf_dir, lambda x: N.soft_limit(x * 4.0))
 
 
-@query("""SELECT vec_id, list_transform(range(0, 16), lambda i: round(greatest(least(embedding[4*i+1]::DOUBLE + (embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) * 0.25, 1), -1), 9)) AS l,
-  list_transform(range(0, 16), lambda i: round(greatest(least(embedding[4*i+2]::DOUBLE + (embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) * 0.25, 1), -1), 9)) AS r FROM embeddings""")
+@query("""SELECT vec_id, list_transform(range(0, len(embedding) // 4), lambda i: round(greatest(least(embedding[4*i+1]::DOUBLE + (embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) * 0.25, 1), -1), 9)) AS l,
+  list_transform(range(0, len(embedding) // 4), lambda i: round(greatest(least(embedding[4*i+2]::DOUBLE + (embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) * 0.25, 1), -1), 9)) AS r FROM embeddings WHERE len(embedding) % 4 = 0""")
 def pcm_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("s", A.downmix(F.col("embedding"), 4))
-    side = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.round(F.get("s", i * 2 + c), 9))
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", A.downmix(F.col("embedding"), 4).alias("s")).where("s IS NOT NULL")
+    side = lambda c: F.transform(F.filter("s", lambda x, i: i % 2 == c), lambda x: F.round(x, 9))
     return e.select("vec_id", side(0).alias("l"), side(1).alias("r"))
 
 
@@ -201,8 +208,8 @@ f AS (SELECT label, i // 48 AS frame, list(x ORDER BY i) AS v FROM s GROUP BY AL
 SELECT label, frame::BIGINT AS frame, (frame * 48)::BIGINT AS position, len(v)::INTEGER AS n_values, list_concat(v, list_transform(range(0, 48 - len(v)), lambda i: 0.0::DOUBLE)) AS samples FROM f""")
 def pcm_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    s = e.select("label", "vec_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round(F.col("x").cast("double"), 7))
-    return S.count_windows(s, "label", ["vec_id", "place"], "x", 48)
+    s = e.select("label", "vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 7)).alias("x"))
+    return S.count_windows(s, "label", ["vec_id"], "x", 48)
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_retailprice / 100 - 12 END AS tg, CASE WHEN p_size % 4 <> 0 THEN p_size / 4.0::DOUBLE - 6 END AS ag,
@@ -236,7 +243,7 @@ _URL = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:]*)(?:
 
 @query(f"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, {_URL}, 1)) AS scheme, lower(regexp_extract(url, {_URL}, 3)) AS host, regexp_extract(url, {_URL}, 2) AS auth, regexp_extract(url, {_URL}, 4) AS port FROM pages)
 SELECT page_id, scheme, host, CASE WHEN url IS NULL OR scheme NOT IN ('http', 'https') OR host = '' THEN 'INVALID_SOURCE' END AS provider,
-  CASE WHEN url IS NULL OR scheme <> 'https' OR host IN ('', 'localhost') OR auth <> '' OR port NOT IN ('', '443') THEN 'INVALID_SOURCE' END AS public_only,
+  CASE WHEN url IS NULL OR scheme <> 'https' OR host = '' OR auth <> '' OR port NOT IN ('', '443') THEN 'INVALID_SOURCE' END AS public_only,
   nullif(lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '\\.([A-Za-z0-9]{{1,16}})$', 1)), '') AS extension FROM u""")
 def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
@@ -246,11 +253,13 @@ def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _blocks_sql(n: str) -> str:
-    return " OR ".join(f"{n} BETWEEN {R.v4_number(a)} AND {R.v4_number(a) + (1 << (32 - b)) - 1}" for a, b in R.NON_PUBLIC_V4)
+#: Written down here by the first and last address, apart from the rule.
+_PRIVATE_SQL = """n < 16777216 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 1681915904 AND 1686110207 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183
+  OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225727 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3227017984 AND 3227018239 OR n BETWEEN 3232235520 AND 3232301055
+  OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 3758096384"""
 
 
-@query(f"""SELECT event_id, address, NOT ({_blocks_sql('n')}) AS public FROM (SELECT event_id, n, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address
+@query(f"""SELECT event_id, address, NOT ({_PRIVATE_SQL}) AS public FROM (SELECT event_id, n, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS address
   FROM (SELECT event_id, event_id * 2654435761 % 4294967296 AS n FROM events))""")
 def public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") * 2_654_435_761 % N.U32
@@ -259,26 +268,32 @@ def public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "address", R.public_ipv4(R.ipv4(F.col("address"))).alias("public"))
 
 
-_VARIANTS_SQL = """SELECT p_partkey AS ord, p_brand AS master, 'g' || (p_size % 7) AS audio_group, p_size * 1000 AS bandwidth,
+_VARIANTS_SQL = """SELECT p_partkey AS ord, p_brand AS master, CASE WHEN p_partkey % 4 <> 0 THEN 'g' || (p_size % 7) END AS audio_group, p_size * 1000 AS bandwidth, p_size % 6 = 0 AS sized,
   CASE p_partkey % 5 WHEN 0 THEN 'mp4a.40.2' WHEN 1 THEN 'avc1.64, mp4a.40.2' WHEN 2 THEN 'ec-3' WHEN 3 THEN NULL ELSE 'opus' END AS codecs, p_partkey % 11 = 0 AS is_i_frame FROM part"""
-_CLASS_SQL = "CASE WHEN codecs LIKE '%mp4a.40.2%' THEN 1 WHEN codecs IN ('ec-3', 'opus') THEN 3 ELSE 2 END"
+_RENDITIONS_SQL = """SELECT p_partkey AS ord, p_brand AS master, 'g' || (p_size % 9) AS audio_group, CASE WHEN p_partkey % 2 = 0 THEN 'audio' || p_partkey END AS uri, p_partkey % 5 = 0 AS is_default,
+  p_partkey % 3 <> 0 AS autoselect, CASE p_size % 4 WHEN 0 THEN '2' WHEN 1 THEN '6' WHEN 2 THEN '1/x' END AS channels FROM part WHERE p_partkey % 7 < 3 AND p_size % 3 = 0 AND substr(p_brand, 7, 1) IN ('1', '2', '3')"""
 
 
-@query(f"""WITH v AS (SELECT *, {_CLASS_SQL} AS rank, coalesce(codecs LIKE '%avc%', false) AS video FROM ({_VARIANTS_SQL})),
-g AS (SELECT master, audio_group, min(rank) AS group_rank, min(bandwidth) AS group_bandwidth FROM v WHERE ord % 3 <> 0 GROUP BY ALL)
-SELECT master, ord, codecs, group_rank, group_bandwidth::BIGINT AS group_bandwidth FROM (SELECT v.*, g.group_rank, g.group_bandwidth, row_number() OVER (PARTITION BY v.master
-  ORDER BY coalesce(group_rank, 2) = 3, video, coalesce(group_rank, 2), coalesce(group_bandwidth, 9223372036854775807), ord) AS place FROM v LEFT JOIN g ON g.master = v.master AND g.audio_group = v.audio_group WHERE NOT is_i_frame) WHERE place = 1""")
+@query(f"""WITH v AS (SELECT *, CASE WHEN codecs LIKE '%mp4a.40.2%' THEN 0 WHEN codecs = 'ec-3' THEN 2 ELSE 1 END AS rank, coalesce(codecs LIKE '%avc1.%', false) OR sized AS video FROM ({_VARIANTS_SQL})),
+g AS (SELECT master, audio_group, min(rank) AS rank, min(bandwidth) AS bandwidth FROM v WHERE audio_group IS NOT NULL GROUP BY ALL),
+a AS (SELECT r.*, g.rank, g.bandwidth, row_number() OVER (PARTITION BY r.master ORDER BY coalesce(g.rank, 1), NOT is_default, NOT autoselect, CASE WHEN channels IN ('2', '1/x') THEN 0 ELSE 1 END, coalesce(g.bandwidth, 9223372036854775807), r.ord) AS place
+  FROM ({_RENDITIONS_SQL}) r LEFT JOIN g ON g.master = r.master AND g.audio_group = r.audio_group WHERE uri IS NOT NULL AND (g.rank IS NOT NULL OR r.master NOT IN (SELECT master FROM g)) AND coalesce(g.rank, 1) <> 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY master ORDER BY rank = 2, video, rank, bandwidth, ord) AS place FROM v WHERE NOT is_i_frame)
+SELECT b.master, CASE WHEN a.ord IS NOT NULL THEN 'rendition' ELSE 'variant' END AS branch, coalesce(a.ord, b.ord) AS ord FROM b LEFT JOIN a ON a.master = b.master AND a.place = 1 WHERE b.place = 1""")
 def variant_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, key = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size"), F.col("p_partkey")
+    p, key, size = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size"), F.col("p_partkey"), F.col("p_size")
     codecs = F.when(key % 5 == 0, "mp4a.40.2").when(key % 5 == 1, "avc1.64, mp4a.40.2").when(key % 5 == 2, "ec-3").when(key % 5 == 4, "opus")
+    own = [key.alias("ord"), F.col("p_brand").alias("master")]
     v = p.select(
-        key.alias("ord"), F.col("p_brand").alias("master"), F.concat(F.lit("g"), (F.col("p_size") % 7).cast("string")).alias("audio_group"),
-        (F.col("p_size").cast("long") * 1000).alias("bandwidth"), codecs.alias("codecs"), (key % 11 == 0).alias("is_i_frame"),
+        *own, F.when(key % 4 != 0, F.concat(F.lit("g"), (size % 7).cast("string"))).alias("audio_group"), (size.cast("long") * 1000).alias("bandwidth"), codecs.alias("codecs"),
+        (size % 6 == 0).alias("sized"), (key % 11 == 0).alias("is_i_frame"),
+    )
+    r = p.where((key % 7 < 3) & (size % 3 == 0) & F.substring("p_brand", 7, 1).isin("1", "2", "3")).select(
+        *own, F.concat(F.lit("g"), (size % 9).cast("string")).alias("audio_group"), F.when(key % 2 == 0, F.concat(F.lit("audio"), key.cast("string"))).alias("uri"), (key % 5 == 0).alias("is_default"),
+        (key % 3 != 0).alias("autoselect"), F.when(size % 4 == 0, "2").when(size % 4 == 1, "6").when(size % 4 == 2, "1/x").alias("channels"),
     )
-    kind = R.codec_class(F.col("codecs"))
-    v = v.withColumns({"rank": F.when(kind == "verified", 1).when(kind == "unsupported", 3).otherwise(2), "has_video": R.has_video(F.col("codecs"))})
-    g = v.where("ord % 3 <> 0").groupBy("master", "audio_group").agg(F.min("rank").alias("group_rank"), F.min("bandwidth").alias("group_bandwidth"))
-    return S.choose_variant(v, g, "master", "ord").select("master", "ord", "codecs", "group_rank", "group_bandwidth")
+    v = v.withColumns({"rank": R.codec_rank(F.col("codecs")), "has_video": R.has_video(F.col("codecs")) | F.col("sized")})
+    return S.choose_media(v, r.withColumn("channel_rank", R.channel_rank(F.col("channels"))), "master", "ord")
 
 
 @query(f"""SELECT l_orderkey, l_partkey, l_linenumber, place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES_SQL}) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
@@ -347,14 +362,20 @@ def rtp_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("event_id", seq.alias("sequence"), ts.alias("rtp_timestamp"), N.duration_ms(F.col("samples"), 48_000).alias("position_ms"), F.lower(F.hex(N.rtp_header(F.col("sent") == 0, 111, seq, ts, F.col("user_id")))).alias("header"))
 
 
-@query("""SELECT event_id, user_id, greatest(sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS buffered_ms
-FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 20 ELSE -20 END AS d FROM events)""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'view' THEN 20 WHEN 'signup' THEN 60 WHEN 'click' THEN 500 END AS d, event_type = 'error' AS cleared FROM events),
+q AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS held, 0::BIGINT AS buffered_ms, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+SELECT e.user_id, e.n, e.event_id, CASE WHEN cleared THEN [] WHEN d IS NULL THEN q.held[2:] WHEN d > 400 OR q.buffered_ms + d > 400 THEN q.held ELSE list_append(q.held, d) END,
+  CASE WHEN cleared THEN 0 WHEN d IS NULL THEN q.buffered_ms - coalesce(q.held[1], 0) WHEN d > 400 OR q.buffered_ms + d > 400 THEN q.buffered_ms ELSE q.buffered_ms + d END::BIGINT,
+  CASE WHEN cleared THEN 'cleared' WHEN d IS NULL THEN CASE WHEN len(q.held) = 0 THEN 'empty' ELSE 'sent' END WHEN d > 400 THEN 'INVALID_CONFIG' WHEN q.buffered_ms + d > 400 THEN 'blocked' ELSE 'queued' END
+  FROM q JOIN e ON e.user_id = q.user_id AND e.n = q.n + 1)
+SELECT event_id, user_id, buffered_ms, outcome FROM q WHERE n > 0""")
 def queue_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from ..streaming import folds
 
-    d = F.when(F.col("event_type").isin("view", "signup"), 20).otherwise(-20)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").select("event_id", "user_id", F.greatest(F.sum(d).over(w), F.lit(0)).alias("buffered_ms"))
+    t = F.col("event_type")
+    duration = F.when(t == "view", 20).when(t == "signup", 60).when(t == "click", 500)
+    e = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").select("event_id", "user_id", "ts", duration.alias("duration"), (t == "error").alias("cleared"))
+    return folds.fold(e, "user_id", ["ts", "event_id"], folds.bounded_step, folds.bounded_start, folds.BOUNDED)
 
 
 @query("""SELECT user_id, hour, n, CASE WHEN seconds > 0 THEN round(n / (3 * seconds * 50.0::DOUBLE) * 1000) / 1000 ELSE 0 END AS coverage FROM
@@ -373,7 +394,7 @@ def sender_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events", "event_id", "ts").select("event_id", N.ntp_seconds(at).alias("seconds"), N.ntp_fraction(at).alias("fraction"), N.ntp_compact(at).alias("compact"))
 
 
-@query("""SELECT event_id, CASE WHEN t THEN 'SOURCE_TIMEOUT' WHEN s IN (401, 403) THEN 'SOURCE_AUTH_EXPIRED' ELSE 'SOURCE_UNAVAILABLE' END AS code, t OR s IS NULL OR s IN (408, 429) OR s BETWEEN 500 AND 599 AS retryable
+@query("""SELECT event_id, CASE WHEN t THEN 'SOURCE_TIMEOUT' WHEN s IN (401, 403) THEN 'SOURCE_AUTH_EXPIRED' ELSE 'INVALID_SOURCE' END AS code, t OR s IS NULL OR s IN (408, 429) OR s BETWEEN 500 AND 599 AS retryable
 FROM (SELECT event_id, event_id % 17 = 0 AS t, CASE WHEN event_id % 19 <> 0 THEN 399 + event_id % 130 END AS s FROM events)""")
 def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
@@ -418,7 +439,7 @@ def decode_error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN frame <= 0 OR prebuffer <= 0 OR capacity <= 0 OR batch <= 0 OR prime < 0 OR lateness < 0 OR batch > 1000 OR capacity > 10000 OR prebuffer > capacity OR prime > capacity OR lateness > capacity THEN 'INVALID_CONFIG' END AS buffers,
   CASE WHEN rate <> 48000 OR channels NOT BETWEEN 1 AND 2 OR complexity NOT BETWEEN 0 AND 10 OR bitrate NOT BETWEEN 500 AND 512000 THEN 'INVALID_CONFIG' END AS encoder,
   CASE WHEN preloads <= 0 OR producers <= 0 OR preloads >= producers OR http < 2 THEN 'INVALID_CONFIG' END AS limits,
-  CASE WHEN port NOT BETWEEN 1 AND 65535 OR mtu NOT BETWEEN 13 AND 65535 OR pt NOT BETWEEN 0 AND 127 THEN 'INVALID_CONFIG' WHEN o_orderkey % 6 = 0 THEN 'UNSUPPORTED' END AS output,
+  CASE WHEN port NOT BETWEEN 1 AND 65535 OR mtu NOT BETWEEN 64 AND 65507 OR pt NOT BETWEEN 0 AND 127 THEN 'INVALID_CONFIG' WHEN o_orderkey % 6 = 0 THEN 'UNSUPPORTED' END AS output,
   CASE WHEN o_orderkey % 5 = 0 THEN 'UNSUPPORTED' WHEN o_custkey % 9 - 1 <= 0 THEN 'INVALID_CONFIG' END AS next_source
 FROM (SELECT o_orderkey, o_custkey, 20 AS frame, o_custkey % 700 AS prebuffer, o_orderkey % 12000 AS capacity, o_custkey % 500 AS prime, o_orderkey % 1100 AS batch, o_custkey % 300 AS lateness,
   CASE WHEN o_custkey % 8 = 0 THEN 44100 ELSE 48000 END AS rate, o_orderkey % 3 AS channels, o_custkey % 12 AS complexity, o_orderkey * 37 % 600000 AS bitrate, o_custkey % 5 AS preloads, o_orderkey % 6 AS producers,
@@ -444,14 +465,16 @@ def track_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages", "page_id", "url").select("page_id", R.track(F.lit("url"), id_, F.lit("attempt"), long_url, F.lit(None).cast("string"), hint).alias("track"))
 
 
-@query("""SELECT user_id, event_id, buffered, ready FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM (SELECT *, sum(20) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS buffered,
-  true AS ready FROM events)) WHERE buffered = 200""")
+@query("""WITH f AS (SELECT user_id, event_id, ts, sum(CASE WHEN event_type = 'error' OR user_id % 13 = 0 THEN 0 ELSE 20 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS produced, user_id % 7 * 300 AS prime FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN produced >= prime AND produced > 0 THEN 0 ELSE 1 END, CASE WHEN produced >= prime AND produced > 0 THEN ts END, CASE WHEN produced >= prime AND produced > 0 THEN event_id END, ts DESC, event_id DESC) AS place FROM f)
+SELECT user_id, event_id, produced, produced > 0 AS ready, produced < prime AS ended_short, CASE WHEN produced = 0 THEN 'DECODE_ERROR' END AS code FROM o WHERE place = 1""")
 def next_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events", "user_id", "event_id", "ts").withColumn("buffered", F.sum(F.lit(20)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return S.first_by(e.where("buffered >= 200"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "buffered", F.lit(True).alias("ready"))
+    frame = F.when((F.col("event_type") == "error") | (F.col("user_id") % 13 == 0), 0).otherwise(20)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type").withColumn("produced", F.sum(frame).over(w))
+    return S.primed(e, "user_id", ["ts", "event_id"], "produced", F.col("user_id") % 7 * 300).select("user_id", "event_id", "produced", "ready", "ended_short", "code")
 
 
 @query("""SELECT e.user_id, e.event_id, p.event_id AS progress_id FROM events e LEFT JOIN (SELECT user_id, event_id % 4 AS generation, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) p
@@ -463,18 +486,24 @@ def progress_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, event_id AS sent, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events)
-SELECT user_id, sent + unnest(range(1, least(greatest((after - sent - 1) // 20, 0), 50) + 1)) * 20 AS fill_at FROM s WHERE after IS NOT NULL""")
+SELECT user_id, sent + unnest(range(1, greatest((after - sent - 1) // 20, 0) + 1)) * 20 AS fill_at FROM s WHERE after IS NOT NULL""")
 def keepalive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gap_frames(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at")), "user_id", "at", 20)
 
 
-@query("""WITH e AS (SELECT event_id, ts, user_id % 20 AS flight, user_id, CASE event_type WHEN 'error' THEN 'leave' WHEN 'purchase' THEN 'pause' ELSE 'resume' END AS k FROM events)
-SELECT flight, user_id, max(CASE WHEN k = 'pause' THEN 1 ELSE 0 END) = 1 AS ever_paused, arg_max(k, event_id) AS last_state, count(*) AS n FROM e GROUP BY ALL""")
+@query("""WITH e AS (SELECT event_id, user_id % 20 AS flight, user_id, event_type AS k FROM events),
+s AS (SELECT e.*, (SELECT count(*) FROM e u WHERE u.flight = e.flight AND u.user_id = e.user_id AND u.k = 'signup' AND u.event_id <= e.event_id
+  AND NOT EXISTS (SELECT 1 FROM e x WHERE x.user_id = e.user_id AND x.k = 'error' AND x.event_id > u.event_id AND x.event_id <= e.event_id)) > 0 AS here FROM e),
+p AS (SELECT *, here AND coalesce(last_value(CASE k WHEN 'purchase' THEN false WHEN 'view' THEN true WHEN 'signup' THEN true END IGNORE NULLS) OVER (PARTITION BY flight, user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM s),
+d AS (SELECT *, here::INTEGER - coalesce(lag(here) OVER w, false)::INTEGER AS dh, active::INTEGER - coalesce(lag(active) OVER w, false)::INTEGER AS da FROM p WINDOW w AS (PARTITION BY flight, user_id ORDER BY event_id))
+SELECT flight, event_id, sum(dh) OVER w::BIGINT AS subscribers, sum(da) OVER w::BIGINT AS active, coalesce(bool_or(k = 'click' AND here) OVER w, false) AS current_priority,
+  CASE WHEN sum(dh) OVER w = 0 THEN CASE WHEN k = 'error' AND dh < 0 THEN 'cancelled' ELSE 'idle' END WHEN sum(da) OVER w > 0 THEN 'running' ELSE 'paused' END AS gate FROM d WINDOW w AS (PARTITION BY flight ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def shared_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
-    k = F.when(t == "error", "leave").when(t == "purchase", "pause").otherwise("resume")
-    e = read(spark, sf_dir, "events", "event_id", "user_id", "event_type").select((F.col("user_id") % 20).alias("flight"), "user_id", "event_id", k.alias("k"))
-    return e.groupBy("flight", "user_id").agg(F.bool_or(F.col("k") == "pause").alias("ever_paused"), F.max_by("k", "event_id").alias("last_state"), F.count("*").alias("n"))
+    e = read(spark, sf_dir, "events", "event_id", "user_id", "event_type").select((F.col("user_id") % 20).alias("flight"), "user_id", "event_id", t.alias("k"))
+    names = {"signup": "subscribe", "error": "leave", "purchase": "pause", "view": "resume", "click": "promote"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("k"))
+    return S.shared_transfer(e.withColumn("kind", kind), "flight", "user_id", ["event_id"]).select("flight", "event_id", "subscribers", "active", "current_priority", "gate")
 
 
 @query("""SELECT l_orderkey AS playlist, count(*) AS segments, least(greatest(max(l_quantity::BIGINT) * 500, 500), 5000) AS reload_ms, count(*) FILTER (l_tax > 0.06) AS gaps, bool_and(l_linestatus = 'F') AS ended FROM lineitem GROUP BY l_orderkey""")
@@ -506,7 +535,13 @@ def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(e, "stream_id", ["at_ms", "event_id"], folds.playout_step, folds.playout_start, folds.PLAYOUT)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS request, user_id % 16 AS stream_id, user_id % 50 AS item, user_id * 131071 + 1 AS size, (user_id * 131071 + 1048576) // 1048576 AS units, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n FROM events),
+q AS (SELECT stream_id, 0::BIGINT AS n, 0::BIGINT AS request, false AS hit, 0::BIGINT AS evicted, 0::BIGINT AS held_units, []::STRUCT(item BIGINT, size BIGINT, units BIGINT)[] AS l FROM (SELECT DISTINCT stream_id FROM e) UNION ALL
+SELECT e.stream_id, e.n, e.request, x.hit, CASE WHEN x.at > 0 OR e.units > 64 THEN 0 ELSE x.gone END, coalesce(list_sum(list_transform(y.l, lambda z: z.units)), 0)::BIGINT, y.l FROM q JOIN e ON e.stream_id = q.stream_id AND e.n = q.n + 1,
+  LATERAL (SELECT a.at, a.at > 0 AND q.l[greatest(a.at, 1)].size <= 16777216 AS hit,
+    (SELECT min(g) FROM range(0, len(q.l) + 1) r(g) WHERE coalesce(list_sum(list_transform(q.l[g + 1:], lambda z: z.units)), 0) + e.units <= 64) AS gone FROM (SELECT coalesce(list_position(list_transform(q.l, lambda z: z.item), e.item), 0) AS at) a) x,
+  LATERAL (SELECT CASE WHEN x.hit THEN list_append(list_concat(q.l[:x.at - 1], q.l[x.at + 1:]), q.l[x.at]) WHEN x.at > 0 OR e.units > 64 THEN q.l ELSE list_append(q.l[x.gone + 1:], {'item': e.item, 'size': e.size, 'units': e.units}) END AS l) y)
+SELECT stream_id, request, hit, evicted, held_units FROM q WHERE n > 0""")
 def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import folds
 
@@ -516,12 +551,29 @@ def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import folds
+
+    e = read(spark, sf_dir, "events", "user_id", "event_id")
+    e = e.select((F.col("user_id") % 16).alias("stream_id"), F.col("event_id").alias("request"), (F.col("user_id") % 50).alias("item"), (F.col("user_id") * 131_071 + 1).alias("size"), F.lit(16 << 20).alias("most"))
+    return folds.fold(e, "stream_id", ["request"], folds.cache_step, folds.cache_start, folds.CACHE)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS request, user_id % 16 AS stream_id, user_id AS who, CASE WHEN event_id % 53 = 0 THEN 'drain' WHEN event_id % 501 = 0 THEN 'drainAll' WHEN event_type = 'view' THEN 'stateChanged' WHEN event_type = 'click' THEN 'networkQualityChanged' ELSE event_type END AS kind,
+  row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n FROM events),
+q AS (SELECT stream_id, 0::BIGINT AS n, 0::BIGINT AS request, NULL::BIGINT AS dropped, []::STRUCT(request BIGINT, kind VARCHAR, who BIGINT)[] AS l, 0::BIGINT AS held FROM (SELECT DISTINCT stream_id FROM e) UNION ALL
+SELECT e.stream_id, e.n, e.request, x.gone, x.l, CASE WHEN kind LIKE 'drain%' THEN len(q.l) - len(x.l) ELSE len(x.l) END FROM q JOIN e ON e.stream_id = q.stream_id AND e.n = q.n + 1,
+  LATERAL (SELECT CASE WHEN kind LIKE 'drain%' THEN NULL WHEN same THEN len(q.l) WHEN len(q.l) >= 64 THEN CASE WHEN oldest > 0 THEN oldest ELSE 1 END END AS at
+    FROM (SELECT coalesce(q.l[-1].kind = e.kind AND q.l[-1].who = e.who AND e.kind IN ('stateChanged', 'networkQualityChanged'), false) AS same, coalesce(list_position(list_transform(q.l, lambda y: y.kind IN ('stateChanged', 'networkQualityChanged')), true), 0) AS oldest)) w,
+  LATERAL (SELECT CASE WHEN w.at IS NOT NULL THEN q.l[w.at].request END AS gone, CASE kind WHEN 'drainAll' THEN [] WHEN 'drain' THEN list_filter(q.l, lambda y: y.who <> e.who)
+    ELSE list_append(CASE WHEN w.at IS NULL THEN q.l ELSE list_concat(q.l[:w.at - 1], q.l[w.at + 1:]) END, {'request': e.request, 'kind': kind, 'who': who}) END AS l) x)
+SELECT stream_id, request, dropped, held FROM q WHERE n > 0""")
 def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import folds
 
-    t = F.col("event_type")
-    kind = F.when(t == "view", "stateChanged").when(t == "click", "networkQualityChanged").when(F.col("event_id") % 501 == 0, "drain").otherwise(t)
-    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").select((F.col("user_id") % 16).alias("stream_id"), F.col("event_id").alias("request"), kind.alias("kind"))
+    t, i = F.col("event_type"), F.col("event_id")
+    kind = F.when(i % 53 == 0, "drain").when(i % 501 == 0, "drainAll").when(t == "view", "stateChanged").when(t == "click", "networkQualityChanged").otherwise(t)
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").select((F.col("user_id") % 16).alias("stream_id"), i.alias("request"), kind.alias("kind"), F.col("user_id").alias("who"))
     return folds.fold(e, "stream_id", ["request"], folds.queue_step, lambda: folds.queue_start(64), folds.QUEUE)
 
 

@@ -24,8 +24,9 @@ def fold(df: DataFrame, key: str, order: list[str], step: Step, start: Callable[
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), {}
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
+            out, columns = [], list(frame.columns)
+            for values in zip(*(frame[c].tolist() for c in columns), strict=True):
+                row = dict(zip(columns, values, strict=True))
                 if row[key] != now:
                     now, state = row[key], start()
                 state, made = step(state, row)
@@ -142,13 +143,46 @@ def queue_start(most: int = 4096) -> dict:
 
 
 def queue_step(s: dict, row: dict) -> tuple[dict, list[dict]]:
-    """Adjacent events of a mergeable kind keep the newest; when full, the oldest mergeable goes, else the oldest."""
-    held, gone = [tuple(x) for x in s["held"]], None
-    if row["kind"] == "drain":
-        return {**s, "held": []}, [{"request": row["request"], "dropped": None, "held": len(held)}]
-    if held and held[-1][1] == row["kind"] and row["kind"] in MERGED:
+    """Adjacent events of a mergeable kind and the same stream (``who``) keep the newest; when full, the oldest mergeable
+    goes, else the oldest.  A drain takes the events of its stream, a drainAll everything."""
+    kind, who, request = row["kind"], row["who"], row["request"]
+    held = s["held"]  # the fold's own list
+    if kind in ("drain", "drainAll"):
+        kept = [x for x in held if kind == "drain" and x[2] != who]
+        return {**s, "held": kept}, [{"request": request, "dropped": None, "held": len(held) - len(kept)}]
+    gone = None
+    if held and held[-1][1] == kind and held[-1][2] == who and kind in MERGED:
         gone = held.pop()[0]
     elif len(held) >= s["most"]:
         gone = held.pop(next((i for i, x in enumerate(held) if x[1] in MERGED), 0))[0]
-    held.append((row["request"], row["kind"]))
-    return {**s, "held": held}, [{"request": row["request"], "dropped": gone, "held": len(held)}]
+    held.append((request, kind, who))
+    return s, [{"request": request, "dropped": gone, "held": len(held)}]
+
+
+# A queue bounded by duration, between a producer that waits and a consumer.
+
+BOUNDED = "event_id long, user_id long, buffered_ms long, outcome string"
+
+
+def bounded_start(capacity_ms: int = 400) -> dict:
+    return {"capacity": capacity_ms, "held": [], "buffered": 0}
+
+
+def bounded_step(s: dict, row: dict) -> tuple[dict, list[dict]]:
+    """A frame of ``duration`` is queued, blocked while it doesn't fit, or an error if it never can; without one the oldest
+    is sent; ``cleared`` drops all, as when the consumer goes."""
+    d = None if row["duration"] is None or row["duration"] != row["duration"] else int(row["duration"])
+    held, buffered = s["held"], s["buffered"]
+    if row["cleared"]:
+        held, buffered, outcome = [], 0, "cleared"
+    elif d is None:
+        outcome = "sent" if held else "empty"
+        buffered -= held.pop(0) if held else 0
+    elif d > s["capacity"]:
+        outcome = "INVALID_CONFIG"
+    elif buffered + d > s["capacity"]:
+        outcome = "blocked"
+    else:
+        held.append(d)
+        buffered, outcome = buffered + d, "queued"
+    return {**s, "held": held, "buffered": buffered}, [{"event_id": row["event_id"], "buffered_ms": buffered, "outcome": outcome}]
