@@ -9,7 +9,7 @@ from tonearm.functions import arrays as A
 from tonearm.functions import numbers as N
 from tonearm.functions import rules as R
 from tonearm.operators import streams as S
-from tonearm.plans import catalogue
+from tonearm.plans import catalogue, delivery, validation  # noqa: F401
 from tonearm.sources import containers
 from tonearm.streaming import folds
 
@@ -146,3 +146,48 @@ def test_keepalive_frames_whole(spark, tmp_path):
     spark.createDataFrame([(7, 0), (7, 10_000)], "user_id long, event_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(r["fill_at"] for r in catalogue.QUERIES["keepalive_frames"](spark, str(tmp_path)).collect())
     assert got == list(range(20, 10_000, 20))
+
+
+def play(step, state, *entries):
+    out = []
+    for entry in entries:
+        state, made = step(state, entry)
+        out += made
+    return state, out
+
+
+def test_pull_leases():
+    at = lambda t, kind, **x: {"at_ms": t, "kind": kind, "generation": 1, "start_ms": 500, "paused": False, "ms": 20, "size": 100, "lease_id": 0, "outcome": "sent", **x}
+    s, out = play(folds.pull_step, folds.pull_start(), at(0, "activate"), at(1, "pull"), at(2, "frame"), at(3, "frame"))
+    assert [x["kind"] for x in out] == ["prebuffer_ready", "frame"] and out[1]["lease_id"] == 1 and out[1]["position_ms"] == 520
+    s, out = play(folds.pull_step, s, at(4, "pull"))
+    assert out[0]["code"] == "BUSY"
+    s, out = play(folds.pull_step, s, at(5, "ack", lease_id=2))
+    assert out[0]["code"] == "INVALID_CONFIG"
+    s, out = play(folds.pull_step, s, at(6, "ack", lease_id=1), at(7, "pull"), at(23, "frame"))
+    assert [(x["kind"], x["at_ms"]) for x in out] == [("ack", 6), ("frame", 23)] and s["media"]["due"] == 23 and s["stats"]["delivered"] == 1
+    # A late ack keeps its lateness, so that the next pull drops what is stale.
+    s, out = play(folds.pull_step, s, *[at(24, "frame")] * 9, at(300, "ack", lease_id=2), at(300, "pull"))
+    frame = next(x for x in out if x["kind"] == "frame")
+    assert frame["dropped"] == 8 and s["stats"]["recoveries"] == 1 and frame["late_ms"] == 300 - (43 + 160)
+    # A new generation retires the lease; its ack counts once and moves nothing.
+    s, out = play(folds.pull_step, s, at(301, "activate", generation=2), at(302, "ack", lease_id=3), at(303, "ack", lease_id=3))
+    assert s["stats"]["delivered"] == 3 and s["media"]["sent"] == 0 and out[-1]["code"] == "INVALID_CONFIG"
+    # An empty source ends, and a lease that is never acknowledged fails the output.
+    s, out = play(folds.pull_step, s, at(400, "close", generation=2))
+    assert [x["kind"] for x in out] == ["ended"] and s["media"] is None
+    s, out = play(folds.pull_step, s, at(401, "activate", generation=3), at(402, "frame"), at(402, "frame"), at(403, "pull"), at(3000, "frame"))
+    assert [x["kind"] for x in out] == ["prebuffer_ready", "frame", "failed"] and out[-1]["at_ms"] == 2403 and out[-1]["code"] == "OUTPUT_ERROR"
+
+
+def test_playout_end():
+    s, out = play(folds.playout_step, folds.playout_start(prebuffer_ms=100), {"at_ms": 0}, {"at_ms": 20}, {"at_ms": 40, "closed": True})
+    assert [x["kind"] for x in out] == ["prebuffer_ready", "sent", "sent", "ended"] and out[-1]["at_ms"] == 80 and [x["at_ms"] for x in out[1:3]] == [40, 60]
+
+
+def test_small_rules(spark):
+    d = lambda x: F.lit(float(x))
+    r = one(spark, N.volume_error(d(1.1)), N.volume_error(d("nan")), N.volume_error(d(0)), N.gain_error(d(-60)), N.gain_error(d(12.1)), N.capped_u32(F.lit(1 << 33)), N.projected_rtp(F.lit(4294967000), F.lit(0), F.lit(20_000)), N.report_percent_ms(F.lit(64), F.lit(1500), F.lit(None).cast("long")))
+    assert r[:7] == ("INVALID_CONFIG", "INVALID_CONFIG", None, None, "INVALID_CONFIG", 4294967295, 664) and tuple(r[7]) == (25.0, 1.5, None)
+    loud = one(spark, A.apply_volume(F.array(d(0.9)), 2.0, limiter=False), A.apply_volume(F.array(d(0.9)), 2.0))
+    assert loud[0] == [1.0] and loud[1][0] < 1.0

@@ -266,9 +266,20 @@ def elementary_kind(b: Column) -> Column:
     return F.when(sync & (at(2).bitwiseAND(0xF6) == 0xF0), "aac").when(sync & (at(2).bitwiseAND(0xE0) == 0xE0), "mpeg")
 
 
+def segment_iv(method: Column, key_format: Column, versions: Column, iv: Column, media_sequence: Column, initialization: Column) -> tuple[Column, Column]:
+    """The IV of an encrypted segment in hex (null for a plain one), and the error.  A segment without one takes its media
+    sequence; an initialization map must have one."""
+    plain = method.isNull() | (method == "NONE")
+    odd = any_of(method != "AES-128", F.lower(key_format) != "identity", F.exists(F.split(versions, "/"), lambda v: F.trim(v) != "1"))
+    digits = F.when(iv.rlike("^0[xX][0-9A-Fa-f]{1,32}$"), F.upper(F.substring(iv, 3, 32)))
+    bad = any_of(iv.isNull() & initialization, iv.isNotNull() & digits.isNull())
+    error = F.when(plain, F.lit(None)).when(odd, UNSUPPORTED).when(bad, INVALID_SOURCE)
+    return F.when(~plain & error.isNull(), F.lpad(F.coalesce(digits, F.hex(media_sequence)), 32, "0")), error
+
+
 def decrypt_segment(body: Column, key: Column, iv: Column, media_sequence: Column) -> Column:
-    """AES-128-CBC with PKCS padding; the IV is given in hex or is the media sequence.  Null if it can't be."""
-    bare = F.regexp_replace(iv, "^0[xX]", "")
-    own = F.when(bare.rlike("^[0-9A-Fa-f]{1,32}$"), F.lpad(bare, 32, "0"))
-    full = F.coalesce(F.when(iv.isNull(), F.lpad(F.hex(media_sequence), 32, "0")), own)
-    return F.when(F.octet_length(key) == 16, F.try_aes_decrypt(F.concat(F.unhex(full), body), key, F.lit("CBC"), F.lit("PKCS")))
+    """AES-128-CBC with PKCS padding; the IV is given in hex (0x...) or is the media sequence.  Null if it can't be."""
+    full, _ = segment_iv(F.lit("AES-128"), F.lit(None).cast("string"), F.lit(None).cast("string"), iv, media_sequence, F.lit(False))
+    whole = (F.octet_length(key) == 16) & (F.octet_length(body) > 0) & (F.octet_length(body) % 16 == 0)
+    out = F.when(whole, F.try_aes_decrypt(F.concat(F.unhex(full), body), key, F.lit("CBC"), F.lit("PKCS")))
+    return F.when(F.octet_length(out) > 0, out)
