@@ -98,3 +98,9 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written to the shared storage."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

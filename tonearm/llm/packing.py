@@ -1,12 +1,14 @@
 """Lexical retrieval packing (operator 1).
 
-Every scan partition packs its own documents, so nothing is shuffled.  Whole
-windows inside a long document stand alone; what is left of each document is a
-unit.  Units gather in shards of bounded token count.  A shard has a BM25
-inverted index over the tokens of its units; a seed unit opens a window, its
-unused neighbours fill the window in order of score, and the one that
-overflows is cut and its rest seeds the next window.  The window left open at
-the end of a shard goes on in the next; the last of a partition is cut into
+Documents are tokenized where they are scanned and dealt by one of their rare
+tokens (the one of the smallest hash), so that documents which share rare words
+tend to meet; a token of very many documents is split.  Each task packs what it
+gets.  Whole windows inside a long document stand alone; what is left of each
+document is a unit.  Units gather in shards of bounded token count.  A shard
+has a BM25 inverted index over the tokens of its units; a seed unit opens a
+window, its unused neighbours fill the window in order of score, and the one
+that overflows is cut and its rest seeds the next window.  The window left open
+at the end of a shard goes on in the next; the last of a partition is cut into
 sequences of power-of-two lengths, which need no padding.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
@@ -29,6 +31,8 @@ from .common import pieces, ragged, texts_of
 WINDOW = 1024
 END_ID = 0
 K1, B = 1.2, 0.75
+#: Tokens from here on are rare: a vocabulary of merges has the common ones first.
+RARE = 20_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema(
@@ -183,13 +187,26 @@ class Packer:
             yield from self._close(1 << (self.filled.bit_length() - 1))
 
 
+def route(ids: np.ndarray) -> int:
+    """The rare token of the smallest hash, or of all if none is rare; documents that share it meet."""
+    kinds = np.unique(ids)
+    rare = kinds[kinds >= RARE] if kinds[-1] >= RARE else kinds
+    return int(rare[((rare.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).argmin()])
+
+
 def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 1 << 19) -> DataFrame:
     """One row per piece of a document, with its token ids as little-endian uint32."""
+    coded = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches):
+    def tokenize(batches):
         encode = byte_bpe()
+        end = np.array([END_ID], "<u2")  # the vocabulary has less than 65,536 ids
+        for batch in pieces(batches, 4 << 20):
+            ids = [np.concatenate([encode(x).astype("<u2"), end]) for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([route(x) for x in ids], pa.int64()), batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], schema=coded)
+
+    def run(batches):
         packer = Packer(TaskContext.get().partitionId() << 33, window, shard_tokens)
-        end = np.array([END_ID], np.uint32)
         out: list[list] = [[] for _ in _ARROW]
         size = 0
 
@@ -209,11 +226,12 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 1 << 19) ->
                     yield ready()
 
         for batch in pieces(batches, 8 << 20):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = np.concatenate([encode(text).astype(np.uint32), end])
+            for doc_id, held in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(held, "<u2")
                 yield from put(packer.add((doc_id, len(ids)), ids))
         yield from put(packer.finish())
         if out[0]:
             yield ready()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tokenize, "key long, doc_id long, ids binary")
+    return own.hint("rebalance", "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, SCHEMA)
