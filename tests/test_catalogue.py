@@ -9,8 +9,8 @@ from tonearm.functions import arrays as A
 from tonearm.functions import numbers as N
 from tonearm.functions import rules as R
 from tonearm.operators import streams as S
-from tonearm.plans import catalogue, delivery, validation  # noqa: F401
-from tonearm.sources import containers
+from tonearm.plans import catalogue, delivery, media, validation  # noqa: F401
+from tonearm.sources import containers, tables
 from tonearm.streaming import folds
 
 SF = "/root/testdata/sf0.001"
@@ -191,3 +191,28 @@ def test_small_rules(spark):
     assert r[:7] == ("INVALID_CONFIG", "INVALID_CONFIG", None, None, "INVALID_CONFIG", 4294967295, 664) and tuple(r[7]) == (25.0, 1.5, None)
     loud = one(spark, A.apply_volume(F.array(d(0.9)), 2.0, limiter=False), A.apply_volume(F.array(d(0.9)), 2.0))
     assert loud[0] == [1.0] and loud[1][0] < 1.0
+
+
+def test_audio_files(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"")
+    (tmp_path / "b.wav").write_bytes(b"RIFF")
+    got = {r["path"].rsplit("/", 1)[1]: r["error"] for r in tables.audio_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.wav": "INVALID_SOURCE", "b.wav": None}
+    assert [r["error"] for r in tables.decode_from(tables.audio_files(spark, str(tmp_path)).drop("error")).orderBy("path").collect()] == ["INVALID_SOURCE", "DECODE_ERROR"]
+
+
+def test_resample_keeps_tones():
+    t = np.arange(4410) / 44_100
+    y = tables.resample(np.sin(2 * np.pi * 440 * t), 44_100, 48_000)
+    want = np.sin(2 * np.pi * 440 * np.arange(4800) / 48_000)
+    assert len(y) == 4800 and np.abs(y - want)[100:-100].max() < 2e-3
+    assert np.abs(tables.resample(np.sin(2 * np.pi * 20_000 * t), 44_100, 22_050)[100:-100]).max() < 1e-2
+    assert len(tables.resample(np.ones(5), 44_100, 48_000)) == 6 and len(tables.resample(np.zeros(0), 44_100, 48_000)) == 0
+
+
+def test_encoders(spark):
+    frames = spark.createDataFrame([(1, [0.0, 1.0, -1.0]), (2, None)], "id long, samples array<double>")
+    got = {r["id"]: r["packet"] and bytes(r["packet"]).hex() for r in tables.encoded(frames, "pcm16").collect()}
+    assert got == {1: "0000ff7f0080", 2: None}
+    with pytest.raises(containers.NoDecoder):
+        tables.encoded(frames, "opus")

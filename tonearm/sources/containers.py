@@ -85,15 +85,19 @@ def decode(files: DataFrame, kind: str = "wav") -> DataFrame:
 
 
 def transport_audio(data: bytes) -> bytes:
-    """The first audio stream of a transport stream; ValueError on lost sync or a gap in its continuity."""
+    """The first audio stream of a transport stream; ValueError, with a code, for what isn't one."""
     pid, counter, out = None, None, bytearray()
     if len(data) % 188:
-        raise ValueError("not whole packets")
+        raise ValueError("DECODE_ERROR: not whole packets")
     for at in range(0, len(data), 188):
         p = data[at : at + 188]
-        if p[0] != 0x47:
-            raise ValueError("lost sync")
+        if p[0] != 0x47 or p[1] & 0x80:
+            raise ValueError("DECODE_ERROR: lost sync")
         own, start, control = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), p[3] >> 4 & 3
+        if control == 0 or p[3] & 0xC0:
+            raise ValueError("UNSUPPORTED: scrambled")
+        if control == 3 and p[4] > 183:
+            raise ValueError("DECODE_ERROR: an adaptation field ends outside")
         body = p[4:] if control == 1 else p[5 + p[4] :] if control == 3 else b""
         if not body:
             continue
@@ -102,11 +106,13 @@ def transport_audio(data: bytes) -> bytes:
         if own != pid:
             continue
         if counter is not None and p[3] & 15 != (counter + 1) % 16:
-            raise ValueError("continuity")
+            raise ValueError("DECODE_ERROR: continuity")
         counter = p[3] & 15
+        if start and (len(body) < 9 or 9 + body[8] > len(body)):
+            raise ValueError("DECODE_ERROR: a header ends outside")
         out += body[9 + body[8] :] if start else body
-    if pid is None:
-        raise ValueError("no audio stream")
+    if pid is None or not out:
+        raise ValueError("UNSUPPORTED: no audio stream")
     return bytes(out)
 
 
