@@ -62,10 +62,13 @@ def each(df: DataFrame, column: str, made: str, f: Callable[[bytes], tuple]) ->
     return df.select(*kept, column).mapInArrow(run, out)
 
 
-def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, error of every file under a path: an empty one is INVALID_SOURCE."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content", F.when(F.col("length") == 0, "INVALID_SOURCE").alias("error"))
+def audio_files(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """path, content, error of the files under a path.  The reader passes over empty ones; with a table of the paths
+    ``asked`` for, those that are empty or missing are INVALID_SOURCE."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if asked is None:
+        return files.withColumn("error", F.lit(None).cast("string"))
+    return asked.select("path").join(files, "path", "left").withColumn("error", F.when(F.col("content").isNull(), "INVALID_SOURCE"))
 
 
 def decode_from(files: DataFrame, at_ms: str | None = None, kind: str = "wav", column: str = "content") -> DataFrame:
