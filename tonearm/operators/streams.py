@@ -55,13 +55,22 @@ def as_of(df: DataFrame, key: str, order: list[str], value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def coalesce_adjacent(df: DataFrame, order: list[str], kind: str, key: str, kinds: tuple[str, ...], shard: Column | None = None) -> DataFrame:
+def coalesce_adjacent(df: DataFrame, order: list[str], kind: str, key: str, kinds: tuple[str, ...], shard: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Drops a row of one of ``kinds`` that the next row repeats (same kind and key): of a run the newest stays.
 
-    ``shard`` splits the log where rows can't be merged (a drain, a day); without it the log is one ordered whole."""
-    w = Window.partitionBy(shard if shard is not None else F.lit(0)).orderBy(*order)
-    same = (F.lead(kind).over(w) == F.col(kind)) & (F.lead(key).over(w) == F.col(key)) & F.col(kind).isin(*kinds)
-    return df.withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+    ``shard`` splits the log where rows can't be merged (a drain); without it the log is one ordered whole.  ``bucket`` (a day,
+    say) must not decrease along the order: a shard is then dealt by it, and the last row of a bucket looks at the first of
+    the next, of which there is one row a bucket."""
+    df = df.withColumns({"_shard": shard if shard is not None else F.lit(0), "_bucket": bucket if bucket is not None else F.lit(0)})
+    w = Window.partitionBy("_shard", "_bucket").orderBy(*order)
+    row = F.struct(F.col(kind).alias("kind"), F.col(key).alias("key"))
+    heads = df.groupBy("_shard", "_bucket").agg(F.min_by(row, F.struct(*order)).alias("_head"))
+    heads = heads.select("_shard", "_bucket", F.lead("_head").over(Window.partitionBy("_shard").orderBy("_bucket")).alias("_head"))
+    out = df.withColumn("_next", F.lead(row).over(w))
+    if bucket is not None:
+        out = out.join(heads, ["_shard", "_bucket"]).withColumn("_next", F.coalesce("_next", "_head")).drop("_head")
+    same = (F.col("_next.kind") == F.col(kind)) & (F.col("_next.key") == F.col(key)) & F.col(kind).isin(*kinds)
+    return out.where(~F.coalesce(same, F.lit(False))).drop("_next", "_shard", "_bucket")
 
 
 def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -134,15 +134,13 @@ def generation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT *, user_id % 7 AS drain FROM events) WINDOW w AS (PARTITION BY drain ORDER BY ts, event_id)) WHERE NOT coalesce(again, false)""")
 def event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts")
-    return S.coalesce_adjacent(e, ["ts", "event_id"], "event_type", "user_id", ("view", "click"), F.col("user_id") % 7).select("event_id", "event_type", "user_id")
+    return S.coalesce_adjacent(e, ["ts", "event_id"], "event_type", "user_id", ("view", "click"), F.col("user_id") % 7, F.to_date("ts")).select("event_id", "event_type", "user_id")
 
 
 @query("SELECT event_id, event_type, CASE WHEN user_id = 7 THEN 'drained' ELSE 'kept' END AS side FROM events")
 def event_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events", "event_id", "event_type", "user_id")
-    mine = F.col("user_id") == 7
-    side = lambda c, name: e.where(c).select("event_id", "event_type", F.lit(name).alias("side"))
-    return side(mine, "drained").unionByName(side(~mine, "kept"))
+    side = F.when(F.col("user_id") == 7, "drained").otherwise("kept")
+    return read(spark, sf_dir, "events", "event_id", "event_type", "user_id").select("event_id", "event_type", side.alias("side"))
 
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, event_id)::INTEGER AS place FROM events""")
@@ -527,7 +525,20 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Folds: what a row does depends on what earlier rows gave, so no SQL stands beside them.
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id * 20 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, 0::BIGINT AS step, 1::BIGINT AS n, []::BIGINT[] AS q, NULL::BIGINT AS due, NULL::BIGINT AS cur, 0::BIGINT AS gone, true AS fresh, 0::BIGINT AS seq, 0::BIGINT AS rtp, 0::BIGINT AS media, NULL::BIGINT AS wall, false AS told,
+  NULL::VARCHAR AS kind, 0::BIGINT AS o_seq, 0::BIGINT AS at_ms, 0::BIGINT AS o_media, 0::BIGINT AS o_rtp, false AS marker, 0::BIGINT AS late_ms FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT s.user_id, s.step + 1, s.n + (act IN ('take', 'ready'))::BIGINT,
+  CASE WHEN act IN ('take', 'ready') THEN list_append(s.q, e.t) WHEN act = 'underrun' THEN s.q ELSE s.q[2:] END,
+  CASE act WHEN 'underrun' THEN NULL WHEN 'sent' THEN CASE WHEN s.due + s.gone * 20 + 20 > a THEN s.due + s.gone * 20 + 20 ELSE a + 20 END WHEN 'ready' THEN e.t WHEN 'take' THEN CASE WHEN s.due IS NULL AND len(s.q) >= 4 THEN e.t ELSE s.due END ELSE s.due END,
+  CASE WHEN act = 'dropped' THEN a END, CASE WHEN act = 'dropped' THEN s.gone + 1 ELSE 0 END, CASE act WHEN 'underrun' THEN true WHEN 'sent' THEN false ELSE s.fresh END, CASE WHEN act = 'sent' THEN (s.seq + 1) % 65536 ELSE s.seq END,
+  CASE WHEN act = 'sent' THEN (r + 960) % 4294967296 WHEN act = 'dropped' THEN (s.rtp + 960) % 4294967296 ELSE s.rtp END, s.media + CASE WHEN act IN ('sent', 'dropped') THEN 20 ELSE 0 END, CASE WHEN act = 'sent' THEN a + 20 ELSE s.wall END, s.told OR act = 'ready',
+  CASE act WHEN 'take' THEN NULL WHEN 'ready' THEN 'prebuffer_ready' ELSE act END, s.seq, CASE WHEN act = 'ready' THEN e.t WHEN act = 'underrun' THEN s.due ELSE a END, s.media, CASE WHEN act = 'sent' THEN r ELSE s.rtp END, act = 'sent' AND s.fresh,
+  CASE WHEN act IN ('sent', 'dropped') THEN a - s.due ELSE 0 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n, LATERAL (SELECT coalesce(s.cur, greatest(s.due, s.q[1])) AS a) x,
+  LATERAL (SELECT CASE WHEN s.due IS NULL OR s.due > e.t THEN CASE WHEN s.due IS NULL AND len(s.q) >= 4 AND NOT s.told THEN 'ready' ELSE 'take' END WHEN len(s.q) = 0 THEN 'underrun' WHEN a - s.due - s.gone * 20 > 100 AND len(s.q) > 1 THEN 'dropped' ELSE 'sent' END AS act,
+    CASE WHEN s.fresh AND s.wall IS NOT NULL THEN (s.rtp + greatest(0, a - s.wall) * 48) % 4294967296 ELSE s.rtp END AS r) y)
+SELECT user_id AS stream_id, o_seq AS seq, kind, at_ms, o_media AS position_ms, o_rtp AS rtp_timestamp, marker, late_ms FROM s WHERE kind IS NOT NULL""")
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import folds
 
@@ -596,7 +607,7 @@ def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(e, "stream_id", ["log_seq"], step, session.session_start, session.SESSION)
 
 
-@query()
+@query("SELECT page_id, CASE WHEN url <> '' THEN true END AS same FROM pages")
 def segment_decrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lit("0123456789abcdef").cast("binary")
     iv = F.when(F.col("page_id") % 2 == 0, F.lit("0x1234"))
