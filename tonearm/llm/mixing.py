@@ -44,11 +44,10 @@ def tokens() -> Column:
 
 
 def topic() -> Column:
-    """What a text is about, as far as SQL can tell: licenses, the web, figures (a fiftieth of it digits), or prose, short or not."""
+    """What a text is about, as far as SQL can tell: licenses, the web, contacts, or prose, short or not."""
     text = F.coalesce(F.col("text"), F.lit(""))
     has = lambda x: F.contains(text, F.lit(x))
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    return F.when(has("icense") | has("opyright"), "license").when(has("http") | has("www."), "web").when(50 * digits > F.length(text), "figures").when(F.length(text) < 600, "short").otherwise("prose")
+    return F.when(has("icense") | has("opyright"), "license").when(has("http") | has("www."), "web").when(has("@"), "contact").when(F.length(text) < 600, "short").otherwise("prose")
 
 
 def with_targets(cells: DataFrame, targets: dict[str, dict[str, float]], powers: dict[str, float]) -> DataFrame:
@@ -116,7 +115,7 @@ def report_sql(keep: float = KEEP, targets: dict[str, dict[str, float]] = TARGET
     steps = [
         """d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, length(t) - length(translate(t, ' ' || chr(10) || chr(9), '')) + 1 AS n_tokens,
   CASE WHEN contains(t, 'icense') OR contains(t, 'opyright') THEN 'license' WHEN contains(t, 'http') OR contains(t, 'www.') THEN 'web'
-    WHEN 50 * (length(t) - length(translate(t, '0123456789', ''))) > length(t) THEN 'figures' WHEN length(t) < 600 THEN 'short' ELSE 'prose' END AS p,
+    WHEN contains(t, '@') THEN 'contact' WHEN length(t) < 600 THEN 'short' ELSE 'prose' END AS p,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
   FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
         "c AS (SELECT s AS source, l AS lang, p AS topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
