@@ -155,8 +155,8 @@ def whole_groups(batches, keys: tuple[str, str], others: tuple[str, ...]):
 
 def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """a > b: links between nodes (id, fp) with the components of all links within ``distance`` bits."""
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     count = nodes.count()
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 1_000_000)
     masks = segment_masks(distance)
     sides = halves(masks)
     half = F.explode(F.array(*[keyed(F.col("fp"), rest, g) for g, (rest, _) in enumerate(sides)])).alias("half")
