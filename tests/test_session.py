@@ -75,3 +75,32 @@ def test_levels_reach_active_slots():
     assert log[-1][0] == ["setCurrentVolume(1)", "setNextVolume(2)"]
     _, log = run(session_start(track("a")), {"kind": "volume", "volume": 0.2})
     assert log[0][0] == []
+
+
+def live(spark, df, tmp_path, f, name):
+    """The rows of ``f`` over a stream of the table's rows, a file a micro-batch."""
+    rows = df.collect()
+    for i, part in enumerate((rows[: len(rows) // 2], rows[len(rows) // 2 :])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = f(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+def test_streaming_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tonearm.streaming import windows as W
+
+    base = datetime(2024, 1, 1)
+    rows = [(i % 2, base + timedelta(seconds=7 * i), i * 37 % 256, i * 1000, None if i % 5 == 0 else i * 10_000) for i in range(120)]
+    df = spark.createDataFrame(rows, "stream long, at timestamp, fraction_lost long, jitter_us long, rtt_us long")
+    f = lambda d: W.report_windows(d, "stream", "at")
+    whole, seen = sorted(map(tuple, f(df).collect())), live(spark, df, tmp_path / "a", f, "windows")
+    assert seen and set(seen) <= set(whole) and len(whole) - len(seen) <= 4  # the last windows wait for the watermark
+    spans = lambda d: W.session_spans(d, "stream", "at", "20 seconds")
+    gappy = df.where("minute(at) % 3 <> 1")
+    assert set(live(spark, gappy, tmp_path / "b", spans, "spans")) <= set(map(tuple, spans(gappy).collect()))
+    once = live(spark, df.select("stream", "at"), tmp_path / "c", lambda d: W.first_requests(d, "stream", "at", "1 hour"), "requests")
+    assert sorted(r[0] for r in once) == [0, 1]
