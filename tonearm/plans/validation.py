@@ -289,3 +289,49 @@ def flight_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Few requests lead; the others look their leader up.
     first = keyed.groupBy("flight").agg(F.min("event_id").alias("leader"))
     return keyed.join(first, "flight").select("event_id", "leader")
+
+cases(
+    "response_kinds", "pages", "page_id", "path string, type string, hint string, extension string, head string", "hls boolean, progressive string, elementary string",
+    lambda path, type, hint, extension, head: {"hls": R.hls_response(path, type), "progressive": R.progressive_mode(hint, extension), "elementary": R.elementary_kind(F.unhex(head))},  # noqa: A006
+    [
+        ("/a/INDEX.M3U8", "text/plain", "mp3", None, "FFF1", True, "immediate", "aac"), ("/a/b", "Application/X-mpegURL; charset=utf-8", None, "m4a", "FFF9", True, "probe", "aac"), ("/a.m3u8/b", "text/html", "MP4", "mp3", "FFFB", False, "probe", "mpeg"),
+        ("/a", "audio/mpegurl", "ogg", "txt", "FFE0", True, "immediate", "mpeg"), ("/a", "audio/x-mpegurl", "txt", "flac", "FFDF", True, "immediate", None), ("/a", "application/mpegurl", "txt", None, "00F1", True, "none", None),
+        ("/a", "application/vnd.apple.mpegurl", None, None, "FF", True, "none", None), ("/a", None, "opus", "mp4", "FFF6", False, "probe", "mpeg"), ("/a.m3u", "audio/mpeg", "wave", None, "FFF0", False, "immediate", "aac"),
+    ],
+)
+
+cases(
+    "packet_rules", "events", "event_id", "payload string, mtu long, output string, code string, message string, micros long, ids long", "packet string, most long, text string, samples long, batch string",
+    lambda payload, mtu, output, code, message, micros, ids: {
+        "packet": F.when(mtu == 16, F.hex(N.rtp_packet(F.unhex(payload), 16, marker=F.lit(True), payload_type=96, sequence=F.lit(65_537), timestamp=F.lit(4_294_967_297), ssrc=F.lit(7)))), "most": N.payload_limit(output, mtu),
+        "text": N.error_text(code, message), "samples": N.samples_of_micros(micros), "batch": C.status_batch(F.array_repeat(F.lit("s"), ids.cast("int"))),
+    },
+    [
+        ("F8FFFE", 16, "rtp", "BUSY", "wait", 1_000_000, 1, "80E000010000000100000007F8FFFE", 4, "BUSY: wait", 48_000, None), ("", 16, "pull", "INTERNAL", "", 20, 4096, None, 1500, "INTERNAL: ", 0, None),
+        ("0102030405", 16, "rtp", "X", "y: z", 20_833, 4097, None, 4, "X: y: z", 999, CONFIG), ("01020304", 16, "rtp", "X", "y", 20_834, 0, "80E00001000000010000000701020304", 4, "X: y", 1000, None), ("01", 1200, "rtp", "X", "y", 0, 9, None, 1188, "X: y", 0, None),
+    ],
+)
+
+
+@query("""SELECT event_id, (event_id * 7919 % 4294967296 + greatest(event_id % 50 * 1000 - 5000, 0) * 48000 // 1000000) % 4294967296 AS rtp_time, least(event_id * 900000007, 4294967295) AS packets,
+  event_id * 37 % 256 * 100.0::DOUBLE / 256 AS loss_percent, event_id * 13 % 1000 / 1000.0::DOUBLE AS jitter_ms, CASE WHEN event_id % 3 > 0 THEN event_id * 7 / 1000.0::DOUBLE END AS rtt_ms FROM events WHERE event_id % 9 > 0""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as they are sent and handed out; those of another source aren't."""
+    i = F.col("event_id")
+    e = read(spark, sf_dir, "events", "event_id").where(i % 9 > 0)
+    report = N.report_percent_ms(i * 37 % 256, i * 13 % 1000, F.when(i % 3 > 0, i * 7))
+    out = e.select("event_id", N.projected_rtp(N.wrap(i * 7919), F.lit(5000), i % 50 * 1000).alias("rtp_time"), N.capped_u32(i * 900_000_007).alias("packets"), report.alias("r"))
+    return out.select("event_id", "rtp_time", "packets", "r.*")
+
+
+@query("""SELECT vec_id, list_transform(range(0, 2 * len(embedding)), lambda i: embedding[i // 2 + 1]::DOUBLE) AS stereo, list_transform(embedding[2 * least(vec_id % 40, 32) + 1:2 * greatest(least(vec_id % 40, 32), 32 - vec_id % 7)], lambda x: x::DOUBLE) AS trimmed,
+  list_transform(embedding, lambda x: CASE vec_id % 3 WHEN 0 THEN 0 WHEN 1 THEN x::DOUBLE ELSE round(greatest(least(x::DOUBLE * 3, 1), -1), 9) END) AS loud FROM embeddings""")
+def pcm_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mono to stereo, packet trim of two channels, and volumes without the limiter."""
+    from ..functions import arrays as A
+
+    s, i = F.col("embedding"), F.col("vec_id")
+    gain = F.when(i % 3 == 0, 0.0).when(i % 3 == 1, 1.0).otherwise(3.0)
+    whole = lambda c: F.transform(c, lambda x: x.cast("double"))
+    loud = F.transform(A.apply_volume(s, gain, limiter=False), lambda x: F.when(i % 3 == 2, F.round(x, 9)).otherwise(x))
+    return read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", whole(A.mono_to_stereo(s)).alias("stereo"), whole(A.trim(s, 2, i % 40, i % 7)).alias("trimmed"), loud.alias("loud"))
