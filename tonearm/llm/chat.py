@@ -9,7 +9,8 @@ stays.  What stays is rendered.
 
 Defined results: rows with a null conv_id take no part; null roles and texts
 count as empty; turns are ordered by turn (nulls first), then role and text,
-so repeated rows are turns of their own; an empty table gives no rows.
+so repeated rows are turns of their own; a text of any length is one turn;
+other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ gives codec, time scale, duration, frame size and the byte range of every
 keyframe, and never looks into a payload.
 
 Defined results: a null or empty text is one frame of padding; a null or
-damaged container gives codec null and no ranges; null ids, repeated rows and
-empty tables pass through.
+damaged container gives codec null and no ranges; a text of any length is one
+container (64-bit boxes and offsets where 32 don't do); null ids, repeated rows
+and empty tables pass through; of several video tracks the first counts.
 """
 
 from __future__ import annotations
@@ -222,7 +223,9 @@ def _ranges(per_row: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
 
 
 def read_media(df: DataFrame, column: str = "media", with_payload: bool = False) -> DataFrame:
-    """The columns of ``df`` and what its containers say of their first video (or else first) track."""
+    """The columns of ``df`` and what its containers say of their first video (or else first) track.
+
+    A column of ``df`` that has the name of one of these is replaced by it."""
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(READ + (", payload binary" if with_payload else ""))

@@ -63,7 +63,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but the text, and fp (the 64 bits as a long)."""
+    """The columns of ``docs`` but the text, and fp (the 64 bits as a long), which replaces a column of that name."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     kept = [c for c in docs.columns if c not in (text, "fp")]
