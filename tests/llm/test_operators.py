@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tonearm.llm import chat, lm, media, mixing, neardups, packing, quality, queries, simhash, token_counts, topk, warc
@@ -499,3 +500,31 @@ def test_lm_scores(docs, empty):
 
 def test_oracles_are_queries():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+def test_clashing_columns(spark):
+    """Columns of the operators' own names, beside what they read."""
+    turns = spark.createDataFrame([(1, 0, "user", "a", 9, 9, 9, 9), (2, 0, "user", "a", 8, 8, 8, 8), (2, 1, "system", "b", 8, 8, 8, 8)], "conv_id long, turn long, role string, text string, place int, h1 int, h2 int, turns int")
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in chat.collapse_snapshots(turns).collect()] == [(2, 2, 1)]
+    pages = spark.createDataFrame([(1, "u", "x", 1, 2, 3, 4), (2, "u", "x", 1, 2, 3, 4)], "page_id long, url string, html string, digest int, target int, copies int, archive int")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(pages).collect()) == [(1, "revisit", 2), (2, "response", None)]
+    docs = spark.createDataFrame([(1, "one two three four five six", 5, 6, 7, "q"), (2, "one two three four five six", 5, 6, 7, "q")], "doc_id long, text string, fp int, node int, digest int, rest string")
+    assert [r["component_id"] for r in simhash.near_duplicates(docs).collect()] == [1, 1]
+    kept = neardups.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "one two three four five six", 5, 6, 7, "q")]
+    read = media.read_media(media.store_media(docs).withColumn("codec", F.lit("mine")))
+    assert {r["codec"] for r in read.collect()} != {"mine"}
+
+
+def test_very_long_runs(spark):
+    """A million equal characters, spaces or line ends in one text."""
+    rows = [(1, "x" * 1_000_000), (2, " " * 1_000_000), (3, "\n" * 1_000_000), (4, "ab " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_bytes"] for r in token_counts.token_counts(docs).collect()} == {d: len(t) for d, t in rows}
+    assert sum(r["length"] for r in packing.pack(docs).select("doc_id", "length").collect() if r["doc_id"] == 2) > 1
+    assert len(simhash.near_duplicates(docs).collect()) == 4 and len(media.media_digests(docs).collect()) == 4
+    assert {r["doc_id"] for r in neardups.drop_near_duplicates(docs).select("doc_id").collect()} == {1, 2, 3, 4}
+    scores = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, depth=3).collect()}
+    assert all(math.isfinite(x) for x in scores.values()) and len(scores) == 4
+    model = quality.untrained()
+    assert model.score(["\n" * 20_000, "x" * 1_000_000]).tolist() == [0.5, 0.5]
