@@ -45,7 +45,7 @@ MAP_SLOTS = 1 << 25
 BLOCK_BYTES = 6 << 20
 #: Bytes of text whose keys are met in one group.
 GROUP_BYTES = 3_000_000
-_HELD = 2_000_000
+_HELD = 1_000_000
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -87,9 +87,9 @@ def frequency_map(texts: DataFrame, width: int, many: int, parts: int) -> np.nda
 
     def count(batches):
         code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             h = np.concatenate([np.unique(shingle_hashes(x, width)) for x in texts_of(batch)])
-            new = group_of(h, many) << np.uint64(32) | h & _LOW32
+            new = group_of(h, many) << np.uint64(32) | cell_of(h)
             code, n = summed(np.concatenate([code, new]), np.concatenate([n, np.ones(len(new), np.int64)]))
             if len(code) > _HELD:
                 yield from out(code, n)
@@ -109,7 +109,7 @@ def frequency_map(texts: DataFrame, width: int, many: int, parts: int) -> np.nda
             level[level < int((filled > size // 4).sum())] = 0
             own = np.zeros(size, np.uint8)
             some = level > 0
-            np.maximum.at(own, (value[some] * np.uint64(size) >> np.uint64(32)).astype(np.int64), level[some].astype(np.uint8))
+            np.maximum.at(own, (value[some] * np.uint64(size) >> np.uint64(24)).astype(np.int64), level[some].astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(own[::2] << 4 | own[1::2]).tobytes()], pa.binary())], names=["part", "slots"])
 
     dealt = texts.select("text").mapInArrow(count, "part long, value binary, n binary").withColumn("kind", F.lit(0))
@@ -120,6 +120,11 @@ def frequency_map(texts: DataFrame, width: int, many: int, parts: int) -> np.nda
     return whole
 
 
+def cell_of(h: np.ndarray) -> np.ndarray:
+    """24 bits, by which shingles are counted within their group: few enough to be told by short gaps."""
+    return (h & _LOW32) >> np.uint64(8)
+
+
 def slots_of(many: int) -> int:
     """Slots of a group."""
     return max(8, MAP_SLOTS // many // 8 * 8)
@@ -128,7 +133,7 @@ def slots_of(many: int) -> int:
 def level_of(h: np.ndarray, many: int, known: np.ndarray) -> np.ndarray:
     """Where a shingle comes in the order, by the map: those of few texts first."""
     size = np.uint64(slots_of(many))
-    at = group_of(h, many) * size + ((h & _LOW32) * size >> np.uint64(32))
+    at = group_of(h, many) * size + (cell_of(h) * size >> np.uint64(24))
     both = known[(at >> np.uint64(1)).astype(np.int64)]
     return np.where(at & np.uint64(1) == 0, both >> 4, both & 15)
 
@@ -173,7 +178,7 @@ def candidates(texts: DataFrame, width: int, least: float, n_bytes: int) -> Data
     pair = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def deal(batches):
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             ids, place = np.unique(batch.column("key").to_numpy(), return_index=True)
             own = texts_of(batch)
             hashes = [shingle_hashes(own[i], width) for i in place.tolist()]
