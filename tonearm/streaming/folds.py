@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
