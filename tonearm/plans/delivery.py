@@ -264,3 +264,42 @@ def pull_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 300 + 1).alias("size"), (i % 3 + 1).alias("lease_id"), outcome.alias("outcome"),
     )
     return folds.fold(e, "stream_id", ["at_ms", "event_id"], folds.pull_step, folds.pull_start, folds.PULL)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, 't' || event_id % 5 AS name, CASE event_id % 2 WHEN 0 THEN 'SOURCE_AUTH_EXPIRED' ELSE 'DECODE_ERROR' END AS code,
+  CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN CASE event_id % 2 WHEN 0 THEN 'play' ELSE 'ready' END WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'pause' WHEN 1 THEN 'play' ELSE 'seek' END WHEN 'purchase' THEN 'ended' ELSE 'failed' END AS k FROM events),
+s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS i, NULL::VARCHAR AS cur, NULL::BIGINT AS gen, NULL::VARCHAR AS life, 0::BIGINT AS epoch, 'idle' AS state, 0::BIGINT AS made, 0::BIGINT AS version, ''::VARCHAR AS actions, ''::VARCHAR AS events, NULL::VARCHAR AS error FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT s.user_id, e.n, e.i, CASE WHEN inst AND k = 'plan' THEN name WHEN gone THEN NULL ELSE s.cur END, CASE WHEN inst THEN s.made + 1 WHEN gone THEN NULL ELSE s.gen END,
+  CASE WHEN inst THEN CASE WHEN paused THEN 'dormant' ELSE 'starting' END WHEN la THEN 'starting' WHEN k = 'ready' AND hit THEN 'ready' WHEN gone THEN NULL ELSE s.life END,
+  CASE WHEN inst THEN CASE WHEN paused THEN 0 ELSE 1 END WHEN k = 'play' AND s.cur IS NOT NULL THEN s.epoch + la::BIGINT + arm::BIGINT WHEN stops AND s.life = 'starting' THEN s.epoch + 1 ELSE s.epoch END,
+  CASE WHEN inst THEN CASE WHEN paused THEN 'paused' ELSE 'buffering' END WHEN k = 'play' THEN CASE WHEN s.cur IS NULL THEN 'idle' WHEN paused AND s.life = 'ready' THEN 'playing' WHEN s.state <> 'playing' THEN 'buffering' ELSE s.state END
+    WHEN stops THEN 'paused' WHEN k = 'ready' AND hit AND NOT paused THEN 'playing' WHEN gone THEN 'idle' ELSE s.state END,
+  s.made + inst::BIGINT, CASE WHEN k = 'plan' AND e.i > s.version THEN e.i ELSE s.version END,
+  CASE WHEN inst THEN CASE WHEN NOT paused THEN 'startCurrent(' || (s.made + 1) || ',1)' WHEN s.cur IS NOT NULL THEN 'cancelCurrent(' || s.gen || ')' ELSE '' END
+    WHEN k = 'play' AND s.cur IS NOT NULL THEN concat_ws(';', CASE WHEN la THEN 'startCurrent(' || s.gen || ',' || (s.epoch + 1) || ')' END, CASE WHEN paused AND s.life <> 'dormant' THEN 'resumeCurrent(' || s.gen || ')' END,
+      CASE WHEN arm THEN 'armStartupDeadline(current,' || s.gen || ',' || (s.epoch + la::BIGINT + 1) || ')' END)
+    WHEN stops AND s.life <> 'dormant' THEN 'pauseCurrent(' || s.gen || ')' WHEN k = 'failed' AND gone THEN 'cancelCurrent(' || s.gen || ')' ELSE '' END,
+  CASE WHEN k = 'seek' AND s.cur IS NULL THEN '' WHEN k = 'play' AND s.cur IS NULL OR k = 'ended' AND gone THEN 'stateChanged;nextNeeded'
+    WHEN k = 'failed' AND gone THEN 'attemptFailed(' || s.cur || ',' || code || ');stateChanged;' || CASE WHEN code = 'DECODE_ERROR' THEN 'nextNeeded' ELSE 'sourceRefreshNeeded(current,' || s.cur || ')' END ELSE 'stateChanged' END,
+  CASE WHEN k = 'seek' AND s.cur IS NULL THEN 'UNSUPPORTED' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1, LATERAL (SELECT s.state = 'paused' AS paused, s.cur IS NOT NULL AND e.i % 6 <> 0 AS hit,
+    k = 'plan' AND e.i > s.version AND s.cur IS DISTINCT FROM name OR k = 'seek' AND s.cur IS NOT NULL AS inst, k = 'pause' AND s.state IN ('playing', 'buffering') AS stops, k = 'play' AND coalesce(s.life = 'dormant', false) AND s.state <> 'playing' AS la) x,
+  LATERAL (SELECT k IN ('ended', 'failed') AND hit AS gone, k = 'play' AND paused AND (la OR coalesce(s.life = 'starting', false)) AS arm) y)
+SELECT user_id AS stream_id, i AS log_seq, state AS play_state, coalesce(gen, made) AS generation, version AS plan_version, cur AS current, NULL::VARCHAR AS next, actions, events, error FROM s WHERE n > 0""")
+def session_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session machine with a current track alone: plans, play, pause, seek, and what workers report of this or a stale
+    generation."""
+    from ..streaming import folds, session
+
+    def step(s, row):
+        i, kind = row["log_seq"], row["event_type"]
+        now = s["current"]["generation"] if s["current"] else 0
+        name = {"id": f"t{i % 5}", "kind": "url", "seekable": True}
+        full = {
+            "signup": {"kind": "plan", "plan_version": i, "current": name}, "view": {"kind": ("play", "prebufferReady")[i % 2]}, "click": {"kind": ("pause", "play", "seek")[i % 3], "seek_s": i % 60},
+            "purchase": {"kind": "ended"}, "error": {"kind": "failed", "code": ("SOURCE_AUTH_EXPIRED", "DECODE_ERROR")[i % 2]},
+        }[kind]
+        return session.session_step(s, {"log_seq": i, "generation": now if i % 6 else now + 1, **full})
+
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("log_seq"), "event_type")
+    return folds.fold(e, "stream_id", ["log_seq"], step, session.session_start, session.SESSION)
