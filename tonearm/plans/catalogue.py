@@ -588,7 +588,33 @@ def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(e, "stream_id", ["request"], folds.queue_step, lambda: folds.queue_start(64), folds.QUEUE)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, 't' || event_id % 5 AS cname, 'n' || event_id % 3 AS xname, CASE event_id % 2 WHEN 0 THEN 'SOURCE_AUTH_EXPIRED' ELSE 'DECODE_ERROR' END AS code,
+  CASE event_type WHEN 'signup' THEN 'plan' WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'play' WHEN 1 THEN 'ready' ELSE 'nextReady' END WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'pause' WHEN 1 THEN 'play' ELSE 'seek' END WHEN 'purchase' THEN 'ended' ELSE 'failed' END AS k FROM events),
+s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS i, NULL::VARCHAR AS c, NULL::BIGINT AS cg, NULL::VARCHAR AS cl, 0::BIGINT AS ce, NULL::VARCHAR AS x, NULL::BIGINT AS xg, NULL::VARCHAR AS xl, 0::BIGINT AS xe, 'idle' AS state, 0::BIGINT AS made, 0::BIGINT AS version,
+  ''::VARCHAR AS actions, ''::VARCHAR AS events, NULL::VARCHAR AS error FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT s.user_id, e.n, e.i, CASE WHEN fresh THEN cname WHEN prom THEN s.x WHEN gone THEN NULL ELSE s.c END, CASE WHEN instc THEN s.made + 1 WHEN prom THEN s.xg WHEN gone THEN NULL ELSE s.cg END,
+  CASE WHEN instc THEN started WHEN prom OR la THEN 'starting' WHEN k = 'ready' AND s.c IS NOT NULL THEN 'ready' WHEN gone THEN NULL ELSE s.cl END,
+  CASE WHEN instc THEN (NOT paused)::BIGINT WHEN prom THEN s.xe + 1 WHEN k = 'play' AND s.c IS NOT NULL THEN s.ce + la::BIGINT + armc::BIGINT WHEN stops AND s.cl = 'starting' THEN s.ce + 1 ELSE s.ce END,
+  CASE WHEN instn THEN xname WHEN prom THEN NULL ELSE s.x END, CASE WHEN instn THEN s.made + 1 + fresh::BIGINT WHEN prom THEN NULL ELSE s.xg END,
+  CASE WHEN instn THEN started WHEN prom THEN NULL WHEN ln THEN 'starting' WHEN k = 'nextReady' AND s.xl <> 'dormant' THEN 'ready' ELSE s.xl END,
+  CASE WHEN instn THEN (NOT paused)::BIGINT WHEN ln OR armn OR stops AND s.xl = 'starting' THEN s.xe + 1 ELSE s.xe END,
+  CASE WHEN instc OR prom THEN waits WHEN k = 'play' THEN CASE WHEN s.c IS NULL THEN CASE WHEN s.x IS NULL THEN 'idle' ELSE 'buffering' END WHEN paused AND s.cl = 'ready' THEN 'playing' WHEN s.state <> 'playing' THEN 'buffering' ELSE s.state END
+    WHEN stops THEN 'paused' WHEN k = 'ready' AND s.c IS NOT NULL AND NOT paused THEN 'playing' WHEN gone THEN CASE WHEN s.x IS NULL THEN 'idle' ELSE waits END ELSE s.state END,
+  s.made + instc::BIGINT + instn::BIGINT, CASE WHEN newer THEN e.i ELSE s.version END,
+  concat_ws(';', CASE WHEN instc THEN CASE WHEN NOT paused THEN 'startCurrent(' || (s.made + 1) || ',1)' WHEN s.c IS NOT NULL THEN 'cancelCurrent(' || s.cg || ')' END END,
+    CASE WHEN instn THEN CASE WHEN NOT paused THEN 'prepareNext(' || (s.made + 1 + fresh::BIGINT) || ',1)' WHEN NOT fresh AND s.x IS NOT NULL THEN 'cancelNext(' || s.xg || ')' END END,
+    CASE WHEN k = 'failed' AND s.c IS NOT NULL THEN 'cancelCurrent(' || s.cg || ')' END, CASE WHEN prom THEN 'startCurrent(' || s.xg || ',' || (s.xe + 1) || ')' END,
+    CASE WHEN la THEN 'startCurrent(' || s.cg || ',' || (s.ce + 1) || ')' END, CASE WHEN k = 'play' AND paused THEN CASE WHEN s.cl <> 'dormant' THEN 'resumeCurrent(' || s.cg || ')' WHEN s.c IS NULL AND s.xl <> 'dormant' THEN 'resumeNext(' || s.xg || ')' END END,
+    CASE WHEN armc THEN 'armStartupDeadline(current,' || s.cg || ',' || (s.ce + la::BIGINT + 1) || ')' END, CASE WHEN armn THEN 'armStartupDeadline(next,' || s.xg || ',' || (s.xe + 1) || ')' END, CASE WHEN ln THEN 'prepareNext(' || s.xg || ',' || (s.xe + 1) || ')' END,
+    CASE WHEN stops THEN CASE WHEN s.cl <> 'dormant' THEN 'pauseCurrent(' || s.cg || ')' WHEN s.xl <> 'dormant' THEN 'pauseNext(' || s.xg || ')' END END),
+  CASE WHEN k = 'seek' AND s.c IS NULL THEN '' ELSE concat_ws(';', CASE WHEN k = 'failed' AND s.c IS NOT NULL THEN 'attemptFailed(' || s.c || ',' || code || ')' END, 'stateChanged',
+    CASE WHEN k = 'failed' AND s.c IS NOT NULL AND code <> 'DECODE_ERROR' AND s.x IS NULL THEN 'sourceRefreshNeeded(current,' || s.c || ')' WHEN (gone OR k = 'play' AND s.c IS NULL) AND s.x IS NULL THEN 'nextNeeded' END) END,
+  CASE WHEN k = 'seek' AND s.c IS NULL THEN 'UNSUPPORTED' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1, LATERAL (SELECT s.state = 'paused' AS paused, k = 'plan' AND e.i > s.version AS newer, CASE WHEN s.state = 'paused' THEN 'paused' ELSE 'buffering' END AS waits, CASE WHEN s.state = 'paused' THEN 'dormant' ELSE 'starting' END AS started,
+    k = 'pause' AND s.state IN ('playing', 'buffering') AS stops, k = 'play' AND coalesce(s.cl = 'dormant', false) AND s.state <> 'playing' AS la, k = 'play' AND coalesce(s.xl = 'dormant', false) AS ln, k IN ('ended', 'failed') AND s.c IS NOT NULL AS over) a,
+  LATERAL (SELECT newer AND s.c IS DISTINCT FROM cname AS fresh, coalesce(over AND s.xl = 'ready' OR k = 'nextReady' AND s.xl <> 'dormant' AND s.c IS NULL, false) AS prom) b,
+  LATERAL (SELECT fresh OR k = 'seek' AND s.c IS NOT NULL AS instc, fresh OR newer AND s.x IS DISTINCT FROM xname AS instn, over AND NOT prom AS gone, k = 'play' AND paused AND (la OR coalesce(s.cl = 'starting', false)) AS armc, k = 'play' AND paused AND coalesce(s.xl = 'starting', false) AS armn) d)
+SELECT user_id AS stream_id, i AS log_seq, state AS play_state, coalesce(cg, made) AS generation, version AS plan_version, c AS current, x AS next, actions, events, error FROM s WHERE n > 0""")
 def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import folds, session
 
