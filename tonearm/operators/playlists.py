@@ -61,17 +61,17 @@ def media_segments(playlists: DataFrame, key: str) -> DataFrame:
     lines, line = _lines(playlists, key), F.col("line")
     tag = lambda name: F.when(line.startswith(f"#EXT{name}"), line)
     value = lambda c: F.regexp_extract(c, r"^[^:]*:(.*)$", 1)
-    head = lines.groupBy(key).agg(
-        F.max(value(tag("-X-MEDIA-SEQUENCE:")).try_cast("long")).alias("first"), F.max(value(tag("-X-TARGETDURATION:")).try_cast("long")).alias("target_seconds"),
-        F.bool_or(line.startswith("#EXT-X-ENDLIST")).alias("end_list"),
-    )
     one = lambda name: F.max_by(line, F.when(line.startswith(f"#EXT{name}"), F.col("n")))
     own = lines.groupBy(key, F.col("place").alias("idx")).agg(
         F.max(F.when(F.col("is_uri"), line)).alias("uri"), value(one("INF:")).alias("inf"), value(one("-X-BYTERANGE:")).alias("span"), one("-X-KEY:").alias("key_tag"), one("-X-MAP:").alias("map_tag"),
         F.bool_or(line.startswith("#EXT-X-DISCONTINUITY") & ~line.startswith("#EXT-X-DISCONTINUITY-")).alias("discontinuity"), F.bool_or(F.upper(line) == "#EXT-X-GAP").alias("gap"),
-    ).where("uri IS NOT NULL")
+        F.max(value(tag("-X-MEDIA-SEQUENCE:")).try_cast("long")).alias("first"), F.max(value(tag("-X-TARGETDURATION:")).try_cast("long")).alias("target_seconds"), F.bool_or(line.startswith("#EXT-X-ENDLIST")).alias("end_list"),
+    )
+    # What holds for the whole playlist stands anywhere in it; tags after the last address belong to none.
+    whole = Window.partitionBy(key)
     held = lambda c: S.as_of(own, key, ["idx"], F.col(c))
-    own = own.withColumns({"key_tag": held("key_tag"), "map_tag": held("map_tag")}).join(head, key)
+    own = own.withColumns({"first": F.max("first").over(whole), "target_seconds": F.max("target_seconds").over(whole), "end_list": F.bool_or("end_list").over(whole), "key_tag": held("key_tag"), "map_tag": held("map_tag")})
+    own = own.where("uri IS NOT NULL")
     part = lambda i: F.try_element_at(F.split("span", "@"), F.lit(i)).try_cast("long")
     return own.select(
         key, F.col("idx").cast("long").alias("idx"), "uri", F.split_part("inf", F.lit(","), F.lit(1)).try_cast("double").alias("seconds"), (F.coalesce("first", F.lit(0)) + F.col("idx") - 1).alias("sequence"),
