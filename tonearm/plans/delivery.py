@@ -251,7 +251,36 @@ def decode_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(e, "user_id", ["event_id"], folds.turn_step, folds.turn_start, folds.TURNS)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id * 7 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 2 + 1 AS rg, event_id % 9 * 100 AS rs, event_id % 4 = 0 AS rp, event_id % 3 + 1 AS rl,
+  CASE WHEN event_id % 5 = 0 THEN 'late' WHEN event_id % 31 = 0 THEN 'outputUnavailable' WHEN event_id % 13 = 0 THEN 'cancelled' ELSE 'sent' END AS outcome,
+  CASE event_type WHEN 'signup' THEN 'activate' WHEN 'purchase' THEN CASE event_id % 7 WHEN 0 THEN 'close' WHEN 1 THEN 'pause' WHEN 2 THEN 'resume' WHEN 3 THEN 'deactivate' ELSE 'frame' END WHEN 'error' THEN 'ack' WHEN 'click' THEN 'pull' ELSE 'frame' END AS k FROM events),
+s AS (SELECT user_id, 1::BIGINT AS n, 0 AS ph, NULL::BIGINT AS g, 0::BIGINT AS st, 0::BIGINT AS q, false AS closed, false AS started, false AS told, NULL::BIGINT AS due, 0::BIGINT AS sent, false AS paused, false AS waiting, NULL::BIGINT AS lid, NULL::BIGINT AS lg, 0::BIGINT AS lat, false AS lret,
+  1::BIGINT AS nxt, 0::BIGINT AS delivered, 0::BIGINT AS dropped, NULL::VARCHAR AS o_kind, 0::BIGINT AS o_at, NULL::BIGINT AS o_lease, NULL::BIGINT AS o_g, NULL::BIGINT AS o_pos, NULL::BIGINT AS o_late, NULL::VARCHAR AS o_code FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT s.user_id, s.n + (act = 'next')::BIGINT, CASE WHEN act IN ('expire') OR act = 'serve' AND s.ph = 0 THEN 0 WHEN act = 'apply' THEN CASE WHEN k = 'ack' AND mine AND outcome = 'outputUnavailable' THEN 1 ELSE 2 END WHEN act = 'acked' THEN 2 WHEN act = 'start' THEN 3 ELSE CASE WHEN s.ph = 3 AND act <> 'next' THEN 4 ELSE 0 END END,
+  CASE WHEN act = 'expire' OR act = 'serve' AND ends THEN NULL WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN rg WHEN k = 'deactivate' AND own OR k = 'ack' AND mine AND outcome = 'outputUnavailable' AND NOT s.lret THEN NULL ELSE s.g END ELSE s.g END,
+  CASE WHEN act = 'apply' AND k = 'activate' THEN rs ELSE s.st END, CASE WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN 0 WHEN k = 'frame' AND s.g IS NOT NULL THEN s.q + 1 ELSE s.q END WHEN act = 'serve' AND s.q > 0 THEN s.q - drops - 1 ELSE s.q END,
+  CASE WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN false WHEN k = 'close' AND s.g IS NOT NULL THEN true ELSE s.closed END ELSE s.closed END,
+  CASE WHEN act = 'apply' AND k = 'activate' THEN false WHEN act = 'start' AND begins THEN true WHEN act = 'serve' AND NOT ends AND s.q = 0 THEN false ELSE s.started END, CASE WHEN act = 'apply' AND k = 'activate' THEN false WHEN act = 'start' AND begins THEN true ELSE s.told END,
+  CASE WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN NULL WHEN k = 'resume' AND own THEN e.t WHEN counts THEN CASE WHEN e.t - s.lat > 20 OR coalesce(s.due, e.t) + 20 > e.t THEN coalesce(s.due, e.t) + 20 ELSE e.t + 20 END ELSE s.due END
+    WHEN act = 'start' AND begins THEN e.t WHEN act = 'serve' THEN CASE WHEN s.q = 0 THEN NULL ELSE s.due + drops * 20 END ELSE s.due END,
+  CASE WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN 0 WHEN counts THEN s.sent + 20 ELSE s.sent END WHEN act = 'serve' AND s.q > 0 THEN s.sent + drops * 20 ELSE s.sent END,
+  CASE WHEN act = 'apply' THEN CASE WHEN k = 'activate' THEN rp WHEN k = 'pause' AND own THEN true WHEN k = 'resume' AND own THEN false ELSE s.paused END ELSE s.paused END,
+  CASE WHEN act = 'expire' THEN false WHEN act = 'apply' AND k = 'pull' AND NOT busy THEN true WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN false ELSE s.waiting END,
+  CASE WHEN act = 'expire' OR act = 'apply' AND k = 'ack' AND mine AND outcome <> 'outputUnavailable' OR act = 'acked' THEN NULL WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN s.nxt ELSE s.lid END, CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN s.g ELSE s.lg END,
+  CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN now ELSE s.lat END, CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN false WHEN act = 'apply' AND (k = 'activate' OR k = 'deactivate' AND own) THEN true ELSE s.lret END,
+  CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN s.nxt + 1 ELSE s.nxt END, s.delivered + (act = 'apply' AND coalesce(tells, false) AND outcome = 'sent')::BIGINT, s.dropped + (act = 'apply' AND coalesce(tells, false) AND outcome = 'late')::BIGINT + CASE WHEN act = 'serve' AND s.q > 0 THEN drops ELSE 0 END,
+  CASE act WHEN 'expire' THEN 'failed' WHEN 'acked' THEN 'ack' WHEN 'start' THEN CASE WHEN begins AND NOT s.told THEN 'prebuffer_ready' END WHEN 'serve' THEN CASE WHEN ends THEN 'ended' WHEN s.q = 0 THEN 'underrun' ELSE 'frame' END
+    WHEN 'apply' THEN CASE WHEN k = 'ack' THEN CASE WHEN mine AND outcome = 'outputUnavailable' THEN 'failed' ELSE 'ack' END WHEN k = 'pull' AND busy THEN 'pull' END END, CASE WHEN act = 'expire' THEN s.lat + 2000 ELSE now END,
+  CASE WHEN act IN ('expire', 'acked') THEN s.lid WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN s.nxt WHEN act = 'apply' AND k = 'ack' THEN CASE WHEN mine THEN CASE WHEN outcome <> 'outputUnavailable' THEN s.lid END ELSE rl END END,
+  CASE WHEN act IN ('expire', 'acked') OR act = 'apply' AND k = 'ack' AND mine THEN s.lg ELSE s.g END, CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN s.st + s.sent + drops * 20 + 20 END, CASE WHEN act = 'serve' AND NOT ends AND s.q > 0 THEN now - s.due - drops * 20 END,
+  CASE WHEN act = 'expire' OR act = 'apply' AND k = 'ack' AND mine AND outcome = 'outputUnavailable' THEN 'OUTPUT_ERROR' WHEN act = 'apply' AND k = 'ack' AND NOT mine THEN 'INVALID_CONFIG' WHEN act = 'apply' AND k = 'pull' AND busy THEN 'BUSY' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n,
+  LATERAL (SELECT coalesce(s.g = rg, false) AS own, coalesce(s.lid = rl AND s.lg = rg, false) AS mine, s.waiting OR s.lid IS NOT NULL AS busy, s.g IS NOT NULL AND NOT s.started AND NOT s.paused AND (s.q >= 2 OR s.closed AND s.q > 0) AS begins,
+    s.g IS NOT NULL AND s.closed AND s.q = 0 AND s.lid IS NULL AS ends, s.g IS NOT NULL AND s.waiting AND s.started AND NOT s.paused AND s.lid IS NULL AND s.due IS NOT NULL AND s.due <= e.t AS serves) a,
+  LATERAL (SELECT CASE WHEN s.ph = 0 AND s.lid IS NOT NULL AND s.lat + 2000 <= e.t THEN 'expire' WHEN s.ph = 0 AND serves THEN 'serve' WHEN s.ph = 0 THEN 'apply' WHEN s.ph = 1 THEN 'acked' WHEN s.ph = 2 THEN 'start' WHEN s.ph = 3 AND (ends OR serves) THEN 'serve' ELSE 'next' END AS act,
+    CASE WHEN s.ph = 0 AND serves THEN s.due ELSE e.t END AS now) b,
+  LATERAL (SELECT greatest(0, least(s.q - 1, (now - s.due - 100 + 19) // 20)) AS drops, k = 'ack' AND mine AND NOT s.lret AND own AND outcome IN ('sent', 'late') AS counts, k = 'ack' AND mine AND (s.lret OR own) AND outcome IN ('sent', 'late') AS tells) c)
+SELECT user_id AS stream_id, o_at AS at_ms, o_kind AS kind, o_lease AS lease_id, o_g AS generation, o_pos AS position_ms, o_late AS late_ms, dropped, delivered, o_code AS code FROM s WHERE o_kind IS NOT NULL""")
 def pull_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import folds
 
