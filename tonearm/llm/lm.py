@@ -45,7 +45,7 @@ TOP = 2
 COMMON_GRAMS = 2_000_000
 COMMON_WORDS = 100_000
 FOLDS, HELD = 7, 2
-_HELD_WORDS = 400_000
+_HELD_WORDS, _HELD_GRAMS = 400_000, 1 << 20
 U = np.uint64
 
 
@@ -261,8 +261,10 @@ class Shared:
 
 
 def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    merged, back = np.unique(code, return_inverse=True)
-    return merged, np.bincount(back, n, len(merged)).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -285,18 +287,18 @@ def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def count(batches):
         code, counts, size = np.zeros(0, U), np.zeros(0, np.int64), 0
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, 1 << 20):  # an n-gram takes eight bytes, some times over
             lines = [b" ".join(words_of(x)) + b"\n" for x in texts_of(batch)]
             train = np.array(batch.column("train").to_pylist(), bool)
             for now in (True, False):
                 grams, _ = coded([x for x, t in zip(lines, train, strict=True) if t == now], depth)
-                for at in range(0, len(grams), 1 << 22):
-                    new, n = np.unique(grams[at : at + (1 << 22)], return_counts=True)
+                for at in range(0, len(grams), _HELD_GRAMS):
+                    new, n = np.unique(grams[at : at + _HELD_GRAMS], return_counts=True)
                     # The last TOP bytes of context in the upper half; the older ones and the byte in the lower.
                     new = (new >> U(8) & U(0xFFFF)) << U(32) | new >> U(8 * TOP + 8) << U(8) | new & U(255)
                     code, counts = added(np.concatenate([code, new]), np.concatenate([counts, n * now]))
-                    size += 1 << 22
-            if len(code) > 2_000_000 or size > 1 << 31:  # counts are sent in 32 bits
+                    size += _HELD_GRAMS
+            if len(code) > _HELD_GRAMS or size > 1 << 31:  # counts are sent in 32 bits
                 yield from out(code, counts)
                 code, counts, size = code[:0], counts[:0], 0
         yield from out(code, counts)
@@ -414,7 +416,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, common_grams: int = COMMON_GR
         memo = shared.table()
         log = {w: math.log10(n + 1) - norm for w, n in shared.common.items()}
         uid = TaskContext.get().partitionId() << 33
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             rows: list[list] = [[] for _ in range(8)]
             lines, rare_key, rare_uid, rare_times = [], [], [], []
             start = uid
