@@ -312,6 +312,42 @@ def test_near_dedup_whole(spark, tmp_path):
     assert kept == set(range(len(texts))) - set(near)
 
 
+def test_near_dedup_of_chained_texts(spark, tmp_path, monkeypatch):
+    """Texts that share passages with their neighbours alone are no group to be verified as a whole; near copies among them are."""
+    rng = random.Random(13)
+    words = [f"t{i}" for i in range(3000)]
+    parts = [rng.choices(words, k=30) for _ in range(301)]
+    changed = lambda x, at: " ".join([*x[:at], "new", *x[at + 1 :]])
+    texts = [" ".join(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+    texts += [changed(texts[i].split(), rng.randrange(60)) for i in range(0, 300, 10)]
+    base = rng.choices(words, k=200)
+    texts += [changed(base, 5 * i) for i in range(40)]  # more than are tied in pairs
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    sets = [set(zip(*[x.split()[k:] for k in range(5)], strict=False)) for x in texts]
+    near = [i for i in range(1, len(texts)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))]
+    assert len(near) > 60
+    verified, seen = neardups.verified_links, []
+    monkeypatch.setattr(neardups, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(neardups, "verified_links", lambda texts, groups, *a: seen.append(groups.groupBy("root").count().collect()) or verified(texts, groups, *a))
+    kept = {r["doc_id"] for r in neardups.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert kept == set(range(len(texts))) - set(near)
+    assert max(r["count"] for r in seen[0]) == 40
+
+
+def test_sketches():
+    """Sketches never differ in more bits than the sets do in hashes, and tell most other sets apart."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 40, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for m in (0, 1, n // 20, n // 5, n):
+            y = np.unique(np.concatenate([x[m:], rng.integers(0, 1 << 63, 2 * m).astype(np.uint64)]))
+            differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+            assert neardups.apart(neardups.sketch(x), neardups.sketch(y)) <= differ
+            assert neardups.apart(neardups.sketch(x), neardups.sketch(x)) == 0
+        y = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        assert n < 40 or neardups.apart(neardups.sketch(x), neardups.sketch(y)) > 2 * n / 9
+
+
 def test_collapse(spark):
     logs = {1: "ab", 2: "abc", 3: "abcd", 4: "xy", 5: "xy", 6: "b", 7: "abx", 8: "x"}
     rows = [(c, i, "user" if i % 2 else "system", t) for c, ts in logs.items() for i, t in enumerate(ts)] + [(None, 0, "user", "a"), (9, 0, None, None), (9, 0, None, None), (10, None, None, None)]

@@ -15,7 +15,12 @@ Candidates come two ways and are verified exactly:
   of theirs.
 
 The counts are told by a map of constant size, which is broadcast; at any size
-of corpus it knows the commonest shingles that fit into it.
+of corpus it knows the commonest shingles that fit into it.  The others tie texts
+by chance, the more of them the larger the corpus, until most texts are one
+component.  So the texts of a component that is too large for one task get their
+links anew: every two texts that share a key, but those whose sketches of parity
+bits rule the similarity out.  Sketches differ in no more bits than the sets do
+in shingles, so no pair is lost.
 
 Rows are told apart by 128-bit digests of their content and not by their place
 in a scan, so that it doesn't matter how often or in what splits they are read.
@@ -32,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +51,10 @@ MAP_SLOTS = 1 << 25
 BLOCK_BYTES = 6 << 20
 #: Bytes of text whose keys are met in one group.
 GROUP_BYTES = 3_000_000
+#: Texts that share a key are tied in pairs; where there are more of them, all to the first.
+PAIRED = 16
+#: Bits of the filter that tells which texts get their links anew.
+FILTER_BITS = 1 << 26
 _HELD = 1_000_000
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -164,16 +174,21 @@ def starred(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[first], ids[first], a[new], b[new]
 
 
-def candidates(texts: DataFrame, width: int, least: float, n_bytes: int) -> DataFrame:
-    """a > b: links between texts (key, text; ``n_bytes`` in all), such that every pair of a Jaccard similarity of
-    ``least`` or more is in a component; and those that the deletion variants of the SimHash tie.
-
-    Of the texts with a key each batch sends one and links the others to it, so a key that very many share comes once
-    a batch."""
+def ordering(texts: DataFrame, width: int, n_bytes: int) -> tuple[int, int, Broadcast]:
+    """Partitions and groups of hashes for texts of ``n_bytes`` in all, and the map of common shingles."""
     spark = texts.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (256 << 20))
     many = min(max(4 * parts, n_bytes // GROUP_BYTES + 1), 1 << 22)
-    known = spark.sparkContext.broadcast(frequency_map(texts, width, many, parts))
+    return parts, many, spark.sparkContext.broadcast(frequency_map(texts, width, many, parts))
+
+
+def candidates(texts: DataFrame, width: int, least: float, order: tuple[int, int, Broadcast]) -> DataFrame:
+    """a > b: links between texts (key, text), such that every pair of a Jaccard similarity of ``least`` or more is in a
+    component; and those that the deletion variants of the SimHash tie.
+
+    Of the texts with a key each batch sends one and links the others to it, so a key that very many share comes once
+    a batch."""
+    parts, many, known = order
     sent = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
     pair = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -210,6 +225,114 @@ def candidates(texts: DataFrame, width: int, least: float, n_bytes: int) -> Data
     return met.where("kind = 0").select("a", "b").unionByName(links(nodes.select("id", "fp"))).unionByName(equal)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of the hashes' last bits: whether an odd number of them has these.  About a bit a hash."""
+    size = 1 << max(6, (len(hashes) * 3 // 4).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many shingles the sets of two sketches differ at least.  The longer one is folded."""
+    a, b, size = (x, y, len(x)) if len(x) >= len(y) else (y, x, len(y))
+    whole = int.from_bytes(a, "little")
+    while size > len(b):
+        size //= 2
+        whole = whole >> 8 * size ^ whole & (1 << 8 * size) - 1
+    return (whole ^ int.from_bytes(b, "little")).bit_count()
+
+
+def paired(key: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """a > b, each once: every two ids with a key; and where more than PAIRED have it, the links of all with the least."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    first, end = runs(key)
+    crowded = np.repeat(end - first > PAIRED, end - first)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, PAIRED):
+        i = np.flatnonzero((key[lag:] == key[:-lag]) & ~crowded[lag:] & (ids[lag:] != ids[:-lag]))
+        a.append(ids[i + lag])
+        b.append(ids[i])
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return (a[new], b[new]), starred(key[crowded], ids[crowded])[2:]
+
+
+def narrowed(texts: DataFrame, crowd: DataFrame, width: int, least: float, order: tuple[int, int, Broadcast]) -> DataFrame:
+    """a > b: links between those of the texts (key, text) whose keys are in ``crowd``, such that every pair of them with a
+    Jaccard similarity of ``least`` or more is in a component.  A few of the other texts may come along.
+
+    Of the texts with a key a batch sends PAIRED + 1 at most, so that the key counts as crowded where it arrives."""
+    parts, many, known = order
+    place = F.pmod("key", F.lit(FILTER_BITS))
+    bits = crowd.select(F.shiftright(place, 15).alias("page"), place.bitwiseAND(32767).alias("bit"))
+    marks = np.zeros(FILTER_BITS // 8, np.uint8)
+    for page, own in zip(*(x.to_pylist() for x in bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("own")).toArrow().columns), strict=True):
+        marks[page << 12 : page + 1 << 12] = np.frombuffer(own, np.uint8)
+    inside = texts.sparkSession.sparkContext.broadcast(marks)
+    sent = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+    found = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary())])
+
+    def deal(batches):
+        for batch in pieces(batches, 4 << 20):
+            ids, place = np.unique(batch.column("key").to_numpy(), return_index=True)
+            at = ids % FILTER_BITS
+            mine = inside.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            ids = ids[mine]
+            if not len(ids):
+                continue
+            sets = [np.unique(shingle_hashes(x, width)) for x in texts_of(batch.select(["text"]).take(pa.array(place[mine])))]
+            keys, owner = prefix_keys(sets, least, many, known.value)
+            keys, owner = group_of(keys, many) << np.uint64(32) | keys & _LOW32, ids[owner]
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            first, end = runs(keys)
+            crowded = np.repeat(end - first > PAIRED, end - first)
+            a, b = starred(keys[crowded], owner[crowded])[2:]
+            few = np.arange(len(keys)) - np.repeat(first, end - first) <= PAIRED
+            keys, owner = keys[few], owner[few]
+            rows = [(int(ids[0]) % many, 1, a.tobytes(), b.tobytes())]
+            rows += [(i % many, 2, np.array([i, len(x)], np.int64).tobytes(), sketch(x)) for i, x in zip(ids.tolist(), sets, strict=True)]
+            part = keys >> np.uint64(32)
+            for i, j in zip(*(x.tolist() for x in runs(part)), strict=True):
+                rows.append((int(part[i]), 0, packed(np.diff(keys[i:j] & _LOW32, prepend=np.uint64(0))), owner[i:j].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent)
+
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray, own: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(own or [None] * len(a), pa.binary())], schema=found)
+
+    def meet(batches):
+        for part, kind, x, y in whole_groups(batches, ("part", "kind"), ("x", "y")):
+            group = np.cumsum(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))
+            for i, j in zip(*runs(group), strict=True):
+                if kind[i] == 2:
+                    own = np.frombuffer(b"".join(x[i:j]), np.int64).reshape(-1, 2)
+                    yield rows_of(2, own[:, 0].copy(), own[:, 1].copy(), list(y[i:j]))
+                elif kind[i] == 1:
+                    yield rows_of(1, np.frombuffer(b"".join(x[i:j]), np.int64), np.frombuffer(b"".join(y[i:j]), np.int64))
+                else:
+                    every, tied = paired(np.concatenate([np.cumsum(unpacked(v), dtype=np.uint64) for v in x[i:j]]), np.frombuffer(b"".join(y[i:j]), np.int64))
+                    yield rows_of(0, *every)
+                    yield rows_of(1, *tied)
+
+    def near(batches):
+        for batch in batches:
+            m, n, x, y = (batch.column(c).to_pylist() for c in ("m", "n", "x", "y"))
+            most = [(i + j) * (1 - least) / (1 + least) + 1e-6 for i, j in zip(m, n, strict=True)]
+            kept = pa.array([apart(i, j) <= d for i, j, d in zip(x, y, most, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(kept)
+
+    dealt = texts.select("key", "text").mapInArrow(deal, "part long, kind long, x binary, y binary")
+    met = materialized(dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, "kind long, a long, b long, sketch binary"))
+    every = met.where("kind = 0").select("a", "b").distinct()
+    one = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("size"), "sketch")
+    first = one.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    other = one.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    sized = every.join(first, "a").join(other, "b").where(F.least("m", "n") >= F.greatest("m", "n") * F.lit(least) - 1e-6)
+    return sized.mapInArrow(near, "a long, b long").unionByName(met.where("kind = 1").select("a", "b"))
+
+
 def _similar(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set the place of the first in its component, links being Jaccard similarities of ``least`` or more.
 
@@ -299,9 +422,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEA
     key = F.xxhash64("digest")
     single = without(rows.select("uid", key.alias("key"), "text"), ids, copies)
     n_bytes = texts.agg(F.sum("n_bytes")).first()[0] or 0
-    groups = components(candidates(single, width, least, n_bytes))
+    order = ordering(single, width, n_bytes)
     known = texts.select(key.alias("key"), "node", F.col("first.uid").alias("uid"), "n_bytes")
-    groups = materialized(groups.withColumnRenamed("node", "key").join(known, "key"))
+    members = lambda found: materialized(components(found).withColumnRenamed("node", "key").join(known, "key"))
+    groups = members(candidates(single, width, least, order))
+    # At most one row for each BLOCK_BYTES of text.
+    large = materialized(groups.groupBy("root").agg(F.sum("n_bytes").alias("n")).where(F.col("n") >= BLOCK_BYTES).select("root"))
+    if not large.isEmpty():
+        crowd = groups.join(F.broadcast(large), "root", "left_semi").select("key")
+        again = members(narrowed(single, crowd, width, least, order))
+        again = again.join(crowd, "key", "left_semi")
+        groups = materialized(groups.join(F.broadcast(large), "root", "left_anti").unionByName(again))
     linked = components(verified_links(rows.select("uid", "text"), groups, width, least))
     # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
     met = materialized(texts.select("first", "node").join(linked, "node").select("root", "first"))
