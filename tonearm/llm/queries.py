@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, media, mixing, packing, quality, simhash, token_counts, topk, warc
+from . import chat, collocations, divergence, lm, media, mixing, packing, quality, sharding, simhash, token_counts, topk, warc
 from .common import table
 
 
@@ -53,11 +53,24 @@ def op10_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_slots(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lexical_packing, op2_bpe_token_counts, op3_iso_media, op4_exact_topk, op5_crf_quality,
         op6_simhash_components, op7_snapshot_collapse, op8_source_mixing, op9_warc_salvage, op10_ctw_scores,
+        op11_hash_tree_shards, op12_source_divergence, op13_phrase_collocations,
     )
 }
 
@@ -80,4 +93,7 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_dig
   CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN target <> page_id THEN target END AS refers_to FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": TOPK_SQL, "op7_snapshot_collapse": chat.COLLAPSE_SQL, "op8_source_mixing": mixing.report_sql(), "op9_warc_salvage": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": TOPK_SQL, "op7_snapshot_collapse": chat.COLLAPSE_SQL, "op8_source_mixing": mixing.report_sql(), "op9_warc_salvage": WARC_SQL,
+    "op12_source_divergence": divergence.DIVERGENCE_SQL, "op13_phrase_collocations": collocations.COLLOCATIONS_SQL,
+}
