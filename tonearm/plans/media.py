@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import numbers as N
+from ..operators import resampling as R
 from ..operators import streams as S
 from ..sources import tables as T
 from .catalogue import query, read
@@ -78,13 +79,44 @@ def box_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.probed(p).drop("error")
 
 
-@query("""SELECT vec_id, len(y) AS n, list_transform(y, lambda v: round(v, 6)) AS samples FROM (SELECT vec_id, list_transform(range(0, (len(embedding) * 480 + 440) // 441), lambda i: list_sum(list_transform(range(1, len(embedding) + 1),
-  lambda k: CASE WHEN abs(i * 44100 / 48000.0::DOUBLE - (k - 1)) >= 64 THEN 0 ELSE embedding[k]::DOUBLE * 0.95 * CASE WHEN i * 44100 = (k - 1) * 48000 THEN 1 ELSE sin(pi() * 0.95 * (i * 44100 / 48000.0::DOUBLE - (k - 1))) / (pi() * 0.95 * (i * 44100 / 48000.0::DOUBLE - (k - 1))) END
-  * pow(0.42 + 0.5 * cos(pi() * (i * 44100 / 48000.0::DOUBLE - (k - 1)) / 64) + 0.08 * cos(2 * pi() * (i * 44100 / 48000.0::DOUBLE - (k - 1)) / 64), 2) END))) AS y FROM embeddings)""")
+def conversion_sql(source: int, target: int, channels: int) -> str:
+    """Every label's vectors joined into one stream (of each the first vec_id % 65 values, whole frames), and each output as a sum
+    over the frames about it; the filter is said by its formula, as a parabola through three entries of its table."""
+    half, n = R.TAPS // 2, R.OVERSAMPLING
+    a, b, c = R.CUTOFF_FIT
+    cut = f"(1 / (1 + {a}::DOUBLE / {R.TAPS} + {b}::DOUBLE / {R.TAPS**2} + {c}::DOUBLE / {R.TAPS**3}) * least(1, {target} / {source}::DOUBLE))"
+    d = f"(e / {n}::DOUBLE)"
+    h = f"CASE WHEN e = 0 THEN 1 ELSE sin(pi() * {cut} * {d}) / (pi() * {cut} * {d}) END * pow(0.42 + 0.5 * cos(pi() * {d} / {half}) + 0.08 * cos(2 * pi() * {d} / {half}), 2)"
+    return f"""WITH h AS (SELECT e, {h} AS y FROM range({-half * n}, {half * n}) t(e)), u AS (SELECT e, y * {n} / (SELECT sum(y) FROM h) AS y FROM h),
+s AS (SELECT label, vec_id, unnest(range(0, len(v))) AS i, unnest(v)::DOUBLE AS x FROM (SELECT label, vec_id, embedding[1:vec_id % 65 // {channels} * {channels}] AS v FROM embeddings)),
+m AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS t, x FROM s),
+f AS (SELECT label, t // {channels} AS frame, t % {channels} AS channel, x FROM m),
+k AS (SELECT label, unnest(range(0, ((max(frame) + 1) * {target} + {source - 1}) // {source})) AS k FROM f GROUP BY label),
+o AS (SELECT label, k, k * {source} // {target} AS frame, k * {source} % {target} AS r FROM k),
+w AS (SELECT r, o, coalesce(a.y, 0) + (-3 * coalesce(a.y, 0) + 4 * coalesce(b.y, 0) - coalesce(c.y, 0)) / 2 * x + (coalesce(a.y, 0) - 2 * coalesce(b.y, 0) + coalesce(c.y, 0)) / 2 * x * x AS y
+  FROM (SELECT r, o, floor(r * {n} / {target}::DOUBLE)::BIGINT - {n} * o AS e, r * {n} / {target}::DOUBLE - floor(r * {n} / {target}::DOUBLE) AS x FROM (SELECT DISTINCT r FROM o), range({-half - 1}, {half + 2}) t(o)) z
+  LEFT JOIN u a ON a.e = z.e LEFT JOIN u b ON b.e = z.e + 1 LEFT JOIN u c ON c.e = z.e + 2)
+SELECT o.label, o.k AS frame, f.channel, round(sum(f.x * w.y), 6) AS sample FROM o JOIN w ON w.r = o.r JOIN f ON f.label = o.label AND f.frame = o.frame + w.o GROUP BY ALL"""
+
+
+def conversion(spark: SparkSession, sf_dir: str, source: int, target: int, channels: int) -> DataFrame:
+    n = (N.idiv(F.col("vec_id") % 65, channels) * channels).cast("int")
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select("label", "vec_id", F.slice("embedding", F.lit(1), n).alias("samples"), F.lit(source).alias("sample_rate"))
+    out = R.resampled(e, ["label"], ["vec_id"], target, channels).where("error IS NULL")
+    each = out.select("label", "position", F.posexplode("samples").alias("i", "x"))
+    return each.select("label", (F.col("position") + N.idiv(F.col("i"), channels)).alias("frame"), (F.col("i") % channels).cast("long").alias("channel"), F.round("x", 6).alias("sample"))
+
+
+@query(conversion_sql(44_100, 48_000, 1))
 def rate_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.col("embedding").alias("samples"))
-    out = T.resampled(e, 44_100, 48_000)
-    return out.select("vec_id", F.size("samples").cast("long").alias("n"), F.transform("samples", lambda x: F.round(x, 6)).alias("samples"))
+    """Streams of chunks of 0 to 64 frames at 48 kHz: as if each had been converted whole."""
+    return conversion(spark, sf_dir, 44_100, 48_000, 1)
+
+
+@query(conversion_sql(48_000, 32_000, 2))
+def rate_conversion_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To a lower rate, where the filter cuts at the lower band's end."""
+    return conversion(spark, sf_dir, 48_000, 32_000, 2)
 
 
 @query("""WITH s AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),

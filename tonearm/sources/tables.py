@@ -123,46 +123,3 @@ def encoded(frames: DataFrame, name: str, column: str = "samples") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(packets, pa.binary())], names=[*kept, "packet"])
 
     return frames.select(*kept, column).mapInArrow(run, out)
-
-
-TAPS, CUTOFF = 128, 0.95
-
-
-def kernel(d: np.ndarray, cut: float) -> np.ndarray:
-    """A low-pass sinc under a squared Blackman window of TAPS taps, at distances d."""
-    half = TAPS / 2
-    u = np.pi * d / half
-    window = np.where(np.abs(d) < half, 0.42 + 0.5 * np.cos(u) + 0.08 * np.cos(2 * u), 0)
-    return cut * np.sinc(cut * d) * window * window
-
-
-def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """One channel at another rate: ceil(n * target / source) samples, aligned with the first of the input."""
-    if source == target or not len(x):
-        return x
-    n = -(-len(x) * target // source)
-    cut = CUTOFF * min(1.0, target / source)
-    offset = np.arange(-TAPS // 2, TAPS // 2 + 1)
-    out = np.empty(n)
-    for low in range(0, n, 1 << 15):
-        t = np.arange(low, min(n, low + (1 << 15))) * source / target
-        at = np.floor(t).astype(np.int64)[:, None] + offset
-        inside = (at >= 0) & (at < len(x))
-        out[low : low + (1 << 15)] = (np.where(inside, x[np.clip(at, 0, len(x) - 1)], 0) * kernel(t[:, None] - at, cut)).sum(1)
-    return out
-
-
-def resampled(chunks: DataFrame, source: int, target: int, channels: int = 1, column: str = "samples") -> DataFrame:
-    """The chunks at another rate; each is converted whole, channel by channel."""
-    out = StructType([f for f in chunks.schema.fields if f.name != column] + StructType.fromDDL(f"`{column}` array<double>").fields)
-    kept = out.names[:-1]
-
-    def run(batches):
-        for batch in batches:
-            made = []
-            for x in batch.column(column).to_pylist():
-                x = None if x is None else np.array(x, np.float64)
-                made.append(None if x is None else np.stack([resample(x[c::channels], source, target) for c in range(channels)], axis=1).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(made, pa.list_(pa.float64()))], names=[*kept, column])
-
-    return chunks.select(*kept, column).mapInArrow(run, out)
