@@ -82,6 +82,36 @@ def startup_deadlines(log: DataFrame, key: str, order: list[str], at: str, timeo
     return log.withColumns({"_next": next_, "due": due}).where((F.col("kind") == "start") & (F.col("_next").isNull() | (F.col("_next") > F.col("due")))).drop("_next")
 
 
+def deadlines(log: DataFrame, key: str, order: list[str], at: str, timeout: int) -> DataFrame:
+    """key, role, generation, epoch, due, code of each attempt that isn't ready in time, from a log of kind (start, ready, failed,
+    ended; pause, resume, stop for both roles), role and generation.
+
+    A start arms its role's deadline unless the stream is paused, and a resume those of attempts still waiting; a pause, a stop,
+    another start of the role, or the same generation being ready, failed or ended by then makes it stale.  An attempt times out
+    once.  The epoch counts the role's starts and the stream's pauses and resumes."""
+    kind, both = F.col("kind"), F.col("kind").isin("pause", "resume", "stop")
+    own = log.withColumn("role", F.explode(F.when(both, F.array(F.lit("current"), F.lit("next"))).otherwise(F.array("role"))))
+    w = Window.partitionBy(key, "role").orderBy(*order)
+    now, before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    starts = kind == "start"
+    generation = F.when(starts, F.struct(F.col("generation").alias("g"))).when(kind == "stop", F.struct(F.lit(None).cast("long").alias("g")))
+    own = own.withColumns({"_g": F.last(generation, ignorenulls=True).over(now)["g"], "_own": F.last(generation, ignorenulls=True).over(before)["g"]})
+    closes = kind.isin("ready", "failed", "ended") & F.coalesce(F.col("generation") == F.col("_own"), F.lit(False))
+    own = own.withColumn("_closes", closes)
+    waits = F.when(starts, True).when(F.col("_closes") | (kind == "stop"), False)
+    paused = F.when(kind == "pause", True).when(kind.isin("resume", "stop"), False)
+    last = lambda c, over: F.coalesce(F.last(c, ignorenulls=True).over(over), F.lit(False))
+    changes = F.sum(F.when(kind.isin("start", "pause", "resume"), 1).otherwise(0)).over(now)
+    own = own.withColumns({"_waits": last(waits, now), "_paused": last(paused, before), "epoch": changes.cast("long"), "_attempt": F.sum(F.when(starts, 1).otherwise(0)).over(now)})
+    ends = starts | F.col("_closes") | kind.isin("pause", "stop")
+    own = own.withColumns({"_next": F.min(F.when(ends, F.col(at))).over(after), "due": F.col(at) + timeout})
+    arms = (starts & ~F.col("_paused")) | ((kind == "resume") & F.col("_paused") & F.col("_waits"))
+    late = own.where(arms & (F.col("_next").isNull() | (F.col("_next") > F.col("due"))))
+    first = Window.partitionBy(key, "role", "_attempt").orderBy(*order)
+    late = late.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return late.select(key, "role", F.col("_g").alias("generation"), "epoch", "due", F.lit("SOURCE_TIMEOUT").alias("code"))
+
+
 def split_bytes(chunks: DataFrame, size: str, most: int) -> DataFrame:
     """Each chunk as pieces of at most ``most`` bytes: piece (from 0), at and length."""
     n = N.idiv(F.col(size) + (most - 1), most)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import rules as R
 from . import streams as S
 
@@ -147,3 +148,27 @@ def delivery(segments: DataFrame, key: str, order: list[str]) -> DataFrame:
     gaps = segments.groupBy(key).agg(F.count_if("gap").alias("gaps"))
     met = gaps.join(out, key, "left")
     return met.select(key, F.coalesce("delivered", F.lit(0)).alias("delivered"), "gaps", F.col(f"_stop.{order[-1]}").alias("stopped_at"), F.when(F.col("_stop").isNotNull(), "UNSUPPORTED").alias("error"))
+
+
+def reloads(snapshots: DataFrame, key: str, order: list[str], depth: int = 3) -> DataFrame:
+    """What successive snapshots of a playlist (media_sequence, uris, target, end_list) hand on: each new segment once, and a row
+    for each span that the playlist has moved past before it was read.
+
+    The first snapshot of a live playlist begins ``depth`` segments before its end; after an end list nothing comes.  Columns:
+    key, the last of ``order``, kind (segment or skipped), sequence (the first), n, uri, reload_ms (null after the end)."""
+    n = F.size("uris").cast("long")
+    w = Window.partitionBy(key).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    first, end = F.col("media_sequence").cast("long"), F.col("media_sequence").cast("long") + n
+    own = snapshots.withColumns({"_first": first, "_end": end, "_over": F.coalesce(F.bool_or("end_list").over(before), F.lit(False)), "_known": F.max(end).over(before)})
+    begun = F.when(F.col("end_list"), F.col("_first")).otherwise(F.greatest(F.col("_first"), F.col("_end") - depth))
+    own = own.where(~F.col("_over")).withColumn("_from", F.coalesce("_known", begun))
+    skipped = F.when(F.col("_from") < F.col("_first"), F.array(F.struct(F.lit("skipped").alias("kind"), F.col("_from").alias("sequence"), (F.col("_first") - F.col("_from")).alias("n"), F.lit(None).cast("string").alias("uri"))))
+    start = F.greatest("_from", "_first")
+    fresh = F.transform(
+        F.when(start < F.col("_end"), F.sequence(start, F.col("_end") - 1)).otherwise(F.array().cast("array<bigint>")),
+        lambda s: F.struct(F.lit("segment").alias("kind"), s.alias("sequence"), F.lit(1).cast("long").alias("n"), F.get("uris", (s - F.col("_first")).cast("int")).alias("uri")),
+    )
+    reload_ms = F.when(~F.col("end_list"), N.reload_delay_ms(F.col("target").cast("long")))
+    out = own.select(key, order[-1], reload_ms.cast("long").alias("reload_ms"), F.explode(F.concat(F.coalesce(skipped, F.array().cast("array<struct<kind:string,sequence:bigint,n:bigint,uri:string>>")), fresh)).alias("x"))
+    return out.select(key, order[-1], "x.*", "reload_ms")
