@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tonearm.operators import redirects, seeks, streams
 from tonearm.operators import resampling as R
 from tonearm.operators.scans import scan
 
@@ -103,3 +104,42 @@ def test_a_stream_that_changes_its_rate_ends(spark):
     assert sorted(str((r["k"], r["error"], r["samples"] and len(r["samples"]))) for r in got) == [
         "('a', 'RESAMPLE_ERROR', None)", "('a', None, 10)", "('b', 'RESAMPLE_ERROR', None)", "('b', None, 6)", "('c', None, 4)"
     ]
+
+
+def test_count_windows_of_one_stream(spark):
+    rows = [(1, i, [float(i)] * (i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, i long, x array<double>")
+    plain, long = (sorted(map(tuple, streams.count_windows(df, "k", ["i"], "x", 7, **how).collect())) for how in ({}, {"long": True, "buckets": 9}))
+    assert plain == long and len(plain) == -(-300 // 7)
+
+
+def test_seeks(spark):
+    rng = random.Random(9)
+    rows, whole = [], {"a": [], "b": [], "none": []}
+    for k in ("a", "b"):
+        for i in range(60):
+            x = [float(len(whole[k]) + j) for j in range(rng.choice([0, 2, 4, 50, 400]))]
+            whole[k] += x
+            rows.append((k, i, 1000, x))
+    rows += [("a", 100, 1000, None)]
+    chunks = seeks.placed(spark.createDataFrame(rows, "k string, i long, sample_rate int, samples array<double>").repartition(4), "k", ["i"], 2, buckets=5)
+    asked = [(n, rng.choice(["a", "b", "none"]), rng.choice([0, 1, 50, 2000, 10**6, rng.randrange(4000)]), rng.choice([0, 1, 7, 3000])) for n in range(200)]
+    for width in (16, 1 << 14):
+        got = seeks.seek(spark.createDataFrame(asked, "id long, k string, at_ms long, n_frames long"), chunks, "k", channels=2, width=width).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            _, k, at, n = asked[r["id"]]
+            assert r["samples"] == whole[k][2 * at : 2 * (at + n)] and r["n_frames"] == len(r["samples"]) // 2
+    plan = seeks.seek(spark.createDataFrame(asked, "id long, k string, at_ms long, n_frames long"), chunks, "k")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_redirects(spark):
+    at = lambda i: f"https://h{i}.example/a/b"
+    hops = [(at(i), f"//h{i + 1}.example/a/b") for i in range(12)] + [("https://x.example/a", "../c?d"), ("https://loop.example/", "https://loop.example/"), ("https://p.example/", "http://p.example/"), ("https://n.example/", None), ("https://x.example/a", "z")]
+    asked = [(1, at(3), True), (2, at(2), True), (3, at(12), False), (4, "https://x.example/a", True), (5, "https://loop.example/", False), (6, "https://p.example/", True), (7, "https://p.example/", None), (8, "https://n.example/", True), (9, "https://10.0.0.1/", True), (10, None, False), (11, at(3), True)]
+    got = redirects.followed(spark.createDataFrame(asked, "id long, url string, public_only boolean"), spark.createDataFrame(hops, "url string, location string")).collect()
+    assert {r["id"]: (r["url"], r["hops"], r["error"]) for r in got} == {
+        1: (at(12), 9, None), 2: (None, 9, "INVALID_SOURCE"), 3: (at(12), 0, None), 4: ("https://x.example/c?d", 1, None), 5: (None, 9, "INVALID_SOURCE"), 6: (None, 0, "INVALID_SOURCE"),
+        7: ("http://p.example/", 1, None), 8: ("https://n.example/", 0, None), 9: (None, 0, "INVALID_SOURCE"), 10: (None, 0, "INVALID_SOURCE"), 11: (at(12), 9, None),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from .scans import scan
 
 
 def rolling_quality(reports: DataFrame, key: str, order: list[str], length: int = 32) -> DataFrame:
@@ -132,12 +133,17 @@ def choose_media(variants: DataFrame, renditions: DataFrame, master: str, order:
     return met.select(master, F.when(F.col(order).isNotNull(), "rendition").otherwise("variant").alias("branch"), F.coalesce(order, "_variant").alias(order))
 
 
-def count_windows(chunks: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
+def count_windows(chunks: DataFrame, key: str, order: list[str], value: str, size: int, long: bool = False, buckets: int | None = None) -> DataFrame:
     """Tumbling windows of ``size`` values across rows of arrays; the last is padded with zeros.
 
-    A row is placed by the lengths before it and cut at the windows' edges, so values are never rows."""
-    before = F.coalesce(F.sum(F.size(value)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = chunks.where(F.size(value) > 0).withColumn("_at", before)
+    A row is placed by the lengths before it and cut at the windows' edges, so values are never rows.  ``long``: a stream may
+    have any share of the rows, and lies in many tasks."""
+    own = chunks.where(F.size(value) > 0)
+    if long:
+        placed = scan(own.select(key, *order, value), [key], order, sums={"_to": F.size(value).cast("long")}, buckets=buckets).withColumn("_at", F.col("_to") - F.size(value))
+    else:
+        before = F.coalesce(F.sum(F.size(value)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = own.withColumn("_at", before)
     at = F.col("_at")
     frames = placed.withColumn("frame", F.explode(F.sequence(N.idiv(at, size), N.idiv(at + F.size(value) - 1, size))))
     low = F.greatest(F.col("frame") * size - at, F.lit(0))
