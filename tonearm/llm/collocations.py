@@ -1,20 +1,24 @@
 """Phrase collocations by a minimal perfect hash over Apriori-safe candidates (operator 13).
 
 A word has a 128-bit key (of itself and its language) and a phrase the
-polynomial of its words' keys.  Words first, then phrases of two to five words:
-a phrase is looked at only where its first and its last n - 1 words can have
-``least`` occurrences, as no phrase has more than its parts.  A bit filter of
-bounded size tells that; where it is full more phrases are looked at and none
-is lost.  Keys whose counts reach ``least`` are the candidates.
-
-They get slots from a minimal perfect hash.  Mappers go over the texts again,
-look up every phrase, verify the key that its slot stores, and add a bincount to
-a numpy array of slots; the arrays are summed as a tree, in blocks.  Each
-candidate then reads the counts of its cuts, and of the phrases inside it, by
-slot.  The hash with its keys is broadcast up to ``MOST_SLOTS`` candidates
-(18 bytes each); beyond that they are dealt into shards of that many, each with a
-hash of its own: mappers send the phrases that the filters pass, summed by block,
-to the shards, and the cuts are read by joins.  Both ways count all candidates.
+polynomial of its words' keys.  Texts are cut into words once: blocks of them
+are written as codes with their keys.  Words first, then phrases of two to five
+words: a phrase is looked at only where its first and its last n - 1 words can
+have ``least`` occurrences, as no phrase has more than its parts.  Mappers sum
+the phrases of a level by 48-bit cells, packed by ranges of cells; a phrase
+whose cell stays below ``least`` is no candidate (phrases that share a cell only
+add to it).  A bit filter of bounded size tells which cells reach it; where it
+is full more phrases are looked at and none is lost.
+
+The candidates, with the block that has each first, get slots from a minimal
+perfect hash.  Mappers look up every phrase, verify the key that its slot stores,
+and add a bincount to a numpy array of slots; the arrays are summed as a tree, in
+blocks.  Each candidate then reads its count, those of its cuts, and those of the
+phrases inside it, by slot.  The hash with its keys is broadcast up to
+``MOST_SLOTS`` candidates (26 bytes each); beyond that they are dealt into shards
+of that many, each with a hash of its own: mappers send the phrases that the
+filters pass, summed by block, to the shards, and the cuts are read by joins.
+Both ways count all candidates.
 
 Defined results: a null or empty text has no words; a null language is ``und``
 (and is one with it); each row counts, repeated or not, and its id is not read; a
@@ -35,10 +39,12 @@ from pyspark.sql import functions as F
 from .common import materialized, pieces
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Candidates that one hash may have, and so what is broadcast: 36 MB.
+#: Candidates that one hash may have, and so what is broadcast: 52 MB.
 MOST_SLOTS = 1 << 21
 #: Slots of a block of the count arrays, arrays that one task sums at a step of the tree.
 BLOCK, FAN_IN = 1 << 16, 32
+#: Bits of a cell, and words of the corpus for each range of cells.
+CELL_BITS, CELLS_OF_RANGE = 48, 1 << 21
 #: Bits of a filter for each key, and the most bits of a filter (32 MB).
 BITS_PER_KEY, MOST_BITS = 64, 1 << 28
 #: Odd multipliers of the two halves of a phrase's key.
@@ -131,23 +137,41 @@ def folded(text: bytes) -> bytes:
     return text.translate(_FOLD)
 
 
+_BLOCKS = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("high", pa.binary()), ("low", pa.binary()), ("words", pa.binary())])
+
+
+def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts of one language as the numbers of their words in order (0 parts pieces), the words' keys and the words."""
+    for batch in pieces(batches):
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts.setdefault(lang, [_BREAK]).append(text or b"")
+        for lang, own in texts.items():
+            tokens = folded(b"\n".join(own)).replace(b"\n", b" " + _BREAK + b" ").split()
+            coded = pa.array(tokens, pa.binary()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()  # the break came first
+            row = ([lang], [coded.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], *([k.tobytes()] for k in keys_of(lang, distinct)), [b" ".join(distinct)])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
 class Words:
-    """The words of a block of texts of one language in order, with breaks between pieces."""
+    """The words of a block in order, with breaks between pieces."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
-        self.lang = lang
-        self.tokens = folded(b"\n".join(texts)).replace(b"\n", b" " + _BREAK + b" ").split()
-        coded = pa.array(self.tokens, pa.binary()).dictionary_encode()
-        self.codes = coded.indices.to_numpy(zero_copy_only=False)
-        self.distinct = coded.dictionary.to_pylist()
-        self.keys = keys_of(lang, self.distinct)
-        self.is_word = np.array([w != _BREAK for w in self.distinct], bool)
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        own = {c: batch.column(c)[row] for c in batch.schema.names}
+        self.lang, self.block = own["lang"].as_py(), own["block"].as_py()
+        self.codes = np.frombuffer(own["codes"].as_buffer(), np.int32)
+        self.keys = tuple(np.frombuffer(own[c].as_buffer(), np.uint64) for c in ("high", "low"))
+        self.is_word = np.arange(len(self.keys[0])) > 0
+        self.raw, self.distinct = own.get("words"), None
 
     def phrase(self, at: int, n: int) -> str:
-        return b" ".join(self.tokens[at : at + n]).decode("utf-8", "replace")
+        if self.distinct is None:
+            self.distinct = self.raw.as_py().split(b" ")
+        return b" ".join([self.distinct[c] for c in self.codes[at : at + n].tolist()]).decode("utf-8", "replace")
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.bincount(self.codes, minlength=len(self.distinct))
+        n = np.bincount(self.codes, minlength=len(self.is_word))
         return self.keys[0][self.is_word], self.keys[1][self.is_word], n[self.is_word]
 
     def phrases(self, filters: list[Filter], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,7 +196,7 @@ class Words:
 
 
 class Filter:
-    """A bit for each key: no key that was put in is missed."""
+    """A bit for each cell: no key whose cell was put in is missed."""
 
     def __init__(self, words: np.ndarray):
         self.words, self.bits = words, np.uint64(len(words) * 64)
@@ -183,27 +207,30 @@ class Filter:
 
 
 def cell(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (high ^ (low >> np.uint64(1))) & np.uint64((1 << 62) - 1)
+    return mixed(high ^ low) >> np.uint64(64 - CELL_BITS)
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        high, low = (batch.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+        yield pa.RecordBatch.from_arrays([pa.array(cell(high, low).view(np.int64))], names=["cell"])
 
 
-def filter_of(keys: DataFrame) -> Filter:
-    """The filter of a table of keys (high, low), made of words of 64 bits; its size is bounded, so the driver may hold it."""
-    n = keys.count()
+def filter_of(cells: DataFrame) -> Filter:
+    """The filter of a table of cells, made of words of 64 bits; its size is bounded, so the driver may hold it."""
+    n = cells.count()
     bits = min(MOST_BITS, 1 << max(16, (n * BITS_PER_KEY - 1).bit_length() if n else 0))
-    at = F.col("high").bitwiseXOR(F.shiftrightunsigned("low", 1)).bitwiseAND(F.lit((1 << 62) - 1)) % F.lit(bits)
-    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    at = F.col("cell") % F.lit(bits)
+    rows = cells.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Filter(words)
 
 
-def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    for batch in pieces(batches):
-        texts: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(text or b"")
-        for lang, own in texts.items():
-            yield Words(lang, own)
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Words(batch, i)
 
 
 def summed(high: np.ndarray, low: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,31 +273,171 @@ class Sums:
         self.parts, self.size = {}, 0
 
 
-def sums(docs: DataFrame, n: int, filters) -> DataFrame:
-    """high, low, lang, count (partial sums) of the words (n = 1), or of the phrases of n words that the filters pass (no lang)."""
+def word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """high, low, lang, count (partial sums) of the words."""
+    held = Sums()
+    for words in each_block(batches):
+        yield from held.add(words.lang, *words.counts())
+    yield from held.out()
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers by planes of bytes, so that the planes of zeros compress away."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def numbers(x: pa.Scalar, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def sum_cells(filters, n: int, ranges: int, most: int = 1 << 21):
+    """Partial sums of the phrases of n words by cell, packed by ranges of cells."""
+    schema = pa.schema([("range", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+    width = np.uint64((1 << CELL_BITS) // ranges)
+
+    def out(parts: list) -> Iterator[pa.RecordBatch]:
+        cells, counts = added(parts)
+        if not len(cells):
+            return
+        of = (cells // width).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        rows = [(int(of[a]), planes(np.diff(cells[a:b], prepend=np.uint64(0)), 8), planes(np.minimum(counts[a:b], (1 << 32) - 1), 4)) for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True)]
+        for a in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[a : a + 256], strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Sums()
-        for words in by_lang(batches):
-            if n == 1:
-                yield from held.add(words.lang, *words.counts())
-                continue
+        parts, size = [], 0
+        for words in each_block(batches):
             for m, _, high, low in words.phrases(filters.value, n):
                 if m == n:
-                    yield from held.add("", *summed(high, low))
-        yield from held.out()
+                    cells, counts = np.unique(cell(high, low), return_counts=True)
+                    parts.append((cells, counts))
+                    size += len(cells)
+            if size > most:
+                parts = [added(parts)]
+                size = len(parts[0][0])
+                if size > most // 2:
+                    yield from out(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from out(parts)
+
+    return run
+
 
-    return docs.mapInArrow(run, "high long, low long, lang string, count long")
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return cells[at], np.add.reduceat(counts, at)
+
+
+def reached(least: int, most: int = 1 << 22):
+    """The cells whose sums reach ``least``, of rows sorted by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if parts:
+                cells, counts = added(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[counts >= least].astype(np.int64))], names=["cell"])
+
+        for batch in batches:
+            for of, cells, counts in zip(batch.column("range").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+                if of != now:
+                    yield from done()
+                    now, parts, size = of, [], 0
+                parts.append((np.cumsum(numbers(cells, 8), dtype=np.uint64), numbers(counts, 4).astype(np.int64)))
+                size += len(parts[-1][0])
+                if size > most:
+                    parts = [added(parts)]
+                    size = 0  # what is added from now on
+        yield from done()
+
+    return run
+
+
+def first_blocks(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the smallest block of each."""
+    high, low, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((block, low, high))
+    high, low, block = high[order], low[order], block[order]
+    new = np.ones(len(high), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    return high[new], low[new], block[new]
+
+
+def candidates(filters, longest: int, ranges: int, most: int = 1 << 20):
+    """The keys of the phrases whose cells and parts pass, each with a block that has it, packed by ranges of keys."""
+    schema = pa.schema([("range", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("block", pa.binary())])
+    width = np.uint64((1 << 64) // ranges - 1) + np.uint64(1)
+
+    def out(parts: list) -> Iterator[pa.RecordBatch]:
+        high, low, block = first_blocks(parts)
+        if not len(high):
+            return
+        of = (high // width).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
+            own = (planes(np.diff(high[a:b], prepend=np.uint64(0)), 8), planes(low[a:b], 8), planes(block[a:b], 8))
+            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])]), *[pa.array([x], pa.binary()) for x in own]], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for words in each_block(batches):
+            for m, _, high, low in words.phrases(filters.value, longest):
+                keep = filters.value[m - 1].has(high, low)
+                high, low, _ = summed(high[keep], low[keep])
+                parts.append((high, low, np.full(len(high), words.block, np.int64)))
+                size += len(high)
+            if size > most:
+                parts = [first_blocks(parts)]
+                size = len(parts[0][0])
+                if size > most // 2:
+                    yield from out(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from out(parts)
+
+    return run
+
+
+def met_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """high, low, block: each candidate once, of rows sorted by range."""
+    now, parts = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if parts:
+            high, low, block = first_blocks(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(block)], names=["high", "low", "block"])
+
+    for batch in batches:
+        for of, high, low, block in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in ("high", "low", "block")), strict=True):
+            if of != now:
+                yield from done()
+                now, parts = of, []
+            parts.append((np.cumsum(numbers(high, 8), dtype=np.uint64), numbers(low, 8), numbers(block, 8).view(np.int64)))
+            if len(parts) > 64:
+                parts = [first_blocks(parts)]
+    yield from done()
 
 
 def map_counts(hashed, filters, longest: int, size: int):
-    """Counts by slot in blocks, and each phrase once for a task."""
-    schema = pa.schema([("block", pa.int64()), ("counts", pa.binary()), ("slot", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int64())])
+    """Counts by slot in blocks of ``size``, and each phrase from the block that it was first in."""
+    schema = pa.schema([("part", pa.int64()), ("counts", pa.binary()), ("slot", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: PerfectHash = hashed.value
-        counts, seen = np.zeros(len(table), np.int64), np.zeros(len(table), bool)
-        for words in by_lang(batches):
+        table, owner = hashed.value
+        counts = np.zeros(len(table), np.int64)
+        for words in each_block(batches):
             high, low, n = words.counts()
             slot = table.slots(high, low)
             counts += np.bincount(slot[slot >= 0], n[slot >= 0], len(table)).astype(np.int64)
@@ -279,28 +446,27 @@ def map_counts(hashed, filters, longest: int, size: int):
                 slot = table.slots(high, low)
                 at, slot = at[slot >= 0], slot[slot >= 0]
                 counts += np.bincount(slot, minlength=len(table))
-                slot, first = np.unique(slot, return_index=True)
-                new = ~seen[slot]
-                seen[slot] = True
-                out += [(None, None, s, words.lang, words.phrase(a, m), m) for s, a in zip(slot[new].tolist(), at[first][new].tolist(), strict=True)]
+                mine = owner[slot] == words.block
+                slot, first = np.unique(slot[mine], return_index=True)
+                out += [(None, None, s, words.lang, words.phrase(a, m)) for s, a in zip(slot.tolist(), at[mine][first].tolist(), strict=True)]
             for a in range(0, len(out), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[a : a + (1 << 14)], strict=True), schema, strict=True)], schema=schema)
+                yield batch_of(out[a : a + (1 << 14)])
         for b in range(0, len(table), size):
             own = counts[b : b + size]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([b // size], [own.tobytes()], [None], [None], [None], [None]), schema, strict=True)], schema=schema)
+                yield batch_of([(b // size, own.tobytes(), None, None, None)])
 
     return run
 
 
-def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One array for each run of equal (block, part)."""
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
+def sum_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One array for each run of equal (part, group)."""
+    schema = pa.schema([("part", pa.int64()), ("group", pa.int64()), ("counts", pa.binary())])
     key, total = None, np.zeros(0, np.int64)
     for batch in batches:
-        for block, part, counts in zip(batch.column("block"), batch.column("part"), batch.column("counts"), strict=True):
+        for part, group, counts in zip(batch.column("part"), batch.column("group"), batch.column("counts"), strict=True):
             own = np.frombuffer(counts.as_buffer(), np.int64)
-            if (now := (block.as_py(), part.as_py())) == key:
+            if (now := (part.as_py(), group.as_py())) == key:
                 total += own
                 continue
             if key is not None:
@@ -311,14 +477,14 @@ def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_sum(arrays: DataFrame, tasks: int) -> DataFrame:
-    """block and counts; no task adds more than FAN_IN arrays of a block."""
+    """part and counts, of the arrays (part, group: the mapper's number, counts); no task adds more than FAN_IN arrays of a part."""
     now = arrays
     while True:
         tasks = -(-tasks // FAN_IN)
-        now = now.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN_IN)))
-        now = now.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(sum_blocks, "block long, part long, counts binary")
+        now = now.withColumn("group", F.call_function("div", F.col("group"), F.lit(FAN_IN)))
+        now = now.repartition("part", "group").sortWithinPartitions("part", "group").mapInArrow(sum_arrays, "part long, group long, counts binary")
         if tasks <= 1:
-            return now.select("block", "counts")
+            return now.select("part", "counts")
 
 
 MEASURED = "lang string, phrase string, words int, a long, l long, r long, n long, score long, inside array<string>"
@@ -330,12 +496,11 @@ def measure(a: int, n: int, cuts: list[tuple[int, int]]) -> tuple[int, int, int]
     return score, *cuts[k]
 
 
-def read_cuts(hashed, counted):
+def read_cuts(hashed, counted, least: int):
     """Each candidate's cuts, and the phrases inside it that occur no more often than it does, by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: PerfectHash = hashed.value
-        counts: np.ndarray = counted.value
+        table, counts = hashed.value[0], counted.value
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), *[(x, pa.int64()) for x in ("a", "l", "r", "n", "score")], ("inside", pa.list_(pa.string()))])
         for batch in pieces(batches):
             rows = batch.to_pylist()
@@ -352,6 +517,8 @@ def read_cuts(hashed, counted):
             for r, (words, own) in zip(rows, spans, strict=True):
                 m = len(words)
                 a = found[own[0, m]]
+                if a < least:  # others of its cell made it a candidate
+                    continue
                 score, left, right = measure(a, r["n"], [(found[own[0, k]], found[own[k, m]]) for k in range(1, m)])
                 inside = {" ".join(words[i:j]) for (i, j), x in own.items() if 1 < j - i < m and found[x] <= a}
                 out.append((r["lang"], r["phrase"], m, a, left, right, r["n"], score, sorted(inside)))
@@ -361,18 +528,20 @@ def read_cuts(hashed, counted):
     return run
 
 
-def counted_at_once(spark: SparkSession, docs: DataFrame, keys: DataFrame, filters, n_of_lang: DataFrame, longest: int) -> DataFrame:
-    """The measured phrases, by one broadcast hash of all candidates."""
-    rows = keys.select("high", "low").toArrow()  # no more than MOST_SLOTS
+def counted_at_once(spark: SparkSession, blocks: DataFrame, keys: DataFrame, filters, n_of_lang: DataFrame, longest: int, least: int) -> DataFrame:
+    """The measured phrases, by one broadcast hash of all candidates (high, low, block)."""
+    rows = keys.toArrow()  # no more than MOST_SLOTS
     table = PerfectHash(*(rows[c].to_numpy().view(np.uint64) for c in ("high", "low")))
-    hashed = spark.sparkContext.broadcast(table)
-    made = materialized(docs.mapInArrow(map_counts(hashed, filters, longest, BLOCK), "block long, counts binary, slot long, lang string, phrase string, words long").withColumn("part", F.spark_partition_id().cast("long")))
+    owner = np.empty(len(table), np.int64)
+    owner[table.slots(*(rows[c].to_numpy().view(np.uint64) for c in ("high", "low")))] = rows["block"].to_numpy()
+    hashed = spark.sparkContext.broadcast((table, owner))
+    made = materialized(blocks.mapInArrow(map_counts(hashed, filters, longest, BLOCK), "part long, counts binary, slot long, lang string, phrase string").withColumn("group", F.spark_partition_id().cast("long")))
     total = np.zeros(len(table), np.int64)
-    for r in tree_sum(made.where("block IS NOT NULL").select("block", "part", "counts"), made.rdd.getNumPartitions()).toLocalIterator():
-        total[r["block"] * BLOCK :][: len(r["counts"]) // 8] = np.frombuffer(r["counts"], np.int64)
+    for r in tree_sum(made.where("part IS NOT NULL").select("part", "group", "counts"), made.rdd.getNumPartitions()).toLocalIterator():
+        total[r["part"] * BLOCK :][: len(r["counts"]) // 8] = np.frombuffer(r["counts"], np.int64)
     counted = spark.sparkContext.broadcast(total)
-    phrases = made.where("block IS NULL").select("slot", "lang", "phrase").distinct().join(n_of_lang, "lang")
-    return phrases.select("lang", "phrase", "n").mapInArrow(read_cuts(hashed, counted), MEASURED)
+    phrases = made.where("part IS NULL").join(n_of_lang, "lang")
+    return phrases.select("lang", "phrase", "n").mapInArrow(read_cuts(hashed, counted, least), MEASURED)
 
 
 def map_dealt(filters, longest: int):
@@ -380,7 +549,7 @@ def map_dealt(filters, longest: int):
     schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in by_lang(batches):
+        for words in each_block(batches):
             for m, at, high, low in words.phrases(filters.value, longest):
                 keep = filters.value[m - 1].has(high, low)
                 at, high, low = at[keep], high[keep], low[keep]
@@ -454,14 +623,15 @@ def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[pa.array(x, f.type) for x, f in zip(plain, schema, strict=False)], *keys], schema=schema)
 
 
-def counted_by_shard(docs: DataFrame, keys: DataFrame, words: DataFrame, filters, n_of_lang: DataFrame, longest: int, most_slots: int) -> DataFrame:
+def counted_by_shard(blocks: DataFrame, keys: DataFrame, words: DataFrame, filters, n_of_lang: DataFrame, longest: int, least: int, most_slots: int) -> DataFrame:
     """The same, with the candidates dealt into shards and the cuts read by joins."""
     shards = max(1, -(-keys.count() * 5 // 4 // most_slots))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "high"), F.lit(shards))
     of_keys = keys.select("high", "low", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("phrase"), F.lit(None).cast("long").alias("count"))
-    partial = docs.mapInArrow(map_dealt(filters, longest), "high long, low long, lang string, phrase string, count long")
+    partial = blocks.mapInArrow(map_dealt(filters, longest), "high long, low long, lang string, phrase string, count long")
     dealt = of_keys.unionByName(partial).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", F.col("count").asc_nulls_first())
-    counted = materialized(dealt.mapInArrow(count_shard, "high long, low long, lang string, phrase string, count long"))
+    counted = dealt.mapInArrow(count_shard, "high long, low long, lang string, phrase string, count long")
+    counted = materialized(counted.where(F.col("count") >= least))
     known = counted.select("high", "low", "count").unionByName(words.select("high", "low", "count"))
     parts = counted.select("lang", "phrase", "count").mapInArrow(spans, "lang string, phrase string, a long, i int, j int, part string, high long, low long").join(known, ["high", "low"])
     m = F.array_size(F.split("phrase", " "))
@@ -477,26 +647,30 @@ def counted_by_shard(docs: DataFrame, keys: DataFrame, words: DataFrame, filters
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, most_slots: int = MOST_SLOTS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's phrases of two words and more that stick together most."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     own = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("binary").alias("text"))
-    words = materialized(sums(own, 1, None).groupBy("high", "low", "lang").agg(F.sum("count").alias("count")))
+    # Blocks get their numbers once and keep them.
+    blocks = materialized(own.mapInArrow(encode, "lang string, codes binary, high binary, low binary, words binary").withColumn("block", F.monotonically_increasing_id()))
+    plain = blocks.select("block", "lang", "codes", "high", "low")
+    words = materialized(plain.mapInArrow(word_sums, "high long, low long, lang string, count long").groupBy("high", "low", "lang").agg(F.sum("count").alias("count")))
     n_of_lang = materialized(words.groupBy("lang").agg(F.sum("count").alias("n")))
     frequent = materialized(words.where(F.col("count") >= least).select("high", "low", "count"))
-    levels, filters = [frequent], [filter_of(frequent)]
-    for n in range(2, longest + 1):
-        partial = sums(own, n, spark.sparkContext.broadcast(filters))
-        levels.append(materialized(partial.groupBy("high", "low").agg(F.sum("count").alias("count")).where(F.col("count") >= least)))
-        filters = [*filters, filter_of(levels[-1])]
-    keys = levels[0].select("high", "low")
-    for level in levels[1:]:
-        keys = keys.unionByName(level.select("high", "low"))
-    held = spark.sparkContext.broadcast(filters)
-    if keys.count() <= most_slots:
-        measured = counted_at_once(spark, own, keys, held, n_of_lang, longest)
+    # A word's cell, as a column: the filters know keys by their cells alone.
+    filters = [filter_of(frequent.mapInArrow(cells_of, "cell long"))]
+    n = n_of_lang.agg(F.sum("n")).first()[0] or 0
+    ranges = max(16, 1 << (n // CELLS_OF_RANGE).bit_length())
+    for m in range(2, longest + 1):
+        partial = plain.mapInArrow(sum_cells(share(filters), m, ranges), "range long, cells binary, counts binary")
+        level = materialized(partial.repartition("range").sortWithinPartitions("range").mapInArrow(reached(least), "cell long"))
+        filters = [*filters, filter_of(level)]
+    held = share(filters)
+    partial = plain.mapInArrow(candidates(held, longest, ranges), "range long, high binary, low binary, block binary")
+    phrases = materialized(partial.repartition("range").sortWithinPartitions("range").mapInArrow(met_candidates, "high long, low long, block long"))
+    if frequent.count() + phrases.count() <= most_slots:
+        keys = frequent.select("high", "low", F.lit(-1).cast("long").alias("block")).unionByName(phrases)
+        measured = counted_at_once(spark, blocks, keys, held, n_of_lang, longest, least)
     else:
-        phrases = levels[1].select("high", "low")
-        for level in levels[2:]:
-            phrases = phrases.unionByName(level.select("high", "low"))
-        measured = counted_by_shard(own, phrases, frequent, held, n_of_lang, longest, most_slots)
+        measured = counted_by_shard(blocks, phrases, frequent, held, n_of_lang, longest, least, most_slots)
     measured = materialized(measured)
     inner = measured.select("lang", F.explode("inside").alias("phrase")).distinct()
     by = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
