@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -11,7 +11,9 @@ from ..operators import playlists as P
 from ..operators import redirects, seeks
 from ..operators import streams as S
 from ..operators.scans import scan
+from ..sources import boxes as B
 from .catalogue import LINES, LINES_SQL, query, read
+from .media import transport
 
 
 @query("""
@@ -115,3 +117,73 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, address("", later)).when(i % 13 == 0, address("http:", (i + 5) % n)).when(i % 17 == 0, F.concat(F.lit("https://10.0.0."), text(i % 250), F.lit("/f"))).otherwise(address("https:", later))
     own = p.select("i", address("https:", i).alias("url"), location.alias("location"), (i % 2 == 0).alias("public_only"))
     return redirects.followed(own, own, "i").withColumnRenamed("i", "page_id")
+
+
+def box(kind: str, body: Column, size: Column | None = None) -> Column:
+    """A box in hex, of a body in hex; its length may be said wrongly."""
+    n = F.octet_length(F.unhex(body)).cast("long") + 8 if size is None else size
+    return F.concat(F.lpad(F.hex(n), 8, "0"), F.lit(kind.encode().hex().upper()), body)
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, content (hex): pages as files of boxes; the html is the media, of some the boxes' order or lengths are wrong."""
+    i, html = F.col("page_id"), F.hex(F.coalesce("html", F.lit("")).cast("binary"))
+    p = read(spark, sf_dir, "pages", "page_id", "html").dropDuplicates(["page_id"]).select("page_id", html.alias("h"))
+    h, none = F.col("h"), F.lit("")
+    long = F.concat(F.lit("00000001" + b"mdat".hex().upper()), F.lpad(F.hex(F.octet_length(F.unhex(h)).cast("long") + 16), 16, "0"), h)
+    kinds = [
+        F.concat(box("ftyp", F.lit("69736F6D")), box("moov", h), box("mdat", h)), F.concat(box("styp", none), box("moof", F.lit("0011")), long), F.concat(box("mdat", h), box("moof", none)),
+        F.concat(box("free", h), box("ftyp", none), box("moov", h)), F.concat(box("ftyp", none), box("moov", h, F.lit(1 << 20))), F.concat(box("moov", h), box("ftyp", none)),
+        F.concat(box("ftyp", none), box("mdat", h, F.lit(0)), F.lit("0102")), F.concat(box("ftyp", none), box("moof", h), F.lit("000000")), F.concat(box("ftyp", none), box("free", none, F.lit(7)), h), F.concat(box("ftyp", none), F.lit("0000001C00010203"), h),
+    ]
+    return p.select("page_id", F.element_at(F.array(*kinds), (i % 10 + 1).cast("int")).alias("x"))
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those files in chunks of 3 to 259 bytes."""
+    files = page_files(spark, sf_dir).withColumn("n", (F.col("page_id") % 257 + 3).cast("int"))
+    parts = F.sequence(F.lit(0), N.idiv(F.length("x") + 2 * F.col("n") - 1, F.col("n") * 2).cast("int") - 1)
+    cut = files.select("page_id", "x", "n", F.explode(parts).alias("i"))
+    return cut.select("page_id", "i", F.unhex(F.substring("x", F.col("i") * F.col("n") * 2 + 1, F.col("n") * 2)).alias("content"))
+
+
+_PAGES_SQL = "SELECT page_id, page_id % 10 AS k, octet_length(encode(coalesce(html, ''))) AS n FROM (SELECT page_id, any_value(html) AS html FROM pages GROUP BY page_id)"
+
+
+@query(f"""WITH p AS ({_PAGES_SQL}), w AS (SELECT page_id, k, n, CASE k
+    WHEN 0 THEN [{{'at': 0, 'header': 8, 'size': 12, 'kind': 'ftyp'}}, {{'at': 12, 'header': 8, 'size': n + 8, 'kind': 'moov'}}, {{'at': 20 + n, 'header': 8, 'size': n + 8, 'kind': 'mdat'}}]
+    WHEN 1 THEN [{{'at': 0, 'header': 8, 'size': 8, 'kind': 'styp'}}, {{'at': 8, 'header': 8, 'size': 10, 'kind': 'moof'}}, {{'at': 18, 'header': 16, 'size': n + 16, 'kind': 'mdat'}}]
+    WHEN 2 THEN [{{'at': 0, 'header': 8, 'size': n + 8, 'kind': 'mdat'}}, {{'at': n + 8, 'header': 8, 'size': 8, 'kind': 'moof'}}]
+    WHEN 3 THEN [{{'at': 0, 'header': 8, 'size': n + 8, 'kind': 'free'}}, {{'at': n + 8, 'header': 8, 'size': 8, 'kind': 'ftyp'}}, {{'at': n + 16, 'header': 8, 'size': n + 8, 'kind': 'moov'}}]
+    WHEN 4 THEN [{{'at': 0, 'header': 8, 'size': 8, 'kind': 'ftyp'}}, {{'at': 8, 'header': 8, 'size': NULL, 'kind': 'moov'}}]
+    WHEN 5 THEN [{{'at': 0, 'header': 8, 'size': n + 8, 'kind': 'moov'}}, {{'at': n + 8, 'header': 8, 'size': 8, 'kind': 'ftyp'}}]
+    WHEN 6 THEN [{{'at': 0, 'header': 8, 'size': 8, 'kind': 'ftyp'}}, {{'at': 8, 'header': 8, 'size': n + 10, 'kind': 'mdat'}}]
+    WHEN 7 THEN [{{'at': 0, 'header': 8, 'size': 8, 'kind': 'ftyp'}}, {{'at': 8, 'header': 8, 'size': n + 8, 'kind': 'moof'}}, {{'at': n + 16, 'header': NULL, 'size': NULL, 'kind': NULL}}]
+    ELSE [{{'at': 0, 'header': 8, 'size': 8, 'kind': 'ftyp'}}, {{'at': 8, 'header': NULL, 'size': NULL, 'kind': NULL}}] END AS x FROM p)
+SELECT page_id, (b->>'at')::BIGINT AS at, (b->>'header')::BIGINT AS header, (b->>'size')::BIGINT AS size, b->>'kind' AS kind FROM (SELECT page_id, unnest(x)::JSON AS b FROM w)""")
+def chunked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.boxes(page_chunks(spark, sf_dir), "page_id", ["i"]).select("page_id", "at", "header", "size", "kind")
+
+
+@query(f"""WITH p AS ({_PAGES_SQL}) SELECT page_id, CASE k WHEN 0 THEN 'progressive' WHEN 3 THEN 'progressive' WHEN 4 THEN 'pending' WHEN 7 THEN 'pending' ELSE 'artifact' END AS decision,
+  CASE WHEN k IN (4, 7, 8, 9) THEN 'DECODE_ERROR' WHEN k IN (1, 2, 6) THEN 'INVALID_SOURCE' END AS init_error, CASE WHEN k IN (4, 7, 8, 9) THEN 'DECODE_ERROR' WHEN k <> 1 THEN 'INVALID_SOURCE' END AS fragment_error FROM p""")
+def box_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the boxes of those files allow: a fast start, an initialization, a fragment."""
+    found = B.written(B.boxes(page_chunks(spark, sf_dir), "page_id", ["i"]))
+    return B.fast_starts(found, "page_id").join(B.fragments(found, "page_id"), "page_id").select("page_id", "decision", "init_error", "fragment_error")
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS k, coalesce(html, '') AS html FROM (SELECT page_id, any_value(html) AS html FROM pages GROUP BY page_id))
+SELECT page_id, CASE k WHEN 0 THEN 'fmp4' WHEN 2 THEN 'aac' WHEN 4 THEN 'mpeg' END AS kind, CASE WHEN k IN (2, 4, 5) THEN md5(CASE k WHEN 2 THEN unhex('FFF1') WHEN 4 THEN unhex('FFFB') ELSE ''::BLOB END || encode(html)) END AS digest,
+  CASE k WHEN 1 THEN 'INVALID_SOURCE' WHEN 3 THEN 'UNSUPPORTED' END AS error FROM p""")
+def segment_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as segments: fragments in either order, transport streams, bare fragments, elementary streams, and text."""
+    i, h = F.col("page_id") % 6, F.hex(F.coalesce("html", F.lit("")).cast("binary"))
+    p = read(spark, sf_dir, "pages", "page_id", "html").dropDuplicates(["page_id"]).select("page_id", i.alias("i"), h.alias("h"))
+    i, h = F.col("i"), F.col("h")
+    fragment, swapped = F.concat(box("styp", F.lit("")), box("moof", F.lit("")), box("mdat", h)), F.concat(box("mdat", h), box("moof", F.lit("")))
+    plain = F.when(i == 0, fragment).when(i == 1, swapped).when(i == 3, box("moof", h)).when(i == 4, F.concat(F.lit("FFFB"), h)).otherwise(h)
+    body = F.when(i == 2, transport(F.concat(F.lit("FFF1"), h), F.lit(False))).otherwise(F.unhex(plain))
+    own = p.select("page_id", F.when(i == 2, "https://h.example/a.ts").otherwise("https://h.example/a").alias("url"), (i < 2).alias("mapped"), body.alias("content"))
+    out = B.normalized(own, "page_id")
+    return out.select("page_id", "kind", F.when(F.col("kind").isNull() | (F.col("kind") != "fmp4"), F.md5("audio")).alias("digest"), "error")

@@ -118,13 +118,16 @@ def transport_audio(data: bytes) -> bytes:
 
 def box_kinds(data: bytes) -> list[str]:
     out, at = [], 0
-    while at + 8 <= len(data):
+    while at < len(data):
+        if at + 8 > len(data):
+            raise ValueError("a header ends outside")
         size, kind = struct.unpack_from(">I4s", data, at)
+        header = 8
         if size == 1 and at + 16 <= len(data):
-            (size,) = struct.unpack_from(">Q", data, at + 8)
-        if size == 0:
+            (size,), header = struct.unpack_from(">Q", data, at + 8), 16
+        elif size == 0:
             size = len(data) - at
-        if size < 8 or at + size > len(data):
+        if size < header or at + size > len(data):
             raise ValueError("a box ends outside")
         out.append(kind.decode("latin-1"))
         at += size
@@ -143,19 +146,20 @@ def fragment_ok(data: bytes, init: bool) -> bool:
 
 
 def fast_start(head: bytes, most: int = 4 << 20) -> str:
-    """pending, progressive or artifact: ftyp first, and a whole moov before mdat within the probe's bytes."""
-    at, first = 0, True
-    while at + 8 <= len(head):
+    """pending, progressive or artifact: a whole moov after ftyp and before mdat within the probe's bytes."""
+    at, typed = 0, False
+    while at < most and at + 8 <= len(head):
         size, kind = struct.unpack_from(">I4s", head, at)
+        header = 8
         if size == 1:
             if at + 16 > len(head):
                 return "pending"
-            (size,) = struct.unpack_from(">Q", head, at + 8)
-        if size < 8 or (first and kind != b"ftyp") or kind == b"mdat" or at + size > most:
+            (size,), header = struct.unpack_from(">Q", head, at + 8), 16
+        if size < header or kind == b"mdat" or at + size > most or (kind == b"moov" and not typed):
             return "artifact"
         if at + size > len(head):
             return "pending"
         if kind == b"moov":
             return "progressive"
-        at, first = at + size, False
+        at, typed = at + size, typed or kind == b"ftyp"
     return "pending" if at < most else "artifact"
