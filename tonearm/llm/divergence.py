@@ -38,7 +38,7 @@ from .common import materialized, pieces
 
 MIN_DOCS, TOP, SMOOTHING = 30, 50, 5
 #: Sources of a block (on average), kept terms of a slice, terms held at once, partial runs merged at once.
-BLOCK, SLICE, HELD, MERGED = 128, 1 << 16, 1024, 1 << 20
+BLOCK, SLICE, HELD, MERGED = 128, 1 << 11, 1024, 1 << 20
 
 #: Letters stay (A-Z as a-z) and so does what is beyond ASCII; the rest parts terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
