@@ -32,8 +32,8 @@ from .common import materialized, pieces
 SCALE = 1024
 #: Queries that a task holds at once, and candidates that they meet at once.
 QUERY_BLOCK, BLOCK = 1024, 2048
-#: Candidates of a partition at most, which a task holds.
-PART_ROWS = 65_536
+#: Candidates of a partition on average, and their bytes at most, which a task holds.
+PART_ROWS, PART_BYTES = 65_536, 32 << 20
 HEAD = 4096
 #: Dimensions that are rotated: so many of the commonest, and none wider.
 TURNED, WIDEST = 16, 1024
@@ -171,7 +171,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lead_share: float
     base = materialized(quantized(vectors))
     turns = {d: rotation(m) for d, m in gram(base).items()}
     lead = lambda d: max(1, int(d * lead_share))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // PART_ROWS + 1)
+    rows, width = base.agg(F.count("*"), F.sum("dim")).first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS + 1, 8 * (width or 0) // PART_BYTES + 1)
     dealt = base.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     dealt = materialized(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
     # The longest vectors of all: a bounded block.
