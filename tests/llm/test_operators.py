@@ -294,6 +294,40 @@ def test_near_dedup(spark, docs, empty, tmp_path):
     assert neardups.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_holds_equal_rows_once(spark, tmp_path, monkeypatch):
+    """Of rows equal in every column one goes on to be compared, however many there are."""
+    rng = random.Random(3)
+    text = " ".join(rng.choices([f"t{i}" for i in range(900)], k=300))
+    near = " ".join([*text.split()[:-2], "other", "end"])
+    reached = []
+    verified = neardups.verified_links
+    monkeypatch.setattr(neardups, "verified_links", lambda texts, *rest: (reached.append(texts.count()), verified(texts, *rest))[1])
+    for times in (10, 4000):
+        path = str(tmp_path / str(times))
+        df = spark.range(times).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("slot"))
+        df.union(spark.createDataFrame([(7, near, "s"), (8, "alone", "s"), (8, "alone", "s")], df.schema)).repartition(3).write.parquet(path)
+        kept = neardups.drop_near_duplicates(spark.read.parquet(path)).collect()
+        assert sorted(r["doc_id"] for r in kept) == [5, 8]
+    assert reached == [3, 3]
+
+
+def test_pairs_that_share_enough_keys():
+    """Prefixes of SHARED more hold so many common elements of any two similar sets, or all of small ones."""
+    rng = random.Random(6)
+    known = np.zeros(neardups.MAP_SLOTS // 2, np.uint8)
+    for _ in range(400):
+        n = rng.choice([1, 2, 3, 4, 5, 20, 80])
+        a = {rng.randrange(1 << 62) for _ in range(n)}
+        b = set(a)
+        while b and len(a & b) / len(a | b) >= 0.8 and rng.random() < 0.8:
+            b.add(rng.randrange(1 << 62)) if rng.random() < 0.5 else b.discard(rng.choice(sorted(b)))
+        if not b or len(a & b) / len(a | b) < 0.8:
+            continue
+        keys, owner = neardups.prefix_keys([np.array(sorted(x), np.uint64) for x in (a, b)], 0.8, 4, known, neardups.SHARED)
+        both = set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+        assert len(both) >= min(neardups.SHARED, len(a & b)) and (len(a & b) >= neardups.SHARED or min(len(a), len(b)) * 0.8 <= neardups.SHARED)
+
+
 def test_near_dedup_whole(spark, tmp_path):
     """Appended, truncated and block-replaced copies, against every pair's similarity."""
     rng = random.Random(11)
@@ -382,6 +416,22 @@ def test_mixing_sampled_shares(spark):
     assert abs(kept[kept["lang"] == "en"]["count"].sum() / kept["count"].sum() - mixing.TARGETS["lang"]["en"]) < 0.03
 
 
+def test_topk_of_wide_vectors(spark):
+    """A part holds a bounded number of bytes, so wide vectors lie in more of them."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3000).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before, topk.PART_BYTES = topk.PART_BYTES, 1 << 20
+    try:
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 3).collect()}
+    finally:
+        topk.PART_BYTES = before
+    v = np.floor(1024 * np.array([x for _, x in rows])).astype(np.int64)
+    for q in range(0, 400, 100):
+        scores = sorted(((-int(v[q] @ v[i]), i) for i in range(400) if i != q))[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, -s) for s, i in scores]
+
+
 def test_warc(spark):
     rows = [(1, "http://a/b c", "x"), (2, None, "x"), (3, "u", ""), (4, "u", None), (5, "é\r\nq", "y" * 100_000), (7, "u", "solo"), (7, "u", "solo"), (None, "u", "no id"), (None, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -396,6 +446,21 @@ def test_warc(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_gap_like_the_planted_one(spark):
+    """A gap as long as the planted record, elsewhere or for another reason, fails the reader, and so does a page that is missing."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    noise = warc.damaged_record()
+    (r,) = warc.write_archives(pages, noise=noise).collect()
+    data, second = bytes(r["content"]), r["second"]
+    assert r["records"] == 5 and data[second : second + len(noise)] == noise
+    read = lambda content: warc.read_archives(spark.createDataFrame([("a", bytearray(content), 5, second)], "archive string, content binary, records long, second long"), len(noise)).where("gap IS NULL").count()
+    assert read(data) == 5
+    rest = data[second + len(noise) :]
+    for bad in (data[:second] + b"x" * len(noise) + rest, data + b"y" * len(noise), data[:second] + rest + noise, data[:second] + noise):
+        with pytest.raises(Exception, match="records, gaps"):
+            read(bad)
+
+
 def test_warc_salvage():
     parts = [warc.member(warc.record(i, "u", b"page %d " % i * 50)) for i in range(6)]
     plain = warc.record(9, "u", b"bare")

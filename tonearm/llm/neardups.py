@@ -53,6 +53,8 @@ BLOCK_BYTES = 6 << 20
 GROUP_BYTES = 3_000_000
 #: Texts that share a key are tied in pairs; where there are more of them, all to the first.
 PAIRED = 16
+#: Keys that two texts of a large component must have in common; sets too small for that count each key as so many.
+SHARED = 3
 #: Bits of the filter that tells which texts get their links anew.
 FILTER_BITS = 1 << 26
 _HELD = 1_000_000
@@ -148,15 +150,15 @@ def level_of(h: np.ndarray, many: int, known: np.ndarray) -> np.ndarray:
     return np.where(at & np.uint64(1) == 0, both >> 4, both & 15)
 
 
-def prefix_keys(sets: list[np.ndarray], least: float, many: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(sets: list[np.ndarray], least: float, many: int, known: np.ndarray, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The hashes that come first in each set, and their sets' places: any two sets with a Jaccard similarity of
-    ``least`` or more have one in common."""
+    ``least`` or more have ``shared`` in common, or all that they have in common if that is less."""
     sizes = np.array([len(x) for x in sets], np.int64)
     h = np.concatenate([np.zeros(0, np.uint64), *sets])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((h, level_of(h, many, known), owner))
     place = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[owner]
-    first = place < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[owner]
+    first = place < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + shared)[owner]
     return h[order][first], owner[first]
 
 
@@ -241,28 +243,32 @@ def apart(x: bytes, y: bytes) -> int:
     return (whole ^ int.from_bytes(b, "little")).bit_count()
 
 
-def paired(key: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """a > b, each once: every two ids with a key; and where more than PAIRED have it, the links of all with the least."""
+def paired(key: np.ndarray, ids: np.ndarray, small: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """a > b, each once, and n: every two ids with a key and how many they share (SHARED each where one of them is ``small``);
+    and where more than PAIRED have a key, the links of all with the least."""
     order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
+    key, ids, small = key[order], ids[order], small[order]
     first, end = runs(key)
     crowded = np.repeat(end - first > PAIRED, end - first)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lag in range(1, PAIRED):
         i = np.flatnonzero((key[lag:] == key[:-lag]) & ~crowded[lag:] & (ids[lag:] != ids[:-lag]))
         a.append(ids[i + lag])
         b.append(ids[i])
-    a, b = np.concatenate(a), np.concatenate(b)
+        n.append(np.where(small[i + lag] | small[i], SHARED, 1))
+    a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    return (a[new], b[new]), starred(key[crowded], ids[crowded])[2:]
+    a, b, n = a[order], b[order], n[order]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return (a[at], b[at], np.add.reduceat(n, at) if len(at) else n), starred(key[crowded], ids[crowded])[2:]
 
 
 def narrowed(texts: DataFrame, crowd: DataFrame, width: int, least: float, order: tuple[int, int, Broadcast]) -> DataFrame:
     """a > b: links between those of the texts (key, text) whose keys are in ``crowd``, such that every pair of them with a
     Jaccard similarity of ``least`` or more is in a component.  A few of the other texts may come along.
 
+    Such two share SHARED keys (or a crowded one, or all that a small set has), so a single key in common, which chance gives,
+    makes no pair whose sketches would meet.
     Of the texts with a key a batch sends PAIRED + 1 at most, so that the key counts as crowded where it arrives."""
     parts, many, known = order
     place = F.pmod("key", F.lit(FILTER_BITS))
@@ -271,8 +277,8 @@ def narrowed(texts: DataFrame, crowd: DataFrame, width: int, least: float, order
     for page, own in zip(*(x.to_pylist() for x in bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("own")).toArrow().columns), strict=True):
         marks[page << 12 : page + 1 << 12] = np.frombuffer(own, np.uint8)
     inside = texts.sparkSession.sparkContext.broadcast(marks)
-    sent = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
-    found = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary())])
+    sent = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+    found = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def deal(batches):
         for batch in pieces(batches, 4 << 20):
@@ -283,36 +289,39 @@ def narrowed(texts: DataFrame, crowd: DataFrame, width: int, least: float, order
             if not len(ids):
                 continue
             sets = [np.unique(shingle_hashes(x, width)) for x in texts_of(batch.select(["text"]).take(pa.array(place[mine])))]
-            keys, owner = prefix_keys(sets, least, many, known.value)
+            keys, owner = prefix_keys(sets, least, many, known.value, SHARED)
+            # Sets that may have fewer shingles in common than SHARED.
+            small = (np.ceil(least * np.array([len(x) for x in sets]) - 1e-9) < SHARED)[owner]
             keys, owner = group_of(keys, many) << np.uint64(32) | keys & _LOW32, ids[owner]
             order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
+            keys, owner, small = keys[order], owner[order], small[order]
             first, end = runs(keys)
             crowded = np.repeat(end - first > PAIRED, end - first)
             a, b = starred(keys[crowded], owner[crowded])[2:]
             few = np.arange(len(keys)) - np.repeat(first, end - first) <= PAIRED
-            keys, owner = keys[few], owner[few]
-            rows = [(int(ids[0]) % many, 1, a.tobytes(), b.tobytes())]
-            rows += [(i % many, 2, np.array([i, len(x)], np.int64).tobytes(), sketch(x)) for i, x in zip(ids.tolist(), sets, strict=True)]
+            keys, owner, small = keys[few], owner[few], small[few]
+            rows = [(int(ids[0]) % many, 1, a.tobytes(), b.tobytes(), b"")]
+            rows += [(i % many, 2, np.array([i, len(x)], np.int64).tobytes(), sketch(x), b"") for i, x in zip(ids.tolist(), sets, strict=True)]
             part = keys >> np.uint64(32)
             for i, j in zip(*(x.tolist() for x in runs(part)), strict=True):
-                rows.append((int(part[i]), 0, packed(np.diff(keys[i:j] & _LOW32, prepend=np.uint64(0))), owner[i:j].tobytes()))
+                rows.append((int(part[i]), 0, packed(np.diff(keys[i:j] & _LOW32, prepend=np.uint64(0))), owner[i:j].tobytes(), small[i:j].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent)
 
-    def rows_of(kind: int, a: np.ndarray, b: np.ndarray, own: list | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(own or [None] * len(a), pa.binary())], schema=found)
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, own: list | None = None) -> pa.RecordBatch:
+        n = np.zeros(len(a), np.int64) if n is None else n
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(n, pa.int64()), pa.array(own or [None] * len(a), pa.binary())], schema=found)
 
     def meet(batches):
-        for part, kind, x, y in whole_groups(batches, ("part", "kind"), ("x", "y")):
+        for part, kind, x, y, z in whole_groups(batches, ("part", "kind"), ("x", "y", "z")):
             group = np.cumsum(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))
             for i, j in zip(*runs(group), strict=True):
                 if kind[i] == 2:
                     own = np.frombuffer(b"".join(x[i:j]), np.int64).reshape(-1, 2)
-                    yield rows_of(2, own[:, 0].copy(), own[:, 1].copy(), list(y[i:j]))
+                    yield rows_of(2, own[:, 0].copy(), own[:, 1].copy(), own=list(y[i:j]))
                 elif kind[i] == 1:
                     yield rows_of(1, np.frombuffer(b"".join(x[i:j]), np.int64), np.frombuffer(b"".join(y[i:j]), np.int64))
                 else:
-                    every, tied = paired(np.concatenate([np.cumsum(unpacked(v), dtype=np.uint64) for v in x[i:j]]), np.frombuffer(b"".join(y[i:j]), np.int64))
+                    every, tied = paired(np.concatenate([np.cumsum(unpacked(v), dtype=np.uint64) for v in x[i:j]]), np.frombuffer(b"".join(y[i:j]), np.int64), np.frombuffer(b"".join(z[i:j]), np.bool_))
                     yield rows_of(0, *every)
                     yield rows_of(1, *tied)
 
@@ -323,9 +332,9 @@ def narrowed(texts: DataFrame, crowd: DataFrame, width: int, least: float, order
             kept = pa.array([apart(i, j) <= d for i, j, d in zip(x, y, most, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(kept)
 
-    dealt = texts.select("key", "text").mapInArrow(deal, "part long, kind long, x binary, y binary")
-    met = materialized(dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, "kind long, a long, b long, sketch binary"))
-    every = met.where("kind = 0").select("a", "b").distinct()
+    dealt = texts.select("key", "text").mapInArrow(deal, "part long, kind long, x binary, y binary, z binary")
+    met = materialized(dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, "kind long, a long, b long, n long, sketch binary"))
+    every = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
     one = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("size"), "sketch")
     first = one.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
     other = one.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
@@ -408,6 +417,27 @@ def with_digests(docs: DataFrame) -> DataFrame:
     return rows.withColumn("uid", uid)
 
 
+def one_each(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """``rows`` (uid, text) with those of equal uids (``twice`` has these) once: a task passes on one, and these meet by uid.
+
+    The rows of other uids stay where they are."""
+    inside = slot(rows["uid"]) == F.col("slot")
+    alone = rows.join(slots(twice, "uid"), inside, "left_anti")
+    schema = rows.schema
+
+    def first(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for uid in batch.column("uid").to_pylist():
+                new.append(uid not in seen)
+                seen.add(uid)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    again = rows.join(slots(twice, "uid"), inside, "left_semi").mapInArrow(first, schema)
+    return alone.unionByName(again.dropDuplicates(["uid"]))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """The documents without all but one (the smallest doc_id) of each group of near-duplicates."""
     rows = with_digests(docs)
@@ -420,7 +450,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEA
     copies = materialized(marked.join(again, "digest").where("uid <> kept").select("uid").distinct())
     ids = marked.select("uid")
     key = F.xxhash64("digest")
-    single = without(rows.select("uid", key.alias("key"), "text"), ids, copies)
+    # Rows equal in every column count once from here on.
+    equal = materialized(ids.groupBy("uid").count().where("count > 1").select("uid"))
+    unique = rows.select("uid", "text", key.alias("key"))
+    if not equal.isEmpty():
+        unique = one_each(unique, equal)
+    single = without(unique.select("uid", "key", "text"), ids, copies)
     n_bytes = texts.agg(F.sum("n_bytes")).first()[0] or 0
     order = ordering(single, width, n_bytes)
     known = texts.select(key.alias("key"), "node", F.col("first.uid").alias("uid"), "n_bytes")
@@ -433,14 +468,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEA
         again = members(narrowed(single, crowd, width, least, order))
         again = again.join(crowd, "key", "left_semi")
         groups = materialized(groups.join(F.broadcast(large), "root", "left_anti").unionByName(again))
-    linked = components(verified_links(rows.select("uid", "text"), groups, width, least))
+    linked = components(verified_links(unique.select("uid", "text"), groups, width, least))
     # Of each component the smallest (doc_id, uid) stays; of a text's copies the first.
     met = materialized(texts.select("first", "node").join(linked, "node").select("root", "first"))
     best = materialized(met.groupBy("root").agg(F.min("first").alias("best")))
     lost = met.join(best, "root").where("first.uid <> best.uid").select(F.col("first.uid").alias("uid"))
     lost = materialized(lost.unionByName(copies))
     kept = without(rows.select("uid", "row"), ids, lost)
-    twice = materialized(ids.groupBy("uid").count().where("count > 1").join(lost, "uid", "left_anti").select("uid"))
+    twice = materialized(equal.join(lost, "uid", "left_anti").select("uid"))
     if twice.isEmpty():
         return kept.select("row.*")
     # Rows equal in every column meet; the others stay where they are.
