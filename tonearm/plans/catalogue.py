@@ -561,15 +561,6 @@ def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(e, "stream_id", ["request"], folds.cache_step, folds.cache_start, folds.CACHE)
 
 
-@query()
-def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming import folds
-
-    e = read(spark, sf_dir, "events", "user_id", "event_id")
-    e = e.select((F.col("user_id") % 16).alias("stream_id"), F.col("event_id").alias("request"), (F.col("user_id") % 50).alias("item"), (F.col("user_id") * 131_071 + 1).alias("size"), F.lit(16 << 20).alias("most"))
-    return folds.fold(e, "stream_id", ["request"], folds.cache_step, folds.cache_start, folds.CACHE)
-
-
 @query("""WITH RECURSIVE e AS (SELECT event_id AS request, user_id % 16 AS stream_id, user_id AS who, CASE WHEN event_id % 53 = 0 THEN 'drain' WHEN event_id % 501 = 0 THEN 'drainAll' WHEN event_type = 'view' THEN 'stateChanged' WHEN event_type = 'click' THEN 'networkQualityChanged' ELSE event_type END AS kind,
   row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n FROM events),
 q AS (SELECT stream_id, 0::BIGINT AS n, 0::BIGINT AS request, NULL::BIGINT AS dropped, []::STRUCT(request BIGINT, kind VARCHAR, who BIGINT)[] AS l, 0::BIGINT AS held FROM (SELECT DISTINCT stream_id FROM e) UNION ALL

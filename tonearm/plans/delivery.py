@@ -153,12 +153,12 @@ def download_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.retried(a, "request", F.col("most"))
 
 
-@query("""WITH e AS (SELECT user_id % 97 AS spool, event_id, CASE event_id % 9 WHEN 0 THEN 'finish' WHEN 1 THEN 'fail' WHEN 2 THEN 'drop' ELSE 'write' END AS kind FROM events WHERE event_type <> 'view')
+@query("""WITH e AS (SELECT user_id % 97 AS spool, event_id, CASE event_id % 9 WHEN 0 THEN 'finish' WHEN 1 THEN 'fail' WHEN 2 THEN 'drop' ELSE 'write' END AS kind FROM events)
 SELECT spool, CASE WHEN count(*) FILTER (kind <> 'write') = 0 THEN 'open' WHEN arg_min(kind, event_id) FILTER (kind <> 'write') = 'finish' THEN 'complete' ELSE 'failed' END AS state FROM e GROUP BY spool""")
 def spool_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id") % 9
     kind = F.when(i == 0, "finish").when(i == 1, "fail").when(i == 2, "drop").otherwise("write")
-    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type").where("event_type <> 'view'").select((F.col("user_id") % 97).alias("spool"), "event_id", kind.alias("kind"))
+    e = read(spark, sf_dir, "events", "user_id", "event_id").select((F.col("user_id") % 97).alias("spool"), "event_id", kind.alias("kind"))
     return D.first_terminal(e, "spool", ["event_id"])
 
 
@@ -228,10 +228,10 @@ def median_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.median_of(p, "run", ["allocations", "bytes"])
 
 
-@query("""WITH f AS (SELECT o_custkey % 40 AS host, 'stream' || o_orderkey || ': ' || o_orderstatus AS failure, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey % 40) AS n FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH f AS (SELECT o_custkey % 40 AS host, 'stream' || o_orderkey || ': ' || o_orderstatus AS failure, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey % 40) AS n FROM orders)
 SELECT host, any_value(n) || ' stream shutdown operation(s) failed: ' || string_agg(failure, '; ' ORDER BY place) FILTER (place <= 8) || CASE WHEN any_value(n) > 8 THEN '; ' || (any_value(n) - 8) || ' additional failures omitted' ELSE '' END AS message FROM f GROUP BY host""")
 def shutdown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus").where("o_orderkey % 3 = 0")
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
     failure = F.concat(F.lit("stream"), F.col("o_orderkey").cast("string"), F.lit(": "), "o_orderstatus")
     return D.failure_summary(o.select((F.col("o_custkey") % 40).alias("host"), "o_orderkey", failure.alias("failure")), "host", ["o_orderkey"], "failure")
 

@@ -1,6 +1,6 @@
 """Rules over case tables: what each case must give is written down here and not computed from the rules.
 
-A case belongs to the rows of a table whose key has its number as the rest, so a query goes over its whole table.
+A case is given to the rows of a table whose key has its number as the rest, and the rule runs on every row of the whole table.
 """
 
 from __future__ import annotations
@@ -32,10 +32,9 @@ def cases(name: str, table: str, key: str, given: str, expected: str, make: Call
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         known = spark.createDataFrame([(k, *row[: len(inputs)]) for k, row in enumerate(rows)], f"_k long, {given}")
+        given_rows = read(spark, sf_dir, table, key).join(F.broadcast(known), F.col(key) % len(rows) == F.col("_k"))
         made = make(**{n: F.col(n) for n, _ in inputs})
-        own = known.select("_k", *[made[n].cast(kind).alias(n) for n, kind in outputs])
-        keys = read(spark, sf_dir, table, key)
-        return keys.join(F.broadcast(own), F.col(key) % len(rows) == F.col("_k")).drop("_k")
+        return given_rows.select(key, *[made[n].cast(kind).alias(n) for n, kind in outputs])
 
     run.__name__ = name
     QUERIES[name] = run
