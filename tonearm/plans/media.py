@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..functions import numbers as N
 from ..operators import resampling as R
 from ..operators import streams as S
+from ..sources import ogg
 from ..sources import tables as T
 from .catalogue import query, read
 
@@ -130,3 +131,46 @@ def transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = S.count_windows(chunks, "label", ["vec_id"], "samples", 480)
     packets = T.encoded(frames.select("label", "frame", A.apply_volume(F.col("samples"), 1.0).alias("samples")), "pcm16")
     return packets.select("label", "frame", N.wrap(F.col("frame") + 65_000, N.U16).alias("sequence"), N.wrap(F.col("frame") * 480 + 4_294_960_000).alias("rtp_timestamp"), F.md5("packet").alias("digest"))
+
+
+def page_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and content: each page's html in packets of 700 bytes, as Ogg pages of four segments; of some the second is broken."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                data = ogg.write_stream([(html[i : i + 700], i + 700) for i in range(0, len(html) + 1, 700)], page_id % 1000, 4)
+                at = data.find(b"OggS", 4)
+                if page_id % 3 == 0 and at > 0:
+                    data = data[: at + 40] + bytes([data[at + 40] ^ 1]) + data[at + 41 :]
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], names=["page_id", "content"])
+
+    p = read(spark, sf_dir, "pages", "page_id", "html").dropDuplicates(["page_id"])
+    return p.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, "page_id long, content binary")
+
+
+@query("""WITH p AS (SELECT page_id, encode(coalesce(any_value(html), '')) AS b FROM pages GROUP BY page_id), k AS (SELECT page_id, b, unnest(range(0, octet_length(b) // 700 + 1)) AS j FROM p),
+s AS (SELECT page_id, j, least(octet_length(b) - 700 * j, 700) AS n, hex(b)[1400 * j + 1:1400 * j + 1400] AS h FROM k), t AS (SELECT *, 3 * j AS first, 3 * j + n // 255 AS last, max(3 * j + n // 255) OVER (PARTITION BY page_id) AS ends FROM s)
+SELECT page_id, last // 4 AS sequence, n AS n_bytes, md5(unhex(h)) AS digest, CASE WHEN row_number() OVER (PARTITION BY page_id, last // 4 ORDER BY j DESC) = 1 THEN 700 * j + 700 END AS granule, NULL::VARCHAR AS error FROM t WHERE NOT (page_id % 3 = 0 AND ends > 3 AND first < 8 AND last > 3)
+UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, 'DECODE_ERROR' FROM t WHERE page_id % 3 = 0 AND ends > 3 GROUP BY page_id""")
+def ogg_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of those streams; those that a broken page had a part of are gone, and it is a row."""
+    out = ogg.packets(page_streams(spark, sf_dir), "page_id")
+    return out.select("page_id", "sequence", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"), "granule", "error")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, 120 * (1 + event_id % 8) AS frames, user_id * 37 % 700 AS skip FROM events), s AS (SELECT *, sum(frames) OVER (PARTITION BY user_id ORDER BY event_id) AS so_far, sum(frames) OVER (PARTITION BY user_id) - user_id % 500 AS last FROM e),
+t AS (SELECT *, least(greatest(skip - (so_far - frames), 0), frames)::BIGINT AS start FROM s)
+SELECT user_id, event_id, start, least(greatest(so_far - last, 0), frames - start)::BIGINT AS "end", (frames - start - least(greatest(so_far - last, 0), frames - start))::BIGINT AS retained FROM t""")
+def packet_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of 120 to 960 frames: each stream's first frames and those past its last granule are trimmed."""
+    from pyspark.sql import Window
+
+    frames, w = 120 * (1 + F.col("event_id") % 8), Window.partitionBy("user_id")
+    e = read(spark, sf_dir, "events", "user_id", "event_id").withColumn("frames", frames)
+    granule = F.when(F.col("event_id") == F.max("event_id").over(w), F.sum("frames").over(w) - F.col("user_id") % 500)
+    out = ogg.trims(e.withColumn("granule", granule), "user_id", ["event_id"], "frames", "granule", F.col("user_id") * 37 % 700)
+    return out.select("user_id", "event_id", "start", "end", "retained")
