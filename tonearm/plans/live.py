@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import delivery as D
 from ..operators import playlists as P
-from ..operators import redirects, seeks
+from ..operators import redirects, seeks, stages
 from ..operators import streams as S
 from ..operators.scans import scan
 from ..sources import boxes as B
@@ -187,3 +189,40 @@ def segment_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = p.select("page_id", F.when(i == 2, "https://h.example/a.ts").otherwise("https://h.example/a").alias("url"), (i < 2).alias("mapped"), body.alias("content"))
     out = B.normalized(own, "page_id")
     return out.select("page_id", "kind", F.when(F.col("kind").isNull() | (F.col("kind") != "fmp4"), F.md5("audio")).alias("digest"), "error")
+
+
+_MARKS = """SELECT user_id, event_id, event_id * 20 + event_id % 13 AS t, CASE WHEN event_id % 37 = 0 THEN 'request' ELSE ['admitted', 'opened', 'probed', 'prebuffered', 'sent'][event_id % 5 + 1] END AS mark FROM events"""
+_STAGES = f"""WITH m AS ({_MARKS}), r AS (SELECT user_id, event_id, t, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS until FROM m WHERE mark = 'request'),
+a AS (SELECT r.*, (SELECT min(m.t) FROM m WHERE m.user_id = r.user_id AND m.event_id > r.event_id AND (until IS NULL OR m.event_id < until) AND mark = 'admitted' AND m.t >= r.t) AS t1 FROM r),
+b AS (SELECT a.*, (SELECT min(m.t) FROM m WHERE m.user_id = a.user_id AND m.event_id > a.event_id AND (until IS NULL OR m.event_id < until) AND mark = 'opened' AND m.t >= t1) AS t2 FROM a),
+c AS (SELECT b.*, (SELECT min(m.t) FROM m WHERE m.user_id = b.user_id AND m.event_id > b.event_id AND (until IS NULL OR m.event_id < until) AND mark = 'probed' AND m.t >= t2) AS t3 FROM b),
+d AS (SELECT c.*, (SELECT min(m.t) FROM m WHERE m.user_id = c.user_id AND m.event_id > c.event_id AND (until IS NULL OR m.event_id < until) AND mark = 'prebuffered' AND m.t >= t3) AS t4 FROM c),
+e AS (SELECT d.*, (SELECT min(m.t) FROM m WHERE m.user_id = d.user_id AND m.event_id > d.event_id AND (until IS NULL OR m.event_id < until) AND mark = 'sent' AND m.t >= t4) AS t5 FROM d),
+f AS (SELECT user_id, event_id, t1 - t AS admission_ms, t2 - t1 AS open_ms, t3 - t2 AS probe_ms, t4 - t3 AS prebuffer_ms, t5 - t4 AS send_ms, t5 - t AS total_ms FROM e)"""
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    mark = F.when(i % 37 == 0, stages.REQUEST).otherwise(F.element_at(F.array(*[F.lit(x) for x in stages.STAGES.values()]), (i % 5 + 1).cast("int")))
+    e = read(spark, sf_dir, "events", "user_id", "event_id").select("user_id", "event_id", (i * 20 + i % 13).alias("at"), mark.alias("mark"))
+    return stages.first_packets(e, "user_id", ["event_id"], "at", "mark")
+
+
+@query(f"{_STAGES} SELECT * FROM f")
+def first_packet_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stages(spark, sf_dir).drop("at", "mark")
+
+
+@query(f"""{_STAGES}, s AS (UNPIVOT (SELECT ['file', 'url', 'live'][user_id % 3 + 1] AS source, CASE event_id % 2 WHEN 0 THEN 'current' ELSE 'next' END AS role, admission_ms, open_ms, probe_ms, prebuffer_ms, send_ms, total_ms FROM f) ON admission_ms, open_ms, probe_ms, prebuffer_ms, send_ms, total_ms INTO NAME stage VALUE ms),
+k AS (SELECT source, role, replace(stage, '_ms', '') AS stage, row_number() OVER w AS place, count(*) OVER (PARTITION BY source, role, stage) AS n, CASE WHEN ms > 0 THEN pow({stages.GROWTH}::DOUBLE, ceil(ln(ms) / {math.log(stages.GROWTH)}::DOUBLE)) * {2 / (stages.GROWTH + 1)}::DOUBLE ELSE 0 END AS v FROM s WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY source, role, stage ORDER BY ms))
+SELECT source, role, stage, max(n) AS count, round(max(CASE WHEN place = ceil(n * 0.5::DOUBLE) THEN v END), 6) AS p50, round(max(CASE WHEN place = ceil(n * 0.95::DOUBLE) THEN v END), 6) AS p95 FROM k GROUP BY ALL""")
+def first_packet_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of a thousand events each, added up by source and role."""
+    own = _stages(spark, sf_dir)
+    source, role = F.element_at(F.array(F.lit("file"), F.lit("url"), F.lit("live")), (F.col("user_id") % 3 + 1).cast("int")), F.when(F.col("event_id") % 2 == 0, "current").otherwise("next")
+    names = [*stages.STAGES, "total"]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("stage"), F.col(f"{x}_ms").alias("ms")) for x in names]))
+    rows = own.select(source.alias("source"), role.alias("role"), N.idiv(F.col("event_id"), 1000).alias("part"), each.alias("x")).select("source", "role", "part", "x.*")
+    parts = stages.sketch(rows, ["part", "source", "role", "stage"], "ms")
+    out = stages.quantiles(stages.merged(parts, ["source", "role", "stage"]), ["source", "role", "stage"], {"p50": 0.5, "p95": 0.95})
+    return out.select("source", "role", "stage", "count", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
