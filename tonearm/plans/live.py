@@ -143,10 +143,10 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those files in chunks of 3 to 259 bytes."""
-    files = page_files(spark, sf_dir).withColumn("n", (F.col("page_id") % 257 + 3).cast("int"))
-    parts = F.sequence(F.lit(0), N.idiv(F.length("x") + 2 * F.col("n") - 1, F.col("n") * 2).cast("int") - 1)
-    cut = files.select("page_id", "x", "n", F.explode(parts).alias("i"))
-    return cut.select("page_id", "i", F.unhex(F.substring("x", F.col("i") * F.col("n") * 2 + 1, F.col("n") * 2)).alias("content"))
+    files = page_files(spark, sf_dir).select("page_id", F.unhex("x").alias("x"), (F.col("page_id") % 257 + 3).cast("int").alias("n"))
+    parts = F.sequence(F.lit(0), N.idiv(F.octet_length("x") + F.col("n") - 1, F.col("n")).cast("int") - 1)
+    cut = B.written(files).select("page_id", "x", "n", F.explode(parts).alias("i"))
+    return B.written(cut.select("page_id", "i", F.substring("x", F.col("i") * F.col("n") + 1, F.col("n")).alias("content")))
 
 
 _PAGES_SQL = "SELECT page_id, page_id % 10 AS k, octet_length(encode(coalesce(html, ''))) AS n FROM (SELECT page_id, any_value(html) AS html FROM pages GROUP BY page_id)"

@@ -29,23 +29,34 @@ from . import tables as T
 BLOCK, HEADER, PROBE = 1 << 20, 16, 4 << 20
 
 
-def find(data: bytes, base: int, own: int) -> list[tuple[int, int, int, str]]:
-    """(place, header, size, kind) of what could be a header at one of the first ``own`` bytes; size 0: to the end of the file."""
+def header_at(data: bytes, i: int) -> tuple[int, int, str] | None:
+    """header, size (0: to the end of the file) and kind of what could be a header at a place."""
+    if i + 8 > len(data):
+        return None
+    size, kind, header = int.from_bytes(data[i : i + 4], "big"), data[i + 4 : i + 8], 8
+    if not all(32 <= c < 127 or (c == 0xA9 and j == 0) for j, c in enumerate(kind)):
+        return None
+    if size == 1:
+        if i + HEADER > len(data):
+            return None
+        size, header = min(int.from_bytes(data[i + 8 : i + 16], "big"), 1 << 62), HEADER
+    return (header, size, kind.decode("latin-1")) if size >= header or (size == 0 and header == 8) else None
+
+
+def find(data: bytes, base: int, own: int, total: int) -> list[tuple[int, int, int, str]]:
+    """(place, header, size, kind) of what could be a box at one of the first ``own`` bytes, and ends in the file."""
     x = np.frombuffer(data, np.uint8)
-    if len(x) < 8:
+    n = min(own, len(x) - 7)
+    if n <= 0:
         return []
     plain = (x >= 32) & (x < 127)
-    n = min(own, len(x) - 7)
     ok = (plain[4 : n + 4] | (x[4 : n + 4] == 0xA9)) & plain[5 : n + 5] & plain[6 : n + 6] & plain[7 : n + 7]
+    size = x[:n].astype(np.int64) << 24 | x[1 : n + 1].astype(np.int64) << 16 | x[2 : n + 2].astype(np.int64) << 8 | x[3 : n + 3]
+    ok &= size <= total - base - np.arange(n)
     out = []
     for i in np.flatnonzero(ok).tolist():
-        size, header = int.from_bytes(data[i : i + 4], "big"), 8
-        if size == 1:
-            if i + HEADER > len(x):
-                continue
-            size, header = min(int.from_bytes(data[i + 8 : i + 16], "big"), 1 << 62), HEADER
-        if size >= header or (size == 0 and header == 8):
-            out.append((base + i, header, size, data[i + 4 : i + 8].decode("latin-1")))
+        if (h := header_at(data, i)) is not None and base + i + h[1] <= total:
+            out.append((base + i, *h))
     return out
 
 
@@ -64,23 +75,28 @@ def boxes(chunks: DataFrame, key: str, order: list[str], body: str = "content",
     high = F.least((F.col("block") + 1) * block + HEADER - 1 - F.col("_at"), F.col("_n"))
     cut = dealt.where(low < high).select(key, "block", (F.col("_at") + low).alias("_at"), F.substring("_x", (low + 1).cast("int"), (high - low).cast("int")).alias("_x"))
     whole = cut.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_p"))  # a block's own
-    whole = whole.select(key, "block", F.transform("_p", lambda p: p["_x"]).alias("_x"))
+    whole = whole.select(key, "block", F.transform("_p", lambda p: p["_x"]).alias("_x")).join(totals, key)
     made = StructType([chunks.schema[key], *StructType.fromDDL("at long, header long, size long, kind string").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, rows = [], []
-            for i, (b, x) in enumerate(zip(batch.column("block").to_pylist(), batch.column("_x").to_pylist(), strict=True)):
-                found = find(b"".join(x), b * block, block)
-                rows += found
-                places += [i] * len(found)
-            if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(places)), *columns], names=made.names)
-
-    found = whole.mapInArrow(run, made).join(totals, key)
+    def each(look):
+        """Rows that ``look`` gives of a block's number, bytes and another column."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places, rows = [], []
+                for i, (b, x, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "_x", "_o")), strict=True)):
+                    found = look(b, b"".join(x), other)
+                    rows += found
+                    places += [i] * len(found)
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(places)), *columns], names=made.names)
+
+        return run
+
+    found = whole.withColumn("_o", F.col("total")).mapInArrow(each(lambda b, x, total: find(x, b * block, block, total)), made).join(totals, key)
     size = F.when(F.col("size") == 0, F.col("total") - F.col("at")).otherwise(F.col("size"))
-    found = written(found.withColumn("size", size).withColumn("_next", F.least(F.col("at") + size, F.col("total") + 1)))
+    found = written(found.withColumn("size", size).withColumn("_next", F.col("at") + size))
     jump = found.select(key, "at", F.col("_next").alias("next"))
     reached = written(totals.select(key, F.lit(0).cast("long").alias("at")))
     known = reached.count()
@@ -92,8 +108,18 @@ def boxes(chunks: DataFrame, key: str, order: list[str], body: str = "content",
         known = now
         on = jump.select(F.col(key).alias("_k"), F.col("at").alias("_a"), F.col("next").alias("_n"))
         jump = written(jump.join(on, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_a")), "left").select(key, "at", F.coalesce("_n", "next").alias("next")))
-    out = reached.join(totals, key).where("at < total").join(found.drop("total", "_next"), [key, "at"], "left")
-    return out.select(key, "at", "header", F.when(F.col("at") + F.col("size") <= F.col("total"), F.col("size")).alias("size"), (F.col("at") + F.col("size")).alias("ends"), "kind", "total")
+    every = reached.join(totals, key).where("at < total").join(found.drop("total", "_next"), [key, "at"], "left")
+    every = written(every)
+    # Where a walk stops there may be a box that goes past the end: one place a file, looked up in its block.
+    last = every.where("header IS NULL").select(F.col(key).alias("_k"), F.col("at").alias("_o"), N.idiv(F.col("at"), block).alias("_b"))
+    at_end = whole.join(last, (F.col(key) == F.col("_k")) & (F.col("block") == F.col("_b")))
+    look = lambda b, x, at: [(at, *h)] if (h := header_at(x, at - b * block)) else []
+    open_ = at_end.mapInArrow(each(look), made).select(key, "at", F.col("header").alias("_h"), F.col("size").alias("_s"), F.col("kind").alias("_kind"))
+    out = every.join(open_, [key, "at"], "left")
+    size = F.coalesce("size", "_s")
+    return out.select(
+        key, "at", F.coalesce("header", "_h").alias("header"), F.when(F.col("at") + size <= F.col("total"), size).alias("size"), (F.col("at") + size).alias("ends"), F.coalesce("kind", "_kind").alias("kind"), "total"
+    )
 
 
 def fragments(found: DataFrame, key: str) -> DataFrame:
