@@ -25,7 +25,7 @@ def written(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not place and not sc.master.startswith("local["):
+        if not place and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tonearm-scans-"))
     return df.checkpoint(eager=True)
