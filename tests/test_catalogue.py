@@ -9,7 +9,7 @@ from tonearm.functions import arrays as A
 from tonearm.functions import numbers as N
 from tonearm.functions import rules as R
 from tonearm.operators import streams as S
-from tonearm.plans import catalogue, delivery, live, media, sessions, validation  # noqa: F401
+from tonearm.plans import catalogue, column_rules, delivery, live, media, sessions, validation  # noqa: F401
 from tonearm.sources import containers, tables
 from tonearm.streaming import folds
 

@@ -114,7 +114,7 @@ def f32(value: Column) -> Column:
 def format_hint(hint: Column) -> tuple[Column, Column]:
     """The trimmed, lowered hint, and its error."""
     own = F.trim(hint)
-    good = own.rlike("^[A-Za-z0-9]{1,16}$")
+    good = own.rlike(r"^[A-Za-z0-9]{1,16}\z")
     return F.when(good, F.lower(own)), F.when(hint.isNotNull() & ~good, INVALID_SOURCE)
 
 

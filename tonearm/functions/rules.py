@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .numbers import bound
 
 INVALID_SOURCE, INVALID_CONFIG, UNSUPPORTED = "INVALID_SOURCE", "INVALID_CONFIG", "UNSUPPORTED"
-HINT = "^[A-Za-z0-9]{1,16}$"
+#: A pattern ends with \z: $ would let a line break at the end pass.
+HINT = r"^[A-Za-z0-9]{1,16}\z"
 MIN_MTU, MAX_DATAGRAM, MIN_KEEPALIVE_MS, MAX_KEEPALIVE_MS = 64, 65_507, 1000, 60_000
 #: Header names a source may not set.
 FORBIDDEN_HEADERS = ("connection", "content-length", "host", "proxy-authenticate", "proxy-authorization", "range", "te", "trailer", "transfer-encoding", "upgrade")
-HEADER_NAME, HEADER_VALUE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$", r"^[\t\x20-\x7E]*$"
+HEADER_NAME, HEADER_VALUE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+\z", r"^[\t\x20-\x7E]*\z"
 #: Playlist content types.
 HLS_TYPES = ("application/vnd.apple.mpegurl", "application/x-mpegurl", "audio/mpegurl", "audio/x-mpegurl", "application/mpegurl")
 #: Formats that can start before they are whole.
@@ -271,7 +272,7 @@ def segment_iv(method: Column, key_format: Column, versions: Column, iv: Column,
     sequence; an initialization map must have one."""
     plain = method.isNull() | (method == "NONE")
     odd = any_of(method != "AES-128", F.lower(key_format) != "identity", F.exists(F.split(versions, "/"), lambda v: F.trim(v) != "1"))
-    digits = F.when(iv.rlike("^0[xX][0-9A-Fa-f]{1,32}$"), F.upper(F.substring(iv, 3, 32)))
+    digits = F.when(iv.rlike(r"^0[xX][0-9A-Fa-f]{1,32}\z"), F.upper(F.substring(iv, 3, 32)))
     bad = any_of(iv.isNull() & initialization, iv.isNotNull() & digits.isNull())
     error = F.when(plain, F.lit(None)).when(odd, UNSUPPORTED).when(bad, INVALID_SOURCE)
     return F.when(~plain & error.isNull(), F.lpad(F.coalesce(digits, F.hex(media_sequence)), 32, "0")), error

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import delivery as D
 from ..operators import playlists as P
 from .catalogue import query, read
-from .validation import BAD, UNSUPPORTED, cases
 
 _SEGMENT_SQL = """SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS idx,
   l_partkey, l_suppkey, l_quantity::BIGINT AS quantity FROM lineitem"""
@@ -73,55 +72,6 @@ def segment_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.delivery(_segments(spark, sf_dir).select("playlist", "idx", map_.alias("map"), kind.alias("kind"), (s % 4 == 0).alias("gap")), "playlist", ["idx"])
 
 
-cases(
-    "url_joins", "pages", "page_id", "base string, ref string", "joined string", lambda base, ref: {"joined": P.url_join(base, ref)},
-    [
-        ("https://a.example/x/y.m3u8?t=1", "z.ts", "https://a.example/x/z.ts"), ("https://a.example/x/y", "/r/z.ts", "https://a.example/r/z.ts"), ("https://a.example/x/y", "//b.example/z", "https://b.example/z"),
-        ("https://a.example/x/y", "http://c.example/z?q", "http://c.example/z?q"), ("https://a.example", "z.ts", "https://a.example/z.ts"), ("https://a.example/x/y?t=1", "?t=2", "https://a.example/x/y?t=2"),
-        ("https://a.example/x/y/w", "../z.ts", "https://a.example/x/z.ts"), ("https://a.example/x/y/w", "./z.ts", "https://a.example/x/y/z.ts"), ("https://a.example/x", "../../z.ts", "https://a.example/z.ts"),
-        ("https://a.example/x/y", "b/./c/../z.ts?u=/../v", "https://a.example/x/b/z.ts?u=/../v"), ("https://a.example/x/y", "..", "https://a.example/"), ("https://a.example/x/y/w", "z/.", "https://a.example/x/y/z/"),
-    ],
-)
-
-cases(
-    "attempt_errors", "events", "event_id", "decoder string, decoder_at long, source string, source_at long", "error string",
-    lambda decoder, decoder_at, source, source_at: {"error": D.attempt_error(decoder, decoder_at, source, source_at)},
-    [
-        (None, 100, None, 50, None), ("DECODE_ERROR", 100, None, 50, "DECODE_ERROR"), ("DECODE_ERROR", 100, "SOURCE_TIMEOUT", 350, "SOURCE_TIMEOUT"), ("DECODE_ERROR", 100, "SOURCE_TIMEOUT", 351, "DECODE_ERROR"),
-        ("DECODE_ERROR", 100, "STREAM_CLOSED", 200, "DECODE_ERROR"), (None, 100, "STREAM_CLOSED", 200, None), (None, 100, "STREAM_CLOSED", 99, "STREAM_CLOSED"), (None, 100, "INVALID_SOURCE", 99, "INVALID_SOURCE"), ("DECODE_ERROR", 100, None, None, "DECODE_ERROR"),
-        ("DECODE_ERROR", 100, "SOURCE_AUTH_EXPIRED", 100, "SOURCE_AUTH_EXPIRED"), (None, 100, "INVALID_SOURCE", 250, "INVALID_SOURCE"),
-    ],
-)
-
-cases(
-    "reader_rules", "pages", "page_id", "offset long, wanted long, available long, state string, delivered long, attempt long, retryable boolean, cached boolean, flight boolean, cached_after boolean",
-    "outcome string, n long, again boolean, path string",
-    lambda offset, wanted, available, state, delivered, attempt, retryable, cached, flight, cached_after: {
-        **dict(zip(("outcome", "n"), D.spool_read(offset, wanted, available, state), strict=True)), "again": D.live_retry(delivered, attempt, F.lit(2), retryable), "path": D.cache_path(cached, flight, cached_after)
-    },
-    [
-        (0, 10, 5, "open", 0, 0, True, True, True, True, "read", 5, True, "hit"), (5, 10, 5, "open", 1, 0, True, False, True, True, "wait", 0, False, "follow"), (5, 10, 5, "complete", 0, 2, True, False, False, True, "eof", 0, False, "late_hit"),
-        (5, 10, 5, "failed", 0, 1, False, False, False, False, "error", 0, False, "lead"), (4, 10, 5, "failed", 0, 1, True, False, False, False, "read", 1, True, "lead"), (0, 3, 5, "complete", 0, 1, True, True, False, False, "read", 3, True, "hit"),
-    ],
-)
-
-cases(
-    "aes_segments", "lineitem", "l_orderkey", "method string, format string, versions string, iv string, sequence long, init boolean", "iv_hex string, error string",
-    lambda method, format, versions, iv, sequence, init: _aes(method, format, versions, iv, sequence, init),  # noqa: A006
-    [
-        ("AES-128", None, None, "0x1F", 7, False, "0000000000000000000000000000001F", None), ("AES-128", None, None, None, 258, False, "00000000000000000000000000000102", None), ("AES-128", None, None, None, 258, True, None, BAD),
-        ("AES-128", "identity", "1", "0Xabc", 7, True, "00000000000000000000000000000ABC", None), ("AES-128", "com.example", None, "0x1", 7, False, None, UNSUPPORTED), ("AES-128", "IDENTITY", "1/2", "0x1", 7, False, None, UNSUPPORTED),
-        ("SAMPLE-AES", None, None, "0x1", 7, False, None, UNSUPPORTED), ("NONE", None, None, None, 7, True, None, None), (None, None, None, None, 7, True, None, None), ("AES-128", None, None, "1F", 7, False, None, BAD), ("AES-128", None, None, "0x", 7, False, None, BAD),
-        ("AES-128", None, "1", "0x" + "9" * 32, 7, False, "9" * 32, None), ("AES-128", None, None, "0x" + "9" * 33, 7, False, None, BAD), ("AES-128", None, " 1 / 1", "0xG", 7, False, None, BAD),
-    ],
-)
-
-
-def _aes(*given):
-    from ..functions import rules as R
-
-    return dict(zip(("iv_hex", "error"), R.segment_iv(*given), strict=True))
-
 
 _LOG_SQL = """SELECT user_id, event_id, ts, event_id % 3 + 1 AS claim, CASE event_type WHEN 'signup' THEN 'put' WHEN 'error' THEN 'take' WHEN 'purchase' THEN 'pause' ELSE 'resume' END AS kind, event_id % 2 = 0 AS initial,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"""
