@@ -544,11 +544,12 @@ def slow_ctw(lines, depth):
     return score
 
 
-@pytest.mark.parametrize("depth", [2, 4])
-def test_context_tree(spark, depth):
+@pytest.mark.parametrize("depth, crowd", [(2, 256), (4, 1), (4, 12), (4, 10**6), (3, 256), (5, 100)])
+def test_context_tree(spark, depth, crowd):
+    """With no context crowded, with some and with every one: dealt by two bytes or by three."""
     train, test = ["the cat sat", "the hat", "a cat", "hat hat hat hat"], ["the cat", "zebra hat", ""]
     rows = [(x, True) for x in train] + [(x, False) for x in test]
-    table = {r["gram"]: (r["n"], r["log2p"]) for r in lm.gram_table(spark.createDataFrame(rows, "text string, train boolean"), depth).collect()}
+    table = {r["gram"]: (r["n"], r["log2p"]) for r in lm.gram_table(spark.createDataFrame(rows, "text string, train boolean"), depth, crowd).collect()}
     lines = {x: x.encode() + b"\n" for x in train + test}
     seen, _ = lm.coded([lines[x] for x in train], depth)
     assert {g: n for g, (n, _) in table.items() if n} == dict(Counter(seen.view(np.int64).tolist()))

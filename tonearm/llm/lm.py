@@ -11,9 +11,10 @@ training has seen, the estimate of that last one stands.
 
 Training needs counts alone: the byte n-grams of all training texts.  The tree
 has the same depth at every size of corpus and is never in one place: n-grams
-are dealt by the last two bytes of their contexts, each task weighs the
+are dealt by the last two bytes of their contexts, those of crowded contexts by
+three, into parts whose number follows from the counts; each task weighs the
 subtrees below its contexts, and only the nodes of one byte of context or none
-are gathered.  The probabilities of the commonest n-grams (a bounded table) are
+and those of the crowded contexts (fewer than 256) are gathered.  The probabilities of the commonest n-grams (a bounded table) are
 broadcast; the rest of a text's n-grams meet theirs in a join.
 
 The base score is the add-one unigram of the words; its commonest words are
@@ -41,6 +42,10 @@ from .common import crc_of_id, materialized, packed, pieces, texts_of, unpacked
 DEPTH = 5
 #: Bytes of context by which n-grams are dealt.
 TOP = 2
+#: A context with more than this part of all counted n-grams is crowded.
+CROWDED = 256
+#: N-grams of a part, before those of several mappers are added up (some 60 bytes each while they are weighed).
+PART_GRAMS = 4_000_000
 #: The most n-grams that are broadcast (12 bytes each).
 COMMON_GRAMS = 2_000_000
 COMMON_WORDS = 100_000
@@ -99,18 +104,18 @@ def estimates(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class Subtrees:
-    """The nodes with TOP or more bytes of context below some contexts of TOP bytes, whole.
+    """The nodes with ``top`` or more bytes of context below some contexts of ``top`` bytes, whole.
 
     For d bytes of context and k known bits: key[d, k] (sorted), their place in the level above, the estimates, and the
     weight of staying and of going on."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, top: int = TOP):
+        self.depth, self.top = depth, top
         self.key, self.up, self.kt, self.stay, self.go = {}, {}, {}, {}, {}
-        #: log of the weighted probability of each node with TOP bytes of context.
+        #: log of the weighted probability of each node with ``top`` bytes of context.
         self.weighted: list[np.ndarray] = []
         levels = {}
-        for d in range(depth, TOP - 1, -1):
+        for d in range(depth, top - 1, -1):
             if d < depth:
                 grams, back = np.unique(grams & U((1 << 8 * (d + 1)) - 1), return_inverse=True)
                 counts = np.bincount(back, counts, len(grams))
@@ -124,22 +129,22 @@ class Subtrees:
                 self.key[d, k] = key[first]
                 sums[d] = [np.add.reduceat(n * x, first) if len(first) else n for x in (~bit, bit)]
             below = None
-            for d in range(depth, TOP - 1, -1):
+            for d in range(depth, top - 1, -1):
                 self.kt[d, k] = estimates(*sums[d])
                 weighted = kt_log(*sums[d])
                 if d < depth:
                     both = np.logaddexp(weighted, below)
                     self.stay[d, k], self.go[d, k] = np.exp(weighted - both), np.exp(below - both)
                     weighted = both - math.log(2)
-                if d > TOP:
+                if d > top:
                     # A child has one byte more of context in front; its parent is the key without that byte.
                     self.up[d, k] = np.searchsorted(self.key[d - 1, k], self.key[d, k] & U((1 << 8 * d) - 1))
                     below = np.bincount(self.up[d, k], weighted, len(self.key[d - 1, k]))
             self.weighted.append(weighted)
 
     def above(self) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes with a byte less than TOP, and what their children here add to the log of theirs."""
-        own = np.concatenate([self.key[TOP, k] & U((1 << 8 * TOP) - 1) for k in range(8)])
+        """The nodes with a byte less than ``top``, and what their children here add to the log of theirs."""
+        own = np.concatenate([self.key[self.top, k] & U((1 << 8 * self.top) - 1) for k in range(8)])
         key, back = np.unique(own, return_inverse=True)
         return key, np.bincount(back, np.concatenate(self.weighted), len(key))
 
@@ -148,14 +153,14 @@ class Subtrees:
         out = np.zeros(len(grams))
         for k in range(8):
             bit = ((grams >> U(7 - k)) & U(1)).astype(np.int64)
-            p = top.ends(node(grams, TOP - 1, k), bit)
+            p = top.ends(node(grams, self.top - 1, k), bit, self.top - 1)
             mixed, left = None, None
-            for d in range(TOP, self.depth + 1):
+            for d in range(self.top, self.depth + 1):
                 own = self.key[d, k]
                 if not len(own):
                     break
-                if d == TOP:
-                    mixed, left = top.passes(own & U((1 << 8 * TOP) - 1))
+                if d == self.top:
+                    mixed, left = top.passes(own & U((1 << 8 * self.top) - 1), self.top - 1)
                 else:
                     at = self.up[d, k]
                     mixed, left = (mixed + left * self.stay[d - 1, k] * self.kt[d - 1, k])[:, at], (left * self.go[d - 1, k])[at]
@@ -168,39 +173,65 @@ class Subtrees:
         return out
 
 
+def node_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at the 256 nodes of each context (places 1 to 255), from the counts of each byte after it."""
+    zero, one = np.zeros((len(n), 256)), np.zeros((len(n), 256))
+    for k in range(8):
+        parted = n.reshape(len(n), 1 << k, 2, 128 >> k).sum(-1)
+        zero[:, 1 << k : 2 << k], one[:, 1 << k : 2 << k] = parted[..., 0], parted[..., 1]
+    return zero.ravel(), one.ravel()
+
+
 class Top:
-    """The nodes of no and of one byte of context: 256 and 65,536 at most, by their keys."""
+    """The nodes of no and of one byte of context (256 and 65,536 at most), by their keys, and those of crowded contexts of two
+    bytes (256 each)."""
 
-    def __init__(self, counts: np.ndarray, below: np.ndarray):
-        """counts: of each byte after each byte (65,536); below: by node, what its children add to the log."""
+    def __init__(self, counts: np.ndarray, below: np.ndarray, crowded: np.ndarray | None = None, crowded_counts: np.ndarray | None = None, crowded_below: np.ndarray | None = None):
+        """counts: of each byte after each byte (65,536); below: by node, what its children add to the log, but those of crowded
+        contexts, which are given in order with the same two of their own (256 each)."""
         self.seen, kt, ways = [], [], []
-        for n in (counts.reshape(256, 256).sum(0)[None], counts.reshape(256, 256)):
-            zero, one = np.zeros((len(n), 256)), np.zeros((len(n), 256))
-            for k in range(8):
-                parted = n.reshape(len(n), 1 << k, 2, -1).sum(-1)
-                zero[:, 1 << k : 2 << k], one[:, 1 << k : 2 << k] = parted[..., 0], parted[..., 1]
-            self.seen.append((zero + one).ravel() > 0)
-            kt.append(estimates(zero.ravel(), one.ravel()))
-            ways.append(kt_log(zero.ravel(), one.ravel()))
+        crowded = np.zeros(0, np.int64) if crowded is None else crowded
+        own = np.zeros((0, 256)) if crowded_counts is None else crowded_counts.reshape(-1, 256)
+        for n in (counts.reshape(256, 256).sum(0)[None], counts.reshape(256, 256), own):
+            zero, one = node_counts(n)
+            self.seen.append(zero + one > 0)
+            kt.append(estimates(zero, one))
+            ways.append(kt_log(zero, one))
+        #: Where the nodes of a context of two bytes begin, and the node of one byte above each of them.
+        self.place = np.full(65536, -1)
+        self.place[crowded] = 256 * np.arange(len(crowded))
+        parent = ((crowded & 255)[:, None] << 8 | np.arange(256)).ravel()
+        last = np.zeros(0) if crowded_below is None else crowded_below
+        both = np.logaddexp(ways[2], last)
+        stay, go = [None, None, np.exp(ways[2] - both)], [None, None, np.exp(last - both)]
+        below = below + np.bincount(parent, np.where(self.seen[2], both - math.log(2), 0), 65536)
         both = np.logaddexp(ways[1], below)
-        stay, go = [None, np.exp(ways[1] - both)], [None, np.exp(below - both)]
+        stay[1], go[1] = np.exp(ways[1] - both), np.exp(below - both)
         root = np.where(self.seen[1], both - math.log(2), 0).reshape(256, 256).sum(0)
         both = np.logaddexp(ways[0], root)
         stay[0], go[0] = np.exp(ways[0] - both), np.exp(root - both)
-        last = np.arange(65536) & 255
-        mixed, left = (stay[0] * kt[0])[:, last], go[0][last]
-        #: The probability where a path ends at no or one byte, and what one that goes on has gathered.
-        self.end = [kt[0], mixed + left * kt[1]]
-        self.mixed, self.left = mixed + left * stay[1] * kt[1], left * go[1]
-
-    def ends(self, key: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        #: By bytes of context: the probability where a path ends there, and what one that goes on has gathered.
+        self.end, self.mixed, self.left = [kt[0]], [stay[0] * kt[0]], [go[0]]
+        for d, above in ((1, np.arange(65536) & 255), (2, parent)):
+            mixed, left = self.mixed[-1][:, above], self.left[-1][above]
+            self.end.append(mixed + left * kt[d])
+            self.mixed.append(mixed + left * stay[d] * kt[d])
+            self.left.append(left * go[d])
+
+    def at(self, key: np.ndarray, d: int) -> np.ndarray:
+        return self.place[key >> 8] + (key & 255) if d == 2 else key
+
+    def ends(self, key: np.ndarray, bit: np.ndarray, d: int = TOP - 1) -> np.ndarray:
         key = key.astype(np.int64)
-        root = np.where(self.seen[0][key & 255], self.end[0][bit, key & 255], 0.5)
-        return np.where(self.seen[1][key], self.end[1][bit, key], root)
+        out = 0.5
+        for n in range(d + 1):
+            own = self.at(key & (256 << 8 * n) - 1, n)
+            out = np.where(self.seen[n][own], self.end[n][bit, own], out)
+        return out
 
-    def passes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = key.astype(np.int64)
-        return self.mixed[:, key], self.left[key]
+    def passes(self, key: np.ndarray, d: int = TOP - 1) -> tuple[np.ndarray, np.ndarray]:
+        own = self.at(key.astype(np.int64), d)
+        return self.mixed[d][:, own], self.left[d][own]
 
 
 class Memo:
@@ -267,14 +298,16 @@ def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def gram_table(docs: DataFrame, depth: int = DEPTH, crowd: int = CROWDED) -> DataFrame:
     """(gram, n, log2p) of every n-gram of the texts: how often the texts with ``train`` have it, and its probability.
 
     N-grams are dealt by the last TOP bytes of their contexts, below which each task has whole subtrees.  What lies above
-    them is summed by node, at most 65,536 of them.  Each task adds up its own counts before they are dealt."""
+    them is summed by node, at most 65,536 of them.  Each task adds up its own counts before they are dealt.
+
+    A context with over one ``crowd``-th of what is dealt is dealt by a byte more (it has 2^24 n-grams of each at most), and its
+    nodes are summed too: fewer than ``crowd`` contexts of 256 nodes."""
     if not TOP <= depth <= 5:
         raise ValueError("depth must be from 2 to 5")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = pa.schema([("context", pa.int64()), ("rest", pa.binary()), ("n", pa.binary())])
     held = pa.schema([("kind", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("x", pa.float64())])
 
@@ -303,23 +336,42 @@ def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 code, counts, size = code[:0], counts[:0], 0
         yield from out(code, counts)
 
+    def parted(batches):
+        for batch in batches:
+            made = []
+            for context, rest, n in zip(batch.column("context").to_pylist(), batch.column("rest").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if not crowded[context]:
+                    made.append((context, rest, n))
+                    continue
+                code, counts = np.cumsum(unpacked(rest), dtype=U), unpacked(n)
+                third = code >> U(8) & U(255)
+                for x in np.unique(third).tolist():
+                    own = third == x
+                    made.append((context | (x + 1) << 16, packed(np.diff(code[own], prepend=U(0))), packed(counts[own])))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), sent, strict=True)], schema=sent)
+
     def merge(batches):
-        codes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        held = [([np.zeros(0, U)], [np.zeros(0, np.int64)]) for _ in range(2)]
         for batch in batches:
             for context, rest, n in zip(batch.column("context").to_pylist(), batch.column("rest").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                codes.append(np.cumsum(unpacked(rest), dtype=U) | U(context << 32))
+                codes, counts = held[context >> 16 > 0]
+                codes.append(np.cumsum(unpacked(rest), dtype=U) | U((context & 0xFFFF) << 32))
                 counts.append(unpacked(n).astype(np.int64))
-        code, n = added(np.concatenate(codes), np.concatenate(counts))
-        gram = code >> U(32) << U(8) | code & U(255) | (code & U(0xFFFFFF00)) << U(8 * TOP)
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-        yield from rows(0, gram, n)
-        seen, times = gram[n > 0], n[n > 0].astype(np.float64)
-        # Its byte after one byte of context, and the subtrees' share in the nodes of one byte.
-        low, back = np.unique(seen & U(0xFFFF), return_inverse=True)
-        yield from rows(1, low, np.bincount(back, times, len(low)).astype(np.int64))
-        key, x = Subtrees(seen, times, depth).above()
-        yield from rows(2, key, np.zeros(len(key), np.int64), x)
+        for top, (codes, counts) in enumerate(held, TOP):
+            code, n = added(np.concatenate(codes), np.concatenate(counts))
+            codes.clear(), counts.clear()
+            gram = code >> U(32) << U(8) | code & U(255) | (code & U(0xFFFFFF00)) << U(8 * TOP)
+            order = np.argsort(gram)
+            gram, n = gram[order], n[order]
+            yield from rows(0, gram, n)
+            seen, times = gram[n > 0], n[n > 0].astype(np.float64)
+            # Its byte after one byte of context (and after two), and the subtrees' share in the nodes above them.
+            for kind, bytes_ in ((1, 2), (3, 3))[: top - 1]:
+                low, back = np.unique(seen & U((1 << 8 * bytes_) - 1), return_inverse=True)
+                yield from rows(kind, low, np.bincount(back, times, len(low)).astype(np.int64))
+            key, x = Subtrees(seen, times, depth, top).above() if len(seen) else (np.zeros(0, U), np.zeros(0))
+            yield from rows(2 * top - 2, key, np.zeros(len(key), np.int64), x)
 
     def rows(kind, key, n, x=None):
         x = np.zeros(len(key)) if x is None else x
@@ -327,14 +379,25 @@ def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             cut = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), kind, np.int64)), pa.array(key[cut].view(np.int64)), pa.array(n[cut]), pa.array(x[cut])], schema=held)
 
-    dealt = docs.select("text", "train").mapInArrow(count, "context long, rest binary, n binary").repartition(parts, "context")
-    met = materialized(dealt.mapInArrow(merge, "kind long, key long, n long, x double"))
+    ddl = "context long, rest binary, n binary"
+    counted = materialized(docs.select("text", "train").mapInArrow(count, ddl))
+    sizes = counted.groupBy("context").agg((F.sum(F.octet_length("rest").cast("long")) / 4).alias("grams"))
+    all_ = counted.agg(F.coalesce(F.sum(F.octet_length("rest").cast("long")) / 4, F.lit(0.0))).first()[0]
+    crowded = np.zeros(65536, bool)
+    if depth > TOP:
+        crowded[sizes.where(F.col("grams") * crowd > all_).select("context").toArrow().column("context").to_numpy()] = True
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(all_ / PART_GRAMS))
+    met = materialized(counted.mapInArrow(parted, ddl).repartition(parts, "context").mapInArrow(merge, "kind long, key long, n long, x double"))
     sums = met.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow()
-    kind, key = sums.column("kind").to_numpy(), sums.column("key").to_numpy()
-    counts, below = np.zeros(65536), np.zeros(65536)
-    counts[key[kind == 1]] = sums.column("n").to_numpy()[kind == 1]
-    below[key[kind == 2]] = sums.column("x").to_numpy()[kind == 2]
-    top = docs.sparkSession.sparkContext.broadcast(Top(counts, below))
+    kind, key, n, x = (sums.column(c).to_numpy() for c in ("kind", "key", "n", "x"))
+    own = np.flatnonzero(crowded)
+    place = np.full(65536, -1)
+    place[own] = 256 * np.arange(len(own))
+    at = lambda k: place[key[kind == k] >> 8] + (key[kind == k] & 255)  # noqa: E731  of a crowded context
+    counts, below, crowded_counts, crowded_below = np.zeros(65536), np.zeros(65536), np.zeros(256 * len(own)), np.zeros(256 * len(own))
+    counts[key[kind == 1]], below[key[kind == 2]] = n[kind == 1], x[kind == 2]
+    crowded_counts[at(3)], crowded_below[at(4)] = n[kind == 3], x[kind == 4]
+    top = docs.sparkSession.sparkContext.broadcast(Top(counts, below, own, crowded_counts, crowded_below))
 
     def weigh(batches):
         grams, n = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -342,10 +405,15 @@ def gram_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             grams.append(batch.column("key").to_numpy().view(U))
             n.append(batch.column("n").to_numpy())
         grams, n = np.concatenate(grams), np.concatenate(n)
-        tree = Subtrees(grams[n > 0], n[n > 0].astype(np.float64), depth)
-        for at in range(0, len(grams), 100_000):
-            own = grams[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n[at : at + 100_000]), pa.array(tree.log2(own, top.value))], names=["gram", "n", "log2p"])
+        deep = crowded[(grams >> U(8) & U(0xFFFF)).astype(np.int64)]
+        for first, chosen in ((TOP, ~deep), (TOP + 1, deep)):
+            whole, times = grams[chosen], n[chosen]
+            if not len(whole):
+                continue
+            tree = Subtrees(whole[times > 0], times[times > 0].astype(np.float64), depth, first)
+            for at in range(0, len(whole), 100_000):
+                own = whole[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times[at : at + 100_000]), pa.array(tree.log2(own, top.value))], names=["gram", "n", "log2p"])
 
     # The checkpoint's parts are those of the exchange, so subtrees are whole here too.
     return materialized(met.where("kind = 0").select("key", "n").mapInArrow(weigh, "gram long, n long, log2p double"))
