@@ -44,7 +44,7 @@ DEPTH = 5
 TOP = 2
 #: A context with more than this part of all counted n-grams is crowded.
 CROWDED = 256
-#: N-grams of a part, before those of several mappers are added up (some 60 bytes each while they are weighed).
+#: N-grams of a part, before those of several mappers are added up.
 PART_GRAMS = 4_000_000
 #: The most n-grams that are broadcast (12 bytes each).
 COMMON_GRAMS = 2_000_000
