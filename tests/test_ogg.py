@@ -65,3 +65,18 @@ def test_tables(spark):
     for r in ogg.packets(df, "k").collect():
         got.setdefault(r["k"], []).append(r["error"])
     assert got == {1: [None] * 3, 2: ["INVALID_SOURCE"], 3: ["INVALID_SOURCE"], 4: ["DECODE_ERROR"]}
+
+
+def test_pages_of_any_length(spark, tmp_path):
+    """A second page may be shorter than 41 bytes, a text may hold the pages' mark, and of equal ids the text that is there counts."""
+    import duckdb
+
+    from tonearm.plans import catalogue, media
+
+    texts = [(3 * n, ("xOggS" * (n % 2) + "a" * n)[:n]) for n in (0, 4, 254, 255, 699, 700, *range(950, 975), 1399, 1400, 3000)] + [(1, "b"), (1, None), (2, None)]
+    spark.createDataFrame(texts, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "sequence", "n_bytes", "digest", "granule", "error"]
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLE_SQL[media.ogg_packets.__name__]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in catalogue.QUERIES["ogg_packets"](spark, str(tmp_path)).select(*columns).collect())
