@@ -209,3 +209,17 @@ def test_encoders(spark):
     assert got == {1: "0000ff7f0080", 2: None}
     with pytest.raises(containers.NoDecoder):
         tables.encoded(frames, "opus")
+
+
+def test_rounded_samples(spark, tmp_path):
+    """Samples that come to zero keep their sign, and ties go away from zero, as in the SQL."""
+    x = [-1e-9, 1e-9, -0.0, 0.0, -4.9e-8, -1e-11, 0.00390625, -0.00390625, 2.5 * 2.0**-24, 0.75, -0.3, 1e-3] * 5 + [-3e-11] * 4
+    rows = [(i, v, i % 2) for i, v in enumerate([x, x[::-1], [-1e-10] * 64, [2.0**-k for k in range(64)]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("pcm_frames", "pcm_gain_clamp", "pcm_soft_limit", "pcm_downmix", "pcm_peak_dbfs", "pcm_layouts"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path)).toArrow()
+        want = con.execute(catalogue.ORACLE_SQL[name]).to_arrow_table()
+        text = lambda t: sorted(repr([r[c] for c in sorted(t.column_names)]) for r in t.to_pylist())  # noqa: B023, E731
+        assert text(got) == text(want), name

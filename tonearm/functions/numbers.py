@@ -24,6 +24,17 @@ def bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to so many decimals, ties away from zero, as SQL's round has it: what is negative and comes to zero is -0.0, whose
+    sign F.round drops."""
+
+    def whole(v: Column) -> Column:
+        near = F.rint(v)
+        return F.when(F.abs(v - near) == 0.5, v + F.signum(v) * 0.5).otherwise(near)
+
+    return bound(x * 10.0**digits, whole) / 10.0**digits
+
+
 def clamp(x: Column, low, high) -> Column:
     """Between two limits; NaN stays NaN."""
     return F.when(F.isnan(x), x).otherwise(F.greatest(F.least(x, lit(high)), lit(low)))

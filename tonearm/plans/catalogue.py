@@ -66,7 +66,7 @@ SELECT event_id, user_id, window_n, round(loss, 6) AS window_loss, round(max_los
        WHEN loss >= 2 OR max_jitter >= 30000 OR coalesce(rtt, 0) >= 200000 THEN 'degraded' ELSE 'good' END AS level FROM w""")
 def quality_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.rolling_quality(reports(spark, sf_dir), "user_id", ["ts", "event_id"])
-    loss = [F.round(c, 6).alias(c) for c in ("window_loss", "window_max_loss")]
+    loss = [N.rounded(F.col(c), 6).alias(c) for c in ("window_loss", "window_max_loss")]
     return out.select("event_id", "user_id", "window_n", *loss, "window_jitter", "window_max_jitter", "window_rtt", "window_max_rtt", "level")
 
 
@@ -171,7 +171,7 @@ def status_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak FROM embeddings)""")
 def pcm_peak_dbfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumn("p", A.peak(F.col("embedding")))
-    return e.select("vec_id", F.round("p", 9).alias("peak"), F.round(N.dbfs(F.col("p")), 6).alias("dbfs"), A.in_range(F.col("embedding")).alias("in_range"))
+    return e.select("vec_id", N.rounded(F.col("p"), 9).alias("peak"), N.rounded(N.dbfs(F.col("p")), 6).alias("dbfs"), A.in_range(F.col("embedding")).alias("in_range"))
 
 
 _SAMPLED_SQL = "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS place, unnest(embedding)::DOUBLE AS x FROM embeddings"
@@ -179,7 +179,7 @@ _SAMPLED_SQL = "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEG
 
 def _each_sample(spark: SparkSession, sf_dir: str, f) -> DataFrame:
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(f(x.cast("double")), 9))).alias("place", "y"))
+    return e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: N.rounded(f(x.cast("double")), 9))).alias("place", "y"))
 
 
 @query(f"SELECT vec_id, place, round(greatest(least(x * 4, 1), -1), 9) AS y FROM ({_SAMPLED_SQL})")
@@ -197,7 +197,7 @@ def pcm_soft_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
   list_transform(range(0, len(embedding) // 4), lambda i: round(greatest(least(embedding[4*i+2]::DOUBLE + (embedding[4*i+3]::DOUBLE + embedding[4*i+4]::DOUBLE) * 0.25, 1), -1), 9)) AS r FROM embeddings WHERE len(embedding) % 4 = 0""")
 def pcm_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", A.downmix(F.col("embedding"), 4).alias("s")).where("s IS NOT NULL")
-    side = lambda c: F.transform(F.filter("s", lambda x, i: i % 2 == c), lambda x: F.round(x, 9))
+    side = lambda c: F.transform(F.filter("s", lambda x, i: i % 2 == c), lambda x: N.rounded(x, 9))
     return e.select("vec_id", side(0).alias("l"), side(1).alias("r"))
 
 
@@ -206,7 +206,7 @@ f AS (SELECT label, i // 48 AS frame, list(x ORDER BY i) AS v FROM s GROUP BY AL
 SELECT label, frame::BIGINT AS frame, (frame * 48)::BIGINT AS position, len(v)::INTEGER AS n_values, list_concat(v, list_transform(range(0, 48 - len(v)), lambda i: 0.0::DOUBLE)) AS samples FROM f""")
 def pcm_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    s = e.select("label", "vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 7)).alias("x"))
+    s = e.select("label", "vec_id", F.transform("embedding", lambda x: N.rounded(x.cast("double"), 7)).alias("x"))
     return S.count_windows(s, "label", ["vec_id"], "x", 48)
 
 
@@ -223,7 +223,7 @@ def replay_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 3 != 0, F.col("p_retailprice") / 100 - 12), F.when(size % 4 != 0, size / 4 - 6), F.when(size % 5 != 0, size / 40), F.lit(0.8), preamp=2.0, target_peak=-1.0
     )
     out = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", g.alias("g")).where("g IS NOT NULL")
-    return out.select("p_partkey", "g.source", F.round("g.requested_db", 4).alias("requested_db"), F.round(F.col("g.gain_db") * 100).cast("int").alias("gain_cb"), "g.clipping_limited", "g.range_limited")
+    return out.select("p_partkey", "g.source", N.rounded(F.col("g.requested_db"), 4).alias("requested_db"), F.round(F.col("g.gain_db") * 100).cast("int").alias("gain_cb"), "g.clipping_limited", "g.range_limited")
 
 
 @query("""SELECT l_discount AS unit, count(*) AS n, round(CASE WHEN l_discount <= 0 THEN NULL ELSE -60 + 60 * pow(l_discount, 0.5) END, 6) AS db,
@@ -232,7 +232,7 @@ def volume_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.col("unit")
     db = N.volume_db(unit)
     return read(spark, sf_dir, "lineitem", "l_discount").groupBy(F.col("l_discount").alias("unit")).agg(F.count("*").alias("n")).select(
-        "unit", "n", F.round(F.when(unit > 0, db), 6).alias("db"), F.round(F.when(unit > 0, N.db_to_linear(db)).otherwise(0.0), 9).alias("gain"), N.volume_units(unit).alias("units")
+        "unit", "n", N.rounded(F.when(unit > 0, db), 6).alias("db"), N.rounded(F.when(unit > 0, N.db_to_linear(db)).otherwise(0.0), 9).alias("gain"), N.volume_units(unit).alias("units")
     )
 
 

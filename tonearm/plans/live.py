@@ -41,7 +41,7 @@ def one_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.count_windows(e, "stream", ["vec_id"], "x", 960, long=True)
     n = F.col("n_values")
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return out.select("frame", "position", n.cast("long").alias("n_values"), F.round(total, 6).alias("total"), F.get("samples", F.lit(0)).alias("first"), F.get("samples", n - 1).alias("last"))
+    return out.select("frame", "position", n.cast("long").alias("n_values"), N.rounded(total, 6).alias("total"), F.get("samples", F.lit(0)).alias("first"), F.get("samples", n - 1).alias("last"))
 
 
 _DEADLINES = """SELECT user_id, event_id AS n, event_id * 20 AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'ready' WHEN 'purchase' THEN 'pause' WHEN 'click' THEN 'resume' ELSE CASE WHEN event_id % 7 = 0 THEN 'stop' ELSE 'failed' END END AS kind,
@@ -225,4 +225,4 @@ def first_packet_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = own.select(source.alias("source"), role.alias("role"), N.idiv(F.col("event_id"), 1000).alias("part"), each.alias("x")).select("source", "role", "part", "x.*")
     parts = stages.sketch(rows, ["part", "source", "role", "stage"], "ms")
     out = stages.quantiles(stages.merged(parts, ["source", "role", "stage"]), ["source", "role", "stage"], {"p50": 0.5, "p95": 0.95})
-    return out.select("source", "role", "stage", "count", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return out.select("source", "role", "stage", "count", N.rounded(F.col("p50"), 6).alias("p50"), N.rounded(F.col("p95"), 6).alias("p95"))

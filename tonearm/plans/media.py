@@ -105,7 +105,7 @@ def conversion(spark: SparkSession, sf_dir: str, source: int, target: int, chann
     e = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select("label", "vec_id", F.slice("embedding", F.lit(1), n).alias("samples"), F.lit(source).alias("sample_rate"))
     out = R.resampled(e, ["label"], ["vec_id"], target, channels).where("error IS NULL")
     each = out.select("label", "position", F.posexplode("samples").alias("i", "x"))
-    return each.select("label", (F.col("position") + N.idiv(F.col("i"), channels)).alias("frame"), (F.col("i") % channels).cast("long").alias("channel"), F.round("x", 6).alias("sample"))
+    return each.select("label", (F.col("position") + N.idiv(F.col("i"), channels)).alias("frame"), (F.col("i") % channels).cast("long").alias("channel"), N.rounded(F.col("x"), 6).alias("sample"))
 
 
 @query(conversion_sql(44_100, 48_000, 1))

@@ -43,5 +43,5 @@ def pcm_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, i = F.col("embedding"), F.col("vec_id")
     gain = F.when(i % 3 == 0, 0.0).when(i % 3 == 1, 1.0).otherwise(3.0)
     whole = lambda c: F.transform(c, lambda x: x.cast("double"))
-    loud = F.transform(A.apply_volume(s, gain, limiter=False), lambda x: F.when(i % 3 == 2, F.round(x, 9)).otherwise(x))
+    loud = F.transform(A.apply_volume(s, gain, limiter=False), lambda x: F.when(i % 3 == 2, N.rounded(x, 9)).otherwise(x))
     return read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", whole(A.mono_to_stereo(s)).alias("stereo"), whole(A.trim(s, 2, i % 40, i % 7)).alias("trimmed"), loud.alias("loud"))
