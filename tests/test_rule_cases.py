@@ -325,3 +325,15 @@ def test_cases(spark, name):
     made = make(**{n: F.col(n) for n in inputs})
     got = known.select("_k", *[made[n].cast(kind).alias(n) for n, kind in outputs]).orderBy("_k").collect()
     assert [tuple(r)[1:] for r in got] == [tuple(row[len(inputs) :]) for row in rows]
+
+
+def test_packet_rules_make_no_lists(spark, tmp_path):
+    """A batch is told by its number of ids: two thousand million of them are no list."""
+    import datetime
+
+    from tonearm.plans.column_rules import QUERIES
+
+    rows = [(i, user, "view", 1.5, "{}", datetime.datetime(2024, 1, 1)) for i, user in ((1, 7), (2, 4096), (3, 4097), (4, 2_000_000_000), (50, 48), (100, 49), (150, 900_000_000))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["batch"] for r in QUERIES["packet_rules"](spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: None, 3: CONFIG, 4: CONFIG, 50: None, 100: CONFIG, 150: CONFIG}

@@ -93,7 +93,12 @@ def stream_id(id_: Column) -> Column:
 
 
 def status_batch(ids: Column) -> Column:
-    return invalid(F.size(ids) > 4096)
+    return status_batch_of(F.size(ids))
+
+
+def status_batch_of(n: Column) -> Column:
+    """The same of a number of ids that are not at hand."""
+    return invalid(n > 4096)
 
 
 # Host input.
