@@ -223,3 +223,12 @@ def test_rounded_samples(spark, tmp_path):
         want = con.execute(catalogue.ORACLE_SQL[name]).to_arrow_table()
         text = lambda t: sorted(repr([r[c] for c in sorted(t.column_names)]) for r in t.to_pylist())  # noqa: B023, E731
         assert text(got) == text(want), name
+
+
+def test_playlists_are_dealt_by_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, through all windows and groups of a playlist."""
+    for name in ("playlist_parse", "segment_delivery"):
+        for rows, parts in ((1 << 20, 4), (100, -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100))):
+            monkeypatch.setattr(S.dealt, "__kwdefaults__", {"rows": rows})
+            out = catalogue.QUERIES[name](spark, SF)
+            assert out.rdd.getNumPartitions() == parts, name

@@ -13,6 +13,16 @@ from ..functions import numbers as N
 from .scans import scan
 
 
+#: Rows of a part that is sorted several times over.
+PART_ROWS = 1 << 17
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = PART_ROWS) -> DataFrame:
+    """The rows by their keys, in as many parts as hold about so many rows each, so that what a task sorts doesn't grow with the
+    table.  Windows and groups by these keys need no other shuffle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
 def rolling_quality(reports: DataFrame, key: str, order: list[str], length: int = 32) -> DataFrame:
     """Adds window_* columns over the last ``length`` reports (fraction_lost, jitter_us, rtt_us) of a stream."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - max(1, length), 0)

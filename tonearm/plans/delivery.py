@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import delivery as D
 from ..operators import playlists as P
+from ..operators import streams as S
 from .catalogue import query, read
 
 _SEGMENT_SQL = """SELECT l_orderkey AS playlist, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS idx,
@@ -18,7 +19,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
-    own = read(spark, sf_dir, "lineitem", "l_orderkey", *order)
+    own = S.dealt(read(spark, sf_dir, "lineitem", "l_orderkey", *order), "l_orderkey")
     return own.select(F.col("l_orderkey").alias("playlist"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long").alias("idx"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity"))
 
 
