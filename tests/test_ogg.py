@@ -80,3 +80,42 @@ def test_pages_of_any_length(spark, tmp_path):
     columns = ["page_id", "sequence", "n_bytes", "digest", "granule", "error"]
     want = duck.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLE_SQL[media.ogg_packets.__name__]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in catalogue.QUERIES["ogg_packets"](spark, str(tmp_path)).select(*columns).collect())
+
+
+def test_pieces():
+    import pyarrow as pa
+
+    from tonearm.sources.batches import pieces
+
+    for x, size in ((pa.array([b"a" * n for n in (0, 5, 90, 300, 1, 1, 1)] + [None] + [b"b" * 30] * 20, pa.binary()), 1), (pa.array([[1.0] * n for n in (0, 3, 50, 2)] + [None] + [[2.0] * 5] * 9, pa.list_(pa.float32())), 8)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), x], names=["k", "x"])
+        got = list(pieces([batch, batch.slice(0, 0), batch.slice(3, 4)], "x", 100))
+        assert [k for b in got for k in b.column("k").to_pylist()] == [*range(len(x)), *range(3, min(7, len(x)))]
+        assert len(got) > 4 and all(sum(size * len(v or ()) for v in b.column("x").to_pylist()[1:]) < 100 for b in got)
+
+
+
+def test_tables_are_read_in_pieces(spark, monkeypatch):
+    """The rows of a batch are made Python objects a few MB at a time."""
+    import pyarrow as pa
+
+    from tonearm.sources import batches, tables
+
+    class Rows:  # a table that runs what it is given on one batch of 64 MB
+        columns, sparkSession = ["id", "content"], None
+
+        def __init__(self, fields):
+            self.schema = fields
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([bytes(1 << 20)] * 64)], names=["id", "content"])
+            return [b.num_rows for b in run([batch])]
+
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(tables, "small_batches", lambda _: None)
+    got = tables.each(Rows(StructType.fromDDL("id long, content binary")), "content", "n long", lambda x: (len(x),))
+    assert sum(got) == 64 and max(got) <= 1 + batches.BYTES // (1 << 20)

@@ -11,6 +11,7 @@ from ..operators import resampling as R
 from ..operators import streams as S
 from ..sources import ogg
 from ..sources import tables as T
+from ..sources.batches import pieces, small_batches
 from .catalogue import query, read
 
 
@@ -138,7 +139,7 @@ def page_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "html"):
             out = []
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 data = ogg.write_stream([(html[i : i + 700], i + 700) for i in range(0, len(html) + 1, 700)], page_id % 1000, 4)
@@ -149,6 +150,7 @@ def page_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(data)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], names=["page_id", "content"])
 
+    small_batches(spark)
     p = read(spark, sf_dir, "pages", "page_id", "html").groupBy("page_id").agg(F.any_value("html", ignoreNulls=True).alias("html"))
     return p.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, "page_id long, content binary")
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .batches import pieces, small_batches
+
 CONTINUED, FIRST, LAST = 1, 2, 4
 #: Granule of a page on which no packet ends.
 NONE = -1
@@ -110,12 +112,13 @@ def packets(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, content):
             for i, data in enumerate(batch.column(content).to_pylist()):
                 rows = list(read_packets(data)) if data else [(None, None, None, None, 0, 0, "INVALID_SOURCE")]
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([i] * len(rows))), *columns], names=made.names)
 
+    small_batches(files.sparkSession)
     return files.select(key, content).mapInArrow(run, made)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import containers
+from .batches import pieces, small_batches
 
 #: name -> function of a frame of interleaved samples that gives its packet.
 ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {}
@@ -46,7 +47,7 @@ def each(df: DataFrame, column: str, made: str, f: Callable[[bytes], tuple]) ->
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, column):
             rows: list[tuple] = []
             for body in batch.column(column).to_pylist():
                 try:
@@ -59,6 +60,7 @@ def each(df: DataFrame, column: str, made: str, f: Callable[[bytes], tuple]) ->
             columns = [batch.column(c) for c in kept] + [pa.array([r[i] for r in rows], arrow.field(n).type) for i, n in enumerate(own.names)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.select(*kept, column).mapInArrow(run, out)
 
 
@@ -118,8 +120,9 @@ def encoded(frames: DataFrame, name: str, column: str = "samples") -> DataFrame:
     kept = out.names[:-1]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, column):
             packets = [None if x is None else own(np.array(x, np.float32)) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(packets, pa.binary())], names=[*kept, "packet"])
 
+    small_batches(frames.sparkSession)
     return frames.select(*kept, column).mapInArrow(run, out)
