@@ -148,6 +148,33 @@ def test_keepalive_frames_whole(spark, tmp_path):
     assert got == list(range(20, 10_000, 20))
 
 
+def test_gap_frames_cut_anywhere(spark):
+    rows = [(k, t * (k + 7) % 4001 - 2000) for k in range(9) for t in range(0, 60, 2 + k)] + [(3, 5), (3, 5), (None, -40), (None, 30), (4, None)]
+    want = []
+    for k in {k for k, _ in rows}:
+        at = sorted(t for x, t in rows if x == k and t is not None)
+        want += [(k, t) for a, b in zip(at, at[1:], strict=False) for t in range(a + 7, b, 7)]
+    for sizes in ({}, {"window": 6, "block": 2, "rows": 50}, {"window": 1, "block": 1, "rows": 1}):
+        got = [tuple(r) for r in S.gap_frames(spark.createDataFrame(rows, "k long, at int"), "k", "at", 7, **sizes).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), sizes
+    assert S.gap_frames(spark.createDataFrame([], "k long, at long"), "k", "at", 20).count() == 0
+
+
+def test_gap_frames_small_on_disk(spark, tmp_path):
+    """Streams spread over the whole span: the rows' number grows with streams times span, so a row must take little."""
+    sent = spark.range(20_000).select((F.xxhash64("id") % 500).alias("k"), (F.col("id") * 8).alias("at"))
+    S.gap_frames(sent, "k", "at", 20).write.parquet(str(tmp_path / "out"))
+    rows, size = spark.read.parquet(str(tmp_path / "out")).count(), sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert rows > 3_000_000 and size < 1.5 * rows
+
+
+def test_gap_frames_one_long_gap(spark):
+    """One stream's gap is filled by many tasks."""
+    sent = spark.createDataFrame([(1, 0), (1, 20_000_001)], "k long, at long")
+    tasks = S.gap_frames(sent, "k", "at", 20).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 1_000_000 and len(tasks) > 1
+
+
 def play(step, state, *entries):
     out = []
     for entry in entries:
