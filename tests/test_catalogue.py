@@ -168,6 +168,13 @@ def test_gap_frames_small_on_disk(spark, tmp_path):
     assert rows > 3_000_000 and size < 1.5 * rows
 
 
+def test_gap_frames_even_parts(spark):
+    """The longest task is near the mean, and there are several for each core."""
+    sent = spark.range(40_000).select((F.xxhash64("id") % 500).alias("k"), (F.col("id") * 8).alias("at"))
+    tasks = [r["count"] for r in S.gap_frames(sent, "k", "at", 20).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 1.5 * sum(tasks) / len(tasks) and len(tasks) > 2 * spark.sparkContext.defaultParallelism
+
+
 def test_gap_frames_one_long_gap(spark):
     """One stream's gap is filled by many tasks."""
     sent = spark.createDataFrame([(1, 0), (1, 20_000_001)], "k long, at long")
